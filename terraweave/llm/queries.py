@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraweave.llm import mixing, sharding
+from terraweave.llm import mixing, sharding, simhash
 
 
 def _docs(spark, sf_dir):
@@ -17,6 +17,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(_docs(spark, sf_dir))
 
 
+def op9_simhash(spark, sf_dir):
+    return simhash.fingerprint_groups(_docs(spark, sf_dir))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
