@@ -179,7 +179,7 @@ def links(nodes: DataFrame, lanes: int, distance: int, exact: bool, tile: int =
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, ti, tj, own, node, *lane in whole_runs(batches, 3):
-            f = np.stack(lane, axis=1)
+            f = np.stack(lane, axis=1).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
             new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in (cell, ti, tj)])])
             starts = np.flatnonzero(new)
             sizes = np.diff(np.concatenate([starts, [len(cell)]]))
