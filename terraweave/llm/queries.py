@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraweave.llm import mixing, sharding, simhash
+from terraweave.llm import lines, mixing, sharding, simhash, topk
 
 
 def _docs(spark, sf_dir):
@@ -21,6 +21,14 @@ def op9_simhash(spark, sf_dir):
     return simhash.fingerprint_groups(_docs(spark, sf_dir))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return lines.deduplicate(_docs(spark, sf_dir)).drop("text")
+
+
+def op7_topk(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -30,6 +38,13 @@ def oracle_sql():
 
 
 SQL = {
+    "op7_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
     "op3_mixing": r"""
 WITH base AS (
   SELECT doc_id, source, CAST(coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS BIGINT) AS size FROM documents),
