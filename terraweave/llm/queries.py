@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraweave.llm import lines, mixing, sharding, simhash, topk
+from terraweave.llm import decontamination, lines, mixing, sharding, simhash, topk, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -25,10 +25,18 @@ def op2_line_dedup(spark, sf_dir):
     return lines.deduplicate(_docs(spark, sf_dir)).drop("text")
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_topk(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontamination.hits(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
