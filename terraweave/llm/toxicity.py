@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under the cosine of TF-IDF vectors.
 
-Labelled rows (a bounded sample) give the terms that tell the labels apart and become vectors over these terms in an
-inverted index. The index is cut into blocks of examples; for each term and block it holds the largest weight. A text is
+A term is a word or the beginning of one, so that inflected words are met. Labelled rows (a bounded sample) give the terms
+that tell the labels apart; all other words fold into one background term, so that the cosine sees how dense the telling
+terms are. The labelled rows become vectors over these terms in an inverted index. The index is cut into blocks of examples; for each term and block it holds the largest weight. A text is
 compared with blocks in order of the bound that those maxima give, and the search ends when no block left can hold a
 nearer example, so the k nearest are exact. They vote by distance, and the votes with their bounds are the score.
 """
@@ -15,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,17 @@ MOST_EXAMPLES, MOST_TERMS = 8000, 512
 #: A term is kept if its likelihood ratio statistic is at least this; chance alone exceeds 20 once in 130 000 terms.
 LEAST_G = 20.0
 NEIGHBOURS, BLOCK, FOLD, THRESHOLD = 15, 64, 2, 0.3
-_TERM = re.compile(r"[^\W\d_]+")
+#: Lengths of word beginnings that are terms, longest first; a whole word is a term that ends in END.
+PREFIXES, END = range(8, 2, -1), "$"
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall(text.lower()) if text else []
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def terms_of(word: str) -> list[str]:
+    return [word + END, *(word[:k] for k in PREFIXES if k < len(word))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,29 +47,47 @@ def held_out(doc_id: Column) -> Column:
 class ExampleIndex:
     """Examples as unit vectors in blocks, with the largest weight of each term and block."""
 
-    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
-        """terms: their idf; examples: (doc_id, label, term counts), the counts of kept terms only."""
+    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, dict[int, int]]]):
+        """terms: their idf; examples: (doc_id, label, counts by column of the sorted terms, the background last)."""
         self.column = {t: k for k, t in enumerate(sorted(terms))}
-        self.idf = np.array([terms[t] for t in sorted(terms)])
-        blank = [y for _, y, c in examples if not c]
+        self.background = len(self.column)
+        self.idf = np.array([*(terms[t] for t in sorted(terms)), 1.0])
+        self.known: dict[str, int | None] = {}
         rate = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
+        counted = sorted(examples, key=lambda e: (sorted(set(e[2]) - {self.background}), e[0]))  # examples in a block share terms
+        blank = [y for _, y, c in counted if not set(c) - {self.background}]
         self.prior = rate
         self.blank_score = (sum(blank) + rate) / (len(blank) + 1) if examples else 0.0
-        known = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2]), e[0]))  # neighbours in a block share terms
-        self.ids = np.array([e[0] for e in known], np.int64)
-        self.labels = np.array([e[1] for e in known], np.float64)
-        blocks = -(-len(known) // BLOCK)
-        self.most = np.zeros((len(self.column), blocks))
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for at, (_, _, counts) in enumerate(known):
+        self.ids = np.array([e[0] for e in counted], np.int64)
+        self.labels = np.array([e[1] for e in counted], np.float64)
+        blocks = -(-len(counted) // BLOCK)
+        self.most = np.zeros((len(self.idf), blocks))
+        raw: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
+        for at, (_, _, counts) in enumerate(counted):
             for t, w in self.vector(counts):
-                at_in, weights = self.postings.setdefault((t, at // BLOCK), ([], []))
+                at_in, weights = raw.setdefault((t, at // BLOCK), ([], []))
                 at_in.append(at % BLOCK)
                 weights.append(w)
                 self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], w)
-
-    def vector(self, counts: dict[str, int]) -> list[tuple[int, float]]:
-        raw = [(self.column[t], (1 + math.log(n)) * self.idf[self.column[t]]) for t, n in sorted(counts.items())]
+        self.postings = {k: (np.array(i), np.array(w)) for k, (i, w) in raw.items()}
+
+    def term(self, word: str) -> int:
+        """The longest kept term of a word, or the background."""
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = next((self.column[t] for t in terms_of(word) if t in self.column), self.background)
+        return self.known[word]
+
+    def counts(self, words: dict[str, int]) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for word, n in words.items():
+            t = self.term(word)
+            out[t] = out.get(t, 0) + n
+        return out
+
+    def vector(self, counts: dict[int, int]) -> list[tuple[int, float]]:
+        raw = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
         norm = math.sqrt(sum(w * w for _, w in raw))
         return [(t, w / norm) for t, w in raw]
 
@@ -76,7 +102,7 @@ class ExampleIndex:
             for t, w in query:
                 if (t, b) in self.postings:
                     at, weights = self.postings[t, b]
-                    scores[at] += w * np.array(weights)
+                    scores[at] += w * weights
             for i in np.flatnonzero(scores > 0):
                 entry = (round(float(scores[i]), 12), -int(self.ids[b * BLOCK + i]), int(b * BLOCK + i))
                 if len(best) < k:
@@ -85,9 +111,10 @@ class ExampleIndex:
                     heapq.heapreplace(best, entry)
         return [(s, i) for s, _, i in sorted(best, reverse=True)]
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
+    def score(self, words: dict[str, int]) -> tuple[float, list[int]]:
         """Votes weighed by 1 / (distance + 0.1) and one vote for the share of the label; evidence: doc_ids by nearness."""
-        if not counts:
+        counts = self.counts(words)
+        if not set(counts) - {self.background}:
             return self.blank_score, []
         found = self.nearest(self.vector(counts))
         votes = np.array([1 / (1.1 - min(s, 1.0)) for s, _ in found])
@@ -96,7 +123,10 @@ class ExampleIndex:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
-    """Index of at most MOST_EXAMPLES labelled rows outside the held-out fold; equal texts count once.
+    """Index of at most MOST_EXAMPLES labelled rows outside the held-out fold; copies count once.
+
+    Copies, which would make the words of one text look significant, are told by the smallest hash of their three-word
+    runs: exact copies always share it, near copies in most cases.
 
     Rows of labels with a null doc_id or label are left out; of several labels of a document the highest counts.
     """
@@ -104,32 +134,48 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
     per_doc = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     sample = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)  # MOST_EXAMPLES rows of two numbers: safe to broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    texts = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("same")).agg(F.min(F.struct("doc_id", "label", "text")).alias("e")).select("e.*")
 
-    @F.pandas_udf("array<struct<term string, n int>>")
-    def counted(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"term": w, "n": n} for w, n in Counter(terms_of(t)).items()])
+    @F.pandas_udf("struct<same bigint, words array<struct<word string, n int>>, terms array<string>>")
+    def counted(text: pd.Series) -> pd.DataFrame:
+        words = text.map(words_of)
+        same = words.map(lambda w: min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
+        terms = words.map(lambda w: sorted({t for x in set(w) for t in terms_of(x)}))
+        return pd.DataFrame({"same": same, "words": words.map(lambda w: [{"word": t, "n": n} for t, n in Counter(w).items()]), "terms": terms})
 
-    examples, path = materialize(texts.select("doc_id", "label", counted("text").alias("terms")), "examples")
+    found = texts.select("doc_id", "label", counted("text").alias("c")).select("doc_id", "label", "c.same", "c.words", "c.terms")
+    once = found.groupBy("same").agg(F.min(F.struct("doc_id", "label", "words", "terms")).alias("e"))
+    examples, path = materialize(once.select("e.*"), "examples")
     n, n1 = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     n0 = n - n1
     if n1 == 0 or n0 == 0:
         release(docs.sparkSession, path)
         return ExampleIndex({}, [(0, 1 if n1 else 0, {})] * min(n, 1))
-    df = examples.select("label", F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("d1")).where("df >= 3")
+    # Long texts hold more of everything. The label's share among texts of like length is what a term is expected to meet.
+    binned = examples.withColumn("bin", F.floor(F.log2(F.size("words") + 1.0)))
+    shares = F.broadcast(binned.groupBy("bin").agg(((F.sum("label") + n1 / n) / (F.count("*") + 1)).alias("share")))  # a row for each power of two
+    told = binned.join(shares, "bin").select("label", "share", F.explode("terms").alias("term"))
+    df = told.groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("d1"), F.sum("share").alias("e1")).where("df >= 3")
 
     def part(observed: Column, expected: Column) -> Column:
         return F.when(observed > 0, 2 * observed * F.log(observed / expected)).otherwise(0.0)
 
-    d1, d0 = F.col("d1"), F.col("df") - F.col("d1")
-    share1, share0 = n1 / n, n0 / n
-    g = part(d1, F.col("df") * share1) + part(d0, F.col("df") * share0) + part(n1 - d1, (n - F.col("df")) * share1) + part(n0 - d0, (n - F.col("df")) * share0)
-    kept = df.withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(MOST_TERMS).collect()
-    idf = {r["term"]: math.log((n + 1) / (r["df"] + 1)) + 1 for r in kept}
-    own = F.filter("terms", lambda t: t["term"].isin(list(idf))) if idf else F.slice("terms", 1, 0)
-    rows = examples.select("doc_id", "label", own.alias("terms")).collect()  # bounded: MOST_EXAMPLES rows of MOST_TERMS terms at most
+    g = part(F.col("d1"), F.col("e1")) + part(F.col("df") - F.col("d1"), F.col("df") - F.col("e1"))
+    best = df.withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(MOST_TERMS).collect()
+    idf: dict[str, float] = {}
+    for r in best:  # what says no more than a shorter beginning of it is left out
+        if not any(r["term"].startswith(t) for t in idf):
+            idf[r["term"]] = math.log((n + 1) / (r["df"] + 1)) + 1
+    # What the index needs of an example: its words with a kept term, and how many others it has. At most MOST_EXAMPLES
+    # rows of MOST_TERMS counts.
+    index = ExampleIndex(idf, [])
+
+    @F.pandas_udf("array<struct<t int, n int>>")
+    def folded(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: [{"t": t, "n": k} for t, k in index.counts({x["word"]: x["n"] for x in w}).items()])
+
+    rows = examples.select("doc_id", "label", folded("words").alias("c")).collect()
     release(docs.sparkSession, path)
-    return ExampleIndex(idf, [(r["doc_id"], r["label"], {t["term"]: t["n"] for t in r["terms"]}) for r in rows])
+    return ExampleIndex(idf, [(r["doc_id"], r["label"], {x["t"]: x["n"] for x in r["c"]}) for r in rows])
 
 
 def score_column(index: ExampleIndex, text: Column) -> Column:
@@ -138,14 +184,7 @@ def score_column(index: ExampleIndex, text: Column) -> Column:
 
     @F.pandas_udf("struct<score double, evidence array<bigint>>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        seen: dict[tuple, tuple] = {}
-        out = []
-        for t in texts:
-            counts = Counter(w for w in terms_of(t) if w in index.column)
-            key = tuple(sorted(counts.items()))
-            if key not in seen:
-                seen[key] = index.score(counts)
-            out.append(seen[key])
+        out = [index.score(Counter(words_of(t))) for t in texts]
         return pd.DataFrame({"score": [s for s, _ in out], "evidence": [e for _, e in out]})
 
     return scored(text)
