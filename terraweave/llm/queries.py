@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraweave.llm import decontamination, lines, mixing, sharding, simhash, topk, toxicity
+from terraweave.llm import decontamination, lines, mixing, sharding, simhash, substrings, topk, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -21,6 +21,10 @@ def op9_simhash(spark, sf_dir):
     return simhash.fingerprint_groups(_docs(spark, sf_dir))
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substrings.deduplicate(_docs(spark, sf_dir))
+
+
 def op2_line_dedup(spark, sf_dir):
     return lines.deduplicate(_docs(spark, sf_dir)).drop("text")
 
