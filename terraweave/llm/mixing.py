@@ -101,3 +101,10 @@ def mix_sizes(base: DataFrame, cap: int = 3, cell_rows: int = CELL_ROWS) -> Data
     joined = placed.alias("r").join(chosen.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source"))).select("r.*", "o._offset").withColumn("copies", copies(F.col("_offset")))
     carried = [c for c in base.columns if c not in ("doc_id", "size")]
     return joined.select("doc_id", *carried, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def emit(docs: DataFrame, cap: int = 3) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # packed, so that no column's name can clash
+    mixed = mix_sizes(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("_row")), cap)
+    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraweave.llm import decontamination, lines, mixing, sharding, simhash, substrings, topk, toxicity
+from terraweave.llm import decontamination, licenses, lines, mixing, sharding, simhash, substrings, topk, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -17,6 +17,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(_docs(spark, sf_dir))
 
 
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.fingerprint_groups(_docs(spark, sf_dir))
 

@@ -204,5 +204,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic."""
-    s = score_column(fit(docs, labels), F.col("text"))
-    return docs.select("*", s.alias("_s")).where(F.col("_s.score") < THRESHOLD).select(*docs.columns)
+    return docs.where(score_column(fit(docs, labels), F.col("text"))["score"] < THRESHOLD)
