@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraweave.llm import decontamination, licenses, lines, mixing, sharding, simhash, substrings, topk, toxicity
+from terraweave.llm import decontamination, extraction, licenses, lines, mixing, sharding, simhash, substrings, topk, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -37,6 +37,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_extraction(spark, sf_dir):
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_topk(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
