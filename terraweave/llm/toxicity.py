@@ -40,6 +40,12 @@ def terms_of(word: str) -> list[str]:
     return [word + END, *(word[:k] for k in PREFIXES if k < len(word))]
 
 
+def terms_column(word: Column) -> Column:
+    """terms_of() on the JVM's side."""
+    shorter = F.filter(F.array(*[F.lit(k) for k in PREFIXES]), lambda k: k < F.length(word))
+    return F.concat(F.array(F.concat(word, F.lit(END))), F.transform(shorter, lambda k: F.substring(word, F.lit(1), k)))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(4)) == FOLD, F.lit(False))
 
@@ -135,15 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
     sample = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)  # MOST_EXAMPLES rows of two numbers: safe to broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
-    @F.pandas_udf("struct<same bigint, words array<struct<word string, n int>>, terms array<string>>")
+    @F.pandas_udf("struct<same bigint, words array<struct<word string, n int>>>")
     def counted(text: pd.Series) -> pd.DataFrame:
         words = text.map(words_of)
         same = words.map(lambda w: min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
-        terms = words.map(lambda w: sorted({t for x in set(w) for t in terms_of(x)}))
-        return pd.DataFrame({"same": same, "words": words.map(lambda w: [{"word": t, "n": n} for t, n in Counter(w).items()]), "terms": terms})
+        return pd.DataFrame({"same": same, "words": words.map(lambda w: [{"word": t, "n": n} for t, n in sorted(Counter(w).items())])})
 
-    found = texts.select("doc_id", "label", counted("text").alias("c")).select("doc_id", "label", "c.same", "c.words", "c.terms")
-    once = found.groupBy("same").agg(F.min(F.struct("doc_id", "label", "words", "terms")).alias("e"))
+    found = texts.select("doc_id", "label", counted("text").alias("c")).select("doc_id", "label", "c.same", "c.words")
+    once = found.groupBy("same").agg(F.min(F.struct("doc_id", "label", "words")).alias("e"))
     examples, path = materialize(once.select("e.*"), "examples")
     n, n1 = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     n0 = n - n1
@@ -153,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
     # Long texts hold more of everything. The label's share among texts of like length is what a term is expected to meet.
     binned = examples.withColumn("bin", F.floor(F.log2(F.size("words") + 1.0)))
     shares = F.broadcast(binned.groupBy("bin").agg(((F.sum("label") + n1 / n) / (F.count("*") + 1)).alias("share")))  # a row for each power of two
-    told = binned.join(shares, "bin").select("label", "share", F.explode("terms").alias("term"))
+    told = binned.join(shares, "bin").select("label", "share", F.explode(F.array_distinct(F.flatten(F.transform("words.word", terms_column)))).alias("term"))
     df = told.groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("d1"), F.sum("share").alias("e1")).where("df >= 3")
 
     def part(observed: Column, expected: Column) -> Column:
