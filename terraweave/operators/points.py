@@ -39,7 +39,7 @@ def first_in_voxel(pts: DataFrame, size: float, order: Column, group: Sequence[s
 
 
 def first_n_in_voxel(pts: DataFrame, size: float, n: int, within: float) -> DataFrame:
-    """At most n points a voxel, by point_id, of those within a distance of the origin."""
+    """At most n points a voxel, ky point_id, of those within a distance of the origin."""
     near = with_cells(pts.where(G.norm(xyz()) <= within), size)
     return near.withColumn("place", F.row_number().over(Window.partitionBy(*CELL).orderBy("point_id"))).where(F.col("place") <= n)
 
@@ -62,21 +62,21 @@ def halo_blocks(pts: DataFrame, size: float, halo: float) -> DataFrame:
     Closed form on each axis: the own block, and a neighbour only if the point is within the halo of the face to it.
     """
     out = pts
-    for v, c in zip("xyz", ("bx", "by", "bz"), strict=True):
+    for v, c in zip("xyz", ("kx", "ky", "kz"), strict=True):
         own = G.cell(F.col(v), size)
         inner = F.col(v) - own * size
         near = F.array_compact(F.array(own, F.when(inner < halo, own - 1), F.when(size - inner < halo, own + 1)))
         out = out.withColumn(f"_{c}", own).withColumn(c, F.explode(near))
-    core = (F.col("_bx") == F.col("bx")) & (F.col("_by") == F.col("by")) & (F.col("_bz") == F.col("bz"))
-    return out.withColumn("core", core).drop("_bx", "_by", "_bz")
+    core = (F.col("_kx") == F.col("kx")) & (F.col("_ky") == F.col("ky")) & (F.col("_kz") == F.col("kz"))
+    return out.withColumn("core", core).drop("_kx", "_ky", "_kz")
 
 
 def density_blocks(pts: DataFrame, trajectory: DataFrame, size: float = 1.0, least_points: int = 7, near: float = 1.0) -> DataFrame:
     """Blocks with more than least_points points, the distance of their centre to the nearest of the trajectory (a
-    dimension of a few rows: broadcast by the planner if its size allows) and whether repeated observation is required."""
-    blocks = with_cells(pts, size, ("bx", "by", "bz")).groupBy("bx", "by", "bz").agg(F.count("*").alias("n")).where(F.col("n") > least_points)
-    away = G.sub([(F.col(c) + 0.5) * size for c in ("bx", "by", "bz")], [F.col(c) for c in ("ox", "oy", "oz")])
-    found = blocks.crossJoin(trajectory).groupBy("bx", "by", "bz", "n").agg(F.min(G.norm(away)).alias("to_trajectory"))
+    dimension of a few rows: broadcast ky the planner if its size allows) and whether repeated observation is required."""
+    blocks = with_cells(pts, size, ("kx", "ky", "kz")).groupBy("kx", "ky", "kz").agg(F.count("*").alias("n")).where(F.col("n") > least_points)
+    away = G.sub([(F.col(c) + 0.5) * size for c in ("kx", "ky", "kz")], [F.col(c) for c in ("ox", "oy", "oz")])
+    found = blocks.crossJoin(trajectory).groupBy("kx", "ky", "kz", "n").agg(F.min(G.norm(away)).alias("to_trajectory"))
     return found.withColumn("required", F.when(F.col("to_trajectory") <= near, 1).otherwise(0))
 
 
@@ -91,7 +91,7 @@ def level_of(spacing: Column, bounds: Sequence[float] = (0.005, 0.010, 0.020)) -
 def stencil_count(cells: DataFrame, reach: int, keys: Sequence[str], counted: Column, names: Sequence[str] = CELL) -> DataFrame:
     """For rows a of cells, how many rows b within `reach` cells on each axis, and of the same keys, satisfy `counted`.
 
-    Cells are looked up by offset: each row of one side is emitted for every offset, then it is an equi-join.
+    Cells are looked up ky offset: each row of one side is emitted for every offset, then it is an equi-join.
     """
     offsets = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
     probes = cells
@@ -134,7 +134,7 @@ def rays(pts: DataFrame, origins: DataFrame, least: float = 0.01, most2: float =
 
 
 def clipped_rays(found: DataFrame, low: Sequence[float], high: Sequence[float], margin: float = 0.06) -> DataFrame:
-    """Rays that meet the box grown by the margin, where on them the box itself begins, and whether the end is inside."""
+    """Rays that meet the box grown ky the margin, where on them the box itself begins, and whether the end is inside."""
     o, e = [F.col(c) for c in ("ox", "oy", "oz")], xyz()
     hits, _, _ = G.segment_box(o, e, [v - margin for v in low], [v + margin for v in high])
     core, entry, _ = G.segment_box(o, e, low, high)
@@ -142,6 +142,10 @@ def clipped_rays(found: DataFrame, low: Sequence[float], high: Sequence[float],
     return found.where(hits).withColumns({"start_distance": start, "endpoint_inside": G.in_box(e, low, high)})
 
 
+def _lengths(planes: Column, origin: Column, step: Column, size: float) -> Column:
+    return F.transform(planes, lambda k: F.try_divide(k * size - origin, step))
+
+
 def ray_cells(found: DataFrame, size: float, least: float = 0.1, most: float = 30.0, margin: float = 0.06) -> DataFrame:
     """(ray, cell) for each voxel that a ray crosses between `least` and min(distance - margin, most) of its length.
 
@@ -155,7 +159,7 @@ def ray_cells(found: DataFrame, size: float, least: float = 0.1, most: float = 3
     for a, b in zip(o, u, strict=True):
         first, last = G.cell(a + b * t0, size), G.cell(a + b * t1, size)
         planes = F.when(last > first, F.sequence(first + 1, last)).when(last < first, F.sequence(last + 1, first)).otherwise(F.array().cast("array<bigint>"))
-        crossings.append(F.transform(planes, lambda k, a=a, b=b: F.try_divide(k * size - a, b)))
+        crossings.append(_lengths(planes, a, b, size))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(t0, t1), *crossings)))
     cuts = F.filter(cuts, lambda t: t.isNotNull() & t.between(t0, t1))
     exploded = found.where(t1 > t0).withColumns({f"u{c}": v for c, v in zip("xyz", u, strict=True)}).withColumn("_cuts", cuts)

@@ -24,12 +24,12 @@ def cell_index(celled: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def export_ranks(pts: DataFrame) -> DataFrame:
-    """Place of each point in its frame by time: 0, 1, ... without gaps."""
+    """Place of each point in its frame ky time: 0, 1, ... without gaps."""
     return pts.withColumn("export_rank", F.row_number().over(Window.partitionBy("frame").orderBy("t_us", "point_id")).cast("long") - 1)
 
 
 def plane_moments(celled: DataFrame, key: Sequence[str], least_points: int, least_frames: int) -> DataFrame:
-    """Means and covariances (divided by n) of each cell with enough points from enough frames; sums only are shuffled."""
+    """Means and covariances (divided ky n) of each cell with enough points from enough frames; sums only are shuffled."""
     per_frame = celled.groupBy(*key, "frame").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], *[F.sum(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")])
     names = ["sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz"]
     sums = per_frame.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("frames"), *[F.sum(c).alias(c) for c in names])
@@ -107,7 +107,7 @@ def smooth_block(p: np.ndarray, sensor: np.ndarray, radius: float, iterations: i
 def smoothed_surface(pts: DataFrame, block: float, halo: float, radius: float, sensor: Sequence[float], iterations: int = 2, least_cosine: float = 0.8660254037844386) -> DataFrame:
     """point_id, smoothed x, y, z and normals toward the sensor, of points with enough neighbours.
 
-    Points go to their block and, within the halo, to the blocks around; a point is returned by its own block alone.
+    Points go to their block and, within the halo, to the blocks around; a point is returned ky its own block alone.
     """
     at = np.array(sensor, float)
 
@@ -119,7 +119,7 @@ def smoothed_surface(pts: DataFrame, block: float, halo: float, radius: float, s
         return pa.table({"point_id": t.column("point_id").take(pa.array(keep)), **{c: q[keep, k] for k, c in enumerate("xyz")}, **{c: n[keep, k] for k, c in enumerate(("nx", "ny", "nz"))}})
 
     blocks = halo_blocks(pts.select("point_id", "x", "y", "z"), block, halo)
-    return blocks.groupBy("bx", "by", "bz").applyInArrow(run, "point_id long, x double, y double, z double, nx double, ny double, nz double")
+    return blocks.groupBy("kx", "ky", "kz").applyInArrow(run, "point_id long, x double, y double, z double, nx double, ny double, nz double")
 
 
 def match_planes(queries: DataFrame, planes: DataFrame, reach: float, residual: float) -> DataFrame:

@@ -67,7 +67,7 @@ def f09(spark, sf):
     return found.select("point_id", rounded(F.col("start_distance")).alias("start_distance"), "endpoint_inside")
 
 
-@_f.query("m08_m11_voxel_cells", W + " SELECT point_id, floor(x / 0.3)::BIGINT AS cx, floor(y / 0.3)::BIGINT AS cy, floor((z - 2.0) / 0.3)::BIGINT AS cz, ((floor(x / 0.3)::BIGINT + 1048576) << 42 | (floor(y / 0.3)::BIGINT + 1048576) << 21 | (floor((z - 2.0) / 0.3)::BIGINT + 1048576)) + 1 AS key, trunc(CASE WHEN (z - 2.0) / 0.5 < 0 THEN (z - 2.0) / 0.5 - 1 ELSE (z - 2.0) / 0.5 END)::BIGINT AS down, trunc((x - 2.0) / 0.05)::BIGINT + 11 AS smooth FROM pts")
+@_f.query("m08_m11_voxel_cells", W + " SELECT point_id, floor(x / 0.3)::BIGINT AS cx, floor(y / 0.3)::BIGINT AS cy, floor((z - 2.0) / 0.3)::BIGINT AS cz, ((floor(x / 0.3)::BIGINT + 1048576) * 4398046511104 + (floor(y / 0.3)::BIGINT + 1048576) * 2097152 + (floor((z - 2.0) / 0.3)::BIGINT + 1048576)) + 1 AS key, trunc(CASE WHEN (z - 2.0) / 0.5 < 0 THEN (z - 2.0) / 0.5 - 1 ELSE (z - 2.0) / 0.5 END)::BIGINT AS down, trunc((x - 2.0) / 0.05)::BIGINT + 11 AS smooth FROM pts")
 def m08(spark, sf):
     p = V.points(spark, sf).select("point_id", "x", "y", (F.col("z") - 2.0).alias("z"))
     keyed = P.with_cells(p, 0.3).withColumn("key", G.packed_key(*[F.col(c) for c in P.CELL]))
@@ -105,7 +105,7 @@ def a10(spark, sf):
     return p.groupBy("context", "level", "cx", "cy").agg(F.min("point_id").alias("point_id"))
 
 
-@_f.query("a11_a13_j16_density_blocks", W + f", {ORIGIN_SQL}, b AS (SELECT floor(x)::BIGINT AS bx, floor(y)::BIGINT AS by, floor(z)::BIGINT AS bz, count(*) AS n FROM pts GROUP BY 1, 2, 3 HAVING count(*) > 7), t AS (SELECT bx, by, bz, n, min(sqrt((bx + 0.5 - ox) ** 2 + (by + 0.5 - oy) ** 2 + (bz + 0.5 - oz) ** 2)) AS d FROM b, origins GROUP BY ALL) SELECT bx, by, bz, n, round(d, 5) + 0.0 AS to_trajectory, CASE WHEN d <= 3 THEN 1 ELSE 0 END AS required FROM t")
+@_f.query("a11_a13_j16_density_blocks", W + f", {ORIGIN_SQL}, b AS (SELECT floor(x)::BIGINT AS kx, floor(y)::BIGINT AS ky, floor(z)::BIGINT AS kz, count(*) AS n FROM pts GROUP BY 1, 2, 3 HAVING count(*) > 7), t AS (SELECT kx, ky, kz, n, min(sqrt((kx + 0.5 - ox) ** 2 + (ky + 0.5 - oy) ** 2 + (kz + 0.5 - oz) ** 2)) AS d FROM b, origins GROUP BY ALL) SELECT kx, ky, kz, n, round(d, 5) + 0.0 AS to_trajectory, CASE WHEN d <= 3 THEN 1 ELSE 0 END AS required FROM t")
 def a11(spark, sf):
     return P.density_blocks(V.points(spark, sf), origins(spark).drop("frame"), near=3.0).withColumn("to_trajectory", rounded(F.col("to_trajectory")))
 
@@ -123,14 +123,14 @@ def a14(spark, sf):
     return P.stencil_count(cells, 1, ["context"], apart).drop("t")
 
 
-@_f.query("j13_halo_blocks", W + ", o AS (SELECT unnest([-1, 0, 1]) AS o), e AS (SELECT point_id, x, y, z, floor(x)::BIGINT AS ox, floor(y)::BIGINT AS oy, floor(z)::BIGINT AS oz, floor(x)::BIGINT + a.o AS bx, floor(y)::BIGINT + b.o AS by, floor(z)::BIGINT + c.o AS bz FROM pts, o a, o b, o c) SELECT bx, by, bz, count(*) AS n, count(*) FILTER (WHERE bx = ox AND by = oy AND bz = oz) AS core FROM e WHERE (bx = ox OR CASE WHEN bx < ox THEN x - ox < 0.05 ELSE 1 - (x - ox) < 0.05 END) AND (by = oy OR CASE WHEN by < oy THEN y - oy < 0.05 ELSE 1 - (y - oy) < 0.05 END) AND (bz = oz OR CASE WHEN bz < oz THEN z - oz < 0.05 ELSE 1 - (z - oz) < 0.05 END) GROUP BY bx, by, bz")
+@_f.query("j13_halo_blocks", W + ", o AS (SELECT unnest([-1, 0, 1]) AS o), e AS (SELECT point_id, x, y, z, floor(x)::BIGINT AS ox, floor(y)::BIGINT AS oy, floor(z)::BIGINT AS oz, floor(x)::BIGINT + a.o AS kx, floor(y)::BIGINT + b.o AS ky, floor(z)::BIGINT + c.o AS kz FROM pts, o a, o b, o c) SELECT kx, ky, kz, count(*) AS n, count(*) FILTER (WHERE kx = ox AND ky = oy AND kz = oz) AS core FROM e WHERE (kx = ox OR CASE WHEN kx < ox THEN x - ox < 0.05 ELSE 1 - (x - ox) < 0.05 END) AND (ky = oy OR CASE WHEN ky < oy THEN y - oy < 0.05 ELSE 1 - (y - oy) < 0.05 END) AND (kz = oz OR CASE WHEN kz < oz THEN z - oz < 0.05 ELSE 1 - (z - oz) < 0.05 END) GROUP BY kx, ky, kz")
 def j13(spark, sf):
-    return P.halo_blocks(V.points(spark, sf), 1.0, 0.05).groupBy("bx", "by", "bz").agg(F.count("*").alias("n"), F.count_if("core").alias("core"))
+    return P.halo_blocks(V.points(spark, sf), 1.0, 0.05).groupBy("kx", "ky", "kz").agg(F.count("*").alias("n"), F.count_if("core").alias("core"))
 
 
-@_f.query("j14_a18_a19_subfiles", W + ", s AS (SELECT floor(x / 2.5)::BIGINT AS bx, floor(y / 2.5)::BIGINT AS by, floor(z / 2.5)::BIGINT AS bz, * FROM pts) SELECT bx, by, bz, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) + 0.0 AS z0, max(z) AS z1 FROM s GROUP BY bx, by, bz HAVING count(*) >= 64")
+@_f.query("j14_a18_a19_subfiles", W + ", s AS (SELECT floor(x / 2.5)::BIGINT AS kx, floor(y / 2.5)::BIGINT AS ky, floor(z / 2.5)::BIGINT AS kz, * FROM pts) SELECT kx, ky, kz, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) + 0.0 AS z0, max(z) AS z1 FROM s GROUP BY kx, ky, kz HAVING count(*) >= 64")
 def j14(spark, sf):
-    sub = P.halo_blocks(V.points(spark, sf), 2.5, 0.05).where("core").groupBy("bx", "by", "bz").agg(F.count("*").alias("n"), *[f(F.col(c)).alias(f"{c}{k}") for c in "xyz" for k, f in enumerate((F.min, F.max))])
+    sub = P.halo_blocks(V.points(spark, sf), 2.5, 0.05).where("core").groupBy("kx", "ky", "kz").agg(F.count("*").alias("n"), *[f(F.col(c)).alias(f"{c}{k}") for c in "xyz" for k, f in enumerate((F.min, F.max))])
     return sub.where("n >= 64").withColumn("z0", F.col("z0") + 0.0)
 
 

@@ -1,6 +1,133 @@
-"""Queries."""
+"""Queries on jobs, text and files, and checks of whole tables."""
 
-from terraweave.plans.registry import Family
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terraweave.functions.geometry import d
+from terraweave.operators import jobs as J
+from terraweave.plans import views as V
+from terraweave.plans.registry import Family, rounded
+from terraweave.session import table
 
 _f = Family()
 QUERIES, ORACLE = _f.queries, _f.oracle
+
+
+def _stages(spark):
+    rows = [(n, lane, b) for n, lane, before in J.STAGES for b in (before or (None,))]
+    return spark.createDataFrame(rows, "name string, lane string, before string")
+
+
+@_f.query("j30_o02_ready_stages")
+def j30(spark, sf):
+    """Rows only: the fixed graph of stages, with two of them done."""
+    s = _stages(spark)
+    done = spark.createDataFrame([("decode",), ("photos",)], "name string")
+    return J.ready_table(s.select("name").distinct(), s.where("before IS NOT NULL").select("name", "before"), done)
+
+
+@_f.query("j30_j31_ready_orders", "WITH needs AS (SELECT o_orderkey AS name, o_orderkey - 1 AS before FROM orders WHERE o_orderkey % 3 <> 0), done AS (SELECT o_orderkey AS name FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey AS name FROM orders WHERE o_orderkey NOT IN (SELECT name FROM done) AND NOT EXISTS (SELECT 1 FROM needs WHERE needs.name = o_orderkey AND before NOT IN (SELECT name FROM done))")
+def j30b(spark, sf):
+    o = table(spark, sf, "orders")
+    needs = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("name"), (F.col("o_orderkey") - 1).alias("before"))
+    return J.ready_table(o.select(F.col("o_orderkey").alias("name")), needs, o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("name")))
+
+
+@_f.query("j29_runs_and_receipts", "SELECT o_orderkey, count(l_linenumber) AS receipts, round(coalesce(sum(l_quantity), 0), 2) + 0.0 AS wall FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') l ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def j29(spark, sf):
+    receipts = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("l_linenumber").alias("receipts"), F.sum("l_quantity").alias("wall"))
+    return table(spark, sf, "orders").select("o_orderkey").join(receipts, "o_orderkey", "left").select("o_orderkey", F.coalesce("receipts", F.lit(0)).cast("long").alias("receipts"), rounded(F.coalesce("wall", d(0)), 2).alias("wall"))
+
+
+@_f.query("j05_j33_s33_lookup_and_leftovers", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def j31(spark, sf):
+    used = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return J.left_over(table(spark, sf, "customer").select("c_custkey"), used, ["c_custkey"])
+
+
+@_f.query("u06_j32_changed_keys", "WITH a AS (SELECT p_partkey AS key, p_brand AS value FROM part WHERE p_size < 40), b AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE p_brand END AS value FROM part WHERE p_size > 10) SELECT key, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value")
+def u06(spark, sf):
+    p = table(spark, sf, "part")
+    before = p.where("p_size < 40").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("value"))
+    after = p.where("p_size > 10").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_brand")).alias("value"))
+    return J.changed_keys(before, after)
+
+
+_RUNS = "rows AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, l_partkey % 3 <> 0 AS hidden, CASE l_suppkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' WHEN 2 THEN 'waiting' ELSE 'done' END AS status, l_quantity AS wall FROM lineitem)"
+
+
+@_f.query("a44_folded_stages", f"WITH {_RUNS}, h AS (SELECT *, coalesce(max(CASE WHEN NOT hidden THEN place END) OVER (PARTITION BY run ORDER BY place), 0) AS host FROM rows) SELECT run, host, arg_min(status, CASE status WHEN 'failed' THEN 0 WHEN 'running' THEN 1 WHEN 'waiting' THEN 2 ELSE 3 END) AS status, sum(wall) AS wall, count(*) AS rows FROM h GROUP BY run, host")
+def a44(spark, sf):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    k = F.col("l_suppkey") % 4
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), F.row_number().over(order).cast("long").alias("place"), (F.col("l_partkey") % 3 != 0).alias("hidden"), F.when(k == 0, "failed").when(k == 1, "running").when(k == 2, "waiting").otherwise("done").alias("status"), F.col("l_quantity").alias("wall"))
+    return J.folded_stages(rows)
+
+
+@_f.query("a41_w10_predicted_time", "WITH " + V.SAMPLES + ", r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t_us DESC) AS k FROM imu) SELECT event_type, round(quantile_cont(rate / 10, 0.5), 5) + 0.0 AS ratio, count(*) AS runs FROM r WHERE k <= 12 GROUP BY event_type")
+def a41(spark, sf):
+    return J.predicted(V.samples(spark, sf), "event_type", "t_us", F.col("rate") / 10).withColumn("ratio", rounded(F.col("ratio")))
+
+
+@_f.query("s05_a38_a45_inventory", "SELECT event_type AS topic, count(*) AS messages, max(value) AS peak, round(sum(value), 2) + 0.0 AS size FROM events GROUP BY event_type")
+def s05(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("topic")).agg(F.count("*").alias("messages"), F.max("value").alias("peak"), rounded(F.sum("value"), 2).alias("size"))
+
+
+@_f.query("s01_p01_topic_pushdown", "SELECT count(*) AS n, min(event_id) AS first FROM events WHERE event_type IN ('view', 'purchase')")
+def s01(spark, sf):
+    return table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@_f.query("m36_identity", "SELECT s_suppkey, sha256(s_name) AS sha256, md5(s_name || '|' || s_nationkey) AS identity FROM supplier")
+def m36(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", F.sha2("s_name", 256).alias("sha256"), F.md5(F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string"))).alias("identity"))
+
+
+@_f.query("m36_fnv1a")
+def m36b(spark, sf):
+    """Rows only; tests hold it against a plain loop."""
+    return table(spark, sf, "supplier").select("s_suppkey", F.lpad(F.lower(F.hex(J.fnv1a(F.col("s_name")))), 8, "0").alias("fnv"))
+
+
+@_f.query("m37_text", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+def m37(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", J.slug(F.concat("p_name", F.lit(" / "), "p_type")).alias("slug"))
+
+
+@_f.query("m38_t06_log_progress", "SELECT event_id, CAST(regexp_extract(line, '(\\d+) */ *(\\d+) *([a-z]*)', 1) AS BIGINT) AS done, CAST(regexp_extract(line, '(\\d+) */ *(\\d+) *([a-z]*)', 2) AS BIGINT) AS total FROM (SELECT event_id, event_type || ': ' || (event_id % 50) || '/50 blocks' AS line FROM events)")
+def m38(spark, sf):
+    line = F.concat("event_type", F.lit(": "), (F.col("event_id") % 50).cast("string"), F.lit("/50 blocks"))
+    p = J.progress_of(line)
+    return table(spark, sf, "events").select("event_id", p["done"].alias("done"), p["total"].alias("total"))
+
+
+@_f.query("m41_s28_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract(props, '$.missing') AS BIGINT), 7) AS missing FROM events")
+def m41(spark, sf):
+    parsed = F.from_json("props", "k bigint, missing bigint")
+    return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(parsed["missing"], F.lit(7).cast("long")).alias("missing"))
+
+
+@_f.query("m39_durations")
+def m39(spark, sf):
+    """Rows only; tests check the wording."""
+    return table(spark, sf, "events").select("event_id", J.duration_text(F.col("value") * 50).alias("took"))
+
+
+@_f.query("m40_cost_model", "SELECT p_partkey, round(1 / (0.31 + 0.69 * (p_size / 50.0::DOUBLE)), 5) + 0.0 AS speedup, p_size * 128 AS candidate_bytes FROM part")
+def m40(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", rounded(J.matching_speedup(F.col("p_size") / 50.0)).alias("speedup"), (F.col("p_size") * 128).alias("candidate_bytes"))
+
+
+@_f.query("k03_k05_k07_first_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def k05(spark, sf):
+    return table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
+
+
+@_f.query("k01_k06_seeded_order", "SELECT o_orderkey, md5('20909' || o_orderkey) AS place FROM orders")
+def k06(spark, sf):
+    """A shuffle that is the same in every run and engine: the order by a seeded hash."""
+    return table(spark, sf, "orders").select("o_orderkey", F.md5(F.concat(F.lit("20909"), F.col("o_orderkey").cast("string"))).alias("place"))

@@ -28,10 +28,10 @@ proj AS (SELECT *, floor(u / 4)::INT AS qx, floor(v / 4)::INT AS qy FROM p3 WHER
 BUFFER = PROJ + """, b0 AS (SELECT photo, qx, qy, min({s: round_even(dist * 1e6, 0)::BIGINT, p: point_id}) AS b FROM proj GROUP BY photo, qx, qy),
 buffer AS (SELECT photo, qx, qy, b, b.s AS step, b.p AS point_id FROM b0)"""
 MINIMUM = BUFFER + """, minimum AS (SELECT a.photo, a.qx, a.qy, any_value(a.step) AS exact, (min(b.b)).p AS blocker FROM buffer a JOIN buffer b ON a.photo = b.photo AND abs(a.qx - b.qx) <= 3 AND abs(a.qy - b.qy) <= 3 GROUP BY a.photo, a.qx, a.qy)"""
-VISIBLE = MINIMUM + """, j AS (SELECT proj.*, exact, blocker, ax / dist AS rx, ay / dist AS ry, az / dist AS rz, b.x AS bx, b.y AS by, b.z AS bz, b.nx AS bnx, b.ny AS bny, b.nz AS bnz FROM proj JOIN minimum USING (photo, qx, qy) JOIN pts b ON b.point_id = blocker),
+VISIBLE = MINIMUM + """, j AS (SELECT proj.*, exact, blocker, ax / dist AS rx, ay / dist AS ry, az / dist AS rz, b.x AS wx, b.y AS wy, b.z AS wz, b.nx AS bnx, b.ny AS bny, b.nz AS bnz FROM proj JOIN minimum USING (photo, qx, qy) JOIN pts b ON b.point_id = blocker),
 j1 AS (SELECT *, bnx * rx + bny * ry + bnz * rz AS den, -(nx * rx + ny * ry + nz * rz) AS incidence FROM j),
-j2 AS (SELECT *, (bnx * (bx - px) + bny * (by - py) + bnz * (bz - pz)) / CASE WHEN abs(den) > 0.05 THEN den ELSE 1.0 END AS plane FROM j1),
-j3 AS (SELECT *, abs(den) > 0.15 AND plane > 0.1 AND sqrt((px + rx * plane - bx) ** 2 + (py + ry * plane - by) ** 2 + (pz + rz * plane - bz) ** 2) < 0.04 AS reliable FROM j2),
+j2 AS (SELECT *, (bnx * (wx - px) + bny * (wy - py) + bnz * (wz - pz)) / CASE WHEN abs(den) > 0.05 THEN den ELSE 1.0 END AS plane FROM j1),
+j3 AS (SELECT *, abs(den) > 0.15 AND plane > 0.1 AND sqrt((px + rx * plane - wx) ** 2 + (py + ry * plane - wy) ** 2 + (pz + rz * plane - wz) ** 2) < 0.04 AS reliable FROM j2),
 j4 AS (SELECT *, reliable AND dist > plane + 0.02 AS rejected FROM j3),
 vis AS (SELECT *, dist <= exact / 1e6 + 0.025 + 0.005 * dist AND NOT rejected AND incidence > 0.05 AS visible FROM j4)"""
 SCORED = VISIBLE + """, masked AS (SELECT * FROM vis WHERE visible AND NOT EXISTS (SELECT 1 FROM (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy) WHERE trunc(u)::INT + dx BETWEEN 45 AND 60 AND trunc(v)::INT + dy BETWEEN 35 AND 50 AND photo % 2 = 0)),
@@ -82,10 +82,10 @@ def f24(spark, sf):
     return kept.groupBy("photo").agg(F.count("*").alias("n"), F.min("point_id").alias("first"))
 
 
-@_f.query("a20_m15_depth_buffer", BUFFER + " SELECT photo, qx, qy, step, point_id, CASE WHEN point_id < 1000 THEN step * 1000 + point_id END AS key FROM buffer")
+@_f.query("a20_m15_depth_buffer", BUFFER + " SELECT photo, qx, qy, step, point_id, step * 1000 + point_id % 1000 AS key FROM buffer")
 def a20(spark, sf):
     b = O.depth_buffer(_projected(spark, sf))
-    return b.withColumn("key", F.when(F.col("point_id") < 1000, F.try_add(F.try_multiply(F.col("step"), F.lit(1000).cast("long")), F.col("point_id"))))
+    return b.withColumn("key", F.try_add(F.try_multiply(F.col("step"), F.lit(1000).cast("long")), F.col("point_id") % 1000))
 
 
 @_f.query("a21_w06_depth_minimum", MINIMUM + " SELECT * FROM minimum")
@@ -135,7 +135,7 @@ def a24(spark, sf):
 
 
 _Q = {c: {k: PIXEL.format(x=f"(xi + {k[0]})", y=f"(yi + {k[1]})", c=o) for k in ((0, 0), (1, 0), (0, 1), (1, 1))} for c, o in (("r", 0), ("g", 40), ("b", 80))}
-COLOURED = TOP + """, at AS (SELECT *, floor(u)::INT AS xi, floor(v)::INT AS yi, u - floor(u) AS fx, v - floor(v) AS fy FROM views), col AS (SELECT point_id, slot, photo, score, u, v, """ + ", ".join(f"({q[0, 0]}) * (1 - fx) * (1 - fy) + ({q[1, 0]}) * fx * (1 - fy) + ({q[0, 1]}) * (1 - fx) * fy + ({q[1, 1]}) * fx * fy AS {c}_" for c, q in _Q.items()) + ", greatest(" + ", ".join(f"abs({q[k]} - {q[0, 0]})" for q in _Q.values() for k in ((1, 0), (0, 1))) + ")::DOUBLE AS gradient FROM at)"
+COLOURED = TOP + """, located AS (SELECT *, floor(u)::INT AS xi, floor(v)::INT AS yi, u - floor(u) AS fx, v - floor(v) AS fy FROM views), col AS (SELECT point_id, slot, photo, score, u, v, """ + ", ".join(f"({q[0, 0]}) * (1 - fx) * (1 - fy) + ({q[1, 0]}) * fx * (1 - fy) + ({q[0, 1]}) * (1 - fx) * fy + ({q[1, 1]}) * fx * fy AS {c}_" for c, q in _Q.items()) + ", greatest(" + ", ".join(f"abs({q[k]} - {q[0, 0]})" for q in _Q.values() for k in ((1, 0), (0, 1))) + ")::DOUBLE AS gradient FROM located)"
 
 
 def _coloured(spark, sf):
