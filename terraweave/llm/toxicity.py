@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
     n0 = n - n1
     if n1 == 0 or n0 == 0:
         release(docs.sparkSession, path)
-        return ExampleIndex({}, [(0, 1 if n1 else 0, {})] * min(n, 1))
+        index = ExampleIndex({}, [])
+        index.blank_score = n1 / n if n else 0.0
+        return index
     # Long texts hold more of everything. The label's share among texts of like length is what a term is expected to meet.
     binned = examples.withColumn("bin", F.floor(F.log2(F.size("words") + 1.0)))
     shares = F.broadcast(binned.groupBy("bin").agg(((F.sum("label") + n1 / n) / (F.count("*") + 1)).alias("share")))  # a row for each power of two
