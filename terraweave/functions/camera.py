@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraweave.functions.geometry import Vec, d, dot, rotate, sub
+from terraweave.functions.geometry import Vec, d, dot, rotate, sub, xyz
 
 
 @dataclass(frozen=True)
@@ -26,23 +26,24 @@ class Camera:
     k: Sequence[float] = field(default=(-0.00234, 0.02452, -0.02327, 0.03899, -0.02704, 0.00771))
 
 
-def project(p: Vec, centre: Vec, camera: Camera, world_to_camera: Sequence[Sequence[Column]] | None = None) -> dict[str, Column]:
-    """u, v, theta and distance of world points; without a rotation the camera looks along z."""
-    at = sub(p, centre)
-    x, y, z = rotate(world_to_camera, at) if world_to_camera else at
-    rho = F.sqrt(x * x + y * y)
-    theta = F.atan2(rho, z)
-    bent, power = theta, theta
-    for c in camera.k:
-        power = power * theta
-        bent = bent + c * power
-    s = F.when(rho <= 1e-10, d(1)).otherwise(F.try_divide(bent, rho))
-    return {
-        "u": camera.a11 * x * s + camera.a12 * y * s + camera.u0,
-        "v": camera.a22 * y * s + camera.v0,
-        "theta": theta,
-        "dist": F.sqrt(x * x + y * y + z * z),
-    }
+def with_projection(pairs: DataFrame, camera: Camera, world_to_camera: Sequence[Sequence[Column]] | None = None) -> DataFrame:
+    """Adds u, v, theta and dist of points x, y, z as seen from px, py, pz; without a rotation the camera looks along z.
+
+    Step by step, so that what a later step uses several times is computed once. The last step goes through an array of
+    one element: filters on the results are evaluated on values then, and not, written out in full, below the join.
+    """
+    at = sub(xyz(), [F.col(c) for c in ("px", "py", "pz")])
+    out = pairs.withColumns(dict(zip(("_x", "_y", "_z"), rotate(world_to_camera, at) if world_to_camera else at, strict=True)))
+    x, y, z, rho, theta = (F.col(c) for c in ("_x", "_y", "_z", "_rho", "theta"))
+    out = out.withColumns({"_rho": F.sqrt(x * x + y * y), "dist": F.sqrt(x * x + y * y + z * z)}).withColumn("theta", F.atan2(rho, z))
+    bent = d(0)
+    for c in reversed(camera.k):
+        bent = (bent + c) * theta
+    out = out.withColumn("_s", F.when(rho <= 1e-10, d(1)).otherwise(F.try_divide((bent + 1.0) * theta, rho)))
+    s = F.col("_s")
+    done = F.struct((camera.a11 * x * s + camera.a12 * y * s + camera.u0).alias("u"), (camera.a22 * y * s + camera.v0).alias("v"), theta, F.col("dist"))
+    kept = [F.col(c) for c in pairs.columns]
+    return out.select(*kept, F.explode(F.array(done)).alias("_p")).select(*kept, "_p.u", "_p.v", "_p.theta", "_p.dist")
 
 
 def valid_projection(u: Column, v: Column, theta: Column, dist: Column, camera: Camera) -> Column:

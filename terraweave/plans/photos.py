@@ -16,13 +16,14 @@ from terraweave.plans.registry import Family, rounded
 _f = Family()
 QUERIES, ORACLE = _f.queries, _f.oracle
 CAMERA = C.Camera()
-_K = [f"({c})" for c in CAMERA.k]
-_BENT = "theta + " + " + ".join(f"{c} * {' * '.join(['theta'] * (n + 2))}" for n, c in enumerate(_K))
+_BENT = "0.0::DOUBLE"
+for _k in reversed(CAMERA.k):
+    _BENT = f"({_BENT} + ({_k})) * theta"
 
 PROJ = f"""WITH {V.POINTS}, {V.PHOTO_SQL},
 p0 AS (SELECT *, x - px AS ax, y - py AS ay, z - pz AS az FROM pts, photos),
 p1 AS (SELECT *, sqrt(ax * ax + ay * ay) AS rho, sqrt(ax * ax + ay * ay + az * az) AS dist, atan2(sqrt(ax * ax + ay * ay), az) AS theta FROM p0),
-p2 AS (SELECT *, CASE WHEN rho <= 1e-10 THEN 1.0 ELSE ({_BENT}) / rho END AS s FROM p1),
+p2 AS (SELECT *, CASE WHEN rho <= 1e-10 THEN 1.0 ELSE ({_BENT} + 1.0) * theta / rho END AS s FROM p1),
 p3 AS (SELECT *, 58.0::DOUBLE * ax * s + -3.0::DOUBLE * ay * s + 79.0::DOUBLE AS u, 55.0::DOUBLE * ay * s + 61.0::DOUBLE AS v FROM p2),
 proj AS (SELECT *, floor(u / 4)::INT AS qx, floor(v / 4)::INT AS qy FROM p3 WHERE dist > 0.1 AND u >= 0 AND u < 159 AND v >= 0 AND v < 119 AND theta < 1.4)"""
 BUFFER = PROJ + """, b0 AS (SELECT photo, qx, qy, min({s: round_even(dist * 1e6, 0)::BIGINT, p: point_id}) AS b FROM proj GROUP BY photo, qx, qy),
@@ -77,7 +78,7 @@ def f24(spark, sf):
 
     celled = with_cells(V.points(spark, sf), 0.5)
     seen = O.visible_cells(celled.select(*CELL).distinct(), V.photos(spark, sf), 0.5, CAMERA)
-    pairs = celled.join(seen, CELL).withColumns(C.project(xyz(), [F.col(c) for c in ("px", "py", "pz")], CAMERA))
+    pairs = C.with_projection(celled.join(seen, CELL), CAMERA)
     kept = pairs.where(C.valid_projection(*[F.col(c) for c in ("u", "v", "theta", "dist")], CAMERA))
     return kept.groupBy("photo").agg(F.count("*").alias("n"), F.min("point_id").alias("first"))
 

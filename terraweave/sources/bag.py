@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -156,3 +156,8 @@ def photos(messages: DataFrame) -> DataFrame:
     """Compressed images: name by sequence and time, digest and content."""
     head = F.expr("struct(conv(hex(reverse(substring(data, 1, 4))), 16, 10) AS seq)")
     return messages.select("topic", "bag_ns", F.concat_ws("-", head["seq"], F.col("bag_ns").cast("string")).alias("name"), F.sha2("data", 256).alias("sha256"), F.col("data").alias("content"))
+
+
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters on the topic
+    spark.dataSource.register(Bag)
