@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraweave.functions.geometry import d
-from terraweave.session import table
+from terraweave.session import spread, table
 
 #: Photos, regions and frames are dimensions: their number is bounded by these predicates, not by the data.
 PHOTOS = 8
@@ -24,7 +24,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents.cast("string"))
     n = [((F.col("l_partkey") % 7) - 3).cast("double"), ((F.col("l_suppkey") % 5) - 2).cast("double"), -(1.0 + F.col("l_orderkey") % 3)]
     size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
-    return table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    return spread(items).select(
         F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("point_id"),
         (F.col("l_quantity") / 10.0).alias("x"),
         (F.col("l_extendedprice") / 20000.0).alias("y"),
