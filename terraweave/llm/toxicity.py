@@ -13,9 +13,10 @@ import heapq
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,13 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
     sample = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)  # MOST_EXAMPLES rows of two numbers: safe to broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
-    @F.pandas_udf("struct<same bigint, words array<struct<word string, n int>>>")
-    def counted(text: pd.Series) -> pd.DataFrame:
-        words = text.map(words_of)
-        same = words.map(lambda w: min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
-        return pd.DataFrame({"same": same, "words": words.map(lambda w: [{"word": t, "n": n} for t, n in sorted(Counter(w).items())])})
-
-    found = texts.select("doc_id", "label", counted("text").alias("c")).select("doc_id", "label", "c.same", "c.words")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            same, upto, words, counts = [], [0], [], []
+            for text in part.column(2):
+                w = words_of(text.as_py())
+                same.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
+                found = sorted(Counter(w).items())
+                words += [t for t, _ in found]
+                counts += [n for _, n in found]
+                upto.append(len(words))
+            flat = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int32())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.int64()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat)], names=["doc_id", "label", "same", "words"])
+
+    found = texts.select("doc_id", "label", F.col("text").cast("string").alias("text")).mapInArrow(counted, "doc_id long, label int, same long, words array<struct<word string, n int>>")
     once = found.groupBy("same").agg(F.min(F.struct("doc_id", "label", "words")).alias("e"))
     examples, path = materialize(once.select("e.*"), "examples")
     n, n1 = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -176,39 +184,48 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
     # rows of MOST_TERMS counts.
     index = ExampleIndex(idf, [])
 
-    @F.pandas_udf("array<struct<t int, n int>>")
-    def folded(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: [{"t": t, "n": k} for t, k in index.counts({x["word"]: x["n"] for x in w}).items()])
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            counts = [index.counts({x["word"]: x["n"] for x in w.as_py()}) for w in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([list(c.items()) for c in counts], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "label", "counts"])
 
-    rows = examples.select("doc_id", "label", folded("words").alias("c")).collect()
+    rows = examples.select("doc_id", "label", "words").mapInArrow(folded, "doc_id long, label int, counts map<int, int>").collect()
     release(docs.sparkSession, path)
-    return ExampleIndex(idf, [(r["doc_id"], r["label"], {x["t"]: x["n"] for x in r["c"]}) for r in rows])
-
+    return ExampleIndex(idf, [(r["doc_id"], r["label"], dict(r["counts"])) for r in rows])
 
-def score_column(index: ExampleIndex, text: Column) -> Column:
-    """struct(score, evidence) of a text column. Null, empty and blank texts have no terms and get the share of label 1
-    among examples without kept terms."""
 
-    @F.pandas_udf("struct<score double, evidence array<bigint>>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        out = [index.score(Counter(words_of(t))) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in out], "evidence": [e for _, e in out]})
-
-    return scored(text)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that only few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of each row of docs(doc_id, text).
 
-    Only labels of rows outside the held-out fold are learned. Repeated rows get equal scores, as only the text counts.
-    Empty docs give an empty result; without labels of both kinds every score is the share of label 1. Other columns are
+    Only labels of rows outside the held-out fold are learned. Null, empty and blank texts have no terms and get the
+    share of label 1 among examples without kept terms. Repeated rows get equal scores, as only the text counts. Empty
+    docs give an empty result; without labels of both kinds every score is the share of label 1. Other columns are
     ignored.
     """
     index = fit(docs, labels)
-    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(index, F.col("text")).alias("s"))
-    return found.select("doc_id", "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("s.evidence").alias("evidence"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [index.score(Counter(words_of(t.as_py()))) for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(scored, "doc_id long, held_out boolean, score double, evidence array<bigint>")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic."""
-    return docs.where(score_column(fit(docs, labels), F.col("text"))["score"] < THRESHOLD)
+    index, at = fit(docs, labels), docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.filter(pa.array([index.score(Counter(words_of(t.as_py())))[0] < THRESHOLD for t in part.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
