@@ -36,9 +36,13 @@ def corrected(views: DataFrame, offsets: DataFrame) -> DataFrame:
     return views.join(F.broadcast(renamed), "photo", "left").withColumns({c: C.clipped(F.col(c) - F.coalesce(F.col(f"o{c}"), F.lit(0.0)), 0, 255) for c in E.CHANNELS}).drop(*[f"o{c}" for c in E.CHANNELS])  # a row a photo
 
 
+def blended(views: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Consensus colours in 16 bits of points that a photo sees."""
+    mixed = E.consensus(corrected(views, offsets))
+    return mixed.select("point_id", *[C.colour16(F.col(c)).alias(n) for c, n in zip(E.CHANNELS, ("red", "green", "blue"), strict=True)], "blended")
+
+
 def colorize(pts: DataFrame, photos: DataFrame, pixels: DataFrame, excluded: DataFrame | None, camera: C.Camera, count: int) -> DataFrame:
-    """Points with consensus colours in 16 bits; points that no photo sees have none."""
+    """Points with their colours; points that no photo sees have none."""
     views = candidates(pts, photos, pixels, excluded, camera).persist()
-    mixed = E.consensus(corrected(views, exposure(views, count)))
-    colours = mixed.select("point_id", *[C.colour16(F.col(c)).alias(n) for c, n in zip(E.CHANNELS, ("red", "green", "blue"), strict=True)], "blended")
-    return pts.join(colours, "point_id", "left")
+    return pts.join(blended(views, exposure(views, count)), "point_id", "left")
