@@ -34,7 +34,7 @@ def apply_steps(pts: DataFrame, steps: DataFrame) -> DataFrame:
 
 def matches(pts: DataFrame, planes: DataFrame, reach: float, cutoff: float) -> DataFrame:
     """Each point with its nearest plane (mx, my, mz, nx, ny, nz) within reach whose plane it is within the cutoff of."""
-    probes = with_cells(pts, reach)
+    probes = with_cells(pts.select("frame", "point_id", "x", "y", "z"), reach)
     for c in CELL:
         probes = probes.withColumn("_o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(c, F.col(c) + F.col("_o")).drop("_o")
     m = planes.select("mx", "my", "mz", "nx", "ny", "nz", *[G.cell(F.col(f"m{c}"), reach).alias(k) for c, k in zip("xyz", CELL, strict=True)])

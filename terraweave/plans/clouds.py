@@ -234,3 +234,38 @@ def m23(spark, sf):
     o = p.agg(*[F.floor(F.min(c)).cast("double").alias(f"o{c}") for c in "xyz"])
     q = p.crossJoin(o)
     return q.select("point_id", *[C.quantized(F.col(c), F.col(f"o{c}")).alias(f"q{c}") for c in "xyz"], C.colour16(F.col("r").cast("double")).alias("red"), C.unit_colour16(F.col("g") / 255.0).alias("green"), C.unit_colour8(F.lit(None).cast("double")).alias("grey"))
+
+
+@_f.query("a37_m35_pose_refinement")
+def a37(spark, sf):
+    """Rows only: Gauss-Newton steps of each frame against the planes of the cloud; tests recover a known shift."""
+    from terraweave.operators.refinement import refine_poses
+
+    pts = P.with_cells(V.points(spark, sf), 0.5)
+    planes = S.surfels(S.plane_moments(pts, P.CELL, 8, 3), P.CELL, flat=0.5)
+    return refine_poses(pts.drop(*P.CELL), planes, least=50, rounds=2, most_shift=0.5, most_turn=0.1)
+
+
+@_f.query("t01_j19_a05_odometry")
+def t01(spark, sf):
+    """Rows only: scans of two recordings registered one after the other; tests follow a known motion."""
+    from terraweave.streaming import odometry
+
+    pts = V.points(spark, sf).where("tag < 4")
+    return odometry.table(pts.select((F.col("point_id") % 2).alias("recording"), "frame", F.col("point_id").alias("sample"), "x", "y", "z"))
+
+
+@_f.query("w12_w13_spaced_ids", "WITH c AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT i, floor(i * (n - 1) / 499.0::DOUBLE)::BIGINT AS id, i // 62 AS win FROM range(500) r(i), c) SELECT win, count(DISTINCT id) AS ids, min(id) AS first, max(id) AS last FROM k GROUP BY win")
+def w12(spark, sf):
+    """Evenly spaced ids, in windows of 62."""
+    from terraweave.session import table
+
+    n = table(spark, sf, "orders").where("o_orderkey % 2 = 0").agg(F.count("*").alias("n"))
+    k = spark.range(500).crossJoin(n).select(F.floor(F.col("id") / 62).cast("long").alias("win"), F.floor(F.col("id") * (F.col("n") - 1) / 499.0).cast("long").alias("id"))
+    return k.groupBy("win").agg(F.count_distinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@_f.query("s31_far_returns", W + " SELECT point_id, frame, round(sqrt(x * x + y * y + z * z), 5) + 0.0 AS range FROM pts WHERE x * x + y * y + z * z >= 25.0")
+def s31(spark, sf):
+    r2 = G.dot(xyz(), xyz())
+    return V.points(spark, sf).where(r2 >= 25.0).select("point_id", "frame", rounded(F.sqrt(r2)).alias("range"))
