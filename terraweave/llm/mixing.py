@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than blank, tab, line feed, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+from terraweave.llm.storage import materialize
+
+#: A word is a run of characters other than blank and 0x09 to 0x0D, which is what \S says to the JVM.
+WORD = r"\S+"
 #: Documents that a cell may expect to hold; the number of slices follows from it and the number of documents.
 CELL_ROWS = 20_000
 #: Offsets that a source's sample may start from. Sums of words depend on which of the few largest documents are met;
@@ -75,7 +77,11 @@ def mix(docs: DataFrame, cap: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 
 def mix_sizes(base: DataFrame, cap: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """As mix(), from rows (doc_id, source, size, ...) whose other columns are carried along."""
+    """As mix(), from rows (doc_id, source, size, ...) whose other columns are carried along.
+
+    The rows are written once: sizes are used several times below, and counting words is what takes the time.
+    """
+    base, _ = materialize(base, "sizes")
     counted = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     rows = counted.agg(F.max("n")).first()[0] or 0
     slices = max(8, -(-rows // cell_rows))
