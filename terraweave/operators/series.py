@@ -16,19 +16,25 @@ from terraweave.functions import geometry as G
 from terraweave.functions.geometry import d, xyz
 
 
-def bracket(shots: DataFrame, poses: DataFrame, group: str, carried: Sequence[str]) -> DataFrame:
+def bracket(shots: DataFrame, poses: DataFrame, group: str, carried: Sequence[str], bucket: float = 86400.0) -> DataFrame:
     """Each shot with the last pose before it (a_...) and the first at or after it (b_...), null where there is none.
 
-    As-of by union and a window: both sides are sorted together by time within the group, and the last pose is carried
-    on. At equal times the shot comes first, so a pose at the very time of a shot is the one after it.
+    As-of by union and a window: both sides are sorted together by time, and the last pose is carried on. At equal times
+    the shot comes first, so a pose at the very time of a shot is the one after it. Windows run over `bucket` seconds of
+    a group, so that a long recording is many tasks; a shot without a pose in its bucket takes the nearest bucket's last
+    or first one, from a table with a row for each bucket.
     """
+    span = F.floor(F.col("t_us") / int(bucket * 1e6)).cast("long").alias("_k")
     value = F.struct("t_us", *carried)
-    p = poses.select(group, "t_us", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("shot"), value.alias("v"))
-    s = shots.select(group, "t_us", F.lit(0).alias("kind"), "shot", F.lit(None).cast(p.schema["v"].dataType).alias("v"))
-    order = Window.partitionBy(group).orderBy("t_us", "kind", "shot")
-    both = p.unionByName(s)
-    found = both.withColumns({"a": F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "b": F.first("v", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
-    return found.where("kind = 0").select(group, "shot", "t_us", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in ("t_us", *carried)])
+    p = poses.select(group, span, "t_us", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("shot"), value.alias("v"))
+    s = shots.select(group, span, "t_us", F.lit(0).alias("kind"), "shot", F.lit(None).cast(p.schema["v"].dataType).alias("v"))
+    order = Window.partitionBy(group, "_k").orderBy("t_us", "kind", "shot")
+    found = p.unionByName(s).withColumns({"a": F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "b": F.first("v", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))}).where("kind = 0")
+    ends = p.unionByName(s).groupBy(group, "_k").agg(F.max("v").alias("last"), F.min("v").alias("first"))  # structs by time; shots have none
+    along = Window.partitionBy(group).orderBy("_k")
+    around = ends.select(group, "_k", F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    joined = found.join(around, [group, "_k"]).withColumns({"a": F.coalesce("a", "before"), "b": F.coalesce("b", "after")})
+    return joined.select(group, "shot", "t_us", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in ("t_us", *carried)])
 
 
 def interpolated(found: DataFrame, max_gap: float) -> DataFrame:

@@ -120,7 +120,9 @@ def test_quality_rules(spark):
 def test_pose_bracket(spark):
     poses = spark.createDataFrame([(0, t, x, 0.0, 0.0, 0.0, 1.0) for t, x in ((0, 0.0), (100_000, 1.0), (2_000_000, 2.0))], "recording long, t_us long, x double, y double, z double, qz double, qw double")
     shots = spark.createDataFrame([(0, 1, 50_000), (0, 2, 1_000_000), (0, 3, 9_000_000), (0, 4, 0), (0, 5, 100_000)], "recording long, shot long, t_us long")
-    found = {r["shot"]: (r["reason"], r["x"]) for r in T.interpolated(T.bracket(shots, poses, "recording", ["x", "y", "z", "qz", "qw"]), 0.5).collect()}
+    by_bucket = [{r["shot"]: (r["reason"], r["x"]) for r in T.interpolated(T.bracket(shots, poses, "recording", ["x", "y", "z", "qz", "qw"], bucket), 0.5).collect()} for bucket in (0.04, 1.0, 86400.0)]
+    found = by_bucket[0]
+    assert by_bucket[1] == found == by_bucket[2]
     assert found[1] == (None, 0.5) and found[2][0] == "pose gap exceeds limit" and found[3][0] == found[4][0] == "outside pose coverage" and found[5] == (None, 1.0)
 
 
