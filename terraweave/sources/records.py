@@ -139,7 +139,7 @@ class Range(InputPartition):
 
 class RecordReader(DataSourceReader):
     def __init__(self, source: RecordSource):
-        self.path, self.parse, self.suffix = source.options["path"], type(source).parse, type(source).suffix
+        self.path, self.parse, self.suffix = source.options["path"], source.parser(), source.options.get("suffix", type(source).suffix)
         self.chunk = int(source.options.get("records", CHUNK))
 
     def partitions(self) -> list[InputPartition]:
@@ -218,11 +218,14 @@ class RecordWriter(DataSourceArrowWriter):
 class RecordSource(DataSource):
     suffix = ""
 
+    def parser(self):
+        return type(self).parse
+
     def schema(self) -> str:
-        found = files(self.options["path"], self.suffix)
+        found = files(self.options["path"], self.options.get("suffix", self.suffix))
         if not found:
             raise FileNotFoundError(self.options["path"])
-        return header(self.options["path"], *found[0], type(self).parse).schema()
+        return header(self.options["path"], *found[0], self.parser()).schema()
 
     def reader(self, schema: StructType) -> RecordReader:
         return RecordReader(self)
@@ -278,6 +281,33 @@ class Las(RecordSource):
         return las_header(len(raw), scale, offset, low, high) + out.tobytes()
 
 
+class Records(RecordSource):
+    """Any file of fixed records behind a fixed header. Options: fields such as "x:f8,sample:u4" in the order of the
+    file, header (bytes, 0 by default), magic (what the file has to begin with), suffix."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "records"
+
+    def parser(self):
+        fields = [tuple(f.strip().split(":")) for f in self.options["fields"].split(",")]
+        start, magic = int(self.options.get("header", 0)), self.options.get("magic", "").encode()
+
+        def parse(head: bytes, size: int) -> Layout:
+            layout = Layout(fields, start, 0)
+            layout.count, rest = divmod(size - start, layout.dtype.itemsize)
+            if rest or size < start or not head.startswith(magic):
+                raise ValueError("the file is no header and whole records")
+            return layout
+
+        return parse
+
+    @staticmethod
+    def encode(raw: np.ndarray, fields, options) -> bytes:
+        head = options.get("magic", "").encode()
+        return head.ljust(int(options.get("header", 0)), b"\0") + raw.tobytes()
+
+
 def register(spark: SparkSession) -> None:
-    for kind in (Ply, Pcd, Las):
+    for kind in (Ply, Pcd, Las, Records):
         spark.dataSource.register(kind)

@@ -34,6 +34,18 @@ def test_round_trip(spark, cloud, tmp_path, fmt):
         cloud.write.format(fmt).mode("append").option("path", path).save()
 
 
+def test_records_behind_a_header(spark, cloud, tmp_path):
+    path = str(tmp_path / "frames")
+    some = cloud.select("x", F.col("intensity").cast("smallint").alias("intensity"))
+    how = {"path": path, "header": 160, "magic": "FRAME01", "suffix": ""}
+    some.repartition(2).write.format("records").mode("append").options(**how).save()
+    back = spark.read.format("records").options(**how, fields="x:f8,intensity:u2", records=100).load()
+    assert back.dtypes == [("x", "double"), ("intensity", "int")]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, some.collect()))
+    with pytest.raises(Exception):
+        spark.read.format("records").options(**how | {"magic": "OTHER"}, fields="x:f8,intensity:u2").load().count()
+
+
 def test_bad_files_are_refused(spark, cloud, tmp_path):
     def ply(head, body=b""):
         (tmp_path / "bad.ply").write_bytes(head + body)
