@@ -15,8 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraweave.llm.storage import materialize
+
 #: A chunk ends where the rolling hash of WINDOW lines is divisible by DIVISOR.
 WINDOW, DIVISOR = 2, 4
+MOST_HOT = 1024
 _MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -64,9 +67,18 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     full = base.mapInArrow(lambda it: _chunk_rows(it, True), "doc_id long, h1 long, h2 long, chunk binary")
     # The bytes are part of the key, so only equal bytes meet; where two texts share a hash, none of them is removed.
     texts = full.groupBy("h1", "h2", "chunk").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    known = texts.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("first_doc").alias("first_doc")).where("texts = 1 AND n > 1").select("h1", "h2", "first_doc")
+    known = texts.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("first_doc").alias("first_doc")).where("texts = 1 AND n > 1").select("h1", "h2", "n", "first_doc")
+    known, _ = materialize(known, "chunks")
+    rows = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # A chunk that has at least a share of 1 / MOST_HOT of all repeats would fill a task of the join; there are at most
+    # MOST_HOT such chunks, so they are broadcast, and their rows go on with keys that spread and meet nothing.
+    hot = known.where(F.col("n") * MOST_HOT >= rows).select("h1", "h2", F.col("first_doc").alias("hot_first"))
+    cold = known.where(F.col("n") * MOST_HOT < rows).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("first_doc").alias("cold_first"))
     narrow = base.mapInArrow(lambda it: _chunk_rows(it, False), "doc_id long, h1 long, h2 long")
-    return narrow.join(known, ["h1", "h2"]).where("doc_id <> first_doc").select("doc_id", "h1", "h2")
+    told = narrow.join(F.broadcast(hot), ["h1", "h2"], "left")
+    dealt = told.withColumns({"k1": F.when(F.col("hot_first").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "h1")), "k2": F.when(F.col("hot_first").isNull(), F.col("h2")).otherwise(F.lit(0))})
+    found = dealt.join(cold, ["k1", "k2"], "left").withColumn("first_doc", F.coalesce("hot_first", "cold_first"))
+    return found.where("first_doc <> doc_id").select("doc_id", "h1", "h2")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
