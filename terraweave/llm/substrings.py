@@ -46,7 +46,15 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = [np.uint64(int(x) | 1) for x in _rng.integers(1, 1 << 62, 8)]
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+_POWER, _UNPOWER = powers(_BASE, STRIDE + 256), powers(pow(_BASE, -1, 1 << 64), STRIDE + 256)  # a phrase has fewer than 256 bytes
 
 
 def rolling(text: np.ndarray) -> np.ndarray:
@@ -109,20 +117,22 @@ class Parse:
         self.count = np.diff(upto, prepend=0)
 
     def phrase_hash(self) -> np.ndarray:
-        """48 bits of a hash of each phrase and of the trigger's place in it."""
-        n = len(self.text)
-        with np.errstate(over="ignore"):
-            power = np.full(n, np.uint64(_BASE))
-            power[:1] = 1
-            np.multiply.accumulate(power, out=power)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.text] * power, dtype=np.uint64)])
-            power = np.full(n, np.uint64(_INVERSE))
-            power[:1] = 1
-            np.multiply.accumulate(power, out=power)
-            h = (sums[self.first + self.count + self.length - 1] - sums[self.first]) * power[self.first]
-            h = (h ^ (h >> np.uint64(31))) * _STEP[6] + (self.at - self.first).astype(np.uint64) * _STEP[7] + self.count.astype(np.uint64)
-            h = (h ^ (h >> np.uint64(33))) * _STEP[5]
-        return h >> np.uint64(16)
+        """48 bits of a hash of each phrase and of the trigger's place in it: a polynomial of the phrase's bytes, from
+        sums over a stretch of text and the phrase's place in the stretch."""
+        end = self.first + self.count + self.length - 1
+        out = np.empty(len(self.first), np.uint64)
+        cuts = np.searchsorted(self.first, np.arange(0, len(self.text) + STRIDE, STRIDE))
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if lo == hi:
+                continue
+            c = k * STRIDE
+            part = _BYTE[self.text[c : end[hi - 1]]]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _POWER[: len(part)], dtype=np.uint64)])
+            s = self.first[lo:hi] - c
+            out[lo:hi] = (sums[end[lo:hi] - c] - sums[s]) * _UNPOWER[s]
+        out = (out ^ (out >> np.uint64(31))) * _STEP[6] + (self.at - self.first).astype(np.uint64) * _STEP[7] + self.count.astype(np.uint64)
+        out = (out ^ (out >> np.uint64(33))) * _STEP[5]
+        return out >> np.uint64(16)
 
     def entries(self, buckets: int) -> tuple[np.ndarray, ...]:
         """Phrases once a block: (order, head, bucket); order sorts phrases by bucket, trigger, phrase, document, and
