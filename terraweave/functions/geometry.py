@@ -209,6 +209,28 @@ def distance_to_edges(x: Column, y: Column, v: Column) -> Column:
     return F.sqrt(F.aggregate(edges(v), d(float("inf")), lambda acc, e: F.least(acc, squared(e))))
 
 
+def inside_outline(x: Column, y: Column, points: Sequence[tuple[float, float]]) -> Column:
+    """inside_polygon() of a polygon that is known beforehand: its edges become plain arithmetic, which is compiled."""
+    crossings = F.lit(0)
+    for (ax, ay), (bx, by) in zip((points[-1], *points), points, strict=False):
+        if ay != by:
+            at = (ax - bx) * (y - d(by)) / d(ay - by) + d(bx)
+            crossings = crossings + F.when(((d(by) > y) != (d(ay) > y)) & (x < at), 1).otherwise(0)
+    return crossings % 2 == 1
+
+
+def distance_to_outline(x: Column, y: Column, points: Sequence[tuple[float, float]]) -> Column:
+    """distance_to_edges() of a polygon that is known beforehand."""
+    squares = []
+    for (ax, ay), (bx, by) in zip((points[-1], *points), points, strict=False):
+        ex, ey = bx - ax, by - ay
+        length = ex * ex + ey * ey
+        share = F.greatest(d(0), F.least(d(1), ((x - ax) * ex + (y - ay) * ey) / d(length))) if length else d(0)
+        dx, dy = x - (d(ax) + share * ex), y - (d(ay) + share * ey)
+        squares.append(dx * dx + dy * dy)
+    return F.sqrt(F.least(*squares)) if len(squares) > 1 else F.sqrt(squares[0])
+
+
 def area(v: Column) -> Column:
     """Shoelace formula, without sign."""
     return F.abs(F.aggregate(edges(v), d(0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2

@@ -21,9 +21,8 @@ class Outline:
     expand: float = 0.0
 
     def test(self, x: Column, y: Column) -> Column:
-        v = G.polygon(self.vertices)
-        inside = G.inside_polygon(x, y, v)
-        return ~inside & (G.distance_to_edges(x, y, v) <= self.expand) if self.ring else inside
+        inside = G.inside_outline(x, y, self.vertices)
+        return ~inside & (G.distance_to_outline(x, y, self.vertices) <= self.expand) if self.ring else inside
 
 
 @dataclass(frozen=True)

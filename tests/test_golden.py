@@ -33,6 +33,13 @@ def test_regions_on_a_grid(spark):
     assert [R.select_regions(g, r).count() for r in ([inside], [ring], [inside, ring])] == [36, 28, 64]
 
 
+def test_outlines_known_beforehand_agree_with_polygon_columns(spark):
+    points = [(4.5, 4.5), (10.5, 4.0), (9.0, 12.0), (8.0, 6.0), (8.0, 6.0), (2.0, 11.0)]
+    x, y, v = F.col("x"), F.col("y"), G.polygon(points)
+    both = grid(spark).select(G.inside_polygon(x, y, v).alias("a"), G.inside_outline(x, y, points).alias("b"), (G.distance_to_edges(x, y, v) - G.distance_to_outline(x, y, points)).alias("d"))
+    assert both.where("a <> b OR abs(d) > 1e-12").count() == 0 and both.where("a").count() > 20
+
+
 def test_overlapping_boxes_give_each_point_once(spark):
     line = spark.range(10).select("id", (F.col("id") + 100.0).alias("x"), d(200).alias("y"), d(0).alias("z"))
     boxes = [R.Region([102, None, None], [105, None, None]), R.Region([104, None, None], [107, None, None])]
