@@ -167,6 +167,32 @@ def f10(spark, sf):
     return found.agg(F.count("*").alias("points"), F.count_if("noise").alias("noise"), F.count_if(~F.col("noise")).alias("kept"))
 
 
+# The SQL of the three queries above names the returns with tag < 8; these have none, and every return casts its ray.
+
+
+def _whole_rays(spark, sf):
+    return P.rays(V.points(spark, sf), origins(spark))
+
+
+@_f.query("m12_x07_ray_cells_whole")
+def m12_whole(spark, sf):
+    """Rows only: tests hold them against the SQL of m12 without its filter, on the smallest tables."""
+    return P.ray_cells(_whole_rays(spark, sf), 0.5).groupBy(*P.CELL).agg(F.count("*").alias("rays"))
+
+
+@_f.query("a07_j10_j11_ray_evidence_whole")
+def a07_whole(spark, sf):
+    """Rows only: as m12_whole."""
+    return P.ray_evidence(_whole_rays(spark, sf), 0.5).withColumn("score", rounded(F.col("score")))
+
+
+@_f.query("f10_f11_j09_a08_noise_whole")
+def f10_whole(spark, sf):
+    """Rows only: as m12_whole."""
+    found = P.classified(V.points(spark, sf), P.ray_evidence(_whole_rays(spark, sf), 0.5), 0.5)
+    return found.agg(F.count("*").alias("points"), F.count_if("noise").alias("noise"), F.count_if(~F.col("noise")).alias("kept"))
+
+
 @_f.query("m13_intensity", W + " SELECT point_id, trunc(greatest(0.0, least(255.0, CASE WHEN intensity <= 50 THEN intensity * 4.0::DOUBLE ELSE (intensity - 50) * 55.0::DOUBLE / 205.0 + 200.0 END)))::INT AS stretched FROM pts")
 def m13(spark, sf):
     return V.points(spark, sf).select("point_id", C.stretched_intensity(F.col("intensity")).alias("stretched"))
