@@ -277,8 +277,7 @@ def t01(spark, sf):
     """Rows only: scans of two recordings registered one after the other; tests follow a known motion."""
     from terraweave.streaming import odometry
 
-    pts = V.points(spark, sf).where("tag < 4")
-    return odometry.table(pts.select((F.col("point_id") % 2).alias("recording"), "frame", F.col("point_id").alias("sample"), "x", "y", "z"))
+    return odometry.table(V.points(spark, sf).select((F.col("point_id") % 2).alias("recording"), "frame", F.col("point_id").alias("sample"), "x", "y", "z"))
 
 
 @_f.query("w12_w13_spaced_ids", "WITH c AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT i, floor(i * (n - 1) / 499.0::DOUBLE)::BIGINT AS id, i // 62 AS win FROM range(500) r(i), c) SELECT win, count(DISTINCT id) AS ids, min(id) AS first, max(id) AS last FROM k GROUP BY win")

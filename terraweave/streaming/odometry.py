@@ -2,7 +2,8 @@
 
 Registration is point-to-plane; the map is a bounded number of points a voxel within a bounded distance, so the state of
 a recording is bounded. The order of scans within a recording is inherent: recordings run in parallel, scans of one
-recording do not. The same step serves a stream (transformWithStateInPandas) and a table (one fold a recording).
+recording do not. The same step serves a stream (transformWithStateInPandas) and a table (a fold over sorted,
+thinned scans).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 VOXEL, MOST_POINTS, REACH, SIGMA = 0.5, 20, 30.0, 0.3
@@ -137,13 +139,47 @@ def stream(scans: DataFrame) -> DataFrame:
     return scans.groupBy("recording").transformWithStateInPandas(Odometer(), POSES, "Append", "None")
 
 
-def table(scans: DataFrame) -> DataFrame:
-    """Poses of a table of the same columns: one fold a recording."""
+def thinned(scans: DataFrame) -> DataFrame:
+    """The points that register() keeps of each scan: within reach, the first of each voxel. All others of a scan become
+    one row, which register() drops, so that no frame is lost."""
+    near = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) <= REACH
+    at = [F.when(near, F.floor(F.col(c) / (VOXEL / 2))).alias(f"_{c}") for c in "xyz"]
+    return scans.groupBy("recording", "frame", *at).agg(F.min(F.struct("sample", "x", "y", "z")).alias("p")).select("recording", "frame", "p.*")
+
+
+def whole_scans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(recording, frame, points) of each scan from sorted batches."""
+    key, parts = None, []
+    for batch in batches:
+        own, frame, _, *xyz = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(own):
+            continue
+        p = np.stack(xyz, axis=1).astype(float)
+        starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (frame[1:] != frame[:-1])]))
+        for s, e in zip(starts, [*starts[1:], len(own)], strict=True):
+            if parts and key != (own[s], frame[s]):
+                yield int(key[0]), int(key[1]), np.concatenate(parts)
+                parts = []
+            key = own[s], frame[s]
+            parts.append(p[s:e])
+    if parts:
+        yield int(key[0]), int(key[1]), np.concatenate(parts)
 
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
-        rows = list(steps(State(), t.to_pandas(), int(key[0].as_py())))
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64() if "long" in c else pa.float64() for c in POSES.split(", ")]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in POSES.split(", ")])
 
-    return scans.groupBy("recording").applyInArrow(fold, POSES)
+def table(scans: DataFrame) -> DataFrame:
+    """Poses of a table of the same columns: a task reads the thinned scans of a recording in their order and holds one of
+    them, the map and a batch of rows, never a recording."""
+    names = ["recording", "frame", "sample", "x", "y", "z"]
+    kinds = [pa.int64() if "long" in c else pa.float64() for c in POSES.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, State()
+        for recording, frame, scan in whole_scans(batches):
+            if recording != last:
+                last, state = recording, State()
+            matched = register(state, scan)
+            row = (recording, frame, *map(float, state.t), *map(float, rotation_vector(state.r)), matched)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in POSES.split(", ")])
+
+    parts = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return thinned(scans).select(*names).repartition(parts, "recording").sortWithinPartitions(*names[:3]).mapInArrow(fold, POSES)

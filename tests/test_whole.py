@@ -4,8 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from terraweave.plans import catalog
+from terraweave.plans import views as V
+from terraweave.streaming import odometry
 
 
 @pytest.mark.parametrize("name", ["m12_x07_ray_cells", "a07_j10_j11_ray_evidence", "f10_f11_j09_a08_noise"])
@@ -20,3 +23,16 @@ def test_every_return_casts_its_ray(spark, sf, name):
     order = sorted(got.columns)
     a, b = (x[order].sort_values(order).reset_index(drop=True).astype(str) for x in (got, want))
     assert len(a) == len(b) and (a == b).all().all()
+
+
+def test_odometry_reads_every_return(spark, sf):
+    pts = V.points(spark, sf).select((F.col("point_id") % 2).alias("recording"), "frame", F.col("point_id").alias("sample"), "x", "y", "z").toPandas()
+    pts.loc[len(pts)] = [0, 99, 1, 1e3, 0.0, 0.0]  # a frame out of reach still has a pose
+    want = []
+    for recording, rows in pts.groupby("recording"):
+        want += odometry.steps(odometry.State(), rows, int(recording))
+    got = sorted(map(tuple, catalog.QUERIES["t01_j19_a05_odometry"](spark, sf).collect()))
+    whole = sorted(map(tuple, odometry.table(spark.createDataFrame(pts)).collect()))
+    assert [r for r in whole if r[1] != 99] == got and len(whole) == len(want)
+    for a, b in zip(whole, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[-1] == b[-1] and all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
