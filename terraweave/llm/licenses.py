@@ -1,8 +1,8 @@
 """License scans by patience alignment.
 
 A text and a license template are aligned as sequences of words: words that occur once in each are anchors, the longest
-increasing subsequence of anchors is kept, and the gaps between them are aligned in the same way. The share of the
-template's words that find their place is the coverage.
+increasing subsequence of anchors is kept, and the gaps between them are aligned in the same way, those without anchors
+by longest common subsequence. The share of the template's words that find their place is the coverage.
 """
 
 from __future__ import annotations
@@ -11,16 +11,13 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
-#: Words of a template that a match is looked for at; rarest over all templates first.
-CUES = 4
-#: Gaps without anchors are aligned by longest common subsequence if both sides are at most this long.
-SMALL_GAP = 64
 _WORD = re.compile(r"[^\W_]+")
 
 #: Wordings of license notices as their publishers give them.
@@ -96,8 +93,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         at = {w: j for j, w in enumerate(b[j0:j1], j0) if once_b[w] == 1}
         anchors = increasing([(i, at[w]) for i, w in enumerate(a[i0:i1], i0) if once_a[w] == 1 and w in at])
         if not anchors:
-            if i1 - i0 <= SMALL_GAP and j1 - j0 <= SMALL_GAP:
-                out += [(i0 + i, j0 + j) for i, j in common_subsequence(a[i0:i1], b[j0:j1])]
+            out += [(i0 + i, j0 + j) for i, j in common_subsequence(a[i0:i1], b[j0:j1])]
             continue
         out += anchors
         edges = [(i0 - 1, j0 - 1), *anchors, (i1, j1)]
@@ -105,38 +101,67 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def tight(window: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """align(), moved as near to its end as it goes without a loss: words before a place may stand for its first ones."""
+    pairs = align(window, template)
+    if not pairs:
+        return pairs
+    end = pairs[-1][0] + 1
+    late = [(end - 1 - i, len(template) - 1 - j) for i, j in align(window[:end][::-1], template[::-1])][::-1]
+    return late if len(late) >= len(pairs) else pairs
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
+    """Cues of a template are its words that are rarest over all templates, so many that they stand at more of its places
+    than may be missing: a text with `least` of the template has one of them at a place of the template."""
+
+    def __init__(self, templates: dict[str, str], least: float = COVERAGE):
+        self.least = least
         self.words = {name: words_of(t) for name, t in sorted(templates.items()) if words_of(t)}
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
         spread = Counter(w for words in self.words.values() for w in set(words))
         self.cues: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
-            for w in sorted(set(words), key=lambda w: (spread[w], words.count(w), -len(w), w))[:CUES]:
-                self.cues[w].append((name, words.index(w)))
-
-    def scan(self, text: str | None, least: float = COVERAGE) -> list[tuple[str, int, int, int, float]]:
+            missing = sum(1 for n in range(len(words)) if n >= least * len(words))
+            for w in sorted(set(words), key=lambda w: (spread[w], words.count(w), -len(w), w)):
+                at = [k for k, x in enumerate(words) if x == w]
+                self.cues[w] += [(name, k) for k in at]
+                missing -= len(at)
+                if missing < 0:
+                    break
+
+    def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """(template, first word, word after the last, words matched, coverage) of each place with enough coverage.
 
-        A template is tried where one of its cues puts it, with half its length to spare; of places that overlap the one
-        with most words matched stays, then that of the higher coverage, the shorter, the first.
+        A template is tried where each of its cues puts it, alone and with half its length to spare before, after and on
+        both sides; of places that overlap the one with most words matched stays, then that of the higher coverage, the
+        shorter, the first.
         """
-        words = words_of(text)
+        words, least = words_of(text), self.least
         tries: dict[str, set[int]] = defaultdict(set)
         for p, w in enumerate(words):
             for name, at in self.cues.get(w, ()):
                 tries[name].add(p - at)
         found = set()
         for name, starts in tries.items():
-            template = self.words[name]
+            template, counts = self.words[name], self.counts[name]
             spare = len(template) // 2 + 2
+            own = list(accumulate((w in counts for w in words), initial=0))
+            done = set()
             for s in sorted(starts):
-                low = max(0, s - spare)
-                window = words[low : s + len(template) + spare]
-                if sum((Counter(window) & Counter(template)).values()) < least * len(template):
-                    continue
-                pairs = align(window, template)
-                if len(pairs) >= least * len(template):
-                    found.add((name, low + pairs[0][0], low + pairs[-1][0] + 1, len(pairs), len(pairs) / len(template)))
+                for before, after in ((spare, spare), (0, 0), (spare, 0), (0, spare)):
+                    low, high = max(0, s - before), min(len(words), s + len(template) + after)
+                    enough = high > low and own[high] - own[low] >= least * len(template)
+                    if not enough or sum((Counter(words[low:high]) & counts).values()) < least * len(template):
+                        if before and after:
+                            break  # the other windows are parts of this one
+                        continue
+                    if (low, high) in done:
+                        continue
+                    done.add((low, high))
+                    pairs = tight(words[low:high], template)
+                    if len(pairs) >= least * len(template):
+                        found.add((name, low + pairs[0][0], low + pairs[-1][0] + 1, len(pairs), len(pairs) / len(template)))
         out: list[tuple[str, int, int, int, float]] = []
         for hit in sorted(found, key=lambda f: (-f[3], -f[4], f[2] - f[1], f[1], f[0])):
             if all(hit[2] <= x[1] or hit[1] >= x[2] for x in out):
@@ -151,11 +176,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     Null, empty and blank texts have no places; repeated rows give repeated places; a null doc_id is carried along. An
     empty table gives an empty result; other columns are ignored. Equal words are told apart by place alone.
     """
-    scanner = Scanner(templates or TEMPLATES)
+    scanner = Scanner(templates or TEMPLATES, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in scanner.scan(text.as_py(), least)]
+            out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in scanner.scan(text.as_py())]
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "license", "first_word", "end_word", "n_matched", "coverage"])
