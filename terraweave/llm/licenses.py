@@ -22,18 +22,61 @@ _WORD = re.compile(r"[^\W_]+")
 
 #: Wordings of license notices as their publishers give them.
 TEMPLATES = {
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-line": "Released under the BSD License.",
     "cc-by-4.0-line": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
     "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-line": "Released under the ISC License.",
+    "lgpl-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "mit-line": "Released under the MIT License.",
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+#: Words by which a template differs from those of other licenses: they have to stand in a text as they are, in one piece.
+NAMES = {
+    "agpl-3.0-line": ("gnu affero general public license version 3",),
+    "agpl-3.0-notice": ("gnu affero general public license", "version 3"),
+    "apache-2.0-line": ("apache license version 2 0",),
+    "apache-2.0-notice": ("apache license version 2 0",),
+    "bsd-line": ("bsd license",),
+    "cc-by-4.0-line": ("cc by 4 0",),
+    "cc-by-nc-4.0-line": ("cc by nc 4 0",),
+    "cc-by-nc-nd-4.0-line": ("cc by nc nd 4 0",),
+    "cc-by-nc-sa-4.0-line": ("cc by nc sa 4 0",),
+    "cc-by-nd-4.0-line": ("cc by nd 4 0",),
+    "cc-by-sa-4.0-line": ("cc by sa 4 0",),
+    "gpl-2.0-line": ("gnu general public license version 2",),
+    "gpl-2.0-notice": ("gnu general public license", "version 2"),
+    "gpl-3.0-line": ("gnu general public license version 3",),
+    "gpl-3.0-notice": ("gnu general public license", "version 3"),
+    "isc-line": ("isc license",),
+    "lgpl-2.1-line": ("gnu lesser general public license version 2 1",),
+    "lgpl-2.1-notice": ("gnu lesser general public license", "version 2 1"),
+    "lgpl-3.0-line": ("gnu lesser general public license version 3",),
+    "lgpl-3.0-notice": ("gnu lesser general public license", "version 3"),
+    "mit-line": ("mit license",),
+    "mpl-2.0-line": ("mozilla public license version 2 0",),
+    "mpl-2.0-notice": ("mozilla public license v 2 0",),
+}
+#: Reported where a template covers a place but its name does not stand there.
+UNKNOWN = "unknown-variant"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -117,8 +160,13 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], least: float = COVERAGE):
         self.least = least
+        self.names: dict[str, list[range]] = {}
         self.words = {name: words_of(t) for name, t in sorted(templates.items()) if words_of(t)}
         self.counts = {name: Counter(words) for name, words in self.words.items()}
+        for name, words in self.words.items():
+            for phrase in (p.split() for p in NAMES.get(name, ()) if templates[name] == TEMPLATES[name]):
+                at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+                self.names.setdefault(name, []).append(range(at, at + len(phrase)))
         spread = Counter(w for words in self.words.values() for w in set(words))
         self.cues: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for name, words in self.words.items():
@@ -130,12 +178,17 @@ class Scanner:
                 if missing < 0:
                     break
 
+    def named(self, name: str, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the words of a template's name are matched, with no other word between them."""
+        at = {j: i for i, j in pairs}
+        return all(at.get(j) is not None and at[j] == at.get(span[0], -1) + j - span[0] for span in self.names.get(name, ()) for j in span)
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """(template, first word, word after the last, words matched, coverage) of each place with enough coverage.
 
         A template is tried where each of its cues puts it, alone and with half its length to spare before, after and on
-        both sides; of places that overlap the one with most words matched stays, then that of the higher coverage, the
-        shorter, the first.
+        both sides; of places that overlap the one with most words matched stays, then one whose name is there, that of the
+        higher coverage, the shorter, the first. A place without the name of its template is an UNKNOWN one.
         """
         words, least = words_of(text), self.least
         tries: dict[str, set[int]] = defaultdict(set)
@@ -161,9 +214,9 @@ class Scanner:
                     done.add((low, high))
                     pairs = tight(words[low:high], template)
                     if len(pairs) >= least * len(template):
-                        found.add((name, low + pairs[0][0], low + pairs[-1][0] + 1, len(pairs), len(pairs) / len(template)))
+                        found.add((name if self.named(name, pairs) else UNKNOWN, low + pairs[0][0], low + pairs[-1][0] + 1, len(pairs), len(pairs) / len(template)))
         out: list[tuple[str, int, int, int, float]] = []
-        for hit in sorted(found, key=lambda f: (-f[3], -f[4], f[2] - f[1], f[1], f[0])):
+        for hit in sorted(found, key=lambda f: (-f[3], f[0] == UNKNOWN, -f[4], f[2] - f[1], f[1], f[0])):
             if all(hit[2] <= x[1] or hit[1] >= x[2] for x in out):
                 out.append(hit)
         return sorted(out, key=lambda f: f[1])

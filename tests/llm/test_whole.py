@@ -40,3 +40,18 @@ def test_adjacent_notices():
             assert got == [(name, k * n, (k + 1) * n, n, 1.0) for k in range(copies)]
         bent = [*words, *words[: n // 2], "inserted", *words[n // 2 :], *words]
         assert [(g[0], g[1], g[2]) for g in scanner.scan(" ".join(bent))] == [(name, 0, n), (name, n, 2 * n + 1), (name, 2 * n + 1, 3 * n + 1)]
+
+
+def test_licenses_are_not_taken_for_each_other():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+
+    def names(text):
+        return [g[0] for g in scanner.scan(text)]
+
+    for name, template in licenses.TEMPLATES.items():
+        assert names(f"Some words. {template} More words.") == [name]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["gpl-2.0-line"]
+    assert names(licenses.TEMPLATES["gpl-3.0-notice"].replace("version 3", "version 2")) == ["gpl-2.0-notice"]
+    assert names("Released under the BSD License.") == ["bsd-line"] and names("Licensed under CC BY-ND 4.0.") == ["cc-by-nd-4.0-line"]
+    for other in ("Licensed under the Apache License, Version 1.0.", "Released under the Foo License.", "Licensed under CC BY-XX 4.0.", "This work is licensed under the GNU General Public License, version 9."):
+        assert names(other) == [licenses.UNKNOWN], other
