@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with every training passage by block-max WAND.
 
 Scores are shares: an item's BM25 weights are divided by its score against itself, so 1 means that a passage has all of
-the item's terms, and one threshold serves all items. Everything above the threshold is retrieved, then the overlap of
-the question (the first three quarters of the item's words) and of the answer (the rest) with the passage is verified.
+the item's terms, and one threshold serves all items. Items are indexed in parts; everything above the threshold is
+retrieved, then the overlap of the question (the first three quarters of the item's words) and of the answer (the rest)
+is verified: with the passage, or for items of several parts with the passage and the item's length around it.
 """
 
 from __future__ import annotations
@@ -43,9 +44,13 @@ class ItemIndex:
     """Postings of item parts by term, in blocks of BLOCK parts, with block maxima."""
 
     def __init__(self, items: list[tuple[int, list[str]]]):
-        parts = [(item, words[at : at + PART]) for item, words in items for at in range(0, max(1, len(words) - PART // 2), PART)]
-        parts = [(item, words) for item, words in parts if words]
-        self.items = [item for item, _ in parts]
+        items = [(item, words) for item, words in items if words]
+        # Parts cover every word; the last one ends with the item and may overlap the one before.
+        places = [(k, at) for k, (_, words) in enumerate(items) for at in sorted({*range(0, len(words) - PART + 1, PART), max(0, len(words) - PART)})]
+        parts = [(items[k][0], items[k][1][at : at + PART]) for k, at in places]
+        self.owner = [k for k, _ in places]
+        self.items = [item for item, _ in items]
+        self.length = [len(words) for _, words in items]
         df = Counter(w for _, words in parts for w in set(words))
         self.term = {w: k + 1 for k, w in enumerate(sorted(df))}
         mean = sum(len(w) for _, w in parts) / max(1, len(parts))
@@ -56,6 +61,7 @@ class ItemIndex:
             whole = sum(weight.values())
             for t, w in weight.items():
                 postings[t].append((at, float(w / whole)))
+        for _, words in items:
             ids = [self.term[w] for w in words]
             cut = max(1, -(-3 * len(ids) // 4))
             self.sides.append((runs(ids[:cut]), runs(ids[cut:]), 1.0 if len(words) < SHORT else OVERLAP))
@@ -119,9 +125,9 @@ class ItemIndex:
             lists = [c for c in lists if c[0] < len(self.docs[c[1]])]
         return found
 
-    def verify(self, part: int, present: set[tuple[int, ...]], terms: set[int], pairs: set[tuple[int, int]]) -> tuple[float, float] | None:
-        """Shares of the runs of question and answer that the passage has, if both are enough."""
-        question, answer, least = self.sides[part]
+    def verify(self, item: int, present: set[tuple[int, ...]], terms: set[int], pairs: set[tuple[int, int]]) -> tuple[float, float] | None:
+        """Shares of the runs of an item's question and answer that a stretch of words has, if both are enough."""
+        question, answer, least = self.sides[item]
 
         def share(side: set[tuple[int, ...]]) -> float:
             has = sum((g[0] in terms) if len(g) == 1 else (g in pairs) if len(g) == 2 else (g in present) for g in side)
@@ -150,15 +156,18 @@ def _hits(docs: DataFrame, index: ItemIndex) -> DataFrame:
                 starts = np.array([o for _, o in ids])
                 for c in index.possible(terms[some], cell[some], offset):
                     k = int(np.searchsorted(starts, c, side="right")) - 1
-                    words = texts[k][(c - starts[k]) * PART :][: 2 * PART].tolist()
-                    passage = set(words) - {0}
-                    found = index.search(passage)
-                    if found:
-                        triples = set(zip(words, words[1:], words[2:], strict=False))
-                        pairs = set(zip(words, words[1:], strict=False))
-                        for part, score in found:
-                            if shares := index.verify(part, triples, passage, pairs):
-                                out.append((ids[k][0], index.items[part], score, *shares))
+                    at_word = int(c - starts[k]) * PART
+                    best: dict[int, float] = {}
+                    for part, score in index.search(set(texts[k][at_word : at_word + 2 * PART].tolist()) - {0}):
+                        best[index.owner[part]] = max(score, best.get(index.owner[part], 0.0))
+                    seen: dict[int, tuple] = {}
+                    for item, score in best.items():
+                        more = index.length[item] if index.length[item] > PART else 0
+                        if more not in seen:
+                            words = texts[k][max(0, at_word - more) : at_word + 2 * PART + more].tolist()
+                            seen[more] = set(zip(words, words[1:], words[2:], strict=False)), set(words) - {0}, set(zip(words, words[1:], strict=False))
+                        if shares := index.verify(item, *seen[more]):
+                            out.append((ids[k][0], index.items[item], score, *shares))
                 cols = list(zip(*out, strict=True)) or [(), (), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(cols)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

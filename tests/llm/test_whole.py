@@ -2,7 +2,7 @@
 
 import random
 
-from terraweave.llm import licenses
+from terraweave.llm import decontamination, licenses
 
 
 def prose(rng, n):
@@ -55,3 +55,24 @@ def test_licenses_are_not_taken_for_each_other():
     assert names("Released under the BSD License.") == ["bsd-line"] and names("Licensed under CC BY-ND 4.0.") == ["cc-by-nd-4.0-line"]
     for other in ("Licensed under the Apache License, Version 1.0.", "Released under the Foo License.", "Licensed under CC BY-XX 4.0.", "This work is licensed under the GNU General Public License, version 9."):
         assert names(other) == [licenses.UNKNOWN], other
+
+
+def test_items_of_several_parts(spark):
+    rng = random.Random(6)
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in (64, 65, 96, 130, 160, 300)]
+    index = decontamination.ItemIndex(items)
+    assert len(index.term) == sum(n for n, _ in items)
+    rows, want = [], set()
+    for n, words in items:
+        cut = -(-3 * n // 4)
+        for shift in (0, 37, 100):
+            cases = [(words, True), (words[cut // 3 :], True), (words[:cut], False), (words[cut:], False), (words[: cut + (n - cut) // 4], False)]
+            for part, dirty in cases:
+                doc = len(rows)
+                rows.append((doc, " ".join([*prose(rng, shift).split(), *part, *prose(rng, 20).split()])))
+                want |= {(doc, n)} if dirty else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(words)) for n, words in items], "item_id long, text string")
+    got = decontamination.hits(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["question_overlap"] == r["answer_overlap"] == 1.0 for r in got if r["doc_id"] % 5 == 0)
