@@ -1,9 +1,11 @@
 """Operators against brute force on small tables with nulls, blanks, ties, repeats and columns whose names clash."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -223,21 +225,80 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def plain_scores(stems, examples, text):
+    """The scores of a text, from dictionaries."""
+    fold = toxicity.Stems(stems).of
+    n, prior = len(examples), sum(y for _, y, _ in examples) / len(examples)
+    counted = []
+    for doc, y, words in examples:
+        c = {}
+        for w in words:
+            c[fold(w)] = c.get(fold(w), 0) + 1
+        counted.append((doc, y, c, int(math.log2(len(set(words)) + 1))))
+    share = {b: (sum(y for _, y, _, x in counted if x == b) + prior) / (sum(x == b for *_, x in counted) + 1) for b in {x for *_, x in counted}}
+    weight = {}
+    for t in {t for _, _, c, _ in counted for t in c}:
+        has = [(y, share[b]) for _, y, c, b in counted if t in c]
+        df, d1, e1 = len(has), sum(y for y, _ in has), sum(s for _, s in has)
+        g = (2 * d1 * math.log(d1 / e1) if d1 else 0) + (2 * (df - d1) * math.log((df - d1) / (df - e1)) if df > d1 else 0)
+        weight[t] = (math.log((n + 1) / (df + 1)) + 1) * (1 + (0.5 * math.sqrt(max(0, g - 15)) if d1 > e1 else 0))
+
+    def unit(c):
+        v = {t: k * weight.get(t, math.log(n + 1) + 1) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    c = {}
+    for w in text:
+        c[fold(w)] = c.get(fold(w), 0) + 1
+    q = unit(c)
+    scored = sorted(((round(sum(x * q.get(t, 0) for t, x in unit(e).items()), 9), doc, y) for doc, y, e, _ in counted if e), reverse=True)
+    scored = [x for x in scored if x[0] > 0]
+    least = scored[14][0] if len(scored) > 15 else 0
+    near = [x for x in scored if x[0] >= least]
+    votes = [(1 / (1.1 - min(1, s)), y) for s, _, y in near]
+    return {doc for _, doc, _ in near}, (sum(v * y for v, y in votes) + prior) / (sum(v for v, _ in votes) + 1)
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(9)
-    terms = {f"t{k}$": 1.0 + k / 7 for k in range(12)}
-    examples = [(k, rng.randint(0, 1), {t: rng.randint(1, 5) for t in rng.sample(range(13), rng.randint(1, 4))}) for k in range(400)]
-    index = toxicity.ExampleIndex(terms, examples)
-    for _ in range(60):
-        q = index.vector({t: rng.randint(1, 6) for t in rng.sample(range(13), rng.randint(1, 4))})
-        brute = []
-        for doc, _, c in examples:
-            e = dict(index.vector(c))
-            s = sum(w * e.get(t, 0.0) for t, w in q)
-            if s > 0:
-                brute.append((-round(s, 12), doc))
-        got = [(-s, int(index.ids[i])) for s, i in index.nearest(q)]
-        assert [d for _, d in got] == [d for _, d in sorted(brute)[:15]]
+    words = [a + b for a in "abcdefgh" for b in ("x", "yz", "yzzz", "w")]
+    stems = ["ayz", "byzzz$"]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    examples = [(k, int(rng.random() < 0.3), draw(rng.randint(0, 6))) for k in range(300)]
+    examples += [(400 + k, 1, ["gw", *draw(3)]) for k in range(60)] + [(500 + k, 0, ["ax", "bx"]) for k in range(40)]
+    s = toxicity.Stems(stems)
+    distinct = [(d, y, list(dict.fromkeys(w))) for d, y, w in examples]
+    index = toxicity.ExampleIndex(s, [(d, y, s.hashed(w), np.ones(len(w))) for d, y, w in distinct])
+    for k in range(120):
+        text = draw(rng.randint(1, 9)) + ["unheard"] * (k % 3)
+        near, want = plain_scores(stems, distinct, text)
+        found, _ = index.nearest(*index.vector(Counter(text)))
+        assert set(index.ids[found].tolist()) == near
+        assert abs(index.score(Counter(text))[0] - want) < 1e-9
+    assert index.score(Counter())[0] == index.score(Counter(["unheard"]))[0] == index.prior
+
+
+def test_toxicity_matches_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(k, prose(rng, rng.randint(0, 25))) for k in range(150)]
+    labels = [(k, 1, int(k % 5 == 0 or "alphaa" in t)) for k, t in rows if k % 3]
+    rows += [(1000, None), (1001, ""), (1002, "99 !"), (1003, "unheard of"), (0, rows[0][1])]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs_of(spark, rows), lab).collect())
+    # Copies count once; three-word runs of random prose share their smallest hash only where all words are equal.
+    texts, seen, examples = dict(rows), set(), []
+    for k, _, y in sorted(labels):
+        w = toxicity.words_of(texts[k])
+        if zlib.crc32(str(k).encode()) % 4 != 2 and tuple(w) not in seen:
+            seen.add(tuple(w))
+            examples.append((k, y, w))
+    index = toxicity.fit(docs_of(spark, rows), lab)
+    stems = sorted(index.stems.stems)
+    assert sorted(index.ids.tolist()) == [k for k, _, _ in examples]
+    prior = sum(y for _, y, _ in examples) / len(examples)
+    want = sorted((k, plain_scores(stems, examples, toxicity.words_of(t))[1] if toxicity.words_of(t) else prior) for k, t in rows)
+    assert len(got) == len(want) and all(a == b and abs(x - y) < 1e-8 for (a, x), (b, y) in zip(got, want, strict=True))
 
 
 def test_toxicity_on_held_out_rows(spark):
