@@ -34,6 +34,8 @@ RELEVANCE, CHANCE = 0.5, 15.0
 NEIGHBOURS, BLOCK, FOLD, THRESHOLD = 15, 64, 2, 0.3
 #: Lengths of word beginnings that may be stems, longest first; a whole word is one that ends in END.
 PREFIXES, END = range(8, 2, -1), "$"
+#: Share of the examples from which a term is a common one.
+COMMON = 0.1
 #: Words whose terms a task remembers.
 REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,29 +81,34 @@ class Stems:
 
     def of(self, word: str) -> str:
         whole = word + END
-        if whole in self.stems or word[: PREFIXES[-1]] not in self.starts:
+        if whole in self.stems:
             return whole
         return next((word[:k] for k in PREFIXES if k < len(word) and word[:k] in self.stems), whole)
 
+    def counts(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed terms and how often they occur."""
+        terms, at = np.unique(self.hashed(words), return_inverse=True)
+        return terms, np.bincount(at, np.fromiter(words.values(), np.float64, len(words)), len(terms)).astype(np.int64)
+
     def hashed(self, words: Iterable[str]) -> np.ndarray:
-        return np.fromiter((xxhash.xxh3_64_intdigest(self.of(w)) for w in words), np.uint64)
+        n, starts, of, h = PREFIXES[-1], self.starts, self.of, xxhash.xxh3_64_intdigest
+        return np.fromiter([h(of(w)) if w[:n] in starts else h(w + END) for w in words], np.uint64)
 
 
 class ExampleIndex:
     """Examples as unit vectors in blocks, with the largest weight of each term and block."""
 
     def __init__(self, stems: Stems, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        """examples: (doc_id, label, hashed terms, counts); a term may come several times."""
+        """examples: (doc_id, label, hashed terms, each once, and their counts)."""
         self.stems, self.known = stems, {}
         n = len(examples)
         ids, labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64)
         self.prior = float(labels.mean()) if n else 0.0
         size = np.array([len(e[2]) for e in examples], np.int64)
-        owner = np.repeat(np.arange(n), size)
-        self.terms, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e[2] for e in examples)]), return_inverse=True)
-        cell, at = np.unique(owner * max(1, len(self.terms)) + at, return_inverse=True)
-        count = np.bincount(at, np.concatenate([np.zeros(0), *(e[3] for e in examples)]), len(cell))
-        owner, term = np.divmod(cell, max(1, len(self.terms)))
+        owner = np.repeat(np.arange(n, dtype=np.int32), size)
+        self.terms, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e[2] for e in examples)]), return_inverse=True)
+        term = term.astype(np.int32)
+        w = np.concatenate([np.zeros(0), *(e[3] for e in examples)])
         # Long texts hold more of everything. The label's share among texts of like length is what a term is expected to meet.
         bins = np.log2(size + 1).astype(np.int64)
         share = (np.bincount(bins, labels) + self.prior) / (np.bincount(bins) + 1)
@@ -109,19 +116,29 @@ class ExampleIndex:
         g = np.where(with_label > expected, likelihood_ratio(with_label, expected, df), 0.0)
         self.unseen = float(np.log(n + 1) + 1)
         self.weight = (np.log((n + 1) / (df + 1)) + 1) * (1 + RELEVANCE * np.sqrt(np.maximum(g - CHANCE, 0)))
-        w = count * self.weight[term]
+        w *= self.weight[term]
         w /= np.sqrt(np.bincount(owner, w * w, n))[owner]
         # Examples that share their strongest term are neighbours, so that blocks share terms.
         strongest = np.full(n, -1)
-        by_weight = np.lexsort((w, owner))
-        strongest[owner[by_weight]] = term[by_weight]
+        top = np.maximum.reduceat(w, (np.cumsum(size) - size)[size > 0]) if len(w) else w
+        at_top = np.flatnonzero(w == np.repeat(top, size[size > 0]))[::-1]
+        strongest[owner[at_top]] = term[at_top]
         order = np.lexsort((ids, strongest))
         self.ids, self.labels = ids[order], labels[order]
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         along = np.lexsort((place[owner], term))
-        term, self.place, self.w = term[along], place[owner[along]].astype(np.int32), w[along]
+        term, self.place, self.w = term[along].astype(np.int64), place[owner[along]], w[along]
         self.blocks = -(-n // BLOCK)
+        # Postings of common terms, which most blocks have, are columns of the blocks; those of all others are lists.
+        common = np.flatnonzero(df >= COMMON * n)
+        self.column = np.full(len(self.terms), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.blocks, BLOCK, len(common)))
+        mine = self.column[term] >= 0
+        self.dense[self.place[mine] // BLOCK, self.place[mine] % BLOCK, self.column[term[mine]]] = self.w[mine]
+        self.dense_most = self.dense.max(axis=1, initial=0.0)
+        term, self.place, self.w = term[~mine], self.place[~mine], self.w[~mine]
         new = np.flatnonzero(np.diff(term * max(1, self.blocks) + self.place // BLOCK, prepend=-1))
         self.start, self.size = new, np.diff(new, append=len(term))
         self.block = self.place[new] // BLOCK
@@ -137,8 +154,7 @@ class ExampleIndex:
                 missing = words
             h = self.stems.hashed(missing)
             at = np.searchsorted(self.terms, h)
-            found = np.append(self.terms, np.uint64(0))[at] == h
-            found[at == len(self.terms)] = False
+            found = self.terms.take(at, mode="clip") == h if len(self.terms) else np.zeros(len(h), bool)
             self.known.update(zip(missing, np.where(found, at, -1).tolist(), strict=True))
         return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
@@ -152,35 +168,58 @@ class ExampleIndex:
         norm = np.sqrt(w @ w + other @ other)
         return term, w / norm if norm else w
 
-    def nearest(self, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term, and of all that tie with the last of them."""
-        entry = ranges(self.first[term], self.first[term + 1] - self.first[term])
-        weight = np.repeat(w, self.first[term + 1] - self.first[term])
-        block = self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.blocks)
-        scores = np.zeros(len(self.ids))
-        todo = np.zeros(self.blocks, bool)
-        todo[np.argsort(-bound, kind="stable")[: 2 + k // BLOCK]] = True
-        left = bound > 0
-        while (todo := todo & left).any():
-            mine = todo[block]
-            e = entry[mine]
-            at = ranges(self.start[e], self.size[e])
-            scores += np.bincount(self.place[at], np.repeat(weight[mine], self.size[e]) * self.w[at], len(scores))
-            left &= ~todo
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            todo = bound >= least - 1e-9  # no other block can hold a nearer example
-        scores = np.round(scores, 12)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        found = np.flatnonzero((scores >= least) & (scores > 0))
-        return found, scores[found]
-
-    def score(self, words: dict[str, int]) -> tuple[float, list[int]]:
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights): places and cosines of the k nearest examples that share a term, and of all that tie
+        with the last of them."""
+        common, lists = np.zeros((len(queries), self.dense.shape[2])), []
+        bound = np.zeros((len(queries), self.blocks))
+        for i, (term, w) in enumerate(queries):
+            at = self.column[term]
+            common[i, at[at >= 0]] = w[at >= 0]
+            term, w = term[at < 0], w[at < 0]
+            count = self.first[term + 1] - self.first[term]
+            entry, weight = ranges(self.first[term], count), np.repeat(w, count)
+            lists.append((entry, weight, self.block[entry]))
+            bound[i] = np.bincount(self.block[entry], weight * self.most[entry], self.blocks)
+        bound += common @ self.dense_most.T
+        if not bound.size:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        scores = np.zeros((len(queries), self.blocks, BLOCK))
+        done = bound <= 0
+
+        def add(todo: np.ndarray) -> None:
+            for b in np.flatnonzero(todo.any(axis=0)):
+                rows = np.flatnonzero(todo[:, b])
+                scores[rows, b] += common[rows] @ self.dense[b].T
+            for i in np.flatnonzero(todo.any(axis=1)):
+                entry, weight, block = lists[i]
+                mine = todo[i][block]
+                e = entry[mine]
+                at = ranges(self.start[e], self.size[e])
+                scores[i] += np.bincount(self.place[at], np.repeat(weight[mine], self.size[e]) * self.w[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+            done[todo] = True
+
+        def least(scored: np.ndarray) -> np.ndarray:
+            """The k-th highest score of each query, less what the order of sums may change."""
+            return np.partition(scored, -k, axis=1)[:, -k, None] - 1e-12 if scored.shape[1] > k else np.zeros((len(scored), 1))
+
+        rows, best = np.arange(len(queries))[:, None], np.argsort(-bound, axis=1)[:, : -(-k // BLOCK)]
+        first = np.zeros_like(done)
+        first[rows, best] = True
+        add(first & ~done)
+        add((bound >= least(scores[rows, best].reshape(len(queries), -1)) - 1e-9) & ~done)  # no other block can hold a nearer example
+        scores = scores.reshape(len(queries), -1)
+        found = [np.flatnonzero(enough) for enough in (scores >= least(scores)) & (scores > 0)]
+        return [(at, np.round(s[at], 12)) for s, at in zip(scores, found, strict=True)]
+
+    def scores(self, texts: list[dict[str, int]]) -> list[tuple[float, list[int]]]:
         """Votes weighed by 1 / (distance + 0.1) and one vote for the share of the label; evidence: doc_ids by nearness."""
-        found, s = self.nearest(*self.vector(words)) if words and len(self.ids) else (np.zeros(0, np.int64), np.zeros(0))
-        votes = 1 / (1.1 - np.minimum(s, 1.0))
-        best = np.lexsort((self.ids[found], -s))[:3]
-        return float(min(1.0, (votes @ self.labels[found] + self.prior) / (votes.sum() + 1))), self.ids[found[best]].tolist()
+        out = []
+        for found, s in self.nearest([self.vector(words) for words in texts]):
+            votes = 1 / (1.1 - np.minimum(s, 1.0))
+            best = np.lexsort((self.ids[found], -s))[:3]
+            out.append((float(min(1.0, (votes @ self.labels[found] + self.prior) / (votes.sum() + 1))), self.ids[found[best]].tolist()))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
@@ -216,14 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = [w.as_py() for w in part.column(2)]
-            terms = [stems.hashed(x["word"] for x in r).tobytes() for r in rows]
-            counts = [np.array([x["n"] for x in r], np.int32).tobytes() for r in rows]
+            found = [stems.counts({x["word"]: x["n"] for x in w.as_py()}) for w in part.column(2)]
+            terms, counts = ([x[k].tobytes() for x in found] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "label", "terms", "counts"])
 
     rows = examples.select("doc_id", "label", "words").mapInArrow(hashed, "doc_id long, label int, terms binary, counts binary").collect()  # MOST_EXAMPLES rows
     release(docs.sparkSession, path)
-    return ExampleIndex(stems, [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in rows])
+    return ExampleIndex(stems, [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in rows])
 
 
 def beginnings(examples: DataFrame) -> list[str]:
@@ -268,7 +306,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for part in slices(batches):
-            found = [index.score(Counter(words_of(t.as_py()))) for t in part.column(2)]
+            found = index.scores([Counter(words_of(t.as_py())) for t in part.column(2)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(scored, "doc_id long, held_out boolean, score double, evidence array<bigint>")
@@ -286,6 +324,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for part in slices(batches):
-            yield part.filter(pa.array([index.score(Counter(words_of(t.as_py())))[0] < THRESHOLD for t in part.column(at)], pa.bool_()))
+            yield part.filter(pa.array([s < THRESHOLD for s, _ in index.scores([Counter(words_of(t.as_py())) for t in part.column(at)])], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
