@@ -4,19 +4,24 @@ A fingerprint is cut into segments of two bits and mapped to the vector of its s
 distance of two vectors is at most the Hamming distance of their fingerprints. The range-join under that lower bound
 uses grids, each of which looks at some of the coordinates only: two vectors meet in a grid when those agree.
 
-* Exact mode: the coordinates form 6 groups, and there is a grid for each 3 of them. A distance of 3 or less touches at
+* Exact grids: the coordinates form 6 groups, and there is a grid for each 3 of them. A distance of 3 or less touches at
   most 3 groups, so two such vectors agree on 3 groups at least and meet in some grid: no link is lost.
-* Similarity mode, for thresholds at which exact grids would be of no use: SETS random sets of coordinates.
+* Random grids, for thresholds at which exact grids would be of no use: random sets of coordinates.
 
 Within a cell, candidates are verified by the Hamming distance itself. Equal fingerprints are one node from the start.
 A cell with more than TILE nodes is dealt out as pairs of tiles, and each task passes on edges that span its links, at
 most one a node, never all pairs.
+
+Where similarity of shingle sets is asked for, links of fingerprints are candidates only, and the sets decide: first for the
+edges passed on, then, in groups whose members those edges did not join, for the other candidates between different parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import accumulate, combinations
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraweave.llm.components import components
-from terraweave.llm.storage import materialize
+from terraweave.llm.storage import materialize, release
 
 #: Nodes of a cell that one task compares with each other.
 TILE = 4096
-#: Similarity mode: grids and coordinates of each. At a Jaccard similarity of 0.8, two fingerprints agree on a segment's
-#: count with probability 0.73, on 10 with 0.045, and meet in one of 48 grids with 0.89; at 0.85 with 0.98.
-SETS, SET_SIZE, SET_SEED = 48, 10, 20240501
+#: Random grids: coordinates of each, and their number, for so many nodes. At a Jaccard similarity of 0.8 two fingerprints of
+#: 128 bits agree on a segment's count with probability 0.73; simulated, 97 % of such pairs meet in one of 80 sets of 8.
+#: Unrelated ones agree with probability 3/8, so with 8/3 times the nodes a set has one coordinate more, and there are
+#: 1 / 0.73 times as many of them: cells and recall stay as they are.
+SET_SIZE, SETS, SET_NODES, SET_SEED, AGREE = 8, 80, 1 << 18, 20240501, 0.73
+#: Bits in which candidates differ at most: at a similarity of 0.8 the distance is 19.4 on average, with a deviation of 4.1.
+CANDIDATE_BITS = 34
+#: Nodes of a tile and bytes of their shingle sets, where members of a group are compared by their sets.
+SET_TILE, SET_TILE_BYTES = 1024, 16 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -61,29 +72,24 @@ def majority(hashes: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, repeats: bool = True) -> DataFrame:
-    """(doc_id, f0, ...): the SimHash of each row's word shingles as signed 64-bit lanes.
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, f0): 64 bits of SimHash over each row's word shingles, repeats included; bits are those of XXH64, seed 42.
 
-    One lane: bits of XXH64 with seed 42. Two lanes: bits of XXH3-128. repeats: whether a shingle counts each time it
-    occurs. Null, empty and blank texts have no shingles and the fingerprint zero.
+    Null, empty and blank texts have no shingles and the fingerprint zero.
     """
-    width = 8 * lanes
 
     def hashed(text: str | None) -> np.ndarray:
-        grams = shingles_of(words_of(text), shingle)
-        if lanes == 1:
-            h = [xxhash.xxh64_intdigest(g, 42) for g in (grams if repeats else set(grams))]
-            return np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(g) for g in (grams if repeats else set(grams))]), np.uint8).reshape(-1, 16)
+        h = [xxhash.xxh64_intdigest(g, 42) for g in shingles_of(words_of(text), shingle)]
+        return np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                bits = majority([hashed(t.as_py()) for t in part.column(1)], width).view("<i8")
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes)]], names=["doc_id", *[f"f{k}" for k in range(lanes)]])
+                bits = majority([hashed(t.as_py()) for t in part.column(1)], 8).view("<i8")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.ascontiguousarray(bits[:, 0]))], names=["doc_id", "f0"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f0 long")
 
 
 def segment_counts(f: np.ndarray) -> np.ndarray:
@@ -93,13 +99,17 @@ def segment_counts(f: np.ndarray) -> np.ndarray:
     return pairs[:, :, 0] + pairs[:, :, 1]
 
 
-def grids(lanes: int, exact: bool) -> list[np.ndarray]:
-    """The coordinates that each grid looks at."""
-    if exact:
-        groups = np.array_split(np.arange(32 * lanes), 6)
-        return [np.concatenate([groups[g] for g in three]) for three in combinations(range(6), 3)]
+def exact_grids() -> list[np.ndarray]:
+    """The coordinates that each grid looks at, for distances up to 3 of 64 bits."""
+    groups = np.array_split(np.arange(32), 6)
+    return [np.concatenate([groups[g] for g in three]) for three in combinations(range(6), 3)]
+
+
+def random_grids(nodes: int, lanes: int) -> list[np.ndarray]:
+    """As many sets of coordinates as SETS says for so many nodes."""
+    more = max(0, ceil(log(max(1, nodes) / SET_NODES) / log(8 / 3)))
     rng = np.random.default_rng(SET_SEED)
-    return [np.sort(rng.choice(32 * lanes, SET_SIZE, replace=False)) for _ in range(SETS)]
+    return [np.sort(rng.choice(32 * lanes, SET_SIZE + more, replace=False)) for _ in range(ceil(SETS / AGREE**more))]
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -155,9 +165,9 @@ def close_pairs(f: np.ndarray, start: int, size: int, left: np.ndarray | None, d
     return np.concatenate([*found[0], np.zeros(0, int)]), np.concatenate([*found[1], np.zeros(0, int)])
 
 
-def links(nodes: DataFrame, lanes: int, distance: int, exact: bool, tile: int = TILE) -> DataFrame:
-    """(u, v): edges whose components are those of nodes(node, f0, ...) linked at `distance` bits or fewer."""
-    sets = grids(lanes, exact)
+def links(nodes: DataFrame, sets: list[np.ndarray], lanes: int, distance: int, tile: int = TILE) -> DataFrame:
+    """(u, v): edges whose components are those of nodes(node, f0, ...) that meet in a grid and are linked at `distance` bits
+    or fewer."""
     lane_names = [f"f{k}" for k in range(lanes)]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,23 +219,22 @@ def links(nodes: DataFrame, lanes: int, distance: int, exact: bool, tile: int =
     return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(verify, "u long, v long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, lanes: int = 1, repeats: bool = True, distance: int = 3, exact: bool = True) -> DataFrame:
-    """(doc_id, f0, ..., component_id) of each row of docs(doc_id, text).
+def near_groups(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """(doc_id, f0, component_id) of each row of docs(doc_id, text).
 
-    Rows whose fingerprints differ in at most `distance` bits are linked; component_id is the smallest doc_id that can
-    be reached over links, the row's own included. exact needs a distance of 3 at most. Rows without words share the
-    fingerprint zero and are linked like any others. Null doc_ids are no nodes: their component_id is null. Equal rows
-    give equal rows. An empty table gives an empty result.
+    Rows whose fingerprints differ in at most `distance` bits, 3 or fewer, are linked; component_id is the smallest doc_id that
+    can be reached over links, the row's own included. Rows without words share the fingerprint zero and are linked like any
+    others. Null doc_ids are no nodes: their component_id is null. Equal rows give equal rows. An empty table gives an
+    empty result.
     """
-    if exact and (distance > 3 or lanes != 1):
+    if distance > 3:
         raise ValueError("the exact grids are for distances up to 3 of 64 bits")
-    lane_names = [f"f{k}" for k in range(lanes)]
-    prints, _ = materialize(fingerprints(docs, shingle, lanes, repeats), "prints")
-    nodes, _ = materialize(prints.groupBy(*lane_names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
-    roots = components(links(nodes, lanes, distance, exact))
-    classes = nodes.join(roots, "node", "left").select(*lane_names, F.coalesce("root", "node").alias("component_id"))
-    found = prints.join(classes, lane_names, "left")
-    return found.select("doc_id", *lane_names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    prints, _ = materialize(fingerprints(docs), "prints")
+    nodes, _ = materialize(prints.groupBy("f0").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
+    roots = components(links(nodes, exact_grids(), 1, distance))
+    classes = nodes.join(roots, "node", "left").select("f0", F.coalesce("root", "node").alias("component_id"))
+    found = prints.join(classes, "f0", "left")
+    return found.select("doc_id", "f0", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def fingerprint_groups(docs: DataFrame) -> DataFrame:
@@ -233,13 +242,137 @@ def fingerprint_groups(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, similarity_bits: int = 26) -> DataFrame:
-    """The rows of docs that stay when each group of near copies keeps the document with the smallest doc_id.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes (XXH3-128, as 16 bytes each) of a text's distinct word shingles, sorted."""
+    raw = [xxhash.xxh3_128_digest(g) for g in set(shingles_of(words_of(text), shingle))]
+    return np.frombuffer(b"".join(sorted(raw)), np.uint8).reshape(-1, 16)
+
+
+def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, f0, f1, digest): 128 bits of SimHash over the set of shingles, and a hash of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
+                bits = majority(sets, 16).view("<i8")
+                digest = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(x)) for x in (bits[:, 0], bits[:, 1], digest)]], names=["doc_id", "f0", "f1", "digest"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f0 long, f1 long, digest long")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the distinct shingles, as 64-bit hashes, of the rows of docs that have a doc_id of nodes(node)."""
 
-    Sets of five-word shingles, 128 bits: at a Jaccard similarity of 0.8 fingerprints differ in 19.4 bits on average,
-    with a deviation of 4, so 26 bits keep 95 % of such pairs linked; unrelated texts differ in 64, with a deviation of
-    5.7. Rows with a null doc_id stay. Rows that share a doc_id stay or go together.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(np.ascontiguousarray(shingle_set(t.as_py(), shingle)).view("<i8")[:, 0]) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.select("node").distinct(), "node", "left_semi")
+    return texts.mapInArrow(run, "node long, hashes array<long>")
+
+
+def least_shared(similarity: float) -> tuple[int, int]:
+    """Whole numbers p and q with p / q = similarity: q * shared >= p * (all) is exact."""
+    return Fraction(similarity).limit_denominator(10_000).as_integer_ratio()
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of edges(u, v) whose sets have the Jaccard similarity or more."""
+    p, q = least_shared(similarity)
+    a, b = (sets.select(F.col("node").alias(end), F.col("hashes").alias(f"_{end}")) for end in ("u", "v"))
+    n = F.size(F.array_intersect("_u", "_v"))
+    enough = (F.least(F.size("_u"), F.size("_v")) * q >= F.greatest(F.size("_u"), F.size("_v")) * p) & (n * q >= (F.size("_u") + F.size("_v") - n) * p)
+    return edges.join(b, "v").join(a, "u").where(enough).select("u", "v").distinct()
+
+
+def links_between_parts(members: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): edges that join the parts of each group where members are similar.
+
+    members(node, f0, f1, hashes, grp, part, main): `part` tells which are joined already, and `main` marks the members of the
+    group's largest part. Those that are not of the main part are compared with all others: pairs of tiles of a bounded
+    size, of which each task passes on edges that span its links. Candidates are pairs within CANDIDATE_BITS.
+    """
+    p, q = least_shared(similarity)
+    size = members.groupBy("grp").agg(*[F.greatest(F.ceil(F.count(F.when(is_side, 1)) / F.lit(SET_TILE)), F.ceil(F.sum(F.when(is_side, F.size("hashes") * 8)) / F.lit(SET_TILE_BYTES)), F.lit(1)).cast("int").alias(name) for name, is_side in (("others", ~F.col("main")), ("mains", F.col("main")))])
+    dealt = members.join(size, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    places = F.expr("""CASE WHEN main THEN transform(sequence(0, others - 1), t -> struct(t AS ti, -1 - own AS tj))
+        ELSE concat(transform(sequence(0, mains - 1), t -> struct(own AS ti, -1 - t AS tj)), transform(sequence(0, others - 1), t -> struct(least(own, t) AS ti, greatest(own, t) AS tj))) END""")
+    dealt = dealt.withColumn("p", F.explode(places)).select("grp", "p.ti", "p.tj", F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"), "node", "part", "f0", "f1", "hashes")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ti, tj, own, node, part, f0, f1 = (group.column(c).to_numpy() for c in ("ti", "tj", "own", "node", "part", "f0", "f1"))
+        lists = group.column("hashes").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(at)
+        f = np.stack([f0, f1], axis=1).view(np.uint64)
+        i, j = close_pairs(f, 0, len(f), own == ti[0] if ti[0] != tj[0] else None, CANDIDATE_BITS)
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        keep = (part[i] != part[j]) & (small * q >= large * p)
+        i, j = i[keep], j[keep]
+        bits = sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int64) for k in range(2))
+        root = {x: x for x in part.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        u, v = [], []
+        for x, y in zip(i[np.argsort(bits, kind="stable")].tolist(), j[np.argsort(bits, kind="stable")].tolist(), strict=True):
+            a, b = find(int(part[x])), find(int(part[y]))
+            if a != b:
+                n = len(np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True))
+                if n * q >= (size[x] + size[y] - n) * p:
+                    root[a] = b
+                    u.append(node[x])
+                    v.append(node[y])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return dealt.groupBy("grp", "ti", "tj").applyInArrow(compare, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) of each row of docs(doc_id, text).
+
+    Rows are linked if the Jaccard similarity of their sets of word shingles, lower-cased (A-Z), is `similarity` or more;
+    component_id is the smallest doc_id that can be reached over links. Each link is verified on the sets (as 64-bit
+    hashes), so no row is linked below the similarity. Candidates come from the grids: a pair that meets in none of them
+    is linked only through others (see SETS). Rows without words have equal, empty sets. Rows that share a doc_id are one
+    document where sets are compared. Null doc_ids are no nodes: their component_id is null. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    prints, _ = materialize(set_prints(docs, shingle), "prints")
+    nodes, _ = materialize(prints.groupBy("f0", "f1", "digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
+    edges, edges_at = materialize(links(nodes, random_grids(nodes.count(), 2), 2, CANDIDATE_BITS, SET_TILE).distinct(), "candidates")
+    groups = components(edges)
+    sets, sets_at = materialize(sets_of(docs, groups, shingle), "sets")
+    sure, sure_at = materialize(verified(edges, sets, similarity), "verified")
+    parts = components(sure)
+    placed = groups.withColumnRenamed("root", "grp").join(parts, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("part"))
+    # Groups whose members the verified edges did not join: all their members, the largest part marked.
+    counted = placed.groupBy("grp", "part").agg(F.count("*").alias("n"))
+    torn = counted.groupBy("grp").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest")).where("parts > 1")
+    members = placed.join(torn, "grp").select("node", "grp", "part", (F.col("part") == F.col("largest")).alias("main"))
+    members = members.join(nodes.select("node", "f0", "f1"), "node").join(sets, "node")
+    roots = components(sure.union(links_between_parts(members, similarity)))
+    release(spark, edges_at, sets_at, sure_at)
+    classes = nodes.join(roots, "node", "left").select("f0", "f1", "digest", F.coalesce("root", "node").alias("component_id"))
+    found = prints.join(classes, ["f0", "f1", "digest"], "left")
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, as they are, that stay when each group of near copies keeps the document with the smallest doc_id.
+
+    Groups are those of similar_groups() over five-word shingles. Rows with a null doc_id stay. Rows that share a doc_id stay
+    or go together; null and empty texts are one group.
     """
-    groups = near_groups(docs, shingle=5, lanes=2, repeats=False, distance=similarity_bits, exact=False)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = similar_groups(docs, similarity)
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

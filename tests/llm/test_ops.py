@@ -209,6 +209,64 @@ def test_simhash_deduplicate_keeps_one_of_each_group(spark, texts):
     assert simhash.deduplicate(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def jaccard(a, b, n=5):
+    sets = [{" ".join(w[k : k + n]) for k in range(len(w) - n + 1)} or ({" ".join(w)} if w else set()) for w in (t.lower().split() for t in (a, b))]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def edited(rng, text, share):
+    """A copy with words replaced until about `share` of the five-word runs are left in common."""
+    words = text.split()
+    out = list(words)
+    while jaccard(text, " ".join(out)) > share:
+        out[rng.randrange(len(out))] = "new" + str(rng.randrange(10**6))
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("tile", [1024, 2])
+def test_similarity_decides(spark, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_TILE", tile)
+    rng = random.Random(15)
+    rows, pairs = [], []
+    for k in range(240):
+        base = prose(rng, rng.randint(60, 250))
+        copy = edited(rng, base, (0.65, 0.76, 0.84, 0.9)[k % 4])
+        rows += [(2 * k, base), (2 * k + 1, copy)]
+        pairs.append((2 * k, 2 * k + 1, jaccard(base, copy)))
+    root = prose(rng, 200)  # a family: all near the root, not all near each other
+    family = [(1000 + k, edited(rng, root, 0.85)) for k in range(25)]
+    rows += [*family, (2000, root), (3000, "Short text"), (3001, "short TEXT"), (3002, None), (3003, ""), (None, root)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs_of(spark, rows)).collect()}
+    assert all(got[a] != got[b] for a, b, j in pairs if j < 0.8)
+    near = [got[a] == got[b] for a, b, j in pairs if j >= 0.8]
+    assert len(near) > 100 and np.mean(near) >= 0.97
+    assert {got[k] for k, _ in family} | {got[2000]} == {1000}
+    assert got[3001] == 3000 and got[3003] == 3002 and got[None] is None
+
+
+def test_parts_are_joined_where_spanning_edges_fail(spark):
+    """Two chains of near copies in one group, some of whose candidates are not similar enough."""
+    rng = random.Random(16)
+    words = prose(rng, 120).split()
+    rows = []
+    for k in range(30):
+        rows.append((k, " ".join(words)))
+        words = words[2:] + prose(rng, 2).split()
+    want = {k: k for k, _ in rows}
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and jaccard(x, y) >= 0.8:
+                lo, hi = sorted((want[a], want[b]))
+                want = {k: lo if r == hi else r for k, r in want.items()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs_of(spark, rows)).collect()}
+    assert got == want
+    members = simhash.sets_of(docs_of(spark, rows), spark.range(30).withColumnRenamed("id", "node"), 5)
+    prints = simhash.set_prints(docs_of(spark, rows), 5).withColumnRenamed("doc_id", "node")
+    members = members.join(prints, "node").selectExpr("node", "0L AS grp", "node AS part", "node % 3 = 0 AS main", "f0", "f1", "hashes")
+    found = [tuple(r) for r in simhash.links_between_parts(members, 0.8).collect()]
+    assert found and all(jaccard(rows[u][1], rows[v][1]) >= 0.8 for u, v in found)
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     v = [(int(k), [float(x) for x in rng.normal(size=6)]) for k in range(230)]
@@ -234,7 +292,7 @@ def plain_scores(stems, examples, text):
         c = {}
         for w in words:
             c[fold(w)] = c.get(fold(w), 0) + 1
-        counted.append((doc, y, c, int(math.log2(len(set(words)) + 1))))
+        counted.append((doc, y, c, int(math.log2(len(c) + 1))))
     share = {b: (sum(y for _, y, _, x in counted if x == b) + prior) / (sum(x == b for *_, x in counted) + 1) for b in {x for *_, x in counted}}
     weight = {}
     for t in {t for _, _, c, _ in counted for t in c}:
@@ -268,15 +326,15 @@ def test_nearest_examples_are_exact():
     examples = [(k, int(rng.random() < 0.3), draw(rng.randint(0, 6))) for k in range(300)]
     examples += [(400 + k, 1, ["gw", *draw(3)]) for k in range(60)] + [(500 + k, 0, ["ax", "bx"]) for k in range(40)]
     s = toxicity.Stems(stems)
-    distinct = [(d, y, list(dict.fromkeys(w))) for d, y, w in examples]
-    index = toxicity.ExampleIndex(s, [(d, y, s.hashed(w), np.ones(len(w))) for d, y, w in distinct])
+    index = toxicity.ExampleIndex(s, [(d, y, *s.counts(Counter(w))) for d, y, w in examples])
     for k in range(120):
         text = draw(rng.randint(1, 9)) + ["unheard"] * (k % 3)
-        near, want = plain_scores(stems, distinct, text)
-        found, _ = index.nearest(*index.vector(Counter(text)))
+        near, want = plain_scores(stems, examples, text)
+        ((found, _),) = index.nearest([index.vector(Counter(text))])
         assert set(index.ids[found].tolist()) == near
-        assert abs(index.score(Counter(text))[0] - want) < 1e-9
-    assert index.score(Counter())[0] == index.score(Counter(["unheard"]))[0] == index.prior
+        assert abs(index.scores([Counter(text)])[0][0] - want) < 1e-9
+    assert [s for s, _ in index.scores([Counter(), Counter(["unheard"])])] == [index.prior] * 2
+    assert toxicity.ExampleIndex(s, []).scores([Counter("ab")] * 2) == [(0.0, [])] * 2 and index.scores([]) == []
 
 
 def test_toxicity_matches_brute_force(spark):
