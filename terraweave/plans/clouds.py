@@ -136,7 +136,7 @@ def j14(spark, sf):
 
 _AWAY = "sqrt(((cx + 0.5) * 0.5 - ox) ** 2 + ((cy + 0.5) * 0.5 - oy) ** 2 + ((cz + 0.5) * 0.5 - oz) ** 2)"
 _RAYS_SQL = f"""{ORIGIN_SQL},
-rays AS (SELECT *, sqrt((x-ox)*(x-ox)+(y-oy)*(y-oy)+(z-oz)*(z-oz)) AS distance FROM (SELECT * FROM pts WHERE tag < 8) p JOIN origins USING (frame)),
+rays AS (SELECT *, sqrt((x-ox)*(x-ox)+(y-oy)*(y-oy)+(z-oz)*(z-oz)) AS distance FROM pts p JOIN origins USING (frame)),
 dir AS (SELECT *, (x-ox)/distance AS ux, (y-oy)/distance AS uy, (z-oz)/distance AS uz, 0.1::DOUBLE AS t0, least(distance - 0.06, 30.0) AS t1 FROM rays WHERE distance * distance BETWEEN 0.01 AND 40000),
 ends AS (SELECT *, floor((ox+ux*t0)/0.5)::BIGINT AS x0, floor((ox+ux*t1)/0.5)::BIGINT AS x1, floor((oy+uy*t0)/0.5)::BIGINT AS y0, floor((oy+uy*t1)/0.5)::BIGINT AS y1, floor((oz+uz*t0)/0.5)::BIGINT AS z0, floor((oz+uz*t1)/0.5)::BIGINT AS z1 FROM dir WHERE t1 > t0),
 cutlist AS (SELECT *, list_sort(list_distinct(list_filter([t0, t1] || [(k * 0.5 - ox) / ux FOR k IN range(least(x0, x1) + 1, greatest(x0, x1) + 1)] || [(k * 0.5 - oy) / uy FOR k IN range(least(y0, y1) + 1, greatest(y0, y1) + 1)] || [(k * 0.5 - oz) / uz FOR k IN range(least(z0, z1) + 1, greatest(z0, z1) + 1)], lambda t: t BETWEEN t0 AND t1))) AS cuts FROM ends),
@@ -148,7 +148,7 @@ scores AS (SELECT cx, cy, cz, sum(e) AS score FROM ev GROUP BY cx, cy, cz)"""
 
 
 def _rays(spark, sf):
-    return P.rays(V.points(spark, sf).where("tag < 8"), origins(spark))
+    return P.rays(V.points(spark, sf), origins(spark))
 
 
 @_f.query("m12_x07_ray_cells", W + f", {_RAYS_SQL} SELECT cx, cy, cz, count(*) AS rays FROM walked GROUP BY cx, cy, cz")
@@ -167,32 +167,6 @@ def f10(spark, sf):
     return found.agg(F.count("*").alias("points"), F.count_if("noise").alias("noise"), F.count_if(~F.col("noise")).alias("kept"))
 
 
-# The SQL of the three queries above names the returns with tag < 8; these have none, and every return casts its ray.
-
-
-def _whole_rays(spark, sf):
-    return P.rays(V.points(spark, sf), origins(spark))
-
-
-@_f.query("m12_x07_ray_cells_whole")
-def m12_whole(spark, sf):
-    """Rows only: tests hold them against the SQL of m12 without its filter, on the smallest tables."""
-    return P.ray_cells(_whole_rays(spark, sf), 0.5).groupBy(*P.CELL).agg(F.count("*").alias("rays"))
-
-
-@_f.query("a07_j10_j11_ray_evidence_whole")
-def a07_whole(spark, sf):
-    """Rows only: as m12_whole."""
-    return P.ray_evidence(_whole_rays(spark, sf), 0.5).withColumn("score", rounded(F.col("score")))
-
-
-@_f.query("f10_f11_j09_a08_noise_whole")
-def f10_whole(spark, sf):
-    """Rows only: as m12_whole."""
-    found = P.classified(V.points(spark, sf), P.ray_evidence(_whole_rays(spark, sf), 0.5), 0.5)
-    return found.agg(F.count("*").alias("points"), F.count_if("noise").alias("noise"), F.count_if(~F.col("noise")).alias("kept"))
-
-
 @_f.query("m13_intensity", W + " SELECT point_id, trunc(greatest(0.0, least(255.0, CASE WHEN intensity <= 50 THEN intensity * 4.0::DOUBLE ELSE (intensity - 50) * 55.0::DOUBLE / 205.0 + 200.0 END)))::INT AS stretched FROM pts")
 def m13(spark, sf):
     return V.points(spark, sf).select("point_id", C.stretched_intensity(F.col("intensity")).alias("stretched"))
@@ -249,9 +223,9 @@ def f18(spark, sf):
     return P.violations(V.points(spark, sf), {"finite": G.finite(F.col("x")), "unit_normal": F.abs(G.dot(n, n) - 1) <= 1e-8, "range": G.dot(xyz(), xyz()) <= 30})
 
 
-@_f.query("f26_w03_export_rank", W + ", r AS (SELECT frame, point_id, row_number() OVER (PARTITION BY frame ORDER BY t_us, point_id) - 1 AS export_rank FROM pts WHERE tag % 2 = 0) SELECT * FROM r")
+@_f.query("f26_w03_export_rank", W + ", r AS (SELECT frame, point_id, row_number() OVER (PARTITION BY frame ORDER BY t_us, point_id) - 1 AS export_rank FROM pts) SELECT * FROM r")
 def f26(spark, sf):
-    return S.export_ranks(V.points(spark, sf).where(F.col("tag") % 2 == 0)).select("frame", "point_id", "export_rank")
+    return S.export_ranks(V.points(spark, sf)).select("frame", "point_id", "export_rank")
 
 
 @_f.query("m23_m24_quantized", W + ", o AS (SELECT floor(min(x)) AS ox, floor(min(y)) AS oy, floor(min(z)) AS oz FROM pts) SELECT point_id, round_even((x - ox) / 1e-4, 0)::BIGINT AS qx, round_even((y - oy) / 1e-4, 0)::BIGINT AS qy, round_even((z - oz) / 1e-4, 0)::BIGINT AS qz, round_even(greatest(0.0, least(255.0, r::DOUBLE)) * 257, 0)::INT AS red, round_even(greatest(0.0, least(1.0, g / 255.0::DOUBLE)) * 65535, 0)::INT AS green, round_even(0.72 * 255, 0)::INT AS grey FROM pts, o")
@@ -280,12 +254,12 @@ def t01(spark, sf):
     return odometry.table(V.points(spark, sf).select((F.col("point_id") % 2).alias("recording"), "frame", F.col("point_id").alias("sample"), "x", "y", "z"))
 
 
-@_f.query("w12_w13_spaced_ids", "WITH c AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT i, floor(i * (n - 1) / 499.0::DOUBLE)::BIGINT AS id, i // 62 AS win FROM range(500) r(i), c) SELECT win, count(DISTINCT id) AS ids, min(id) AS first, max(id) AS last FROM k GROUP BY win")
+@_f.query("w12_w13_spaced_ids", "WITH c AS (SELECT count(*) AS n FROM orders), k AS (SELECT i, floor(i * (n - 1) / 499.0::DOUBLE)::BIGINT AS id, i // 62 AS win FROM range(500) r(i), c) SELECT win, count(DISTINCT id) AS ids, min(id) AS first, max(id) AS last FROM k GROUP BY win")
 def w12(spark, sf):
     """Evenly spaced ids, in windows of 62."""
     from terraweave.session import table
 
-    n = table(spark, sf, "orders").where("o_orderkey % 2 = 0").agg(F.count("*").alias("n"))
+    n = table(spark, sf, "orders").agg(F.count("*").alias("n"))
     k = spark.range(500).crossJoin(n).select(F.floor(F.col("id") / 62).cast("long").alias("win"), F.floor(F.col("id") * (F.col("n") - 1) / 499.0).cast("long").alias("id"))
     return k.groupBy("win").agg(F.count_distinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"))
 

@@ -203,11 +203,11 @@ def a28(spark, sf):
     return held.agg(F.percentile(F.abs("dr"), F.lit(0.5)).alias("median"), rounded(F.percentile(F.abs("dr"), F.lit(0.95))).alias("p95"))
 
 
-_FIELD = "field AS (SELECT p AS photo, ix, iy, ((p * 17 + ix * 5 + iy * 3) % 41 - 20)::DOUBLE AS \"offset\" FROM range(8) a(p), range(8) b(ix), range(6) c(iy))"
+_FIELD = "field AS (SELECT p AS photo, ix, iy, ((p * 17 + ix * 5 + iy * 3) % 41 - 20)::DOUBLE AS \"offset\" FROM range(25) a(p), range(8) b(ix), range(6) c(iy))"
 
 
 def _field(spark):
-    grid = spark.range(8).select(F.col("id").alias("photo"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ix")).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    grid = spark.range(V.PHOTOS).select(F.col("id").alias("photo"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ix")).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(5))))
     return grid.withColumn("offset", ((F.col("photo") * 17 + F.col("ix") * 5 + F.col("iy") * 3) % 41 - 20).cast("double"))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from terraweave.functions.geometry import d
 from terraweave.session import spread, table
 
-#: Photos, regions and frames are dimensions: their number is bounded by these predicates, not by the data.
-PHOTOS = 8
+#: Nations, by whose number photos are counted: a dimension that is the same at every scale.
+PHOTOS = 25
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,15 @@ POINTS = """pts AS (SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_part
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """photo, px, py, pz: at most PHOTOS camera centres below the cloud, looking up."""
-    return table(spark, sf_dir, "supplier").where(F.col("s_suppkey") < PHOTOS).select(F.col("s_suppkey").alias("photo"), (F.col("s_nationkey") / 10.0).alias("px"), (F.col("s_acctbal") / 4000.0).alias("py"), d(-1.0).alias("pz"))
+    """photo, px, py, pz: a camera centre below the cloud, looking up, for each nation that has a supplier.
+
+    All suppliers are read; nations are a dimension, so there are as many photos at every scale.
+    """
+    nation = table(spark, sf_dir, "supplier").where("s_nationkey IS NOT NULL").groupBy("s_nationkey").agg(F.min("s_acctbal").alias("low"))
+    return nation.select(F.col("s_nationkey").cast("long").alias("photo"), (F.col("s_nationkey") / 10.0).alias("px"), (F.col("low") / 4000.0).alias("py"), d(-1.0).alias("pz"))
 
 
-PHOTO_SQL = f"photos AS (SELECT s_suppkey AS photo, s_nationkey / 10.0::DOUBLE AS px, s_acctbal / 4000.0::DOUBLE AS py, -1.0::DOUBLE AS pz FROM supplier WHERE s_suppkey < {PHOTOS})"
+PHOTO_SQL = "photos AS (SELECT s_nationkey::BIGINT AS photo, s_nationkey / 10.0::DOUBLE AS px, min(s_acctbal) / 4000.0::DOUBLE AS py, -1.0::DOUBLE AS pz FROM supplier WHERE s_nationkey IS NOT NULL GROUP BY s_nationkey)"
 
 
 def surfels(spark: SparkSession, sf_dir: str) -> DataFrame:
