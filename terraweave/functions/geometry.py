@@ -186,49 +186,56 @@ def edges(v: Column) -> Column:
     return F.transform(v, lambda b, i: F.struct(b.alias("b"), F.when(i == 0, F.element_at(v, -1)).otherwise(F.get(v, i - 1)).alias("a")))
 
 
-def inside_polygon(x: Column, y: Column, v: Column) -> Column:
-    """Even-odd rule with half-open edges."""
+def crosses(x, y, a: tuple, b: tuple):
+    """Whether the edge from a to b, its upper end left out, is met by the ray from (x, y) to the right.
+
+    The sign of the area that edge and point span tells the side of the edge on which the point lies.
+    """
+    side = (b[0] - a[0]) * (y - a[1]) - (x - a[0]) * (b[1] - a[1])
+    return ((y >= a[1]) & (y < b[1]) & (side > 0)) | ((y >= b[1]) & (y < a[1]) & (side < 0))
+
+
+def edge_distance2(x, y, a: tuple, b: tuple):
+    """Squared distance to an edge: across it where the foot of the perpendicular is on it, else to its nearer end."""
+    along, to_a, to_b = (b[0] - a[0], b[1] - a[1]), (x - a[0], y - a[1]), (x - b[0], y - b[1])
 
-    def flips(e: Column) -> Column:
-        at = F.try_divide((e["a"]["x"] - e["b"]["x"]) * (y - e["b"]["y"]), e["a"]["y"] - e["b"]["y"]) + e["b"]["x"]
-        return F.coalesce(((e["b"]["y"] > y) != (e["a"]["y"] > y)) & (x < at), F.lit(False))
+    def dot2(p: tuple, q: tuple) -> Column:
+        return p[0] * q[0] + p[1] * q[1]
 
-    return F.aggregate(edges(v), F.lit(False), lambda acc, e: acc != flips(e))
+    area2 = along[0] * to_a[1] - along[1] * to_a[0]
+    on_it = (dot2(to_a, along) > 0) & (dot2(to_b, along) < 0)
+    return F.when(on_it, area2 * area2 / dot2(along, along)).otherwise(F.least(dot2(to_a, to_a), dot2(to_b, to_b)))
+
+
+def _ends(e: Column) -> tuple[tuple, tuple]:
+    return (e["a"]["x"], e["a"]["y"]), (e["b"]["x"], e["b"]["y"])
+
+
+def inside_polygon(x: Column, y: Column, v: Column) -> Column:
+    """Even-odd rule: whether the ray to the right meets an odd number of edges."""
+    return F.aggregate(edges(v), F.lit(False), lambda odd, e: odd != F.coalesce(crosses(x, y, *_ends(e)), F.lit(False)))
 
 
 def distance_to_edges(x: Column, y: Column, v: Column) -> Column:
     """Distance to the nearest edge; an edge without length is its vertex."""
+    return F.sqrt(F.aggregate(edges(v), d(float("inf")), lambda least, e: F.least(least, edge_distance2(x, y, *_ends(e)))))
 
-    def squared(e: Column) -> Column:
-        ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-        share = F.coalesce(F.try_divide((x - e["a"]["x"]) * ex + (y - e["a"]["y"]) * ey, ex * ex + ey * ey), d(0))
-        share = F.greatest(d(0), F.least(d(1), share))
-        dx, dy = x - (e["a"]["x"] + share * ex), y - (e["a"]["y"] + share * ey)
-        return dx * dx + dy * dy
 
-    return F.sqrt(F.aggregate(edges(v), d(float("inf")), lambda acc, e: F.least(acc, squared(e))))
+def _known_edges(points: Sequence[tuple[float, float]]) -> list[tuple[tuple, tuple]]:
+    corners = [(d(x), d(y)) for x, y in points]
+    return [(corners[k - 1], corners[k]) for k in range(len(corners))]
 
 
 def inside_outline(x: Column, y: Column, points: Sequence[tuple[float, float]]) -> Column:
     """inside_polygon() of a polygon that is known beforehand: its edges become plain arithmetic, which is compiled."""
-    crossings = F.lit(0)
-    for (ax, ay), (bx, by) in zip((points[-1], *points), points, strict=False):
-        if ay != by:
-            at = (ax - bx) * (y - d(by)) / d(ay - by) + d(bx)
-            crossings = crossings + F.when(((d(by) > y) != (d(ay) > y)) & (x < at), 1).otherwise(0)
-    return crossings % 2 == 1
+    met = [crosses(x, y, a, b).cast("int") for a, b in _known_edges(points)]
+    return sum(met[1:], met[0]) % 2 == 1
 
 
 def distance_to_outline(x: Column, y: Column, points: Sequence[tuple[float, float]]) -> Column:
     """distance_to_edges() of a polygon that is known beforehand."""
-    squares = []
-    for (ax, ay), (bx, by) in zip((points[-1], *points), points, strict=False):
-        ex, ey = bx - ax, by - ay
-        length = ex * ex + ey * ey
-        share = F.greatest(d(0), F.least(d(1), ((x - ax) * ex + (y - ay) * ey) / d(length))) if length else d(0)
-        dx, dy = x - (d(ax) + share * ex), y - (d(ay) + share * ey)
-        squares.append(dx * dx + dy * dy)
-    return F.sqrt(F.least(*squares)) if len(squares) > 1 else F.sqrt(squares[0])
+    near = [edge_distance2(x, y, a, b) for a, b in _known_edges(points)]
+    return F.sqrt(F.least(*near) if len(near) > 1 else near[0])
 
 
 def area(v: Column) -> Column:

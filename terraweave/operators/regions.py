@@ -86,8 +86,9 @@ def descendants(slices: DataFrame, root: int, depth: int = 64) -> DataFrame:
 
 
 def systematic_sample(pts: DataFrame, budget: int) -> DataFrame:
-    """Every k-th point by a hash of point_id, k the least that keeps the expected count within the budget: no order of
-    all rows is needed, and the choice is the same in every run."""
+    """The points whose point_id is divisible by k, the least k that brings their number within the budget where ids are
+    consecutive; hashed ids do so on average. No order of all rows is needed, and the choice is the same in every run. Ids
+    with a common stride are to be hashed first."""
     n = pts.count()
     k = max(1, -(-n // budget))
     return pts.where(F.pmod("point_id", F.lit(k)) == 0)

@@ -62,10 +62,9 @@ class BagReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("topic",):
-                self.only = {f.value} & (self.only or {f.value})
-            elif isinstance(f, In) and f.attribute == ("topic",):
-                self.only = set(f.value) & (self.only or set(f.value))
+            if f.attribute == ("topic",) and isinstance(f, EqualTo | In):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = named if self.only is None else self.only & named  # filters are joined by AND; none left is none
             else:
                 yield f
 

@@ -23,14 +23,25 @@ def one(spark, *cols):
 
 
 def grid(spark):
-    return spark.range(400).select(F.col("id").alias("point_id"), (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"), d(0).alias("z"))
+    """A lattice of 15 columns and 12 rows."""
+    return spark.range(180).select(F.col("id").alias("point_id"), (F.col("id") % 15).cast("double").alias("x"), F.floor(F.col("id") / 15).cast("double").alias("y"), d(0).alias("z"))
 
 
 def test_regions_on_a_grid(spark):
-    square = [(4.5, 4.5), (10.5, 4.5), (10.5, 10.5), (4.5, 10.5)]
-    inside, ring = R.Region([None] * 3, [None] * 3, [R.Outline(square)]), R.Region([None] * 3, [None] * 3, [R.Outline(square, True, 1.0)])
-    g = grid(spark)
-    assert [R.select_regions(g, r).count() for r in ([inside], [ring], [inside, ring])] == [36, 28, 64]
+    triangle = [(2.25, 1.75), (11.75, 1.75), (2.25, 9.25)]
+    region, ring = R.Region([None] * 3, [None] * 3, [R.Outline(triangle)]), R.Region([None] * 3, [None] * 3, [R.Outline(triangle, True, 0.8)])
+
+    def away(x, y):
+        ends = [(np.array(a), np.array(b)) for a, b in zip(triangle, triangle[1:] + triangle[:1], strict=True)]
+        foot = [a + np.clip((np.array([x, y]) - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1) * (b - a) for a, b in ends]
+        return min(np.hypot(*(f - [x, y])) for f in foot)
+
+    lattice = {(x, y) for x in range(15) for y in range(12)}
+    within = {(x, y) for x, y in lattice if x > 2.25 and y > 1.75 and (x - 2.25) / 9.5 + (y - 1.75) / 7.5 < 1}
+    around = {(x, y) for x, y in lattice - within if away(x, y) <= 0.8}
+    for regions, want in (([region], within), ([ring], around), ([region, ring], within | around)):
+        got = [(r["x"], r["y"]) for r in R.select_regions(grid(spark), regions).collect()]
+        assert len(got) == len(want) and set(got) == want and want
 
 
 def test_outlines_known_beforehand_agree_with_polygon_columns(spark):
