@@ -36,8 +36,10 @@ NEIGHBOURS, BLOCK, FOLD, THRESHOLD = 15, 64, 2, 0.3
 PREFIXES, END = range(8, 2, -1), "$"
 #: Share of the examples from which a term is a common one.
 COMMON = 0.1
+#: Texts that are searched together.
+SEARCHED = 32
 #: Words whose terms a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -69,7 +71,9 @@ def likelihood_ratio(observed: np.ndarray, expected: np.ndarray, n: np.ndarray)
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers first[0], ..., first[0] + count[0] - 1, first[1], ..., one range after the other."""
-    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    count = count.astype(np.int32)
+    ends = np.cumsum(count, dtype=np.int32)
+    return np.repeat((first - ends + count).astype(np.int32), count) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
 class Stems:
@@ -88,7 +92,7 @@ class Stems:
     def counts(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Hashed terms and how often they occur."""
         terms, at = np.unique(self.hashed(words), return_inverse=True)
-        return terms, np.bincount(at, np.fromiter(words.values(), np.float64, len(words)), len(terms)).astype(np.int64)
+        return terms, np.bincount(at, np.fromiter(words.values(), np.float64, len(words)), len(terms)).astype(np.int32)
 
     def hashed(self, words: Iterable[str]) -> np.ndarray:
         n, starts, of, h = PREFIXES[-1], self.starts, self.of, xxhash.xxh3_64_intdigest
@@ -98,17 +102,18 @@ class Stems:
 class ExampleIndex:
     """Examples as unit vectors in blocks, with the largest weight of each term and block."""
 
-    def __init__(self, stems: Stems, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        """examples: (doc_id, label, hashed terms, each once, and their counts)."""
+    def __init__(self, stems: Stems, ids: np.ndarray, labels: np.ndarray, size: np.ndarray, hashed: np.ndarray, counts: np.ndarray):
+        """Examples by doc_id, label and number of terms; hashed: the terms of all, each once an example, with their counts.
+
+        Numbers are kept in as few bytes as they need, as every task has an index of its own.
+        """
         self.stems, self.known = stems, {}
-        n = len(examples)
-        ids, labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64)
+        n = len(ids)
+        labels = labels.astype(np.float64)
         self.prior = float(labels.mean()) if n else 0.0
-        size = np.array([len(e[2]) for e in examples], np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int32), size)
-        self.terms, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e[2] for e in examples)]), return_inverse=True)
+        self.terms, term = np.unique(hashed, return_inverse=True)
         term = term.astype(np.int32)
-        w = np.concatenate([np.zeros(0), *(e[3] for e in examples)])
         # Long texts hold more of everything. The label's share among texts of like length is what a term is expected to meet.
         bins = np.log2(size + 1).astype(np.int64)
         share = (np.bincount(bins, labels) + self.prior) / (np.bincount(bins) + 1)
@@ -116,7 +121,7 @@ class ExampleIndex:
         g = np.where(with_label > expected, likelihood_ratio(with_label, expected, df), 0.0)
         self.unseen = float(np.log(n + 1) + 1)
         self.weight = (np.log((n + 1) / (df + 1)) + 1) * (1 + RELEVANCE * np.sqrt(np.maximum(g - CHANCE, 0)))
-        w *= self.weight[term]
+        w = counts * self.weight[term]
         w /= np.sqrt(np.bincount(owner, w * w, n))[owner]
         # Examples that share their strongest term are neighbours, so that blocks share terms.
         strongest = np.full(n, -1)
@@ -127,23 +132,26 @@ class ExampleIndex:
         self.ids, self.labels = ids[order], labels[order]
         place = np.empty(n, np.int32)
         place[order] = np.arange(n)
-        along = np.lexsort((place[owner], term))
-        term, self.place, self.w = term[along].astype(np.int64), place[owner[along]], w[along]
-        self.blocks = -(-n // BLOCK)
+        place = place[owner]
         # Postings of common terms, which most blocks have, are columns of the blocks; those of all others are lists.
+        self.blocks = -(-n // BLOCK)
         common = np.flatnonzero(df >= COMMON * n)
-        self.column = np.full(len(self.terms), -1)
+        self.column = np.full(len(self.terms), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks, BLOCK, len(common)))
         mine = self.column[term] >= 0
-        self.dense[self.place[mine] // BLOCK, self.place[mine] % BLOCK, self.column[term[mine]]] = self.w[mine]
+        self.dense = np.zeros((self.blocks, BLOCK, len(common)))
+        self.dense[place[mine] // BLOCK, place[mine] % BLOCK, self.column[term[mine]]] = w[mine]
         self.dense_most = self.dense.max(axis=1, initial=0.0)
-        term, self.place, self.w = term[~mine], self.place[~mine], self.w[~mine]
-        new = np.flatnonzero(np.diff(term * max(1, self.blocks) + self.place // BLOCK, prepend=-1))
-        self.start, self.size = new, np.diff(new, append=len(term))
-        self.block = self.place[new] // BLOCK
-        self.most = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0)
-        self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
+        along = np.lexsort((place, term))
+        along = along[~mine[along]]
+        self.place, self.w, term = place[along], w[along], term[along]
+        block = self.place // BLOCK
+        new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.start, self.size = new.astype(np.int32), np.diff(new, append=len(term)).astype(np.uint8)
+        self.block = block[new].astype(np.uint16 if self.blocks < 1 << 16 else np.int32)
+        most = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2))  # no less than the weights
+        self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1)).astype(np.int32)
 
     def columns(self, words: list[str]) -> np.ndarray:
         """The terms of words by number; -1 for those of no example."""
@@ -261,7 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
 
     rows = examples.select("doc_id", "label", "words").mapInArrow(hashed, "doc_id long, label int, terms binary, counts binary").collect()  # MOST_EXAMPLES rows
     release(docs.sparkSession, path)
-    return ExampleIndex(stems, [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in rows])
+    ids, labels = (np.array([r[c] for r in rows], np.int64) for c in ("doc_id", "label"))
+    size = np.array([len(r["counts"]) // 4 for r in rows], np.int64)
+    terms, counts = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("terms", np.uint64), ("counts", np.int32)))
+    del rows
+    return ExampleIndex(stems, ids, labels, size, terms, counts)
 
 
 def beginnings(examples: DataFrame) -> list[str]:
@@ -305,7 +317,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for part in slices(batches):
+        for part in slices(batches, SEARCHED):
             found = index.scores([Counter(words_of(t.as_py())) for t in part.column(2)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
 
@@ -323,7 +335,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for part in slices(batches):
-            yield part.filter(pa.array([s < THRESHOLD for s, _ in index.scores([Counter(words_of(t.as_py())) for t in part.column(at)])], pa.bool_()))
+        for part in slices(batches, SEARCHED):
+            texts = part.column(0).field(at)
+            yield part.filter(pa.array([s < THRESHOLD for s, _ in index.scores([Counter(words_of(t.as_py())) for t in texts])], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # packed, so that any name will do
+    return rows.mapInArrow(clean, rows.schema).select("_row.*")

@@ -326,7 +326,13 @@ def test_nearest_examples_are_exact():
     examples = [(k, int(rng.random() < 0.3), draw(rng.randint(0, 6))) for k in range(300)]
     examples += [(400 + k, 1, ["gw", *draw(3)]) for k in range(60)] + [(500 + k, 0, ["ax", "bx"]) for k in range(40)]
     s = toxicity.Stems(stems)
-    index = toxicity.ExampleIndex(s, [(d, y, *s.counts(Counter(w))) for d, y, w in examples])
+
+    def index_of(examples):
+        found = [s.counts(Counter(w)) for _, _, w in examples]
+        flat = [np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.uint64, np.int32))]
+        return toxicity.ExampleIndex(s, *(np.array([e[k] for e in examples], np.int64) for k in (0, 1)), np.array([len(f[0]) for f in found], np.int64), *flat)
+
+    index = index_of(examples)
     for k in range(120):
         text = draw(rng.randint(1, 9)) + ["unheard"] * (k % 3)
         near, want = plain_scores(stems, examples, text)
@@ -334,7 +340,7 @@ def test_nearest_examples_are_exact():
         assert set(index.ids[found].tolist()) == near
         assert abs(index.scores([Counter(text)])[0][0] - want) < 1e-9
     assert [s for s, _ in index.scores([Counter(), Counter(["unheard"])])] == [index.prior] * 2
-    assert toxicity.ExampleIndex(s, []).scores([Counter("ab")] * 2) == [(0.0, [])] * 2 and index.scores([]) == []
+    assert index_of([]).scores([Counter("ab")] * 2) == [(0.0, [])] * 2 and index.scores([]) == []
 
 
 def test_toxicity_matches_brute_force(spark):
