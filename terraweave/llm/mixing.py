@@ -6,8 +6,8 @@ emitted once per integer boundary that its stretch of the sum crosses. As the or
 every size is represented in proportion, so that words come near the target and not only documents.
 
 The sum needs the rank of each document in its source. One window over a source would put a hot source into one task;
-here a source is cut into cells (size bin, doc_id modulo `slices`), ranks are found within cells, and the counts of the
-cells, a small table, are summed over each source.
+here a source is cut into cells (size bin, hash of doc_id modulo `slices`), ranks are found within cells, and the counts of
+the cells are summed over each bin, those of the bins over each source.
 """
 
 from __future__ import annotations
@@ -86,12 +86,18 @@ def mix_sizes(base: DataFrame, cap: int = 3, cell_rows: int = CELL_ROWS) -> Data
     rows = counted.agg(F.max("n")).first()[0] or 0
     slices = max(8, -(-rows // cell_rows))
     targets = source_targets(counted.select("source", "size"), cap)
-    cells = base.select("*", size_bin(F.col("size")).alias("_bin"), F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(slices)).alias("_slice"))
+    spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")  # ids with a common stride, too
+    cells = base.select("*", size_bin(F.col("size")).alias("_bin"), F.pmod(spread, F.lit(slices)).alias("_slice"))
     key = ["source", "_bin", "_slice"]
     within = Window.partitionBy(*key).orderBy("size", "doc_id")
     ranked = cells.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
-    along = Window.partitionBy("source").orderBy("_bin", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_start"))
+    counts = cells.groupBy(*key).agg(F.count("*").alias("_n"))
+    # Bins of a source, a few hundred, then the slices of each bin: no window has all cells of a source.
+    of_bins = counts.groupBy("source", "_bin").agg(F.sum("_n").alias("_n"))
+    of_bins = of_bins.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    along = Window.partitionBy("source", "_bin").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*key, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_start"))
+    starts = starts.join(of_bins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))).select(*key, (F.col("_start") + F.col("_before")).alias("_start"))
     same = [F.col("r.source").eqNullSafe(F.col("s.source")), F.col("r._bin") == F.col("s._bin"), F.col("r._slice") == F.col("s._slice")]
     joined = ranked.alias("r").join(starts.alias("s"), same).select("r.*", "s._start")
     joined = joined.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "t.source_size", "t.target")
@@ -110,7 +116,11 @@ def mix_sizes(base: DataFrame, cap: int = 3, cell_rows: int = CELL_ROWS) -> Data
 
 
 def emit(docs: DataFrame, cap: int = 3) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it."""
+    """The rows of docs, as they are, each as often as mix() takes it.
+
+    Null and empty texts are emitted as their source's rate says, although they add no words; repeated rows are rows like any
+    others. An empty table gives an empty result.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # packed, so that no column's name can clash
     mixed = mix_sizes(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("_row")), cap)
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

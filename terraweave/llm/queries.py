@@ -78,7 +78,7 @@ flags AS (SELECT *, unit * weight > source_size * 3 AS is_capped FROM units),
 targets AS (SELECT source, source_size, CASE WHEN is_capped THEN (source_size * 3)::DOUBLE
     ELSE least(max(unit) FILTER (NOT is_capped) OVER () * weight, (source_size * 3)::DOUBLE) END AS target FROM flags),
 cfg AS (SELECT greatest(8, ceil(max(n) / 20000.0))::BIGINT AS slices FROM per),
-cells AS (SELECT base.*, CASE WHEN size < 64 THEN size ELSE floor(log2(size::DOUBLE) * 16)::BIGINT - 32 END AS bin, doc_id % slices AS slice FROM base, cfg),
+cells AS (SELECT base.*, CASE WHEN size < 64 THEN size ELSE floor(log2(size::DOUBLE) * 16)::BIGINT - 32 END AS bin, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % slices AS slice FROM base, cfg),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bin, slice, size, doc_id) - 1 AS rnk FROM cells),
 rated AS (SELECT ranked.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 1.0 END AS rate
   FROM ranked JOIN targets t ON ranked.source IS NOT DISTINCT FROM t.source),
