@@ -14,20 +14,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 1024, 4096, 16
+#: What a score can be; products beyond are ranked as they are and reported as the nearer of these.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-def quantized(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v): components floor(scale * x), for vectors without null or non-finite components."""
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+def scaled(vectors: DataFrame, scale: int) -> DataFrame:
+    """(vec_id, v): components scale * x as doubles, for vectors without null or non-finite components.
+
+    A component that is finite but too large to be scaled counts as non-finite.
+    """
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * float(scale)) < float("inf")))
+    return vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * float(scale)).alias("v"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Lists as rows of a matrix, short ones filled with zeros: a missing term has no posting."""
+    """Lists as rows of a matrix of whole numbers, floors of theirs; short ones filled with zeros: a missing term has no
+    posting."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
-    out = np.zeros((len(column), n.max(initial=0)), np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), n.max(initial=0)))
+    flat = np.floor(column.flatten().to_numpy(zero_copy_only=False))
     out[np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, int)] = flat
     return out
 
@@ -37,7 +43,9 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     terms = min(queries.shape[1], candidates.shape[1])
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * max(terms, 1)
     kind = np.float64 if bound < 2**53 else object
-    q, postings = queries.astype(kind), np.ascontiguousarray(candidates.T.astype(kind))
+    if kind is object:
+        queries, candidates = (np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (queries, candidates))
+    q, postings = queries, np.ascontiguousarray(candidates.T)
     scores, part = np.zeros((len(q), len(candidates)), kind), np.empty((len(q), len(candidates)), kind)
     for t in range(terms):
         has = np.flatnonzero(q[:, t])
@@ -65,9 +73,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     inner product of components floor(scale * x), ties to the smaller vec_id; all others if there are fewer.
 
     Null vectors, vectors with null or non-finite components and null ids take no part. Empty vectors score 0, shorter
-    ones as if filled with zeros. Rows with the vec_id of the query are its own. An empty table gives an empty result.
+    ones as if filled with zeros. Rows with the vec_id of the query are its own. Products beyond the range of a long, which
+    only components of 2^27 and more can make, are ranked within a block of candidates as they are, and among blocks, as in
+    the result, as the end of that range. An empty table gives an empty result.
     """
-    base = quantized(vectors, scale)
+    base = scaled(vectors, scale)
     n = base.count()
     chunks = max(1, -(-n // CANDIDATE_BLOCK))
     queries = base.where(F.pmod("vec_id", F.lit(every)) == 0)
@@ -90,7 +100,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     best = select(row, cid != own, k)
                     out["query_id"].append(np.full(len(best), own, np.int64))
                     out["vec_id"].append(cid[best])
-                    out["score"].append(row[best].astype(np.int64))
+                    out["score"].append(np.array([min(max(int(x), LEAST), MOST) for x in row[best]], np.int64))
         return pa.table({name: np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64) for name, parts in out.items()})
 
     found = q.groupBy("block", "chunk").cogroup(c.groupBy("block", "chunk")).applyInArrow(score, "query_id long, vec_id long, score long")
