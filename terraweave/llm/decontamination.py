@@ -28,6 +28,8 @@ THRESHOLD, OVERLAP, RUN = 0.6, 0.5, 3
 SHORT = 8
 #: Items in one index; larger benchmarks are searched index by index, so what a task holds has this bound.
 INDEX_ITEMS = 4096
+#: Bounds of cells and blocks that are held at a time.
+BOUNDS = 1 << 21
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -80,16 +82,25 @@ class ItemIndex:
         self.blocks = -(-len(parts) // BLOCK)
 
     def possible(self, terms: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
-        """Cells whose passage, the cell and the next, has a block that may hold an item above the threshold."""
+        """Cells whose passage, the cell and the next, has a block that may hold an item above the threshold.
+
+        terms of growing cells. Bounds are summed for so many cells at a time that there are BOUNDS of them at most.
+        """
         if not self.blocks or not cells:
             return np.zeros(0, np.int64)
         once = np.unique(cell * len(self.count) + terms)  # a passage counts a term once
         cell, terms = np.divmod(once, len(self.count))
-        n = self.count[terms]
-        at = np.repeat(self.first[terms], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        sums = np.bincount(np.repeat(cell, n) * self.blocks + self.block[at], weights=self.bound[at], minlength=cells * self.blocks).reshape(cells, self.blocks)
-        sums[:-1] += sums[1:]  # a cell without a next one in its text has empty padding behind it
-        return np.flatnonzero((sums >= THRESHOLD).any(axis=1))
+        step, found = max(1, BOUNDS // self.blocks - 1), []
+        for low in range(0, cells, step):
+            high = min(cells, low + step)
+            some = slice(*np.searchsorted(cell, (low, high + 1)))
+            c, t = cell[some] - low, terms[some]
+            n = self.count[t]
+            at = np.repeat(self.first[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums = np.bincount(np.repeat(c, n) * self.blocks + self.block[at], weights=self.bound[at], minlength=(high - low + 1) * self.blocks).reshape(-1, self.blocks)
+            # A cell without a next one in its text has empty padding behind it.
+            found.append(low + np.flatnonzero((sums[:-1] + sums[1:] >= THRESHOLD).any(axis=1)))
+        return np.concatenate(found)
 
     def search(self, passage: set[int]) -> list[tuple[int, float]]:
         """All (part, score) with a score of THRESHOLD or more: block-max WAND over the passage's postings."""
@@ -194,5 +205,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any hit; rows with a null doc_id stay."""
-    return docs.join(hits(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, as they are, without any hit; rows with a null doc_id stay. Rows that share a doc_id stay or go
+    together; null and empty texts stay. Empty tables give back docs."""
+    found = hits(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == found["_found"], "left_anti")

@@ -1,8 +1,11 @@
 """Cases of which operators once saw a part only."""
 
+import math
 import random
 
-from terraweave.llm import decontamination, licenses
+import numpy as np
+
+from terraweave.llm import decontamination, licenses, mixing, sharding, simhash, topk, toxicity
 
 
 def prose(rng, n):
@@ -76,3 +79,62 @@ def test_items_of_several_parts(spark):
     got = decontamination.hits(docs, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
     assert all(r["question_overlap"] == r["answer_overlap"] == 1.0 for r in got if r["doc_id"] % 5 == 0)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, slot string, _key int, _row string, `a.b` string"
+
+
+def odd_docs(spark, rows):
+    return spark.createDataFrame([(k, t, None, s, None, 1, "x", "y", 2, "z", "w") for k, t, s in rows], ODD)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(7)
+    rows = [(20 * k, prose(rng, rng.randint(0, 40)), rng.choice(["a", "b", None])) for k in range(120)] + [(5, None, "a"), (5, None, "a"), (None, "", None)]
+    docs = odd_docs(spark, rows)
+    labels = spark.createDataFrame([(20 * k, 1, int(k % 9 == 0)) for k in range(120)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string")
+    for table in (docs, docs.limit(0)):
+        n = table.count()
+        for out in (toxicity.without_toxic(table, labels), simhash.deduplicate(table), decontamination.decontaminate(table, bench), mixing.emit(table)):
+            assert out.columns == docs.columns and (out.count() > 50 if n else out.count() == 0)
+            out.write.mode("overwrite").format("noop").save()
+        placed = sharding.place(sharding.keyed(table), 4)
+        assert len(set(placed.columns)) == len(placed.columns) and {"size_in", "shard_in", "a.b", "shard", "slot"} <= set(placed.columns)
+        assert placed.count() == n
+        if n:
+            r = placed.where("doc_id = 40").first()
+            assert (r["size_in"], r["shard_in"], r["a.b"], r["_key"], r["_row"]) == (1, "x", "w", 2, "z")
+
+
+def test_a_key_that_fills_ranges_is_split(spark):
+    rows = [(None, "the same text again and again", None)] * 3000 + [(k, f"text {k} " * 5, None) for k in range(1500)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), 40, 4000).toPandas()
+    per = got.groupby("shard").agg(b=("size", "sum"), n=("slot", "size"), top=("slot", "max"), kinds=("slot", "nunique"))
+    assert len(got) == 4500 and len(per) == 40 and (per.top + 1 == per.n).all() and (per.kinds == per.n).all()
+    assert per.b.max() - per.b.min() <= 2 * got["size"].max()
+
+
+def test_ids_with_a_stride_fall_into_all_slices(spark):
+    rows = [(20 * k, "w " * (k % 7), "s") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, cell_rows=200).toPandas()
+    assert len(got) == 4000 and (got.copies == 1).all() and (got.taken == got["size"]).all()
+
+
+def test_scores_of_large_components(spark):
+    v = [(0, [1e10, 1.0]), (1, [1e10, -2.0]), (2, [2.0**56, 0.5]), (3, [1e300, 1.0]), (4, [-1e300, 1.0]), (5, [-0.3, 0.0]), (6, [1.7e308, 0.0]), (7, [-0.001, 2.0**40])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>"), every=1000).orderBy("rank").collect()]
+    q = [int(256 * x) for x in v[0][1]]
+    scored = sorted(((sum(a * math.floor(256 * x) for a, x in zip(q, e, strict=True)), -k) for k, e in v[1:] if k != 6), reverse=True)[:5]
+    assert got == [(0, r + 1, -k, min(max(s, -(1 << 63)), (1 << 63) - 1)) for r, (s, k) in enumerate(scored)] or [g[3] for g in got] == [min(s, (1 << 63) - 1) for s, _ in scored]
+
+
+def test_bounds_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    index = decontamination.ItemIndex([(k, prose(rng, rng.randint(4, 90)).split()) for k in range(60)])
+    cell = sorted(rng.randrange(40) for _ in range(3000))
+    terms = [rng.randrange(1, len(index.count)) for _ in cell]
+    whole = index.possible(np.array(terms), np.array(cell), 42).tolist()
+    monkeypatch.setattr(decontamination, "BOUNDS", 5 * index.blocks)
+    assert whole and index.possible(np.array(terms), np.array(cell), 42).tolist() == whole
