@@ -19,9 +19,13 @@ def _stages(spark):
     return spark.createDataFrame(rows, "name string, lane string, before string")
 
 
-@_f.query("j30_o02_ready_stages")
+_NEEDS = ", ".join(f"('{name}', '{b}')" for name, _, before in J.STAGES for b in before)
+_NAMES = ", ".join(f"('{name}')" for name, _, _ in J.STAGES)
+
+
+@_f.query("j30_o02_ready_stages", f"WITH s(name) AS (VALUES {_NAMES}), needs(name, before) AS (VALUES {_NEEDS}), done(name) AS (VALUES ('decode'), ('photos')) SELECT name FROM s WHERE name NOT IN (SELECT name FROM done) AND name NOT IN (SELECT name FROM needs WHERE before NOT IN (SELECT name FROM done))")
 def j30(spark, sf):
-    """Rows only: the fixed graph of stages, with two of them done."""
+    """The fixed graph of stages, with two of them done."""
     s = _stages(spark)
     done = spark.createDataFrame([("decode",), ("photos",)], "name string")
     return J.ready_table(s.select("name").distinct(), s.where("before IS NOT NULL").select("name", "before"), done)
@@ -87,9 +91,8 @@ def m36(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.sha2("s_name", 256).alias("sha256"), F.md5(F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string"))).alias("identity"))
 
 
-@_f.query("m36_fnv1a")
+@_f.query("m36_fnv1a", "SELECT s_suppkey, lower(lpad(to_hex(list_reduce([2166136261::BIGINT] || list_transform(string_split(s_name, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295)), 8, '0')) AS fnv FROM supplier")
 def m36b(spark, sf):
-    """Rows only; tests hold it against a plain loop."""
     return table(spark, sf, "supplier").select("s_suppkey", F.lpad(F.lower(F.hex(J.fnv1a(F.col("s_name")))), 8, "0").alias("fnv"))
 
 
@@ -111,9 +114,8 @@ def m41(spark, sf):
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(parsed["missing"], F.lit(7).cast("long")).alias("missing"))
 
 
-@_f.query("m39_durations")
+@_f.query("m39_durations", "SELECT event_id, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN (s // 60) || ' min ' || (s % 60) || ' s' ELSE (s // 3600) || ' h ' || (s % 3600 // 60) || ' min' END AS took FROM (SELECT event_id, floor(value * 50 + 0.5)::BIGINT AS s FROM events)")
 def m39(spark, sf):
-    """Rows only; tests check the wording."""
     return table(spark, sf, "events").select("event_id", J.duration_text(F.col("value") * 50).alias("took"))
 
 

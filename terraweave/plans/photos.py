@@ -119,10 +119,17 @@ def a22(spark, sf):
     return _views(spark, sf).select("point_id", F.col("slot").cast("long").alias("slot"), "photo", rounded(F.col("score")).alias("score"), rounded(gx).alias("gx"), rounded(gy).alias("gy"))
 
 
-@_f.query("a22_views_by_insertion")
+_PUT = "CASE WHEN one[1].score > list_min([s.score FOR s IN slots]) THEN list_transform(slots, lambda s, i: CASE WHEN i = list_position([t.score FOR t IN slots], list_min([t.score FOR t IN slots])) THEN one[1] ELSE s END) ELSE slots END"
+
+
+@_f.query("a22_views_by_insertion", SCORED + f""", g AS (SELECT point_id, list({{photo: photo, score: score}} ORDER BY photo, score) AS kept FROM scored GROUP BY point_id),
+f AS (SELECT point_id, list_reduce([[{{photo: -1::BIGINT, score: 0.0::DOUBLE}} FOR k IN range(4)]] || [[k] FOR k IN kept], lambda slots, one: {_PUT}) AS slots FROM g),
+p AS (SELECT point_id, unnest(slots) AS s, unnest(range(4)) AS spot FROM f)
+SELECT point_id, (row_number() OVER (PARTITION BY point_id ORDER BY s.score DESC, spot) - 1)::INT AS slot, s.photo, round(s.score, 5) + 0.0 AS score FROM p WHERE s.photo >= 0""")
 def a22_fold(spark, sf):
-    """Rows only: the order-dependent eviction is a fold; tests hold it against a plain loop."""
-    return O.top_views_by_insertion(_scored(spark, sf).select("point_id", "photo", "score"))
+    """The order-dependent eviction is a fold over a point's photos."""
+    kept = O.top_views_by_insertion(_scored(spark, sf).select("point_id", "photo", "score"))
+    return kept.withColumn("score", rounded(F.col("score")))
 
 
 @_f.query("a23_best_view", SCORED + " SELECT point_id, arg_min(photo, {s: -score, p: photo}) AS photo FROM scored GROUP BY point_id")

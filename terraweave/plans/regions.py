@@ -117,7 +117,9 @@ def m30(spark, sf):
     return _triangles(spark, sf).select("p_partkey", rounded(at["x"], 4).alias("x"), rounded(at["y"], 4).alias("y"))
 
 
-@_f.query("m31_offset_polygon")
+_CORNERS = "[{x: 0.0::DOUBLE, y: 0.0::DOUBLE, ax: s / 2, ay: s + 1, bx: s, b_y: 1.0::DOUBLE}, {x: s, y: 1.0::DOUBLE, ax: 0.0::DOUBLE, ay: 0.0::DOUBLE, bx: s / 2, b_y: s + 1}, {x: s / 2, y: s + 1, ax: s, ay: 1.0::DOUBLE, bx: 0.0::DOUBLE, b_y: 0.0::DOUBLE}]"
+
+
+@_f.query("m31_offset_polygon", f"WITH t AS (SELECT p_partkey, p_size::DOUBLE AS s FROM part), c AS (SELECT p_partkey, unnest({_CORNERS}) AS c FROM t), e AS (SELECT p_partkey, c.x, c.y, c.x - c.ax AS dx, c.y - c.ay AS dy, c.bx - c.x AS ex, c.b_y - c.y AS ey FROM c), n AS (SELECT *, dy / sqrt(dx * dx + dy * dy) AS px, -dx / sqrt(dx * dx + dy * dy) AS py, ey / sqrt(ex * ex + ey * ey) AS qx, -ex / sqrt(ex * ex + ey * ey) AS qy FROM e), m AS (SELECT *, px + qx AS mx, py + qy AS my, sqrt((px + qx) * (px + qx) + (py + qy) * (py + qy)) AS m FROM n) SELECT p_partkey, round(x + mx / m * 0.5 / greatest((px * mx + py * my) / m, 0.3), 4) + 0.0 AS x, round(y + my / m * 0.5 / greatest((px * mx + py * my) / m, 0.3), 4) + 0.0 AS y FROM m")
 def m31(spark, sf):
-    """Rows only; tests check it on squares."""
     return _triangles(spark, sf).select("p_partkey", F.explode(G.offset_polygon(F.col("v"), 0.5)).alias("p")).select("p_partkey", rounded(F.col("p.x"), 4).alias("x"), rounded(F.col("p.y"), 4).alias("y"))
