@@ -238,7 +238,7 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages(page_id, url, html).
 
     text: the kept blocks in page order, each with white space folded to single blanks and trimmed, joined by line
-    feeds. Text outside all elements is not kept. Null, empty and blank pages, and pages without main text, give the
+    feeds. A page without any markup is main text as a whole; on others text outside all elements is not kept. Null, empty and blank pages, and pages without main text, give the
     empty text. Repeated rows give equal results; other columns are ignored; an empty table gives an empty result.
     """
     trees = trees or fit(pages.sparkSession)
@@ -247,14 +247,15 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                parsed = [Page(h.as_py()) for h in part.column(2)]
+                sources = part.column(2).to_pylist()
+                parsed = [Page(h) for h in sources]
                 x = [features(p) for p in parsed]
                 probability = trees.probability(np.concatenate(x))
                 cuts = np.cumsum([0] + [len(f) for f in x])
                 texts = []
                 for k, p in enumerate(parsed):
                     kept = decode(p, probability[cuts[k] : cuts[k + 1]])
-                    kept[0] = False
+                    kept[0] = "<" not in (sources[k] or "")
                     texts.append("\n".join(p.blocks(kept)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

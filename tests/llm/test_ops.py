@@ -463,6 +463,12 @@ def test_extraction(spark, trees):
     assert by[6] == want[: want.rindex("\n")] and len(by[8]) > 99_000 and all(len(t) == n for _, t, n in got)
 
 
+def test_extraction_of_plain_prose(spark, trees):
+    rows = [(1, "u", "No markup\n at all, &amp; so all of it."), (2, "u", "before <p>x</p>")]
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), trees).collect()}
+    assert got[1] == "No markup at all, & so all of it." and "before" not in got[2]
+
+
 def test_extraction_of_whole_pages(spark, trees, sf):
     import html as h
 
