@@ -90,7 +90,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     lose repeats within themselves only. An empty table gives an empty result; other columns are ignored.
     """
     lost = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lost, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    alone = rows.where("doc_id IS NULL").withColumn("lost", F.lit(None).cast(lost.schema["lost"].dataType))  # one key that meets nothing
+    joined = rows.where("doc_id IS NOT NULL").join(lost, "doc_id", "left").unionByName(alone)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "n_removed_bytes", "text", "kept_sha256"]

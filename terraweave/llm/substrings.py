@@ -13,8 +13,8 @@ trigger of; neighbouring phrases overlap by length - 1 bytes, so no string is cu
   string. This is the part of the suffix array that matters here.
 * Parse and dictionary together give, for each string, the smallest doc_id among all its occurrences.
 
-On the cluster, documents are packed into blocks. A first exchange, by trigger, compares phrases by hashes (64 bits of
-a trigger and 48 of its phrase, counted once a block) and settles phrases that have no trigger in common with others, or
+On the cluster, documents are packed into blocks. A first exchange, by trigger, compares phrases by hashes (40 bits of
+a trigger besides those of its bucket and 48 of its phrase, counted once a block) and settles phrases that have no trigger in common with others, or
 that an earlier document has as they are. What is left, mostly phrases at the ends of repeated passages, goes through a
 second exchange with its bytes. Triggers with very many phrases are dealt out by the strings themselves.
 """
