@@ -43,6 +43,8 @@ SET_SIZE, SETS, SET_NODES, SET_SEED, AGREE = 8, 80, 1 << 18, 20240501, 0.73
 CANDIDATE_BITS = 34
 #: Nodes of a tile and bytes of their shingle sets, where members of a group are compared by their sets.
 SET_TILE, SET_TILE_BYTES = 1024, 16 << 20
+#: Tasks that the members of one group are dealt to where they meet what is known of the group.
+SALTS = 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -291,6 +293,12 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.join(b, "v").join(a, "u").where(enough).select("u", "v").distinct()
 
 
+def spread_join(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """members(node, grp, ...) with the columns of groups(grp, ...): members of a large group are dealt to SALTS tasks."""
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "_salt"]).drop("_salt")
+
+
 def links_between_parts(members: DataFrame, similarity: float) -> DataFrame:
     """(u, v): edges that join the parts of each group where members are similar.
 
@@ -300,7 +308,7 @@ def links_between_parts(members: DataFrame, similarity: float) -> DataFrame:
     """
     p, q = least_shared(similarity)
     size = members.groupBy("grp").agg(*[F.greatest(F.ceil(F.count(F.when(is_side, 1)) / F.lit(SET_TILE)), F.ceil(F.sum(F.when(is_side, F.size("hashes") * 8)) / F.lit(SET_TILE_BYTES)), F.lit(1)).cast("int").alias(name) for name, is_side in (("others", ~F.col("main")), ("mains", F.col("main")))])
-    dealt = members.join(size, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    dealt = spread_join(members, size).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     places = F.expr("""CASE WHEN main THEN transform(sequence(0, others - 1), t -> struct(t AS ti, -1 - own AS tj))
         ELSE concat(transform(sequence(0, mains - 1), t -> struct(own AS ti, -1 - t AS tj)), transform(sequence(0, others - 1), t -> struct(least(own, t) AS ti, greatest(own, t) AS tj))) END""")
     dealt = dealt.withColumn("p", F.explode(places)).select("grp", "p.ti", "p.tj", F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"), "node", "part", "f0", "f1", "hashes")
@@ -358,7 +366,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     # Groups whose members the verified edges did not join: all their members, the largest part marked.
     counted = placed.groupBy("grp", "part").agg(F.count("*").alias("n"))
     torn = counted.groupBy("grp").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest")).where("parts > 1")
-    members = placed.join(torn, "grp").select("node", "grp", "part", (F.col("part") == F.col("largest")).alias("main"))
+    members = spread_join(placed, torn).select("node", "grp", "part", (F.col("part") == F.col("largest")).alias("main"))
     members = members.join(nodes.select("node", "f0", "f1"), "node").join(sets, "node")
     roots = components(sure.union(links_between_parts(members, similarity)))
     release(spark, edges_at, sets_at, sure_at)
