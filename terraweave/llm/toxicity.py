@@ -37,7 +37,7 @@ PREFIXES, END = range(8, 2, -1), "$"
 #: Share of the examples from which a term is a common one.
 COMMON = 0.1
 #: Texts that are searched together.
-SEARCHED = 32
+SEARCHED = 64
 #: Words whose terms a task remembers.
 REMEMBERED = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
