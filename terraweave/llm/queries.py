@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraweave.llm import decontamination, extraction, licenses, lines, mixing, sharding, simhash, substrings, topk, toxicity
+from terraweave.llm import decontamination, extraction, lexical, licenses, lines, mixing, sharding, simhash, spelling, substrings, token_files, topk, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -49,6 +49,20 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.hits(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical.rank(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.group(_docs(spark, sf_dir))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -89,5 +103,34 @@ chosen AS (SELECT source, arg_min(u, {o: off, u: u}) AS u FROM tried GROUP BY so
 crossed AS (SELECT rated.*, least(floor(u + (rnk + 1) * rate) - floor(u + rnk * rate), 3)::INT AS copies
   FROM rated JOIN chosen ON rated.source IS NOT DISTINCT FROM chosen.source)
 SELECT doc_id, source, size, source_size, target, copies, (size * copies)::BIGINT AS taken FROM crossed
+""",
+    "op12_lexical_search": r"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+words AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM base),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lens AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+whole AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM lens),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+df AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, nn),
+scored AS (SELECT item_id, tf.r, tf.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll)))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens ON lens.r = tf.r, whole GROUP BY item_id, tf.r, tf.doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+""",
+    "op13_spelling": r"""
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+per AS (SELECT doc, run, count(*) AS c FROM runs GROUP BY ALL),
+crc AS (SELECT list(v ORDER BY b) AS crcs FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM range(256) t(b))),
+hashed AS (SELECT doc, run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64] END))),
+    lambda a, b: xor(a // 256, crcs[xor(a % 256, b) + 1]))) AS h FROM per, crc),
+thinned AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM hashed),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM thinned WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM v a JOIN v b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1 AND a.word <> b.word
+  AND (left(a.word, length(a.word) // 2) = left(b.word, length(a.word) // 2) OR right(a.word, length(a.word) - length(a.word) // 2 - 1) = right(b.word, length(a.word) - length(a.word) // 2 - 1)) AND levenshtein(a.word, b.word) = 1),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS reached, 0 AS step FROM forms UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.reached WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 """,
 }
