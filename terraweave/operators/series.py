@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraweave.functions import geometry as G
 from terraweave.functions.geometry import d, xyz
+from terraweave.operators.ordered import Attitude, Ema, folded
 
 
 def bracket(shots: DataFrame, poses: DataFrame, group: str, carried: Sequence[str], bucket: float = 86400.0) -> DataFrame:
@@ -79,45 +79,15 @@ def stationary(df: DataFrame, group: str, seconds: float, least: int, most_varia
     return out.withColumn("usable", (F.col("n") >= least) & (F.col("variance") <= most_variance))
 
 
-def ema(df: DataFrame, group: str, new: float = 0.7) -> DataFrame:
-    """Exponential mean by order of time: an ordered fold of each group's array; groups are single sensors."""
-    rows = F.array_sort(F.collect_list(F.struct("t_us", "event_id", "rate")))
-    start = F.array().cast("array<struct<event_id: bigint, ema: double>>")
+def ema(df: DataFrame, group: str, new: float = 0.7, bucket: float = 86400.0) -> DataFrame:
+    """(group, event_id, ema): exponential mean in order of time and event_id, as a scan of two levels."""
+    return folded(df, group, Ema("rate", new), ["event_id"], bucket).select(group, "event_id", "ema")
 
-    def step(acc: Column, r: Column) -> Column:
-        before = F.element_at(acc, -1)["ema"]
-        value = F.when(F.size(acc) == 0, r["rate"]).otherwise(new * r["rate"] + (1 - new) * before)
-        return F.concat(acc, F.array(F.struct(r["event_id"].cast("long").alias("event_id"), value.alias("ema"))))
 
-    return df.groupBy(group).agg(rows.alias("s")).select(group, F.explode(F.aggregate("s", start, step)).alias("e")).select(group, "e.event_id", "e.ema")
-
-
-def attitudes(df: DataFrame, group: str, max_gap: float) -> DataFrame:
-    """Attitude of each sample as a quaternion, from rates about three axes, by midpoints: a product in order of time.
-
-    A gap above max_gap starts anew. One group is one sensor; it is folded in one task, in Arrow batches.
-    """
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by("t_us")
-        at, rate = t.column("t_us").to_numpy() / 1e6, np.stack([t.column(c).to_numpy() for c in ("wx", "wy", "wz")], -1)
-        q, out = np.array([0.0, 0, 0, 1]), np.zeros((len(at), 4))
-        for k in range(len(at)):
-            dt = at[k] - at[k - 1] if k else 0.0
-            if k and dt <= max_gap:
-                w = (rate[k] + rate[k - 1]) / 2 * dt
-                angle = np.linalg.norm(w)
-                s = np.sin(angle / 2) / angle if angle > 1e-12 else 0.5
-                (x, y, z), c = w * s, np.cos(angle / 2)
-                a, b, e, f = q
-                q = np.array([f * x + a * c + b * z - e * y, f * y - a * z + b * c + e * x, f * z + a * y - b * x + e * c, f * c - a * x - b * y - e * z])
-                q /= np.linalg.norm(q)
-            elif k:
-                q = np.array([0.0, 0, 0, 1])
-            out[k] = q
-        return pa.table({group: t.column(group), "t_us": t.column("t_us"), **{n: out[:, k] for k, n in enumerate(("qx", "qy", "qz", "qw"))}})
-
-    return df.select(group, "t_us", "wx", "wy", "wz").groupBy(group).applyInArrow(fold, f"{group} long, t_us long, qx double, qy double, qz double, qw double")
+def attitudes(df: DataFrame, group: str, max_gap: float, bucket: float = 86400.0) -> DataFrame:
+    """(group, t_us, qx, qy, qz, qw): attitude at each sample as a product of turns by the mean rates between samples, in
+    order of time. A gap above max_gap seconds starts anew. A scan of two levels: no task holds a sensor."""
+    return folded(df, group, Attitude(("wx", "wy", "wz"), max_gap), (), bucket)
 
 
 def deskewed(pts: DataFrame, velocity: Sequence[Column], spin: Column) -> DataFrame:

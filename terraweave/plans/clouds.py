@@ -248,10 +248,32 @@ def a37(spark, sf):
 
 @_f.query("t01_j19_a05_odometry")
 def t01(spark, sf):
-    """Rows only: scans of two recordings registered one after the other; tests follow a known motion."""
+    """Rows only: scans of each recording registered one after the other; tests follow a known motion."""
     from terraweave.streaming import odometry
 
-    return odometry.table(V.points(spark, sf).select((F.col("point_id") % 2).alias("recording"), "frame", F.col("point_id").alias("sample"), "x", "y", "z"))
+    return odometry.table(V.scans(spark, sf))
+
+
+def _seen_scans(spark, sf):
+    """Scans in world coordinates with the sensor's place."""
+    placed = V.scans(spark, sf).join(F.broadcast(origins(spark)), "frame")  # seven rows
+    return placed.select("recording", "frame", "sample", "x", "y", "z", F.col("ox").alias("sx"), F.col("oy").alias("sy"), F.col("oz").alias("sz"))
+
+
+@_f.query("t04_a36_plane_cells", f"WITH {V.SCANS}, c AS (SELECT recording, {CELL_SQL.format(s=0.4)}, frame, x, y, z FROM scans) SELECT recording, cx, cy, cz, count(*) AS n, count(DISTINCT frame) AS frames, round(avg(x), 5) + 0.0 AS mx, round(avg(y), 5) + 0.0 AS my, round(avg(z), 5) + 0.0 AS mz FROM c GROUP BY recording, cx, cy, cz")
+def t04_cells(spark, sf):
+    """The map after the last frame; these clouds lie within its reach, so no cell is given up."""
+    from terraweave.streaming import plane_map
+
+    return plane_map.planes(_seen_scans(spark, sf)).select("recording", "cx", "cy", "cz", "n", "frames", *[rounded(F.col(c)).alias(c) for c in ("mx", "my", "mz")])
+
+
+@_f.query("t04_plane_matches")
+def t04_matches(spark, sf):
+    """Rows only: what the planes of earlier frames say about the points of each frame; tests hold it against a plain loop."""
+    from terraweave.streaming import plane_map
+
+    return plane_map.table(_seen_scans(spark, sf))
 
 
 @_f.query("w12_w13_spaced_ids", "WITH c AS (SELECT count(*) AS n FROM orders), k AS (SELECT i, floor(i * (n - 1) / 499.0::DOUBLE)::BIGINT AS id, i // 62 AS win FROM range(500) r(i), c) SELECT win, count(DISTINCT id) AS ids, min(id) AS first, max(id) AS last FROM k GROUP BY win")

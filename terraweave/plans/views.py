@@ -1,11 +1,12 @@
 """Point clouds, photos, poses and series as views of the input tables: once as DataFrames, once as SQL.
 
-Every view is a projection or a filter of one table, so that filters and columns reach the scan.
+Every view but photos is a projection or a filter of one table, so that filters and columns reach the scan; photos are
+grouped, too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraweave.functions.geometry import d
@@ -15,10 +16,11 @@ from terraweave.session import spread, table
 PHOTOS = 25
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """point_id, x, y, z, nx, ny, nz, frame, t_us, intensity, tag, r, g, b: one point a line item.
 
-    point_id is 60 bits of a hash of the columns that identify a line item, so no global order is needed.
+    point_id is 60 bits of a hash of the columns that identify a line item, so no global order is needed. more: columns of
+    the line item that go along.
     """
     cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
     key = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents.cast("string"))
@@ -36,9 +38,18 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * 4).cast("int").alias("intensity"),
         (F.col("l_partkey") % 64).cast("int").alias("tag"),
         *[((F.col(c) * k) % 256).cast("int").alias(n_) for c, k, n_ in (("l_partkey", 7, "r"), ("l_suppkey", 11, "g"), ("l_orderkey", 13, "b"))],
+        *more,
     )
 
 
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recording, frame, sample, x, y, z: the points as scans; a recording has the items of twenty suppliers, so there are
+    more of them with more data."""
+    key = F.floor(F.col("l_suppkey") / 20).cast("long")
+    found = points(spark, sf_dir, key.alias("recording"))
+    return found.select("recording", "frame", F.col("point_id").alias("sample"), "x", "y", "z")
+
+
 POINTS = """pts AS (SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round_even(l_extendedprice * 100, 0) AS BIGINT))), 1, 15))::BIGINT AS point_id,
   l_quantity / 10.0::DOUBLE AS x, l_extendedprice / 20000.0::DOUBLE AS y, (l_discount + l_tax) * 20.0::DOUBLE AS z,
   ((l_partkey % 7) - 3)::DOUBLE / sqrt(((l_partkey % 7) - 3)::DOUBLE ** 2 + ((l_suppkey % 5) - 2)::DOUBLE ** 2 + (1.0 + l_orderkey % 3)::DOUBLE ** 2) AS nx,
@@ -46,6 +57,7 @@ POINTS = """pts AS (SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_part
   -(1.0 + l_orderkey % 3)::DOUBLE / sqrt(((l_partkey % 7) - 3)::DOUBLE ** 2 + ((l_suppkey % 5) - 2)::DOUBLE ** 2 + (1.0 + l_orderkey % 3)::DOUBLE ** 2) AS nz,
   l_linenumber::BIGINT AS frame, epoch_us(l_shipdate) AS t_us, trunc(l_quantity * 4)::INT AS intensity, (l_partkey % 64)::INT AS tag,
   ((l_partkey * 7) % 256)::INT AS r, ((l_suppkey * 11) % 256)::INT AS g, ((l_orderkey * 13) % 256)::INT AS b FROM lineitem)"""
+SCANS = "scans AS (SELECT l_suppkey // 20 AS recording, p.frame, p.point_id AS sample, p.x, p.y, p.z FROM (SELECT l_suppkey, " + POINTS[len("pts AS (SELECT ") : -1] + ") p)"
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:

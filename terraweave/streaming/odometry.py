@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from terraweave.operators.neighbours import CellIndex
+
 VOXEL, MOST_POINTS, REACH, SIGMA = 0.5, 20, 30.0, 0.3
 POSES = "recording long, frame long, tx double, ty double, tz double, wx double, wy double, wz double, matched long"
 
@@ -61,32 +63,31 @@ class State:
         return s
 
 
-def nearest(p: np.ndarray, m: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and distances of the k nearest map points of each point, in chunks."""
-    k = min(k, len(m))
-    at, far = np.zeros((len(p), k), int), np.zeros((len(p), k))
-    for s in range(0, len(p), 256):
-        d2 = ((p[s : s + 256, None] - m[None]) ** 2).sum(-1)
-        i = np.argpartition(d2, k - 1, axis=1)[:, :k]
-        at[s : s + 256], far[s : s + 256] = i, np.sqrt(np.take_along_axis(d2, i, 1))
-    return at, far
-
-
 def register(s: State, scan: np.ndarray, rounds: int = 20, gate: float = 3 * SIGMA) -> int:
-    """Moves the state to the pose of a scan; returns how many points found a plane."""
+    """Moves the state to the pose of a scan; returns how many points found a plane.
+
+    A coarse thinning of the scan is matched, a finer one goes into the map. Planes are those of the five nearest map points
+    within 2 gates, from the cells around a point.
+    """
     p = downsampled(scan[np.linalg.norm(scan, axis=1) <= REACH], VOXEL / 2)
+    source = downsampled(p, 1.5 * VOXEL)
     first = not len(s.map)
     r, t = (s.r, s.t) if first else (s.r @ s.dr, s.r @ s.dt + s.t)
     matched = 0
+    known = CellIndex(s.map, VOXEL)
     for _ in range(0 if first or len(s.map) < 6 else rounds):
-        q = p @ r.T + t
-        at, far = nearest(q, s.map)
+        q = source @ r.T + t
+        at, _ = known.nearest(q, 5, 2 * gate)
+        q, at = q[found := at[:, -1] >= 0], at[found]
+        if len(q) < 6:
+            matched = len(q)
+            break
         near = s.map[at]
         mean = near.mean(1)
         off = near - mean[:, None]
         values, vectors = np.linalg.eigh(np.einsum("nki,nkj->nij", off, off) / near.shape[1])
         normal = vectors[..., 0]
-        ok = (far.max(1) <= gate * 2) & (values[:, 0] <= 0.1 * np.maximum(values[:, 1], 1e-12))
+        ok = values[:, 0] <= 0.1 * np.maximum(values[:, 1], 1e-12)
         res = ((q - mean) * normal).sum(1)
         ok &= np.abs(res) <= gate
         matched = int(ok.sum())
@@ -148,13 +149,13 @@ def thinned(scans: DataFrame) -> DataFrame:
 
 
 def whole_scans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(recording, frame, points) of each scan from sorted batches."""
+    """(recording, frame, values) of each scan from sorted batches of recording, frame, sample and columns of numbers."""
     key, parts = None, []
     for batch in batches:
-        own, frame, _, *xyz = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        own, frame, _, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(own):
             continue
-        p = np.stack(xyz, axis=1).astype(float)
+        p = np.stack(rest, axis=1).astype(float)
         starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (frame[1:] != frame[:-1])]))
         for s, e in zip(starts, [*starts[1:], len(own)], strict=True):
             if parts and key != (own[s], frame[s]):

@@ -10,13 +10,15 @@ from terraweave.streaming import odometry
 
 def test_every_return_casts_its_ray(spark, sf):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    assert P.rays(V.points(spark, sf), clouds.origins(spark)).count() > 0.9 * n
+    pts = V.points(spark, sf)
+    far = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2) > 1e-9
+    assert pts.count() == n and P.rays(pts, clouds.origins(spark)).count() == pts.join(clouds.origins(spark), "frame").where(far).count()
     assert all(" tag < " not in sql and "s_suppkey < " not in sql for sql in catalog.ORACLE.values())
 
 
 def test_odometry_reads_every_return(spark, sf):
-    pts = V.points(spark, sf).select((F.col("point_id") % 2).alias("recording"), "frame", F.col("point_id").alias("sample"), "x", "y", "z").toPandas()
-    pts.loc[len(pts)] = [0, 99, 1, 1e3, 0.0, 0.0]  # a frame out of reach still has a pose
+    pts = V.scans(spark, sf).toPandas()
+    pts.loc[len(pts)] = [pts.recording.min(), 99, 1, 1e3, 0.0, 0.0]  # a frame out of reach still has a pose
     want = []
     for recording, rows in pts.groupby("recording"):
         want += odometry.steps(odometry.State(), rows, int(recording))
