@@ -276,6 +276,24 @@ def t04_matches(spark, sf):
     return plane_map.table(_seen_scans(spark, sf))
 
 
+@_f.query("t02_t03_inertial_states")
+def t02(spark, sf):
+    """Rows only: states at the ends of scans; samples are means of a scan's points, and each point lies near a plane through
+    it. Tests hold propagation and corrections against disturbed starts and known motions."""
+    from terraweave.streaming import inertial
+
+    s = V.scans(spark, sf)
+    half = F.pmod("sample", F.lit(2))
+    means = s.groupBy("recording", "frame", half.alias("half")).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    rates = [((F.col(c) - 2.0) / 100).alias(n) for c, n in zip("xyz", ("ax", "ay", "az"), strict=True)]
+    forces = [((F.col(c) - 2.0) / 50 + (9.81 if c == "z" else 0.0)).alias(n) for c, n in zip("xyz", ("bx", "by", "bz"), strict=True)]
+    samples = means.select("recording", (F.col("frame") / 10 + F.col("half") / 20).alias("t"), F.lit(0).alias("kind"), "frame", F.col("half").alias("sample"), *rates, *forces)
+    axis, off = F.pmod("sample", F.lit(3)), (F.pmod(F.floor(F.col("sample") / 3), F.lit(101)) - 50) / 5000
+    on = {n: F.when(axis == k, d(1)).otherwise(d(0)) for k, n in enumerate(("cx", "cy", "cz"))}
+    points = s.select("recording", (F.col("frame") / 10 + 0.03).alias("t"), F.lit(1).alias("kind"), "frame", "sample", *[F.col(c).alias(f"a{c}") for c in "xyz"], *[(F.col(c) + off * on[f"c{c}"]).alias(f"b{c}") for c in "xyz"], *[v.alias(n) for n, v in on.items()], d(9e-4).alias("variance"))
+    return inertial.table(points.unionByName(samples, allowMissingColumns=True).fillna(0.0, ["cx", "cy", "cz", "variance"]))
+
+
 @_f.query("w12_w13_spaced_ids", "WITH c AS (SELECT count(*) AS n FROM orders), k AS (SELECT i, floor(i * (n - 1) / 499.0::DOUBLE)::BIGINT AS id, i // 62 AS win FROM range(500) r(i), c) SELECT win, count(DISTINCT id) AS ids, min(id) AS first, max(id) AS last FROM k GROUP BY win")
 def w12(spark, sf):
     """Evenly spaced ids, in windows of 62."""

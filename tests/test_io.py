@@ -11,7 +11,7 @@ from terraweave.plans import colorize, manifest
 from terraweave.functions import camera as C
 from terraweave.functions.geometry import d
 from terraweave.sources import bag, records, tables
-from terraweave.streaming import inertial, odometry, progress
+from terraweave.streaming import odometry, progress
 
 
 @pytest.fixture(scope="module")
@@ -155,17 +155,3 @@ def test_streams(spark, tmp_path):
     timed = events.withColumn("at", F.timestamp_seconds("ts"))
     q = progress.once(timed, "at", ["stage"]).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start(out)
     assert q.awaitTermination(90) and spark.read.parquet(out).count() == 2
-
-
-def test_inertial_states():
-    s = inertial.Inertial()
-    still = (np.zeros(3), np.zeros(3)), (np.array([0, 0, 9.81]), np.array([0, 0, 9.81]))
-    for _ in range(100):
-        s = inertial.propagate(s, 0.01, *still)
-    assert np.allclose(s.p, 0) and np.allclose(s.v, 0) and (np.linalg.eigvalsh(s.cov) > 0).all()
-    rng = np.random.default_rng(2)
-    p = rng.uniform(-3, 3, (300, 3))
-    n = np.eye(3)[rng.integers(0, 3, 300)]
-    found, why = inertial.update(s, p, p + np.array([0.02, -0.01, 0.015]), n)
-    assert why == "accepted" and np.allclose(found.p, [0.02, -0.01, 0.015], atol=2e-3)
-    assert inertial.update(s, p[:3], p[:3], n[:3])[1] == "too few observations"
