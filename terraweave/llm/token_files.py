@@ -13,15 +13,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -34,20 +35,36 @@ from terraweave.llm.storage import shared_dir
 #: The dictionary is trained on the SAMPLE documents of the smallest hash among those of up to SAMPLE_BYTES, as short ones gain most.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16384, 65536
 #: A part holds about so many bytes of text; documents are encoded so many bytes, or rows, at a time; pieces kept between them.
-PART_BYTES, BATCH_BYTES, BATCH_ROWS, MOST_PIECES = 64 << 20, 4 << 20, 512, 1 << 18
+PART_BYTES, BATCH_BYTES, BATCH_ROWS, MOST_PIECES = 64 << 20, 8 << 20, 2048, 1 << 20
 MAGIC, VERSION, LEVEL = b"TWIDS\x01", 1, 3
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8"), ("length", "<u8")])
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: A word of Latin letters, with its space or without, marks after it, and the same in a next line: pre-tokens of their own.
+_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*))?")
+#: Bytes as byte-level models write them: visible ones of Latin-1 as they are, the others from U+0100 on in order.
+_SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_HIDDEN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SEEN))}
 #: A space between two characters that no library takes for white space: byte-level pre-tokenizers begin a new piece there.
 _CUT = re.compile(r" (?<=[!-~\w] )(?=[!-~\w])")
 
 
+def _visible(c: str) -> bool:
+    return "!" <= c <= "~" or c.isalnum()
+
+
+def _shown(word: str) -> str:
+    if word != "\n" and word.isascii():
+        return "\u0120" + word[1:] if word[0] == " " else word
+    return word.encode().decode("latin-1").translate(_HIDDEN)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, piece by piece.
 
-    A text is cut at single spaces between visible characters, where the pre-tokenizer always starts a piece with the
-    space, so the ids of the pieces are those of the text. Each distinct piece is encoded once for as long as it is kept.
-    Tokenizers of other kinds than byte-level without an added space are given texts whole.
+    A text is cut at single spaces between visible characters, where a byte-level pre-tokenizer always starts a piece with
+    the space, so the ids of the pieces are those of the text. Each distinct piece is encoded once for as long as it is kept.
+    Words of Latin letters, with punctuation after them or none, are one or two pre-tokens, and go straight to the library's
+    model; all other pieces go through the whole tokenizer. Tokenizers of other kinds are given texts whole.
     """
 
     def __init__(self, path: str, end_id: int, special_as_text: bool = False):
@@ -58,43 +75,97 @@ class Encoder:
         kind = json.loads(raw)
         self.tokenizer, self.end_id = Tokenizer.from_str(raw), end_id
         self.tokenizer.encode_special_tokens = special_as_text
-        pre = kind.get("pre_tokenizer") or {}
-        plain = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.cuts = bool(plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in kind.get("added_tokens", [])))
+        self.model = self.tokenizer.model
+        pre, post = kind.get("pre_tokenizer") or {}, kind.get("post_processor")
+        plain = kind.get("normalizer") is None and post is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.cuts = bool(plain and not any(_WORD.search(t["content"]) and " " in t["content"] or t["lstrip"] or t["rstrip"] for t in kind.get("added_tokens", [])))
+        self.words = self.cuts and kind["model"].get("type") == "BPE" and not kind["model"].get("dropout") and not any(_WORD.fullmatch(t["content"]) for t in kind.get("added_tokens", []))
         self._forget()
 
     def _forget(self) -> None:
         self.heads: dict[str, int] = {}
         self.tails: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.tokens: dict[str, list[int]] = {}
+        self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts, each a piece with its space before it or the beginning of a text."""
+        out: list[list[int]] = [[]] * len(texts)
+        rest, tokens = [], self.tokens
+        for k, t in enumerate(texts):
+            m = _WORD.fullmatch(t) if self.words else None
+            if m is None:
+                rest.append(k)
+                continue
+            ids = []
+            for part in m.groups(""):
+                if part:
+                    own = tokens.get(part)
+                    if own is None:
+                        own = tokens[part] = [x.id for x in self.model.tokenize(_shown(part))]
+                    ids += own
+            out[k] = ids
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[k] = e.ids
+        return out
 
-    def _learn(self, heads: Iterable[str], tails: Iterable[str]) -> None:
-        heads, tails = list(dict.fromkeys(h for h in heads if h not in self.heads)), list(dict.fromkeys(t for t in tails if t not in self.tails))
-        if not heads and not tails:
+    def _learn(self, known: dict[str, int], new: list[str], before: str) -> None:
+        """Keeps the ids of pieces that are not known yet."""
+        if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([*heads, *(" " + t for t in tails)], add_special_tokens=False)]
-        n = len(self.lengths)
-        self.heads.update(zip(heads, range(n, n + len(heads)), strict=True))
-        self.tails.update(zip(tails, range(n + len(heads), n + len(ids)), strict=True))
-        lengths = np.array([len(x) for x in ids], np.int64)
+        ids, n = self._ids([before + t for t in new]), len(self.lengths)
+        known.update(zip(new, range(n, n + len(new)), strict=True))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
 
+    def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pieces of all texts, one after the other, and how many each text has."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ") if self.cuts else pa.array([[t] for t in texts], pa.large_list(pa.large_string()))
+        ends, parts = split.offsets.to_numpy(), split.values.dictionary_encode()
+        pieces, counts = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), np.diff(ends)
+        code = np.fromiter((self.tails.get(p, -2) for p in pieces), np.int64, len(pieces))
+        new = [pieces[k] for k in np.flatnonzero(code == -2).tolist()]
+        if self.cuts:
+            # A space is no cut where there is another one, or other white space, beside it: such pieces have the code -1.
+            tight = [p for p in new if p and _visible(p[0]) and _visible(p[-1])]
+            self.tails.update(dict.fromkeys(set(new).difference(tight), -1))
+            self._learn(self.tails, tight, " ")
+            code[code == -2] = [self.tails[p] for p in new]
+        codes = code[parts.indices.to_numpy()]
+        odd = np.logical_or.reduceat(codes < 0, ends[:-1]) & (counts > 1)
+        heads = [t if n == 1 else t[: t.index(" ")] for t, n in zip(texts, counts.tolist(), strict=True)]
+        cut = {k: _CUT.split(texts[k]) for k in np.flatnonzero(odd).tolist()}
+        self._learn(self.heads, list(dict.fromkeys(h for h in [*(h for h, o in zip(heads, odd, strict=True) if not o), *(c[0] for c in cut.values())] if h not in self.heads)), "")
+        codes[ends[:-1]] = [-1 if o else self.heads[h] for h, o in zip(heads, odd.tolist(), strict=True)]
+        if not cut:
+            return codes, counts
+        # Texts with such pieces are cut by the pattern.
+        self._learn(self.tails, list(dict.fromkeys(t for c in cut.values() for t in c[1:] if self.tails.get(t, -1) < 0)), " ")
+        runs = np.split(codes, ends[1:-1])
+        for k, c in cut.items():
+            runs[k] = np.array([self.heads[c[0]], *(self.tails[t] for t in c[1:])], np.int64)
+        return np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end id after them."""
-        cut = [_CUT.split(t) if self.cuts else [t] for t in texts]
+        if not texts:
+            return []
         if len(self.lengths) > MOST_PIECES:
             self._forget()
-        self._learn((c[0] for c in cut), chain.from_iterable(c[1:] for c in cut))
-        heads, tails, out = self.heads, self.tails, []
-        for c in cut:
-            codes = np.fromiter(map(tails.__getitem__, c[1:]), np.int64, len(c) - 1)
-            codes = np.concatenate([[heads[c[0]]], codes])
-            lengths = self.lengths[codes]
-            at = np.repeat(self.starts[codes] - (np.cumsum(lengths) - lengths), lengths)
-            out.append(np.append(self.flat[at + np.arange(len(at))], np.uint32(self.end_id)))
-        return out
+        codes, counts = self._codes(texts)
+        codes = np.insert(codes, np.cumsum(counts), 0)  # code 0 is the end id
+        lengths = self.lengths[codes]
+        upto = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[codes] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        return np.split(ids, upto[np.cumsum(counts + 1) - 1][:-1])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int, special_as_text: bool) -> Encoder:
+    """One for all tasks that a worker process gets: what it has learned stays."""
+    return Encoder(path, end_id, special_as_text)
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -157,7 +228,7 @@ class TokenWriter(DataSourceArrowWriter):
 
         o = self.options
         fs, at = opened(o["path"])
-        encoder = Encoder(o["tokenizer"], int(o["endid"]), o.get("specialastext") == "true")
+        ids_of = encoder(o["tokenizer"], int(o["endid"]), o.get("specialastext") == "true").encode
         with fs.open_input_stream(f"{at}/{o['dictionary']}") as f:
             shared = codec(f.read())
         frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True, write_dict_id=True)
@@ -168,7 +239,7 @@ class TokenWriter(DataSourceArrowWriter):
             offset = len(MAGIC)
             for doc_ids, texts in pieces(batches):
                 entries = np.zeros(len(texts), ENTRY)
-                for k, (doc, ids) in enumerate(zip(doc_ids, encoder.encode(texts), strict=True)):
+                for k, (doc, ids) in enumerate(zip(doc_ids, ids_of(texts), strict=True)):
                     packed = frame.compress(ids.astype(o["dtype"]).tobytes())
                     entries[k] = (doc or 0, doc is not None, tokens, len(ids), offset, len(packed))
                     body.write(packed)
@@ -294,9 +365,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_a
     dtype = "<u2" if max(wide, end_id) < 1 << 16 else "<u4"
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id, special_as_text)
+        ids_of = encoder(tokenizer, end_id, special_as_text).encode
         for _, texts in pieces(batches):
-            yield pa.record_batch({"ids": pa.array([x.astype(dtype).tobytes() for x in encoder.encode(texts)], pa.binary())})
+            yield pa.record_batch({"ids": pa.array([x.astype(dtype).tobytes() for x in ids_of(texts)], pa.binary())})
 
     samples = [bytes(r[0]) for r in small.mapInArrow(serialize, "ids binary").collect()]  # SAMPLE rows of SAMPLE_BYTES of text at most
     raw = train(sorted(samples))
