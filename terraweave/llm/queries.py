@@ -71,6 +71,11 @@ def oracle_sql():
     return dict(SQL)
 
 
+def _single(c: str) -> str:
+    """Letters from U+00C0 to U+00FF as other single bytes: DuckDB's levenshtein counts bytes."""
+    return f"translate({c}, '{''.join(map(chr, range(0xC0, 0x100)))}', '{''.join(map(chr, range(33, 97))).replace(chr(39), chr(39) * 2)}')"
+
+
 SQL = {
     "op7_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
@@ -126,7 +131,7 @@ hashed AS (SELECT doc, run, c, xor(4294967295, list_reduce(list_prepend(42949672
 thinned AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM hashed),
 v AS (SELECT word, sum(c)::BIGINT AS n FROM thinned WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
 near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM v a JOIN v b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1 AND a.word <> b.word
-  AND (left(a.word, length(a.word) // 2) = left(b.word, length(a.word) // 2) OR right(a.word, length(a.word) - length(a.word) // 2 - 1) = right(b.word, length(a.word) - length(a.word) // 2 - 1)) AND levenshtein(a.word, b.word) = 1),
+  AND (left(a.word, length(a.word) // 2) = left(b.word, length(a.word) // 2) OR right(a.word, length(a.word) - length(a.word) // 2 - 1) = right(b.word, length(a.word) - length(a.word) // 2 - 1)) AND levenshtein(""" + _single('a.word') + ", " + _single('b.word') + r""") = 1),
 best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
 forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
 walk AS (SELECT word, word AS reached, 0 AS step FROM forms UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.reached WHERE forms.form IS NOT NULL),

@@ -1,9 +1,9 @@
 """Spelling variants: words one edit apart, by a positional q-gram index with a count filter.
 
-Two words one edit apart share all but two positional bigrams at most, and at least one of each word's three rarest ones.
-So words are dealt to cells (bigram, its position, word length) by their rarest bigrams. In a cell each word that is looked
-up heap-merges the postings of all its bigrams, of the length and within the positions that one edit allows; words that
-come up as often as the overlap bound says are verified, and only verified pairs leave the cell.
+One edit leaves one half of the shorter word as it is, at the beginning or the end of the other, so words are dealt to
+cells by a length and a half. In a cell the bigrams of the words' other parts are indexed with their positions. Each word
+heap-merges the postings of its own, of the length and within the positions that one edit allows; words that come up as
+often as the overlap bound says are verified, and only verified pairs leave the cell.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,13 +27,22 @@ Q, TOUCHED = 2, 2
 TILE = 2048
 #: A task hands on its counts after so many distinct words.
 MOST_WORDS = 1 << 17
-#: The letters of a run, Latin ones.
+#: The letters of a run, Latin ones; and bytes of UTF-8 as they are or lower-cased, all of ASCII but letters as spaces.
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = bytes(range(256)).lower()
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
 
-def variant(doc: str, run: str, prefix: int, period: int) -> str:
-    """The run as it counts: where `period` divides the CRC-32 of "doc:run", one code point is left out."""
+def runs(text: bytes) -> Counter[str]:
+    """The lower-cased runs of letters of a UTF-8 text."""
+    found: Counter[str] = Counter()
+    for part, n in Counter(text.translate(_LETTERS).split()).items():
+        for run in (part.decode(),) if part.isascii() else _RUN.findall(part.decode()):
+            found[run] += n
+    return found
+
+
+def variant(run: str, prefix: int, period: int) -> str:
+    """The run as it counts: where `period` divides the CRC-32 of "doc:run", one code point is left out. prefix: that of "doc:"."""
     h = zlib.crc32(run.encode(), prefix)
     if h % period:
         return run
@@ -52,8 +62,8 @@ def words(docs: DataFrame, least: int = 5, times: int = 3, period: int = 97) ->
         for batch in batches:
             for doc, raw in zip(batch.column(0), batch.column(1), strict=True):
                 prefix = zlib.crc32(f"{doc.as_py()}:".encode())
-                for r, n in Counter(_RUN.findall(raw.as_py().translate(_LOWER).decode())).items():
-                    word = variant(doc, r, prefix, period)
+                for r, n in runs(raw.as_py()).items():
+                    word = variant(r, prefix, period)
                     if len(word) >= least:
                         found[word] += n
                 if len(found) > MOST_WORDS:
@@ -66,17 +76,6 @@ def words(docs: DataFrame, least: int = 5, times: int = 3, period: int = 97) ->
     return base.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= times)
 
 
-def grams(word: str) -> list[str]:
-    return [word[k : k + Q] for k in range(len(word) - Q + 1)]
-
-
-def rarest(word: str, frequency: dict[str, int]) -> list[tuple[int, str]]:
-    """(position, bigram) of the TOUCHED + 1 rarest bigrams of a word, with all that are the same as the last of them."""
-    found = sorted((frequency.get(g, 0), g, p) for p, g in enumerate(grams(word)))
-    last = found[min(TOUCHED, len(found) - 1)][:2]
-    return [(p, g) for n, g, p in found if (n, g) <= last]
-
-
 def one_edit(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced code point makes a into b."""
     if len(a) > len(b):
@@ -87,89 +86,103 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else a[at:] == b[at + 1 :]
 
 
-class GramIndex:
-    """Postings of positional bigrams over words of one length, in the order in which they were put in."""
+class Cell:
+    """Words of `length` code points, or one more, that share a half: its own positional bigram index.
+
+    All have the half's bigrams, so only those outside of it are indexed, and the overlap bound is less by the half's.
+    """
 
-    def __init__(self, length: int):
-        self.length, self.words, self.postings = length, [], defaultdict(list)
+    def __init__(self, length: int, at_end: bool, words: list[str]):
+        self.length, self.words = length, words
+        self.half = length - length // 2 if at_end else length // 2
+        self.at_end, self.postings = at_end, defaultdict(list)
+        for k, w in enumerate(words):
+            for p in self.open(w):
+                self.postings[len(w), p, w[p : p + Q]].append(k)
 
-    def add(self, word: str) -> None:
-        for p, g in enumerate(grams(word)):
-            self.postings[g, p].append(len(self.words))
-        self.words.append(word)
+    def open(self, word: str) -> range:
+        """Places of the bigrams that are not wholly in the shared half."""
+        return range(len(word) - self.half) if self.at_end else range(self.half - Q + 1, len(word) - Q + 1)
 
     def near(self, word: str) -> Iterator[str]:
-        """Words of the index one edit from `word`, which is as long as they are or one shorter.
+        """Words of the cell one edit from `word`, which has its length and its half.
 
-        One edit leaves length - 1 - TOUCHED bigrams of the longer word, each in its place or one place on where the words
-        differ in length; that is the overlap bound.
+        Of the longer word's bigrams all but TOUCHED are left, each in its place, or one place on where the lengths differ.
+        A word that comes up in `least` of the lists comes up in any but the least - 1 longest, so those are not merged but
+        looked into.
         """
-        bound = self.length - Q + 1 - TOUCHED
-        shifts = range(self.length - len(word) + 1)
-        lists = [x for p, g in enumerate(grams(word)) for s in shifts if (x := self.postings.get((g, p + s)))]
-        last, n = -1, 0
-        for k in heapq.merge(*lists, [len(self.words)]):
-            if k == last:
-                n += 1
+        for size in (self.length, self.length + 1):
+            least = size - Q + 1 - TOUCHED - (self.half - Q + 1)
+            if least < 1:  # the half is all that the bound asks for
+                yield from (w for w in self.words if len(w) == size and one_edit(word, w))
                 continue
-            if n >= bound and one_edit(word, self.words[last]):
-                yield self.words[last]
-            last, n = k, 1
+            lists = [x for p in self.open(word) for s in range(size - len(word) + 1) if (x := self.postings.get((size, p + s, word[p : p + Q])))]
+            lists.sort(key=len)
+            merged, looked = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
+            last, n = -1, 0
+            for k in heapq.merge(*merged, [len(self.words)]) if merged else ():
+                if k == last:
+                    n += 1
+                    continue
+                if last >= 0 and n + sum(1 for x in looked if (at := bisect_left(x, last)) < len(x) and x[at] == last) >= least and one_edit(word, self.words[last]):
+                    yield self.words[last]
+                last, n = k, 1
 
 
 def near_words(vocabulary: DataFrame, tile: int = TILE) -> DataFrame:
     """(a, b): pairs of words of vocabulary(word) one edit apart, each once; words of fewer than five code points take no part.
 
-    A cell has the words of one length with one of their rarest bigrams at one position; words of that length and of one
-    less look into it. Cells of more than `tile` words, or of many that look in, are dealt out as pairs of tiles.
+    A cell has the words of a length, which look into it, and of one more, that share a beginning or an end. Cells of more
+    than `tile` words are dealt out as pairs of tiles: one of words that are indexed, one of words that look in.
     """
     base = vocabulary.select("word").where(F.length("word") >= 5).distinct()
-    counted = base.select(F.explode(F.expr(f"transform(sequence(1, length(word) - {Q - 1}), p -> substring(word, p, {Q}))")).alias("g")).groupBy("g").count()
-    # Two letters of 90 (a-z and the 64 from U+00C0 to U+00FF) as runs have them: 8100 bigrams at most. Rarer alphabets than that
-    # are not told apart: what is not in the table counts as rarest, in code-point order.
-    frequency = {r.g: r["count"] for r in counted.orderBy(F.desc("count"), "g").limit(8100).collect()}
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for w in batch.column(0).to_pylist():
-                for p, g in rarest(w, frequency):
-                    rows.append((g, p, len(w), 0, w))
-                    rows += [(g, p, len(w), 1, w), (g, p, len(w) + 1, 1, w), (g, p + 1, len(w) + 1, 1, w)]
-            g, p, size, role, w = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.record_batch({"gram": pa.array(g, pa.string()), "place": pa.array(p, pa.int32()), "size": pa.array(size, pa.int32()), "role": pa.array(role, pa.int32()), "word": pa.array(w, pa.string())})
-
-    cells = ["gram", "place", "size"]
-    dealt, at = materialize(base.mapInArrow(deal, "gram string, place int, size int, role int, word string").distinct(), "grams")
-    indexed, probes = dealt.where("role = 0"), dealt.where("role = 1")
-    tiles = lambda df, name, size: df.groupBy(*cells).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
-    sizes, sizes_at = materialize(tiles(indexed, "ti", tile).join(tiles(probes, "tj", 4 * tile), cells), "tiles")
-    tile_of = lambda n: F.pmod(F.xxhash64("word"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(sizes, cells).withColumn("i", tile_of("ti")).withColumn("j", every("tj"))
-    right = probes.join(sizes, cells).withColumn("j", tile_of("tj")).withColumn("i", every("ti"))
-    # Of a cell's words none is looked up where there are no others.
-    rows = left.select(*cells, "i", "j", "role", "word").unionByName(right.select(*cells, "i", "j", "role", "word"))
-    key = [*cells, "i", "j"]
+    size = F.length("word")
+    cells = base.withColumn("length", F.explode(F.when(size > 5, F.array(size, size - 1)).otherwise(F.array(size)))).withColumn("looks", size == F.col("length"))
+    half = F.floor(F.col("length") / 2).cast("int")
+    beginning, end = F.expr("left(word, half)"), F.expr("right(word, length - half)")
+    cells = cells.withColumn("half", half).select("length", "looks", "word", F.explode(F.array(F.struct(F.lit(0).alias("side"), beginning.alias("part")), F.struct(F.lit(1).alias("side"), end.alias("part")))).alias("c"))
+    key = ["length", "side", "part"]
+    cells = cells.select("length", "c.side", "c.part", "looks", "word")
+    counted = cells.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("looks").alias("asking")).where("n > 1 AND asking > 0")
+    cells = cells.join(counted.select(*key, F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles")), key)
+    own = F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int")
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    indexed = F.transform(every, lambda j: F.struct(own.alias("i"), j.alias("j"), (F.col("looks") & (j == own)).alias("asks"), F.lit(True).alias("indexed")))
+    asking = F.transform(F.filter(every, lambda i: F.col("looks") & (i != own)), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("indexed")))
+    rows = cells.select(*key, "word", F.explode(F.concat(indexed, asking)).alias("t")).select(*key, "t.i", "t.j", "word", "t.asks", "t.indexed")
+    tiles = [*key, "i", "j"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index = None, None
+        now, indexed, asking = None, [], []
+
+        def found() -> tuple[list[str], list[str]]:
+            a, b = [], []
+            if now is not None and asking and len(indexed) + len(asking) > 1:
+                cell = Cell(now[0], now[1] == 1, indexed)
+                for word in asking:
+                    for other in cell.near(word):
+                        if len(other) > len(word) or other > word:
+                            a.append(word)
+                            b.append(other)
+            return a, b
+
         for batch in batches:
             a, b = [], []
-            for *cell, role, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell != now:
-                    now, index = cell, GramIndex(cell[2])
-                if role == 0:
-                    index.add(word)
-                    continue
-                for other in index.near(word):
-                    if len(other) > len(word) or other > word:
-                        a.append(word)
-                        b.append(other)
+            for *own, word, asks, is_indexed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != now:
+                    x, y = found()
+                    a += x
+                    b += y
+                    now, indexed, asking = own, [], []
+                if asks:
+                    asking.append(word)
+                if is_indexed:
+                    indexed.append(word)
             yield pa.record_batch({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+        a, b = found()
+        yield pa.record_batch({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    pairs, _ = materialize(rows.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, "role", "word").mapInArrow(merge, "a string, b string").distinct(), "near")
-    release(vocabulary.sparkSession, at, sizes_at)
+    pairs, _ = materialize(rows.repartition(*[F.col(c) for c in tiles]).sortWithinPartitions(*tiles, "word").mapInArrow(merge, "a string, b string").distinct(), "near")
     return pairs
 
 
