@@ -127,9 +127,86 @@ def cauchy_cost(r: Column, scale: float) -> Column:
     return F.log1p(r * r / (scale * scale))
 
 
-def interval_product(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
-    products = F.array(a[0] * b[0], a[0] * b[1], a[1] * b[0], a[1] * b[1])
-    return F.array_min(products), F.array_max(products)
+Interval = tuple[Column, Column]
+
+
+def interval_product(a: Interval, b: Interval) -> Interval:
+    products = [a[0] * b[0], a[0] * b[1], a[1] * b[0], a[1] * b[1]]
+    return F.least(*products), F.greatest(*products)
+
+
+def interval_sum(*parts: Interval) -> Interval:
+    low, high = parts[0]
+    for a, b in parts[1:]:
+        low, high = low + a, high + b
+    return low, high
+
+
+def interval_scaled(a: Interval, k: float) -> Interval:
+    return (a[0] * k, a[1] * k) if k >= 0 else (a[1] * k, a[0] * k)
+
+
+def interval_square(a: Interval) -> Interval:
+    """Squares of what an interval holds: from 0 where it holds 0."""
+    low, high = F.least(F.abs(a[0]), F.abs(a[1])), F.greatest(F.abs(a[0]), F.abs(a[1]))
+    return F.when((a[0] <= 0) & (a[1] >= 0), d(0)).otherwise(low * low), high * high
+
+
+#: What is added to intervals for the rounding of doubles, relative to coordinates and to pixels.
+SLACK = 1e-6
+
+
+def with_box_view(boxes: DataFrame, low: Sequence[Column], high: Sequence[Column], camera: Camera, world_to_camera: Sequence[Sequence[Column]] | None = None) -> DataFrame:
+    """Adds may_see: whether a point of the box low..high may have a valid projection as seen from px, py, pz.
+
+    Intervals of camera coordinates, angle, bent angle (Horner steps) and pixels hold the values of every point of the box,
+    so no box with a valid projection is refused; one whose intervals are not finite is not refused either.
+    """
+    at = [F.col(c) for c in ("px", "py", "pz")]
+    middle, half = [(a + b) / 2 for a, b in zip(low, high, strict=True)], [(b - a) / 2 for a, b in zip(low, high, strict=True)]
+    away = sub(middle, at)
+    if world_to_camera:
+        away = rotate(world_to_camera, away)
+        half = [sum((F.abs(m) * h for m, h in zip(row, half, strict=True)), d(0)) for row in world_to_camera]
+    box = {}
+    for k, (c, h) in enumerate(zip(away, half, strict=True)):
+        room = h + SLACK * (1 + F.abs(c) + h)
+        box |= {f"_a{k}": c - room, f"_b{k}": c + room}
+    out = boxes.withColumns(box)
+    x, y, z = ((F.col(f"_a{k}"), F.col(f"_b{k}")) for k in range(3))
+    across, along = interval_sum(interval_square(x), interval_square(y)), interval_square(z)
+    out = out.withColumns({"_r0": F.sqrt(across[0]), "_r1": F.sqrt(across[1]), "_far": F.sqrt(across[1] + along[1])})
+    # The angle grows with the distance from the axis, and falls along it.
+    out = out.withColumns({"_t0": F.greatest(d(0), F.atan2(F.col("_r0"), z[1]) - SLACK), "_t1": F.least(d(camera.max_angle), F.atan2(F.col("_r1"), z[0]) + SLACK)})
+    theta = (F.col("_t0"), F.col("_t1"))
+    bent: Interval = (d(0), d(0))
+    for n, c in enumerate(reversed(camera.k)):
+        step = interval_product((bent[0] + c, bent[1] + c), theta)
+        out = out.withColumns({f"_h{n}": step[0], f"_i{n}": step[1]})
+        bent = (F.col(f"_h{n}"), F.col(f"_i{n}"))
+    reach = interval_product((bent[0] + 1.0, bent[1] + 1.0), theta)
+    out = out.withColumns({"_p0": reach[0], "_p1": reach[1]})
+
+    def share(a: Interval) -> Interval:
+        """x / rho, which is -1 to 1, and within x over both ends of rho where the axis is not in the box."""
+        over = interval_product(a, tuple(F.coalesce(F.try_divide(d(1), F.col(c)), d(float("inf"))) for c in ("_r1", "_r0")))
+        off = F.col("_r0") > 0
+        return F.when(off, F.greatest(d(-1), over[0])).otherwise(d(-1)), F.when(off, F.least(d(1), over[1])).otherwise(d(1))
+
+    bx, by = (interval_product((F.col("_p0"), F.col("_p1")), share(a)) for a in (x, y))
+    out = out.withColumns({"_u0": bx[0], "_u1": bx[1], "_v0": by[0], "_v1": by[1]})
+    bx, by = (F.col("_u0"), F.col("_u1")), (F.col("_v0"), F.col("_v1"))
+    u, v = interval_sum(interval_scaled(bx, camera.a11), interval_scaled(by, camera.a12)), interval_scaled(by, camera.a22)
+    room = SLACK * (abs(camera.a11) + abs(camera.a12) + abs(camera.a22) + camera.width + camera.height)
+    outside = [u[1] + camera.u0 < -room, u[0] + camera.u0 > camera.width - 1 + room, v[1] + camera.v0 < -room, v[0] + camera.v0 > camera.height - 1 + room, F.col("_t0") >= camera.max_angle, F.col("_far") < 0.1]
+    finite = [~F.isnan(c) & (F.abs(c) < float("inf")) for c in (*bx, *by, F.col("_t0"), F.col("_t1"), F.col("_far"))]
+    sure = finite[0]
+    for f in finite[1:]:
+        sure = sure & f
+    gone = outside[0]
+    for o in outside[1:]:
+        gone = gone | o
+    return out.withColumn("may_see", ~F.coalesce(sure & gone, F.lit(False))).select(*boxes.columns, "may_see")
 
 
 def incidence(normal: Vec, ray: Vec) -> Column:

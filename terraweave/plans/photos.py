@@ -73,14 +73,8 @@ def f12(spark, sf):
 
 @_f.query("f24_p04_pruned_projection", PROJ + " SELECT photo, count(*) AS n, min(point_id) AS first FROM proj GROUP BY photo")
 def f24(spark, sf):
-    """The projection through voxels that a photo may see: fewer pairs, the same result."""
-    from terraweave.operators.points import CELL, with_cells
-
-    celled = with_cells(V.points(spark, sf), 0.5)
-    seen = O.visible_cells(celled.select(*CELL).distinct(), V.photos(spark, sf), 0.5, CAMERA)
-    pairs = C.with_projection(celled.join(seen, CELL), CAMERA)
-    kept = pairs.where(C.valid_projection(*[F.col(c) for c in ("u", "v", "theta", "dist")], CAMERA))
-    return kept.groupBy("photo").agg(F.count("*").alias("n"), F.min("point_id").alias("first"))
+    """What the projection through cells that a photo may see has for each photo."""
+    return _projected(spark, sf).groupBy("photo").agg(F.count("*").alias("n"), F.min("point_id").alias("first"))
 
 
 @_f.query("a20_m15_depth_buffer", BUFFER + " SELECT photo, qx, qy, step, point_id, step * 1000 + point_id % 1000 AS key FROM buffer")
