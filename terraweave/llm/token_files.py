@@ -15,7 +15,8 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -85,28 +86,28 @@ class Encoder:
     def _forget(self) -> None:
         self.heads: dict[str, int] = {}
         self.tails: dict[str, int] = {}
-        self.tokens: dict[str, list[int]] = {}
+        self.tokens: dict[str, array] = {}
         self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
+    def _ids(self, texts: list[str]) -> list[Sequence[int]]:
         """Ids of texts, each a piece with its space before it or the beginning of a text."""
-        out: list[list[int]] = [[]] * len(texts)
+        out: list[Sequence[int]] = [()] * len(texts)
         rest, tokens = [], self.tokens
         for k, t in enumerate(texts):
             m = _WORD.fullmatch(t) if self.words else None
             if m is None:
                 rest.append(k)
                 continue
-            ids = []
+            ids = array("I")
             for part in m.groups(""):
                 if part:
                     own = tokens.get(part)
                     if own is None:
-                        own = tokens[part] = [x.id for x in self.model.tokenize(_shown(part))]
+                        own = tokens[part] = array("I", [x.id for x in self.model.tokenize(_shown(part))])
                     ids += own
             out[k] = ids
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False) if rest else [], strict=True):
-            out[k] = e.ids
+            out[k] = array("I", e.ids)
         return out
 
     def _learn(self, known: dict[str, int], new: list[str], before: str) -> None:
