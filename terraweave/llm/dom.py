@@ -97,6 +97,13 @@ class Page:
             if self.tag[stack[k]] in bounds:
                 return
 
+    def own(self) -> np.ndarray:
+        """Code points of the text runs of each element."""
+        n = np.zeros(len(self.tag))
+        for e, text in self.runs:
+            n[e] += len(text.strip())
+        return n
+
     def blocks(self, kept: np.ndarray | list[bool]) -> list[str]:
         """Texts of blocks, white space folded, of runs whose element is kept; inline elements belong to their block."""
         block_of = list(range(len(self.tag)))

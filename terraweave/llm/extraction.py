@@ -1,9 +1,11 @@
 """Main text of web pages by gradient-boosted trees over features of DOM elements.
 
 No table has labels for pages, so the trees learn from pages that are composed here, of parts whose nature is known:
-articles in various containers, menus, headers, footers, sidebars, notices, adverts, forms and comments with the names
-that authors use. Spark ML fits the trees. Each element of a page gets the probability that it holds main text, and the
-decoding takes the most likely choice in which nothing is kept below an element that is dropped.
+articles in containers of all kinds, named or not, or in none, with bare text, lists, tables and figures; menus, headers,
+footers, sidebars, notices, adverts, forms and comments with the names that authors use. Spark ML fits the trees. Each
+element of a page gets the probability that it holds main text, and the decoding takes the most likely choice in which
+nothing is kept below an element that is dropped; elements count by their own text, so that a doubtful container does not
+outweigh its paragraphs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from terraweave.llm.dom import FEATURES, Page, features
 
 #: The bounds of what is fitted.
-TRAINING_PAGES, TREES, DEPTH, SEED = 360, 14, 5, 17
+TRAINING_PAGES, TREES, DEPTH, SEED = 900, 24, 5, 17
 
 
 def composed(rng: random.Random) -> tuple[str, set[int]]:
@@ -103,60 +105,110 @@ def composed(rng: random.Random) -> tuple[str, set[int]]:
         else:
             links("aside", "", rng.randint(2, 5))
 
-    open_("html", "", True)
-    if rng.random() < 0.5:  # an element of its own
-        open_("head")
-        open_("meta")
-        out.append("<title>x</title></head>")
-    open_("body", "", True)
-    if rng.random() < 0.7:
+    def article(high: int) -> None:
+        """What an article is made of, in an element that is open."""
+        if rng.random() < 0.75:
+            leaf(rng.choice(["h1", "h1", "h2"]), 3, 14, True)
+        if rng.random() < 0.15:
+            leaf("p", 2, 6, True, rng.choice(["", "meta", "byline", "date"]))
+        bare = rng.random() < 0.2
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 13])):
+            r = rng.random()
+            if bare and r < 0.5:
+                out.append(words(*rng.choice([(2, 8), (15, 60)])) + rng.choice(["<br>", "<br><br>", " "]))
+            elif r < 0.66:
+                leaf("p", *rng.choice([(1, 2), (3, 12), (20, high // 2), (40, high)]), True)
+            elif r < 0.73:
+                leaf(rng.choice(["h2", "h3", "h4"]), 1, 8, True)
+            elif r < 0.78:
+                leaf(rng.choice(["blockquote", "pre"]), *rng.choice([(1, 6), (5, 40)]), True)
+            elif r < 0.83:
+                tag = rng.choice(["ul", "ol"])
+                open_(tag, "", True)
+                for _ in range(rng.randint(2, 5)):
+                    leaf("li", 2, 20, True)
+                out.append(f"</{tag}>")
+            elif r < 0.87:
+                leaf("div", 10, 60, True)
+            elif r < 0.9:
+                open_("figure", "", True)
+                open_("img", "", True)
+                leaf("figcaption", 3, 15, True)
+                out.append("</figure>")
+            elif r < 0.92:
+                open_("table", "", True)
+                for _ in range(rng.randint(1, 4)):
+                    open_("tr", "", True)
+                    for _ in range(rng.randint(2, 3)):
+                        leaf(rng.choice(["td", "td", "th"]), 1, 5, True)
+                    out.append("</tr>")
+                out.append("</table>")
+            elif r < 0.94:
+                open_("dl", "", True)
+                for _ in range(rng.randint(1, 3)):
+                    leaf("dt", 1, 4, True)
+                    leaf("dd", 4, 25, True)
+                out.append("</dl>")
+            elif r < 0.965:
+                open_("section", "", True)
+                leaf(rng.choice(["h2", "h3"]), 1, 6, True)
+                for _ in range(rng.randint(1, 3)):
+                    leaf("p", 10, high, True)
+                out.append("</section>")
+            else:
+                noise()
+        if rng.random() < 0.1:
+            box("footer", "", 0, 12)
+
+    bodied = rng.random() < 0.9  # else a fragment
+    if bodied:
+        open_("html", "", True)
+        if rng.random() < 0.5:  # an element of its own
+            open_("head")
+            open_("meta")
+            out.append("<title>x</title></head>")
+        open_("body", "", True)
+    alone = not bodied or rng.random() < 0.12  # nothing but the article
+    if not alone and rng.random() < 0.7:
         header = rng.random() < 0.5
         if header:
             open_("header", rng.choice(["", "site-header", "masthead"]))
             leaf(rng.choice(["div", "h2", "span", "p"]), 1, 5, False)
-        links(rng.choice(["nav", "nav", "div"]), rng.choice(["", "menu", "nav", "navbar", "top-menu"]), rng.randint(2, 9))
+        links(rng.choice(["nav", "nav", "div", "ul"]), rng.choice(["", "", "menu", "nav", "navbar", "top-menu"]), rng.randint(2, 9))
         if header:
             out.append("</header>")
-    for _ in range(rng.randint(0, 2)):
+    for _ in range(0 if alone else rng.randint(0, 2)):
         noise()
+    neutral = ["", "", "wrapper", "container", "page", "main", "layout", "row", "col", "inner", "grid", "section1"]
     wrappers = []
-    for _ in range(rng.randint(0, 2)):
-        wrappers.append(rng.choice(["div", "section", "main"]))
-        open_(wrappers[-1], rng.choice(["", "wrapper", "container", "page", "main", "layout"]), True)
-    container = rng.choice(["article", "article", "main", "div", "section"])
-    open_(container, rng.choice(["", "post"]) if container in ("article", "main") else rng.choice(["content", "post-content", "article-body", "entry", "story", "main-text"]), True)
-    leaf("h1", 3, 14, True)
-    for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 13])):
-        r = rng.random()
-        if r < 0.72:
-            leaf("p", *rng.choice([(1, 2), (3, 12), (20, 90), (40, 160)]), True)
-        elif r < 0.78:
-            leaf(rng.choice(["h2", "h3"]), 1, 8, True)
-        elif r < 0.84:
-            leaf("blockquote", 5, 40, True)
-        elif r < 0.9:
-            open_("ul", "", True)
-            for _ in range(rng.randint(2, 5)):
-                leaf("li", 2, 20, True)
-            out.append("</ul>")
-        elif r < 0.94:
-            leaf("div", 10, 60, True)
-        else:
-            noise()
-    out.append(f"</{container}>")
-    if rng.random() < 0.4:
-        open_(rng.choice(["section", "div"]), rng.choice(["comments", "comment-list", "discussion", "replies"]))
+    for _ in range(rng.choice([0, 0, 1, 2, 3])):
+        wrappers.append(rng.choice(["div", "div", "section", "main"]))
+        open_(wrappers[-1], rng.choice(neutral), True)
+    high = rng.choice([60, 160])
+    kind = rng.random()
+    if kind < 0.2:  # in no container of its own
+        article(high)
+    else:
+        container = rng.choice(["article", "article", "main", "div", "div", "section"])
+        named = rng.choice(["content", "post-content", "article-body", "entry", "story", "main-text"]) if container in ("div", "section") and kind < 0.55 else rng.choice([*neutral, "post"])
+        open_(container, named, True)
+        article(high)
+        out.append(f"</{container}>")
+    if rng.random() < 0.35 and not alone:
+        tag = rng.choice(["section", "div"])
+        open_(tag, rng.choice(["comments", "comment-list", "discussion", "replies"]))
         leaf("h3", 1, 3, False)
         for _ in range(rng.randint(1, 5)):
             box(rng.choice(["div", "div"]), rng.choice(["comment", "comment", "reply", ""]), rng.randint(1, 2), 60)
-        out.append("</div></section>")
+        out.append(f"</{tag}>")
     out += [f"</{w}>" for w in wrappers[::-1]]
-    for _ in range(rng.randint(0, 2)):
+    for _ in range(0 if alone else rng.randint(0, 2)):
         noise()
-    if rng.random() < 0.8:
+    if not alone and rng.random() < 0.8:
         tag = rng.choice(["footer", "footer", "div"])
         box(tag, rng.choice(["", "footer"]) if tag == "footer" else rng.choice(["footer", "copyright", "bottom"]), rng.choice([0, 0, 1, 2]))
-    out.append("</body></html>")
+    if bodied:
+        out.append("</body></html>")
     return "".join(out), good
 
 
@@ -220,9 +272,13 @@ def fit(spark: SparkSession, pages: int = TRAINING_PAGES) -> Trees:
 
 
 def decode(page: Page, probability: np.ndarray) -> np.ndarray:
-    """The most likely choice of kept elements in which all ancestors of a kept element are kept."""
+    """The most likely choice of kept elements in which all ancestors of a kept element are kept.
+
+    An element weighs by the logarithm of its own text, one without text little: it matters for what is in it.
+    """
     p = np.clip(probability, 1e-6, 1 - 1e-6)
-    keep, drop = np.log(p), np.log(1 - p)
+    weight = 0.25 + np.log1p(page.own()) / 4
+    keep, drop = weight * np.log(p), weight * np.log(1 - p)
     keep[0], drop[0] = 0.0, -np.inf  # the page itself
     for k in range(len(p) - 1, 0, -1):  # children come after their parents
         keep[page.parent[k]] += max(keep[k], drop[k])
@@ -238,8 +294,9 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages(page_id, url, html).
 
     text: the kept blocks in page order, each with white space folded to single blanks and trimmed, joined by line
-    feeds. A page without any markup is main text as a whole; on others text outside all elements is not kept. Null, empty and blank pages, and pages without main text, give the
-    empty text. Repeated rows give equal results; other columns are ignored; an empty table gives an empty result.
+    feeds. Text outside all elements is main text if it has a letter or a digit. Null, empty and blank pages, and pages without
+    main text, give the empty text. Repeated rows give equal results; other columns are ignored; an empty table gives an
+    empty result.
     """
     trees = trees or fit(pages.sparkSession)
 
@@ -255,7 +312,7 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
                 texts = []
                 for k, p in enumerate(parsed):
                     kept = decode(p, probability[cuts[k] : cuts[k + 1]])
-                    kept[0] = "<" not in (sources[k] or "")
+                    kept[0] = any(c.isalnum() for e, t in p.runs if e == 0 for c in t)
                     texts.append("\n".join(p.blocks(kept)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -464,9 +464,9 @@ def test_extraction(spark, trees):
 
 
 def test_extraction_of_plain_prose(spark, trees):
-    rows = [(1, "u", "No markup\n at all, &amp; so all of it."), (2, "u", "before <p>x</p>")]
+    rows = [(1, "u", "No markup\n at all, &amp; so all of it."), (2, "u", "before <p>and some more words after it.</p>")]
     got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), trees).collect()}
-    assert got[1] == "No markup at all, & so all of it." and "before" not in got[2]
+    assert got[1] == "No markup at all, & so all of it." and got[2] == "before\nand some more words after it."
 
 
 def test_extraction_of_whole_pages(spark, trees, sf):
