@@ -36,10 +36,12 @@ NEIGHBOURS, BLOCK, FOLD, THRESHOLD = 15, 64, 2, 0.3
 PREFIXES, END = range(8, 2, -1), "$"
 #: Share of the examples from which a term is a common one.
 COMMON = 0.1
+#: Share of the blocks from which a query reads whole lists of postings.
+WHOLE = 0.3
 #: Texts that are searched together.
 SEARCHED = 64
-#: Words whose terms a task remembers.
-REMEMBERED = 50_000
+#: Words whose terms, and texts whose scores, a worker remembers.
+REMEMBERED, REMEMBERED_TEXTS = 400_000, 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -107,7 +109,7 @@ class ExampleIndex:
 
         Numbers are kept in as few bytes as they need, as every task has an index of its own.
         """
-        self.stems, self.known = stems, {}
+        self.stems, self.known, self.judged = stems, {}, {}
         n = len(ids)
         labels = labels.astype(np.float64)
         self.prior = float(labels.mean()) if n else 0.0
@@ -152,6 +154,7 @@ class ExampleIndex:
         most = np.maximum.reduceat(self.w, new) if len(new) else np.zeros(0)
         self.most = np.nextafter(most.astype(np.float32), np.float32(2))  # no less than the weights
         self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1)).astype(np.int32)
+        self.postings = np.searchsorted(term, np.arange(len(self.terms) + 1)).astype(np.int32)
 
     def columns(self, words: list[str]) -> np.ndarray:
         """The terms of words by number; -1 for those of no example."""
@@ -187,7 +190,7 @@ class ExampleIndex:
             term, w = term[at < 0], w[at < 0]
             count = self.first[term + 1] - self.first[term]
             entry, weight = ranges(self.first[term], count), np.repeat(w, count)
-            lists.append((entry, weight, self.block[entry]))
+            lists.append((entry, weight, self.block[entry], term, w))
             bound[i] = np.bincount(self.block[entry], weight * self.most[entry], self.blocks)
         bound += common @ self.dense_most.T
         if not bound.size:
@@ -200,7 +203,13 @@ class ExampleIndex:
                 rows = np.flatnonzero(todo[:, b])
                 scores[rows, b] += common[rows] @ self.dense[b].T
             for i in np.flatnonzero(todo.any(axis=1)):
-                entry, weight, block = lists[i]
+                entry, weight, block, term, w = lists[i]
+                if todo[i].mean() > WHOLE:  # whole lists are read faster than most of their parts
+                    count = self.postings[term + 1] - self.postings[term]
+                    at = ranges(self.postings[term], count)
+                    whole = np.bincount(self.place[at], np.repeat(w, count) * self.w[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+                    scores[i, todo[i]] += whole[todo[i]]
+                    continue
                 mine = todo[i][block]
                 e = entry[mine]
                 at = ranges(self.start[e], self.size[e])
@@ -220,6 +229,15 @@ class ExampleIndex:
         found = [np.flatnonzero(enough) for enough in (scores >= least(scores)) & (scores > 0)]
         return [(at, np.round(s[at], 12)) for s, at in zip(scores, found, strict=True)]
 
+    def judge(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """scores() of texts; a text that has been judged, as copies are, is not searched again."""
+        keys = [xxhash.xxh3_128_digest(t or "") for t in texts]
+        if len(self.judged) > REMEMBERED_TEXTS:
+            self.judged.clear()
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.judged}
+        self.judged.update(zip(new, self.scores([Counter(words_of(t)) for t in new.values()]), strict=True))
+        return [self.judged[k] for k in keys]
+
     def scores(self, texts: list[dict[str, int]]) -> list[tuple[float, list[int]]]:
         """Votes weighed by 1 / (distance + 0.1) and one vote for the share of the label; evidence: doc_ids by nearness."""
         out = []
@@ -318,7 +336,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for part in slices(batches, SEARCHED):
-            found = index.scores([Counter(words_of(t.as_py())) for t in part.column(2)])
+            found = index.judge(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(scored, "doc_id long, held_out boolean, score double, evidence array<bigint>")
@@ -337,7 +355,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         index = held.value
         for part in slices(batches, SEARCHED):
             texts = part.column(0).field(at)
-            yield part.filter(pa.array([s < THRESHOLD for s, _ in index.scores([Counter(words_of(t.as_py())) for t in texts])], pa.bool_()))
+            yield part.filter(pa.array([s < THRESHOLD for s, _ in index.judge(texts.to_pylist())], pa.bool_()))
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # packed, so that any name will do
     return rows.mapInArrow(clean, rows.schema).select("_row.*")
