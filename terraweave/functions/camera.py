@@ -206,7 +206,8 @@ def with_box_view(boxes: DataFrame, low: Sequence[Column], high: Sequence[Column
     gone = outside[0]
     for o in outside[1:]:
         gone = gone | o
-    return out.withColumn("may_see", ~F.coalesce(sure & gone, F.lit(False))).select(*boxes.columns, "may_see")
+    seen = F.explode(F.array(~F.coalesce(sure & gone, F.lit(False)))).alias("may_see")  # an array of one, as in with_projection()
+    return out.select(*boxes.columns, seen)
 
 
 def incidence(normal: Vec, ray: Vec) -> Column:

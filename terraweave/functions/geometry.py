@@ -280,3 +280,34 @@ def offset_polygon(v: Column, by: float, least: float = 0.3) -> Column:
         return F.struct((p["x"] + F.try_divide(mx, m) * by / cosine).alias("x"), (p["y"] + F.try_divide(my, m) * by / cosine).alias("y"))
 
     return F.transform(v, moved)
+
+
+def band_outline(v: Column, by: float, least: float = 0.2, step: float = 15.0) -> Column:
+    """Outline of what lies within `by` of a polygon, outside of it: an arc of points at most `step` degrees apart (three at
+    least) around each convex corner, and at a concave one the point where the moved edges meet, the cosine of the half angle
+    counting as `least` at least. Either direction of traversal; fewer than three vertices or a distance of 0 or less: as it is.
+    """
+    n = F.size(v)
+    turned = F.aggregate(F.sequence(F.lit(0), n - 1), d(0), lambda a, i: a + F.get(v, i)["x"] * F.get(v, F.pmod(i + 1, n))["y"] - F.get(v, F.pmod(i + 1, n))["x"] * F.get(v, i)["y"])
+    sign = F.when(turned > 0, d(1)).otherwise(d(-1))
+    pi = 3.141592653589793
+
+    def around(p: Column, i: Column) -> Column:
+        a, b = F.get(v, F.pmod(i + n - 1, n)), F.get(v, F.pmod(i + 1, n))
+        ax, ay, bx, by_ = p["x"] - a["x"], p["y"] - a["y"], b["x"] - p["x"], b["y"] - p["y"]
+        la, lb = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by_ * by_)
+        la, lb = F.when(la > 0, la).otherwise(d(1)), F.when(lb > 0, lb).otherwise(d(1))
+        out = [sign * ay / la, -sign * ax / la, sign * by_ / lb, -sign * bx / lb]
+        first, turn = F.atan2(out[1], out[0]), F.atan2(out[3], out[2]) - F.atan2(out[1], out[0])
+        turn = F.when((sign > 0) & (turn < 0), turn + 2 * pi).when((sign < 0) & (turn > 0), turn - 2 * pi).otherwise(turn)
+        steps = F.greatest(F.lit(2), F.ceil(F.abs(turn) / (step * pi / 180)).cast("int"))
+        arc = F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct((p["x"] + by * F.cos(first + turn * k / steps)).alias("x"), (p["y"] + by * F.sin(first + turn * k / steps)).alias("y")))
+        mx, my = out[0] + out[2], out[1] + out[3]
+        m = F.sqrt(mx * mx + my * my)
+        m = F.when(m > 0, m).otherwise(d(1))
+        far = by / F.greatest((mx * out[0] + my * out[1]) / m, d(least))
+        meet = F.array(F.struct((p["x"] + mx / m * far).alias("x"), (p["y"] + my / m * far).alias("y")))
+        return F.when((ax * by_ - ay * bx) * sign > 0, arc).otherwise(meet)
+
+    same = F.transform(v, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return F.when((n < 3) | (F.lit(by) <= 0), same).otherwise(F.flatten(F.transform(v, around)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stages of a run: name, lane, stages that have to be done before. Each is a table written before the next one begins.
@@ -117,3 +117,75 @@ def keyframe_budget(photos: int, percent: int = 0) -> int:
     windows = [min(62, photos - at) for at in range(0, photos, 62)]
     n = sum(min(w, round(w * percent / 100) if percent else 20) for w in windows)
     return n - n % 2 if n >= 20 else n
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 20909) -> DataFrame:
+    """df with its rows' places in a seeded permutation, 0 to n - 1, the same in every run: the order of the MD5 of seed and
+    key, ties by key. Keys are unique and not null.
+
+    Ranks are dense without an order of all rows: rows are counted for each of 4096 beginnings of the hash, and numbered
+    within one, of which each is a task's.
+    """
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, 3))
+    sums = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # 4096 rows at most
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return hashed.withColumn("_own", own).join(F.broadcast(before), "_b").withColumn("place", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_h", "_b", "_own", "_before")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """A table read from Parquet, with `place`: the rows' dense numbers over all files, in the order of their names and rows.
+
+    A row's number in its file comes from the scan; files are counted first, a row for each of them.
+    """
+    rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    sizes = rows.groupBy("_f").agg((F.max("_r") + 1).alias("_n"))
+    before = sizes.select("_f", F.coalesce(F.sum("_n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each file
+    return rows.join(before, "_f").withColumn("place", F.col("_before") + F.col("_r")).drop("_f", "_r", "_before")
+
+
+def compared(result: DataFrame, reference: DataFrame, tolerances: dict[str, float], on: str = "place") -> DataFrame:
+    """One row: rows compared, missing and surplus ones, the largest difference of each column, and whether all is within
+    `tolerances`. Rows meet by their place; a null equals a null only, and differs infinitely from a number."""
+    far = {}
+    for c in tolerances:
+        a, b = F.col(f"a.{c}").cast("double"), F.col(f"b.{c}").cast("double")
+        far[c] = F.when(a.isNull() & b.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.abs(a - b), F.lit(float("inf"))))
+    both = result.select(on, *tolerances).alias("a").join(reference.select(on, *tolerances).alias("b"), F.col(f"a.{on}") == F.col(f"b.{on}"), "full")
+    in_a, in_b = F.col(f"a.{on}").isNotNull(), F.col(f"b.{on}").isNotNull()
+    report = both.agg(F.count_if(in_a & in_b).alias("rows"), F.count_if(~in_a).alias("missing"), F.count_if(~in_b).alias("surplus"), *[F.coalesce(F.max(F.when(in_a & in_b, far[c])), F.lit(0.0)).alias(f"max_{c}") for c in tolerances])
+    good = (F.col("missing") == 0) & (F.col("surplus") == 0)
+    for c, t in tolerances.items():
+        good = good & (F.col(f"max_{c}") <= t)
+    return report.withColumn("passed", good)
+
+
+class Observed:
+    """Counts and extremes of stages as they run, without a job of their own: each stage is a DataFrame with an observation."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.stages = spark, []
+
+    def stage(self, name: str, df: DataFrame, value: str | None = None) -> DataFrame:
+        """df as it is; its rows, and the least and greatest `value`, are known once it has run."""
+        seen = Observation(name)
+        column = F.col(value).cast("double") if value else F.lit(None).cast("double")
+        self.stages.append((name, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(column).alias("least"), F.max(column).alias("most"))
+
+    def table(self) -> DataFrame:
+        """(stage, rows, least, most), a row for each stage; waits for stages that have not run."""
+        rows = [(name, seen.get["rows"], seen.get["least"], seen.get["most"]) for name, seen in self.stages]
+        return self.spark.createDataFrame(rows, "stage string, rows long, least double, most double")
+
+
+def stage_metrics(spark: SparkSession) -> DataFrame:
+    """What Spark has measured of the stages it ran: tasks, seconds run and on the CPU, peak execution memory, rows and bytes."""
+    out = []
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    for k in range(stages.size()):
+        s = stages.apply(k)
+        out.append((s.stageId(), s.attemptId(), s.name(), s.numCompleteTasks(), s.executorRunTime() / 1e3, s.executorCpuTime() / 1e9, s.peakExecutionMemory(), s.inputRecords(), s.shuffleWriteBytes(), s.memoryBytesSpilled()))
+    return spark.createDataFrame(out, "stage long, attempt long, name string, tasks long, run_s double, cpu_s double, peak_memory long, rows_in long, shuffled long, spilled long")

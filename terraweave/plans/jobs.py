@@ -133,3 +133,96 @@ def k05(spark, sf):
 def k06(spark, sf):
     """A shuffle that is the same in every run and engine: the order by a seeded hash."""
     return table(spark, sf, "orders").select("o_orderkey", F.md5(F.concat(F.lit("20909"), F.col("o_orderkey").cast("string"))).alias("place"))
+
+
+@_f.query("k06_s34_permutation", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('20909' || o_orderkey), o_orderkey) - 1 AS place FROM orders")
+def k06_places(spark, sf):
+    """Places of a seeded permutation, 0 to n - 1."""
+    return J.shuffled(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "place")
+
+
+@_f.query("j33_compared_by_place", """WITH p AS (SELECT p_partkey, p_retailprice::DOUBLE AS price, p_size, row_number() OVER () - 1 AS place FROM part),
+a AS (SELECT place, price + CASE WHEN p_partkey % 100 = 0 THEN 0.25 ELSE 0 END AS price, p_size FROM p WHERE p_size < 50), b AS (SELECT place, price, p_size FROM p WHERE p_size > 1)
+SELECT count(*) FILTER (WHERE a.place IS NOT NULL AND b.place IS NOT NULL) AS "rows", count(*) FILTER (WHERE a.place IS NULL) AS missing, count(*) FILTER (WHERE b.place IS NULL) AS surplus,
+  round(max(abs(a.price - b.price)), 5) + 0.0 AS max_price, max(abs(a.p_size - b.p_size))::DOUBLE AS max_size, false AS passed FROM a FULL JOIN b ON a.place = b.place""")
+def j33(spark, sf):
+    """A result and a reference compared row by row, by their places in the file."""
+    p = J.placed(table(spark, sf, "part")).select("place", "p_partkey", F.col("p_retailprice").cast("double").alias("price"), F.col("p_size").alias("size"))
+    result = p.where("size < 50").withColumn("price", F.col("price") + F.when(F.col("p_partkey") % 100 == 0, 0.25).otherwise(0.0))
+    return J.compared(result, p.where("size > 1"), {"price": 0.1, "size": 0.0}).withColumn("max_price", rounded(F.col("max_price")))
+
+
+@_f.query("a38_x05_observed_stages", """WITH l AS (SELECT * FROM lineitem), f AS (SELECT * FROM l WHERE l_quantity >= 10), g AS (SELECT l_suppkey, sum(l_quantity) AS q FROM f GROUP BY 1)
+SELECT 'read' AS stage, count(*) AS "rows", round(min(l_quantity), 2) + 0.0 AS least, round(max(l_quantity), 2) + 0.0 AS most FROM l UNION ALL SELECT 'filter', count(*), round(min(l_discount), 2) + 0.0, round(max(l_discount), 2) + 0.0 FROM f UNION ALL SELECT 'sum', count(*), round(min(q), 2) + 0.0, round(max(q), 2) + 0.0 FROM g""")
+def a38(spark, sf):
+    """Rows and extremes of the stages of a run, observed while it runs."""
+    o = J.Observed(spark)
+    read = o.stage("read", table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_discount"), "l_quantity")
+    some = o.stage("filter", read.where("l_quantity >= 10"), "l_discount")
+    o.stage("sum", some.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")), "q").write.format("noop").mode("overwrite").save()
+    return o.table().select("stage", "rows", rounded(F.col("least"), 2).alias("least"), rounded(F.col("most"), 2).alias("most"))
+
+
+_OBSERVED = f"""WITH {V.POINTS}, o AS (SELECT p.*, l_orderkey // 2000 AS scan FROM (SELECT l_orderkey, {V.POINTS[len("pts AS (SELECT ") : -1]}) p),
+e AS (SELECT *, CASE WHEN tag < 32 THEN row_number() OVER (PARTITION BY scan, tag < 32 ORDER BY t_us, point_id) - 1 END AS export_rank FROM o)"""
+
+
+def _observations(spark, sf):
+    """Frames of observations: those of 2000 order keys each, so there are more with more data; half are exported."""
+    from pyspark.sql import Window
+
+    p = V.points(spark, sf, F.floor(F.col("l_orderkey") / 2000).cast("long").alias("scan")).drop("frame").withColumnRenamed("scan", "frame")
+    own = Window.partitionBy("frame")
+    rank = F.row_number().over(Window.partitionBy("frame", F.col("tag") < 32).orderBy("t_us", "point_id")) - 1
+    p = p.withColumns({"export_rank": F.when(F.col("tag") < 32, rank).cast("long"), "sample": (F.row_number().over(own.orderBy("point_id")) - 1).cast("long"), "raw_count": F.count("*").over(own), "export_count": F.count_if(F.col("tag") < 32).over(own)})
+    begin = F.col("frame") / 10.0
+    fixed = {"origin_ns": F.lit(1).cast("long"), "begin": begin, "end": begin + 0.1, "tx": begin, "ty": d(0), "tz": d(0), "qx": d(0), "qy": d(0), "qz": d(0), "qw": d(1), "vx": d(0), "vy": d(0), "vz": d(0), "imu_shift": d(0)}
+    return p.withColumns({**fixed, **{f"raw_{c}": F.col(c) for c in "xyz"}, "range": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), "offset_ns": F.pmod("point_id", F.lit(100_000_000)), "intensity": F.col("intensity") % 256, "line": F.lit(0)})
+
+
+@_f.query("s10_observation_frames", _OBSERVED + " SELECT scan AS frame, count(*) AS n, count(export_rank) AS exported, max(export_rank) AS last_rank, round(sum(x), 3) + 0.0 AS x, sum(tag)::BIGINT AS tags, sum(point_id % 100000000)::BIGINT AS offsets FROM e GROUP BY scan")
+def s10(spark, sf):
+    """Observation frames written as files, one for each frame, and read again."""
+    from terraweave.session import shared_path
+    from terraweave.sources import frames
+
+    path = shared_path(spark, "observations")
+    frames.write_observations(_observations(spark, sf), path)
+    got = spark.read.format("observations").option("path", path).load()
+    return got.groupBy("frame").agg(F.count("*").alias("n"), F.count("export_rank").alias("exported"), F.max("export_rank").alias("last_rank"), rounded(F.sum("x"), 3).alias("x"), F.sum("tag").alias("tags"), F.sum("offset_ns").alias("offsets"))
+
+
+@_f.query("s14_s15_registered_cloud", _OBSERVED + " SELECT scan AS frame, count(*) AS n, round(avg(x) + scan / 10.0, 3) + 0.0 AS x, round(avg(y), 3) + 0.0 AS y, round(avg(z), 3) + 0.0 AS z, max(intensity)::DOUBLE AS intensity FROM e WHERE export_rank IS NOT NULL AND scan >= 2 GROUP BY scan")
+def s15(spark, sf):
+    """Scans written in export order, one file a frame, and registered by their poses; frames below 2 are never opened."""
+    from terraweave.session import shared_path
+    from terraweave.sources import frames
+
+    path = shared_path(spark, "scans")
+    seen = _observations(spark, sf)
+    frames.write_scans(seen, path)
+    poses = seen.select("frame", F.col("end").alias("t"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"), "qx", "qy", "qz", "qw").distinct()
+    cloud = frames.registered_cloud(spark, path, poses, first=2)
+    return cloud.groupBy("frame").agg(F.count("*").alias("n"), *[rounded(F.avg(c), 3).alias(c) for c in "xyz"], F.max("intensity").cast("double").alias("intensity"))
+
+
+@_f.query("s20_coloured_export", "WITH " + V.POINTS + " SELECT count(*) AS coloured_points, count(*) FILTER (WHERE tag % 2 = 0) AS blended_points, (SELECT count(*) FROM pts) AS input_points, sum(point_id % 1000003)::BIGINT AS ids, sum(r)::BIGINT AS red, round(avg(x), 4) + 0.0 AS x FROM pts WHERE tag < 48")
+def s20(spark, sf):
+    """Coloured points as LAS files beside the ids of their points, and the counts of result.json; both are read again."""
+    import json
+
+    from terraweave.session import shared_path
+    from terraweave.sources import frames, records
+
+    path = shared_path(spark, "export")
+    p = V.points(spark, sf)
+    seen = F.col("tag") < 48
+    frames.export(p.select("point_id", "x", "y", "z", *[F.when(seen, F.col(a)).alias(b) for a, b in (("r", "red"), ("g", "green"), ("b", "blue"))], (F.col("tag") % 2 == 0).alias("blended")), path)
+    records.register(spark)
+    fs, at = records.opened(path)
+    with fs.open_input_stream(f"{at}/result.json") as f:
+        counts = json.loads(f.read())
+    las = spark.read.format("las").option("path", path).load().agg(F.count("*").alias("n"), F.sum("red").alias("red"), rounded(F.avg("x"), 4).alias("x"))
+    ids = spark.read.format("records").options(path=path, fields="point_id:i8", suffix=".u64").load().agg(F.sum(F.col("point_id") % 1000003).alias("ids"), F.count("*").alias("m"))
+    both = las.crossJoin(ids).where("n = m")  # a row each
+    return both.select(F.col("n").alias("coloured_points"), F.lit(counts["blended_points"]).cast("long").alias("blended_points"), F.lit(counts["input_points"]).cast("long").alias("input_points"), "ids", "red", "x")

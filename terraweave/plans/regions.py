@@ -123,3 +123,19 @@ _CORNERS = "[{x: 0.0::DOUBLE, y: 0.0::DOUBLE, ax: s / 2, ay: s + 1, bx: s, b_y:
 @_f.query("m31_offset_polygon", f"WITH t AS (SELECT p_partkey, p_size::DOUBLE AS s FROM part), c AS (SELECT p_partkey, unnest({_CORNERS}) AS c FROM t), e AS (SELECT p_partkey, c.x, c.y, c.x - c.ax AS dx, c.y - c.ay AS dy, c.bx - c.x AS ex, c.b_y - c.y AS ey FROM c), n AS (SELECT *, dy / sqrt(dx * dx + dy * dy) AS px, -dx / sqrt(dx * dx + dy * dy) AS py, ey / sqrt(ex * ex + ey * ey) AS qx, -ex / sqrt(ex * ex + ey * ey) AS qy FROM e), m AS (SELECT *, px + qx AS mx, py + qy AS my, sqrt((px + qx) * (px + qx) + (py + qy) * (py + qy)) AS m FROM n) SELECT p_partkey, round(x + mx / m * 0.5 / greatest((px * mx + py * my) / m, 0.3), 4) + 0.0 AS x, round(y + my / m * 0.5 / greatest((px * mx + py * my) / m, 0.3), 4) + 0.0 AS y FROM m")
 def m31(spark, sf):
     return _triangles(spark, sf).select("p_partkey", F.explode(G.offset_polygon(F.col("v"), 0.5)).alias("p")).select("p_partkey", rounded(F.col("p.x"), 4).alias("x"), rounded(F.col("p.y"), 4).alias("y"))
+
+
+_ARCS = f"""WITH t AS (SELECT p_partkey, p_size::DOUBLE AS s FROM part), c AS (SELECT p_partkey, unnest({_CORNERS}) AS c FROM t),
+e AS (SELECT p_partkey, c.x, c.y, c.x - c.ax AS dx, c.y - c.ay AS dy, c.bx - c.x AS ex, c.b_y - c.y AS ey FROM c),
+n AS (SELECT *, atan2(-dx, dy) AS first, atan2(-ex, ey) - atan2(-dx, dy) AS turn FROM e),
+w AS (SELECT p_partkey, x, y, first, CASE WHEN turn < 0 THEN turn + 2 * pi() ELSE turn END AS turn FROM n),
+k AS (SELECT *, greatest(2, ceil(turn / (15 * pi() / 180))::BIGINT) AS steps FROM w),
+o AS (SELECT *, unnest(range(steps + 1)) AS i FROM k)
+SELECT p_partkey, round(x + 0.5 * cos(first + turn * i / steps), 4) + 0.0 AS x, round(y + 0.5 * sin(first + turn * i / steps), 4) + 0.0 AS y FROM o"""
+
+
+@_f.query("m31_band_outline", _ARCS)
+def m31_band(spark, sf):
+    """Outlines half a unit around triangles, whose corners are all convex; tests have concave ones."""
+    out = _triangles(spark, sf).select("p_partkey", F.explode(G.band_outline(F.col("v"), 0.5)).alias("p"))
+    return out.select("p_partkey", rounded(F.col("p.x"), 4).alias("x"), rounded(F.col("p.y"), 4).alias("y"))

@@ -37,16 +37,19 @@ def spread(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the folder that the cluster shares (spark.checkpoint.dir; one of our own where a local
-    session has none) and read again: it is computed once, a lost executor loses nothing, and the planner knows its size,
-    so it is broadcast where that is small and only there."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir; one of our own where a local session has none)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.gettempdir()}/terraweave-kept"
-    path = f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: it is computed once, a lost executor loses nothing, and the
+    planner knows its size, so it is broadcast where that is small and only there."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
