@@ -39,7 +39,8 @@ def normal_matrix(edges: DataFrame, weight: Column, value: Column) -> tuple[Data
 
 
 def solve_offsets(edges: DataFrame, nodes: int, ridge: float = 0.15, huber: float = 8.0, rounds: int = 4, prior: np.ndarray | None = None, smooth: list[tuple[int, int, float]] | None = None, clamp: float = 32.0) -> np.ndarray:
-    """Robust least squares by reweighting: offsets of `nodes` unknowns, at most a few thousand."""
+    """Robust least squares by reweighting: offsets of `nodes` unknowns, at most a few thousand. edges are read in each round,
+    so they had best be a written table."""
     x = np.zeros(nodes) if prior is None else prior.astype(float).copy()
     base = np.zeros(nodes) if prior is None else prior.astype(float)
     for _ in range(rounds):

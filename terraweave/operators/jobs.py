@@ -53,6 +53,16 @@ def ready_table(stages: DataFrame, needs: DataFrame, done: DataFrame) -> DataFra
     return stages.join(done, "name", "left_anti").join(unmet, "name", "left_anti")
 
 
+def ready_lanes(runs: DataFrame, stages: DataFrame) -> DataFrame:
+    """(run, lane, stage): of each run the first stage of each lane that is not done and whose stages before are.
+
+    runs(run, done: array of stages, null for none), stages(k, stage, lane, before: array), of which there are a few.
+    """
+    done = F.coalesce("done", F.array().cast("array<string>"))
+    open_ = runs.crossJoin(F.broadcast(stages)).where(~F.array_contains(done, F.col("stage")) & (F.size(F.array_except("before", done)) == 0))  # a few stages
+    return open_.groupBy("run", "lane").agg(F.min(F.struct("k", "stage"))["stage"].alias("stage"))
+
+
 def changed_keys(before: DataFrame, after: DataFrame) -> DataFrame:
     """Keys whose values differ between two tables (key, value), missing ones included."""
     both = before.select("key", F.col("value").alias("a")).join(after.select("key", F.col("value").alias("b")), "key", "full")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import geometry as G
 from terraweave.functions.geometry import d, xyz
+from terraweave.session import kept
 from terraweave.operators.points import CELL, with_cells
 
 STEP = ["wx", "wy", "wz", "tx", "ty", "tz"]
@@ -75,7 +76,7 @@ def refine_poses(pts: DataFrame, planes: DataFrame, reach: float = 0.3, cutoff:
         else:  # small rotations add up
             a, b = total.alias("a"), step.alias("b")
             total = a.join(b, "frame").select("frame", *[(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in STEP], F.col("b.matches").alias("matches"), F.col("b.cost").alias("cost"))
-        total = total.persist()
+        total = kept(total, "steps")  # a row a frame
     turn, shift = (G.norm([F.col(c) for c in cols]) for cols in (STEP[:3], STEP[3:]))
     ok = (turn <= most_turn) & (shift <= most_shift)
     return total.select("frame", *[F.when(ok, F.col(c)).otherwise(d(0)).alias(c) for c in STEP], "matches", "cost", ok.alias("accepted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraweave.functions import geometry as G
@@ -86,12 +86,15 @@ def descendants(slices: DataFrame, root: int, depth: int = 64) -> DataFrame:
 
 
 def systematic_sample(pts: DataFrame, budget: int) -> DataFrame:
-    """The points whose point_id is divisible by k, the least k that brings their number within the budget where ids are
-    consecutive; hashed ids do so on average. No order of all rows is needed, and the choice is the same in every run. Ids
-    with a common stride are to be hashed first."""
-    n = pts.count()
-    k = max(1, -(-n // budget))
-    return pts.where(F.pmod("point_id", F.lit(k)) == 0)
+    """Points of pts(point_id, ...), at most `budget` and about as many, the same in every run: those of the smallest hashes.
+
+    Ids of any pattern do. Points are counted for each of 65536 beginnings of the MD5 of their ids, and as many beginnings are
+    kept as the budget holds; all points, where they are no more than it.
+    """
+    hashed = pts.withColumn("_h", F.substring(F.md5(F.col("point_id").cast("string")), 1, 4))
+    counts = hashed.groupBy("_h").agg(F.count("*").alias("n"))  # 65536 rows at most
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("_h")))
+    return hashed.join(F.broadcast(upto.where(F.col("upto") <= budget).select("_h")), "_h", "left_semi").drop("_h")
 
 
 def moved(p: Sequence[Column], matrix: Sequence[Sequence[Column]], origin: Sequence[float], shift: Sequence[float]) -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraweave.functions import camera as C
 from terraweave.operators import exposure as E
 from terraweave.operators import visibility as O
+from terraweave.session import kept
 
 
 def candidates(pts: DataFrame, photos: DataFrame, pixels: DataFrame, excluded: DataFrame | None, camera: C.Camera) -> DataFrame:
@@ -22,7 +23,7 @@ def candidates(pts: DataFrame, photos: DataFrame, pixels: DataFrame, excluded: D
 
 def exposure(views: DataFrame, photos: int) -> DataFrame:
     """(photo, channel, offset): offsets that bring the photos' colours together. The unknowns are one a photo."""
-    pairs = E.view_pairs(views)
+    pairs = kept(E.view_pairs(views), "pairs")
     rows = []
     for c in E.CHANNELS:
         edges = pairs.select(F.col("photo_b").cast("long").alias("node_a"), F.col("photo_a").cast("long").alias("node_b"), F.col(f"d{c}").alias("value"))
@@ -44,5 +45,5 @@ def blended(views: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def colorize(pts: DataFrame, photos: DataFrame, pixels: DataFrame, excluded: DataFrame | None, camera: C.Camera, count: int) -> DataFrame:
     """Points with their colours; points that no photo sees have none."""
-    views = candidates(pts, photos, pixels, excluded, camera).persist()
+    views = kept(candidates(pts, photos, pixels, excluded, camera), "views")
     return pts.join(blended(views, exposure(views, count)), "point_id", "left")

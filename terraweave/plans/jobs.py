@@ -14,21 +14,21 @@ _f = Family()
 QUERIES, ORACLE = _f.queries, _f.oracle
 
 
-def _stages(spark):
-    rows = [(n, lane, b) for n, lane, before in J.STAGES for b in (before or (None,))]
-    return spark.createDataFrame(rows, "name string, lane string, before string")
-
-
 _NEEDS = ", ".join(f"('{name}', '{b}')" for name, _, before in J.STAGES for b in before)
-_NAMES = ", ".join(f"('{name}')" for name, _, _ in J.STAGES)
+_NAMES = ", ".join(f"({k}, '{name}', '{lane}')" for k, (name, lane, _) in enumerate(J.STAGES))
 
 
-@_f.query("j30_o02_ready_stages", f"WITH s(name) AS (VALUES {_NAMES}), needs(name, before) AS (VALUES {_NEEDS}), done(name) AS (VALUES ('decode'), ('photos')) SELECT name FROM s WHERE name NOT IN (SELECT name FROM done) AND name NOT IN (SELECT name FROM needs WHERE before NOT IN (SELECT name FROM done))")
+@_f.query("j30_o02_ready_stages", f"""WITH s(k, stage, lane) AS (VALUES {_NAMES}), needs(stage, before) AS (VALUES {_NEEDS}),
+done AS (SELECT DISTINCT l_orderkey AS run, stage FROM lineitem JOIN s ON k = l_linenumber - 1 WHERE l_linestatus = 'F'),
+open AS (SELECT o_orderkey AS run, s.* FROM orders, s WHERE NOT EXISTS (SELECT 1 FROM done WHERE run = o_orderkey AND done.stage = s.stage)),
+unmet AS (SELECT DISTINCT o.run, o.stage FROM open o JOIN needs USING (stage) WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.run = o.run AND done.stage = needs.before)),
+first AS (SELECT o.run, o.lane, min({{k: k, s: o.stage}}) AS f FROM open o WHERE NOT EXISTS (SELECT 1 FROM unmet u WHERE u.run = o.run AND u.stage = o.stage) GROUP BY o.run, o.lane)
+SELECT run, lane, f.s AS stage FROM first""")
 def j30(spark, sf):
-    """The fixed graph of stages, with two of them done."""
-    s = _stages(spark)
-    done = spark.createDataFrame([("decode",), ("photos",)], "name string")
-    return J.ready_table(s.select("name").distinct(), s.where("before IS NOT NULL").select("name", "before"), done)
+    """For each order as a run, whose shipped items are stages that are done: the first stage of each lane that can run."""
+    s = spark.createDataFrame([(k, n, lane, list(before)) for k, (n, lane, before) in enumerate(J.STAGES)], "k long, stage string, lane string, before array<string>")
+    done = table(spark, sf, "lineitem").where("l_linestatus = 'F'").join(s, F.col("k") == F.col("l_linenumber") - 1).groupBy(F.col("l_orderkey").alias("run")).agg(F.collect_set("stage").alias("done"))
+    return J.ready_lanes(table(spark, sf, "orders").select(F.col("o_orderkey").alias("run")).join(done, "run", "left"), s)
 
 
 @_f.query("j30_j31_ready_orders", "WITH needs AS (SELECT o_orderkey AS name, o_orderkey - 1 AS before FROM orders WHERE o_orderkey % 3 <> 0), done AS (SELECT o_orderkey AS name FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey AS name FROM orders WHERE o_orderkey NOT IN (SELECT name FROM done) AND NOT EXISTS (SELECT 1 FROM needs WHERE needs.name = o_orderkey AND before NOT IN (SELECT name FROM done))")

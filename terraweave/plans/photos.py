@@ -12,6 +12,7 @@ from terraweave.operators import selection as K
 from terraweave.operators import visibility as O
 from terraweave.plans import views as V
 from terraweave.plans.registry import Family, rounded
+from terraweave.session import kept, table
 
 _f = Family()
 QUERIES, ORACLE = _f.queries, _f.oracle
@@ -191,7 +192,7 @@ def a25(spark, sf):
 def a26(spark, sf):
     """Rows only: iterated weights; tests hold the solution against NumPy. Held-out error before and after."""
     pairs = E.view_pairs(_exposed(spark, sf)).select((F.pmod("point_id", F.lit(5)) != 0).alias("train"), F.col("photo_b").cast("long").alias("node_a"), F.col("photo_a").cast("long").alias("node_b"), F.col("dr").alias("value"))
-    x = E.solve_offsets(pairs.where("train"), V.PHOTOS)
+    x = E.solve_offsets(kept(pairs.where("train"), "train"), V.PHOTOS)
     known = F.array(*[d(v) for v in x])
     left = F.abs(F.col("value") - (F.get(known, F.col("node_a").cast("int")) - F.get(known, F.col("node_b").cast("int"))))
     held = pairs.where("NOT train").select(F.abs("value").alias("before"), left.alias("after"))
@@ -222,10 +223,10 @@ def m19(spark, sf):
     return E.field_bilinear(at, _field(spark)).select("point_id", "slot", rounded(F.col("offset"), 4).alias("offset"))
 
 
-@_f.query("m20_fixed_point", "WITH a AS (SELECT i, (i % 97) / 13.9::DOUBLE AS gx, (i % 71) / 14.3::DOUBLE AS gy FROM range(5000) r(i)), w AS (SELECT *, floor((gx - floor(gx)) * 256 + 0.5)::BIGINT AS wx, floor((gy - floor(gy)) * 256 + 0.5)::BIGINT AS wy FROM a) SELECT i AS id, floor(((i % 50 - 25) * (256 - wx) * (256 - wy) + (i % 30) * wx * (256 - wy) + (i % 20 - 40) * (256 - wx) * wy + (i % 10) * wx * wy) / 65536.0::DOUBLE)::BIGINT AS value FROM w")
+@_f.query("m20_fixed_point", "WITH a AS (SELECT o_orderkey AS i, (o_orderkey % 97) / 13.9::DOUBLE AS gx, (o_custkey % 71) / 14.3::DOUBLE AS gy, o_custkey AS c FROM orders), w AS (SELECT *, floor((gx - floor(gx)) * 256 + 0.5)::BIGINT AS wx, floor((gy - floor(gy)) * 256 + 0.5)::BIGINT AS wy FROM a) SELECT i AS id, floor(((i % 50 - 25) * (256 - wx) * (256 - wy) + (c % 30) * wx * (256 - wy) + (i % 20 - 40) * (256 - wx) * wy + (c % 10) * wx * wy) / 65536.0::DOUBLE)::BIGINT AS value FROM w")
 def m20(spark, sf):
-    i = F.col("id")
-    return spark.range(5000).select("id", E.fixed_point(i % 50 - 25, i % 30, i % 20 - 40, i % 10, (i % 97) / 13.9, (i % 71) / 14.3).alias("value"))
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf, "orders").select(i.alias("id"), E.fixed_point(i % 50 - 25, c % 30, i % 20 - 40, c % 10, (i % 97) / 13.9, (c % 71) / 14.3).alias("value"))
 
 
 _GAP = "greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b))"
@@ -270,14 +271,16 @@ def m22(spark, sf):
     return _views(spark, sf).groupBy(C.grid_node(gx, gy, F.col("photo")).alias("node")).agg(F.count("*").alias("n"))
 
 
-@_f.query("j24_grid_neighbours", f"WITH {_FIELD} SELECT a.photo, count(*) AS n, sum(abs(a.\"offset\" - b.\"offset\")) AS roughness FROM field a JOIN field b ON a.photo = b.photo AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1)) GROUP BY a.photo")
+@_f.query("j24_grid_neighbours", """WITH field AS (SELECT l_suppkey AS photo, l_linenumber % 8 AS ix, (l_partkey % 6) AS iy, sum(CAST(l_quantity AS BIGINT)) AS "offset" FROM lineitem GROUP BY 1, 2, 3)
+SELECT a.photo, count(*) AS n, sum(abs(a."offset" - b."offset"))::BIGINT AS roughness FROM field a JOIN field b ON a.photo = b.photo AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1)) GROUP BY a.photo""")
 def j24(spark, sf):
-    a, b = _field(spark).alias("a"), _field(spark).alias("b")
-    right = a.join(b, (F.col("a.photo") == F.col("b.photo")) & (F.col("b.ix") == F.col("a.ix") + 1) & (F.col("b.iy") == F.col("a.iy")))
-    down = a.join(b, (F.col("a.photo") == F.col("b.photo")) & (F.col("b.iy") == F.col("a.iy") + 1) & (F.col("b.ix") == F.col("a.ix")))
-    gaps = [F.col("a.photo").alias("photo"), F.abs(F.col("a.offset") - F.col("b.offset")).alias("gap")]
-    both = right.select(*gaps).unionByName(down.select(*gaps))
-    return both.groupBy("photo").agg(F.count("*").alias("n"), F.sum("gap").alias("roughness"))
+    """Neighbours, right and down, of the nodes of a grid; each supplier's items make the values of one."""
+    items = table(spark, sf, "lineitem")
+    field = items.groupBy(F.col("l_suppkey").alias("photo"), (F.col("l_linenumber") % 8).cast("long").alias("ix"), (F.col("l_partkey") % 6).cast("long").alias("iy")).agg(F.sum(F.col("l_quantity").cast("long")).alias("offset"))
+    # Each node is sent to the nodes left of it and above it: an equi-join, and one pass over the field.
+    sent = field.select("photo", F.explode(F.array(F.struct((F.col("ix") - 1).alias("ix"), F.col("iy").alias("iy")), F.struct(F.col("ix").alias("ix"), (F.col("iy") - 1).alias("iy")))).alias("to"), F.col("offset").alias("other"))
+    both = field.join(sent.select("photo", "to.ix", "to.iy", "other"), ["photo", "ix", "iy"])
+    return both.groupBy("photo").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("offset") - F.col("other"))).alias("roughness"))
 
 
 _GEO = f"""WITH {V.SURFELS}, {V.PHOTO_SQL}, c AS (SELECT floor(x / 0.1)::BIGINT AS cx, floor(y / 0.1)::BIGINT AS cy, floor(z / 0.1)::BIGINT AS cz, min(point_id) AS representative, count(*) AS n FROM ept GROUP BY 1, 2, 3),

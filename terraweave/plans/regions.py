@@ -74,7 +74,7 @@ def j27b(spark, sf):
     return R.descendants(V.slices(spark, sf), 2)
 
 
-@_f.query("w11_s26_preview", W + ", k AS (SELECT greatest(1, ceil(count(*) / 5000.0))::BIGINT AS k FROM pts) SELECT point_id, round(x - 2.5, 5) + 0.0 AS x FROM pts, k WHERE point_id % k = 0")
+@_f.query("w11_s26_preview", W + ", h AS (SELECT point_id, x, substr(md5(point_id::VARCHAR), 1, 4) AS h FROM pts), c AS (SELECT h, count(*) AS n FROM h GROUP BY h), u AS (SELECT h, sum(n) OVER (ORDER BY h) AS upto FROM c) SELECT point_id, round(x - 2.5, 5) + 0.0 AS x FROM h WHERE h IN (SELECT h FROM u WHERE upto <= 5000)")
 def w11(spark, sf):
     return R.systematic_sample(V.points(spark, sf), 5000).select("point_id", rounded(F.col("x") - 2.5).alias("x"))
 
