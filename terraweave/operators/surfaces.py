@@ -6,7 +6,7 @@ holds a bounded number of points, whatever the size of the cloud.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import geometry as G
 from terraweave.functions.geometry import xyz
+from terraweave.operators.neighbours import CellIndex
 from terraweave.operators.points import CELL, halo_blocks, with_cells
 
 
@@ -65,38 +66,61 @@ def surfels(moments: DataFrame, key: Sequence[str], flat: float = 0.1, wide: flo
     return moments.mapInArrow(run, ", ".join(f"{k} long" for k in (*key, "n")) + ", " + ", ".join(f"{k} double" for k in ("mx", "my", "mz", "nx", "ny", "nz", "l0", "l1", "l2", "weight")))
 
 
+#: Pairs of neighbours that a task holds at a time.
+MOST_PAIRS = 1 << 20
+
+
 def smooth_block(p: np.ndarray, sensor: np.ndarray, radius: float, iterations: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points moved onto the planes of their neighbourhoods, their normals, and which of them have one."""
+    """Points moved onto the planes of their neighbourhoods, their normals, and which of them have one.
+
+    Neighbours come from cells of the radius, so the work is that of the pairs within it, taken in bounded pieces.
+    """
     p = p.copy()
     alive, normal = np.ones(len(p), bool), np.zeros_like(p)
 
-    def neighbours(at: slice) -> np.ndarray:
-        return ((((p[at, None, :] - p[None]) ** 2).sum(-1) <= radius * radius) & alive[None]).astype(float)
-
+    def pieces(index: CellIndex) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(queries, query of each pair, its neighbour) of pieces of the points."""
+        at, step = 0, 256
+        while at < len(p):
+            part = slice(at, min(at + step, len(p)))
+            i, j, d2 = index.within(p[part], 1)
+            if len(i) > MOST_PAIRS and step > 1:
+                step //= 2
+                continue
+            j = index.order[j]
+            keep = (d2 <= radius * radius) & alive[j]
+            yield part, i[keep], j[keep]
+            at = part.stop
+
+    def summed(part: slice, i: np.ndarray, v: np.ndarray) -> np.ndarray:
+        n = part.stop - part.start
+        return np.bincount(i, v, n) if v.ndim == 1 else np.stack([np.bincount(i, v[:, k], n) for k in range(v.shape[1])], -1)
+
+    pairs = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
     for step in range(iterations):
-        second = np.stack([p[:, a] * p[:, b] for a, b in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))], -1)
+        index = CellIndex(p, radius)
         raw, counts = np.zeros_like(p), np.zeros(len(p))
-        for at in range(0, len(p), 256):
-            near = neighbours(slice(at, at + 256))
-            n = np.maximum(near.sum(1), 1)[:, None]
-            mean = near @ p / n
-            cov = near @ second / n - np.stack([mean[:, a] * mean[:, b] for a, b in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))], -1)
-            raw[at : at + 256], counts[at : at + 256] = smallest_eigen(cov)[1], near.sum(1)
+        for part, i, j in pieces(index):
+            off = p[j] - p[part][i]  # around the point itself: nothing is lost far from the origin
+            n = summed(part, i, np.ones(len(i)))
+            mean = summed(part, i, off) / np.maximum(n, 1)[:, None]
+            cov = summed(part, i, np.stack([off[:, a] * off[:, b] for a, b in pairs], -1)) / np.maximum(n, 1)[:, None] - np.stack([mean[:, a] * mean[:, b] for a, b in pairs], -1)
+            raw[part], counts[part] = smallest_eigen(cov)[1], n
         known = alive & (counts > 2)
         moved, new = p.copy(), np.zeros_like(p)
-        for at in range(0, len(p), 256):
-            near = neighbours(slice(at, at + 256)) * known[None]
-            cosine = raw[at : at + 256] @ raw.T
-            weight = near * np.where(np.abs(cosine) >= least_cosine, cosine, 0)
-            summed = weight @ raw
-            size = np.linalg.norm(summed, axis=1, keepdims=True)
-            new[at : at + 256] = summed / np.where(size > 0, size, 1)
+        for part, i, j in pieces(index):
+            i, j = i[known[j]], j[known[j]]
+            cosine = (raw[part][i] * raw[j]).sum(1)
+            weight = np.where(np.abs(cosine) >= least_cosine, cosine, 0)
+            total_normal = summed(part, i, weight[:, None] * raw[j])
+            size = np.linalg.norm(total_normal, axis=1, keepdims=True)
+            new[part] = total_normal / np.where(size > 0, size, 1)
             share = np.abs(weight)
-            total = share.sum(1, keepdims=True)
-            centre = share @ p / np.where(total > 0, total, 1)
-            off = ((p[at : at + 256] - centre) * new[at : at + 256]).sum(1, keepdims=True)
-            enough = ((np.abs(weight) > 0).sum(1) > 1)[:, None] & known[at : at + 256, None]
-            moved[at : at + 256] = np.where(enough, p[at : at + 256] - off * new[at : at + 256], p[at : at + 256])
+            total = summed(part, i, share)[:, None]
+            shift = summed(part, i, share[:, None] * (p[j] - p[part][i])) / np.where(total > 0, total, 1)
+            off = -(shift * new[part]).sum(1, keepdims=True)
+            enough = (summed(part, i, (share > 0).astype(float)) > 1)[:, None] & known[part, None]
+            moved[part] = np.where(enough, p[part] - off * new[part], p[part])
         if step == 0:
             alive = known
         toward = np.sign(((sensor - moved) * new).sum(1, keepdims=True))

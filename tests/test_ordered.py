@@ -71,3 +71,45 @@ def test_nulls_drop_out_and_an_empty_table_gives_an_empty_result(spark):
     df = spark.createDataFrame(rows, "sensor long, t_us long, event_id long, rate double")
     assert {r.event_id: round(r.ema, 9) for r in T.ema(df, "sensor", 0.5).collect()} == {1: 2.0, 5: 3.0}
     assert T.ema(df.where(F.lit(False)), "sensor").count() == 0
+
+
+def dense_smoothing(p, sensor, radius, iterations, least):
+    """A point at a time against all points."""
+    alive, p = np.ones(len(p), bool), p.copy()
+    for step in range(iterations):
+        near = ((p[:, None] - p[None]) ** 2).sum(-1) <= radius**2
+        raw, count = np.zeros_like(p), np.zeros(len(p))
+        for k in range(len(p)):
+            own = p[near[k] & alive]
+            count[k] = len(own)
+            raw[k] = np.linalg.eigh(np.cov(own.T, bias=True))[1][:, 0] if len(own) > 1 else [1.0, 0, 0]
+        known = alive & (count > 2)
+        moved, new = p.copy(), np.zeros_like(p)
+        for k in range(len(p)):
+            c = raw @ raw[k]
+            w = np.where(near[k] & known & (np.abs(c) >= least), c, 0)
+            n = (w[:, None] * raw).sum(0)
+            new[k] = n / (np.linalg.norm(n) or 1)
+            if known[k] and (w != 0).sum() > 1:
+                centre = (np.abs(w)[:, None] * p).sum(0) / np.abs(w).sum()
+                moved[k] = p[k] - ((p[k] - centre) @ new[k]) * new[k]
+        alive = known if step == 0 else alive
+        toward = np.sign(((sensor - moved) * new).sum(1, keepdims=True))
+        normal, p = new * np.where(toward < 0, -1.0, 1.0), moved
+    return p, normal, alive & (np.linalg.norm(normal, axis=1) > 0.5)
+
+
+def test_smoothing_by_cells_is_smoothing_against_all_points(monkeypatch):
+    from terraweave.operators import surfaces as S
+
+    rng = np.random.default_rng(4)
+    flat = np.concatenate([np.column_stack([rng.uniform(0, 2, (300, 2)), rng.normal(0, 0.01, 300)]), np.column_stack([rng.uniform(0, 2, 150), rng.normal(0, 0.01, 150), rng.uniform(0, 2, 150)]), rng.uniform(0, 2, (20, 3))]) + 1000.0
+    sensor = np.array([1001.0, 1003.0, 1004.0])
+    want = dense_smoothing(flat, sensor, 0.25, 2, 0.8660254)
+    for most in (1 << 20, 500):
+        monkeypatch.setattr(S, "MOST_PAIRS", most)
+        p, n, ok = S.smooth_block(flat, sensor, 0.25, 2, 0.8660254)
+        sure = ok & want[2]
+        assert (ok == want[2]).mean() > 0.99 and sure.sum() > 400
+        assert np.quantile(np.abs(p[sure] - want[0][sure]).max(1), 0.98) < 1e-6 and np.quantile(np.abs(n[sure] - want[1][sure]).max(1), 0.98) < 1e-5
+    assert len(S.smooth_block(flat[:1], sensor, 0.25, 2, 0.8)[0]) == 1
