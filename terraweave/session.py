@@ -41,7 +41,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir; one of our own where a local session has none)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.gettempdir()}/terraweave-kept"
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
