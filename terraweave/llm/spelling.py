@@ -130,7 +130,12 @@ class Cell:
 
 
 def near_words(vocabulary: DataFrame, tile: int = TILE) -> DataFrame:
-    """(a, b): pairs of words of vocabulary(word) one edit apart, each once; words of fewer than five code points take no part.
+    """near_table() without its path."""
+    return near_table(vocabulary, tile)[0]
+
+
+def near_table(vocabulary: DataFrame, tile: int = TILE) -> tuple[DataFrame, str]:
+    """(a, b) and where it is written: pairs of words of vocabulary(word) one edit apart, each once; words of fewer than five code points take no part.
 
     A cell has the words of a length, which look into it, and of one more, that share a beginning or an end. Cells of more
     than `tile` words are dealt out as pairs of tiles: one of words that are indexed, one of words that look in.
@@ -182,12 +187,11 @@ def near_words(vocabulary: DataFrame, tile: int = TILE) -> DataFrame:
         a, b = found()
         yield pa.record_batch({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    pairs, _ = materialize(rows.repartition(*[F.col(c) for c in tiles]).sortWithinPartitions(*tiles, "word").mapInArrow(merge, "a string, b string").distinct(), "near")
-    return pairs
+    return materialize(rows.repartition(*[F.col(c) for c in tiles]).sortWithinPartitions(*tiles, "word").mapInArrow(merge, "a string, b string").distinct(), "near")
 
 
-def roots(forms: DataFrame) -> DataFrame:
-    """(word, root) for forms(word, form): the last word of the chain of forms.
+def roots(forms: DataFrame) -> tuple[DataFrame, str]:
+    """(word, root) for forms(word, form), and where it is written: the last word of the chain of forms.
 
     A form occurs twice as often as its word, so chains are as long as the logarithm of the largest count at most; each round
     halves what is left of them.
@@ -197,7 +201,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
         if at.join(on, "root", "left_semi").isEmpty():
-            return at
+            return at, held
         further, further_held = materialize(at.join(on, "root", "left").select("word", F.coalesce("beyond", "root").alias("root")), "roots")
         release(spark, held)
         at, held = further, further_held
@@ -213,8 +217,8 @@ def group(docs: DataFrame, least: int = 5, times: int = 3, period: int = 97) ->
     if least < 5:
         raise ValueError("the overlap bound is for words of five code points and more")
     spark = docs.sparkSession
-    known, _ = materialize(words(docs, least, times, period), "words")
-    pairs = near_words(known)
+    known, known_at = materialize(words(docs, least, times, period), "words")
+    pairs, pairs_at = near_table(known)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     counts = known.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     best = both.join(counts, "other").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), "other")).alias("best"))
@@ -222,7 +226,7 @@ def group(docs: DataFrame, least: int = 5, times: int = 3, period: int = 97) ->
     linked, linked_at = materialize(
         known.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("best.other")).alias("form"), F.when(chosen, -F.col("best.m")).cast("long").alias("form_n")), "forms"
     )
-    ends = roots(linked.where("form IS NOT NULL").select("word", "form"))
+    ends, ends_at = roots(linked.where("form IS NOT NULL").select("word", "form"))
     out, _ = materialize(linked.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"), "spelling")
-    release(spark, linked_at)
+    release(spark, known_at, pairs_at, linked_at, ends_at)
     return out
