@@ -6,6 +6,7 @@ under names of their own; the driver's commit gives them their names, so a task
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -376,3 +377,76 @@ def export(points: DataFrame, path: str, scale: float = 1e-4, points_a_file: int
     parts = max(1, -(-said["n"] // points_a_file))
     dealt = rows.repartitionByRange(int(parts), "point_id").sortWithinPartitions("point_id")
     dealt.write.format("coloured_las").options(path=path, offset=json.dumps(np.floor(low).tolist()), scale=str(scale), points=str(points.count())).mode("append").save()
+
+
+class PreviewWriter(StagedWriter):
+    """Rows (x, y, z, red, green, blue) of one task as a file of positions and one of colours."""
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
+        fs, at = opened(self.path)
+        fs.create_dir(at, recursive=True)
+        names = [f"_staged-{uuid.uuid4().hex}" for _ in range(2)]
+        n = 0
+        with fs.open_output_stream(f"{at}/{names[0]}") as positions, fs.open_output_stream(f"{at}/{names[1]}") as colours:
+            for b in batches:
+                positions.write(np.stack([b.column(k).to_numpy() for k in range(3)], -1).astype("<f4").tobytes())
+                colours.write(np.stack([b.column(k).to_numpy() for k in range(3, 6)], -1).astype("u1").tobytes())
+                n += b.num_rows
+        return Staged([(names[0], "positions.f4"), (names[1], "colours.u1")], {"points": n})
+
+    def result(self) -> dict:
+        return {"bounds": json.loads(self.options["bounds"]), "middle": json.loads(self.options["middle"])}
+
+
+class Preview(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "preview_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> PreviewWriter:
+        return PreviewWriter(self.options)
+
+
+def preview(points: DataFrame, cache: str, budget: int, identity: str) -> tuple[str, dict]:
+    """The folder of a preview of points(point_id, x, y, z, red, green, blue) in `cache`, and its result.json: positions around
+    the middle of the bounds as 32-bit floats and colours of 8 bits, of at most `budget` points in order of point_id.
+
+    The folder's name is a hash of `identity`, what tells the points apart from others (a path and a time, or a hash of their
+    content), and the budget. One that is complete is taken as it is, without reading a point; one without its result.json is
+    not. No points are an error.
+    """
+    from terraweave.operators.regions import systematic_sample
+
+    spark = points.sparkSession
+    spark.dataSource.register(Preview)
+    path = f"{cache.rstrip('/')}/{hashlib.sha256(f'{identity}|{budget}|1'.encode()).hexdigest()[:32]}"
+    fs, at = opened(path)
+    if fs.get_file_info(f"{at}/result.json").type == pafs.FileType.NotFound:
+        said = points.agg(F.count("*").alias("n"), *[F.min(c).alias(f"low_{c}") for c in "xyz"], *[F.max(c).alias(f"high_{c}") for c in "xyz"]).first()
+        if not said["n"]:
+            raise ValueError("there are no points to preview")
+        low, high = ([float(said[f"{k}_{c}"]) for c in "xyz"] for k in ("low", "high"))
+        middle = [(a + b) / 2 for a, b in zip(low, high, strict=True)]
+        colours = [F.coalesce(F.rint(F.col(c) / 257.0).cast("int"), F.lit(184)).alias(c) for c in ("red", "green", "blue")]
+        chosen = systematic_sample(points, budget).orderBy("point_id").coalesce(1)  # `budget` points at most
+        rows = chosen.select(*[(F.col(c) - m).cast("double").alias(c) for c, m in zip("xyz", middle, strict=True)], *colours)
+        rows.write.format("preview_files").options(path=path, bounds=json.dumps([low, high]), middle=json.dumps(middle)).mode("append").save()
+    with fs.open_input_stream(f"{at}/result.json") as f:
+        return path, json.loads(f.read())
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, modified) of all files under a folder, paths from there on; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    whole = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole).toString()
+    return found.select(F.expr(f"substring(path, {len(whole) + 2})").alias("path"), "length", F.col("modificationTime").alias("modified"))
+
+
+def to_copy(source: DataFrame, copied: DataFrame) -> DataFrame:
+    """Files of a listing() that a copy lacks, or has of another size or time."""
+    return source.join(copied, ["path", "length", "modified"], "left_anti")
+
+
+def folder_size(files: DataFrame) -> int:
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

@@ -7,6 +7,8 @@ opened through Arrow's file systems: local ones, and whatever those know by its
 
 from __future__ import annotations
 
+import ast
+import io
 import re
 from collections.abc import Iterator
 
@@ -281,6 +283,44 @@ class Las(RecordSource):
         return las_header(len(raw), scale, offset, low, high) + out.tobytes()
 
 
+def read_npy(head: bytes, size: int) -> Layout:
+    """NumPy's format: an array of records, or one of one or two dimensions whose columns are called c0, c1 and so on.
+    Little-endian numbers in C order; the file has to end with its last record."""
+    if head[:6] != b"\x93NUMPY":
+        raise ValueError("not an NPY file")
+    wide = 2 if head[6] == 1 else 4
+    start = 8 + wide + int.from_bytes(head[8 : 8 + wide], "little")
+    said = ast.literal_eval(head[8 + wide : start].decode("latin-1"))
+    kind, shape = np.dtype(said["descr"]), said["shape"]
+    if said["fortran_order"] or len(shape) > (1 if kind.names else 2) or not shape:
+        raise ValueError("arrays of this shape are not read")
+    columns = [(n, kind[n]) for n in kind.names] if kind.names else [(f"c{k}", kind) for k in range(shape[1] if len(shape) == 2 else 1)]
+    fields = []
+    for n, t in columns:
+        base, many = t.subdtype or (t, ())
+        if base.str[1:] not in _SPARK or base.str[0] == ">" or len(many) > 1:
+            raise ValueError(f"numbers of kind {base.str} are not read")
+        fields += [(f"{n}{k}", base.str[1:]) for k in range(many[0])] if many else [(n, base.str[1:])]
+    layout = Layout(fields, start, shape[0])
+    if layout.dtype.itemsize != kind.itemsize * (shape[1] if len(shape) == 2 else 1) or size != start + layout.count * layout.dtype.itemsize:
+        raise ValueError("the file's size does not agree with its header")
+    return layout
+
+
+class Npy(RecordSource):
+    suffix, parse = ".npy", staticmethod(read_npy)
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy"
+
+    @staticmethod
+    def encode(raw: np.ndarray, fields, options) -> bytes:
+        out = io.BytesIO()
+        np.save(out, raw)
+        return out.getvalue()
+
+
 class Records(RecordSource):
     """Any file of fixed records behind a fixed header. Options: fields such as "x:f8,sample:u4" in the order of the
     file, header (bytes, 0 by default), magic (what the file has to begin with), suffix."""
@@ -309,5 +349,5 @@ class Records(RecordSource):
 
 
 def register(spark: SparkSession) -> None:
-    for kind in (Ply, Pcd, Las, Records):
+    for kind in (Ply, Pcd, Las, Npy, Records):
         spark.dataSource.register(kind)

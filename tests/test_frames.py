@@ -209,3 +209,44 @@ def test_band_outlines_of_convex_and_concave_corners(spark, reverse):
     assert np.allclose(np.array(got), want, atol=1e-9) and len(want) > 20
     same = spark.range(1).select(G.band_outline(G.polygon(v), 0.0).alias("p"), F.size(G.band_outline(G.polygon(v[:2]), 1.0)).alias("n")).first()
     assert [tuple(p) for p in same.p] == v and same.n == 2
+
+
+def test_previews_are_cached_by_what_they_show(spark, tmp_path):
+    pts = coloured(spark, 3000)
+    path, said = S.preview(pts, str(tmp_path), 1000, "cloud 1")
+    positions, colours = np.fromfile(f"{path}/positions.f4", "<f4").reshape(-1, 3), np.fromfile(f"{path}/colours.u1", "u1").reshape(-1, 3)
+    assert 980 <= said["points"] == len(positions) == len(colours) <= 1000
+    back = positions + np.array(said["middle"])
+    assert set(np.rint((back[:, 0] + 3) * 7).astype(int)) <= set(range(3000)) and (np.diff(back[:, 0]) > 0).all() and said["bounds"][0][2] == 1e6
+    assert {tuple(c) for c in colours.tolist()} == {(0, 255, 0), (184, 184, 184)}
+    again, _ = S.preview(pts.where("point_id < 0"), str(tmp_path), 1000, "cloud 1")  # not read: it is there
+    assert again == path and S.preview(pts, str(tmp_path), 500, "cloud 1")[0] != path
+    with pytest.raises(ValueError, match="no points"):
+        S.preview(pts.where("point_id < 0"), str(tmp_path), 1000, "cloud 2")
+
+
+def test_files_that_a_copy_lacks(spark, tmp_path):
+    import os
+
+    for side in ("a", "b"):
+        (tmp_path / side / "in").mkdir(parents=True)
+        for name, body in (("x.bin", b"12345"), ("in/y.bin", b"1"), ("in/z.bin", b"333")):
+            (tmp_path / side / name).write_bytes(body)
+            os.utime(tmp_path / side / name, (1000, 1000))
+    (tmp_path / "b" / "x.bin").write_bytes(b"1234")
+    os.utime(tmp_path / "b" / "in" / "y.bin", (1000, 2000))
+    a, b = (S.listing(spark, str(tmp_path / side)) for side in "ab")
+    assert sorted(r.path for r in S.to_copy(a, b).collect()) == ["in/y.bin", "x.bin"] and S.to_copy(a, a).count() == 0
+    assert S.folder_size(a) == 9 and S.folder_size(a.where("length < 0")) == 0
+
+
+@pytest.mark.parametrize("array", [np.arange(12, dtype="<f4").reshape(4, 3), np.arange(5, dtype="<i8"), np.array([(1, 2.5, (3, 4)), (5, 6.5, (7, 8))], [("a", "<u4"), ("b", "<f8"), ("v", "<i2", (2,))])])
+def test_numpy_files(spark, tmp_path, array):
+    np.save(tmp_path / "s.npy", array)
+    records.register(spark)
+    rows = spark.read.format("npy").option("path", str(tmp_path)).load().collect()
+    flat = [[*r][:2] + list(r[2]) for r in array.tolist()] if array.dtype.names else array.reshape(len(array), -1).tolist()
+    assert [list(r) for r in rows] == flat
+    (tmp_path / "s.npy").write_bytes((tmp_path / "s.npy").read_bytes()[:-1])
+    with pytest.raises(Exception, match="size does not agree"):
+        spark.read.format("npy").option("path", str(tmp_path)).load().collect()
