@@ -150,21 +150,19 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[kept], nodes[label[kept]]
 
 
-def close_pairs(f: np.ndarray, start: int, size: int, left: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one run whose fingerprints differ in few bits; left: marks one side, and only mixed pairs count."""
+def close_pairs(f: np.ndarray, start: int, size: int, left: np.ndarray | None, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run whose fingerprints differ in few bits, for 128 rows at a time, as among near copies most pairs
+    are close; left: marks one side, and only mixed pairs count."""
     mine = f[start : start + size]
     rows, cols = (np.flatnonzero(left), np.flatnonzero(~left)) if left is not None else (np.arange(size), np.arange(size))
-    found = [], []
-    for at in range(0, len(rows), 256):
-        r = rows[at : at + 256]
+    for at in range(0, len(rows), 128):
+        r = rows[at : at + 128]
         near = sum(np.bitwise_count(mine[r, k][:, None] ^ mine[cols, k][None, :]).astype(np.uint8) for k in range(f.shape[1])) <= distance
         i, j = np.nonzero(near)
         i, j = r[i], cols[j]
         if left is None:
             i, j = i[i < j], j[i < j]
-        found[0].append(i + start)
-        found[1].append(j + start)
-    return np.concatenate([*found[0], np.zeros(0, int)]), np.concatenate([*found[1], np.zeros(0, int)])
+        yield i + start, j + start
 
 
 def links(nodes: DataFrame, sets: list[np.ndarray], lanes: int, distance: int, tile: int = TILE) -> DataFrame:
@@ -198,10 +196,10 @@ def links(nodes: DataFrame, sets: list[np.ndarray], lanes: int, distance: int, t
             a, b = [], []
             small = (sizes <= 64) & (ti[starts] == tj[starts])
             for s, n in zip(starts[~small], sizes[~small], strict=True):
-                i, j = close_pairs(f, s, n, own[s : s + n] == ti[s] if ti[s] != tj[s] else None, distance)
-                i, j = spanning(node[i], node[j])
-                a.append(i)
-                b.append(j)
+                for i, j in close_pairs(f, s, n, own[s : s + n] == ti[s] if ti[s] != tj[s] else None, distance):
+                    i, j = spanning(node[i], node[j])
+                    a.append(i)
+                    b.append(j)
             # Small runs together: row i against row i + d, for growing d, as long as both are in one run.
             end = np.repeat(starts + sizes, sizes)
             i = np.flatnonzero(np.repeat(small, sizes))
@@ -319,11 +317,6 @@ def links_between_parts(members: DataFrame, similarity: float) -> DataFrame:
         at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         size = np.diff(at)
         f = np.stack([f0, f1], axis=1).view(np.uint64)
-        i, j = close_pairs(f, 0, len(f), own == ti[0] if ti[0] != tj[0] else None, CANDIDATE_BITS)
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        keep = (part[i] != part[j]) & (small * q >= large * p)
-        i, j = i[keep], j[keep]
-        bits = sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int64) for k in range(2))
         root = {x: x for x in part.tolist()}
 
         def find(x: int) -> int:
@@ -332,14 +325,20 @@ def links_between_parts(members: DataFrame, similarity: float) -> DataFrame:
             return x
 
         u, v = [], []
-        for x, y in zip(i[np.argsort(bits, kind="stable")].tolist(), j[np.argsort(bits, kind="stable")].tolist(), strict=True):
-            a, b = find(int(part[x])), find(int(part[y]))
-            if a != b:
-                n = len(np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True))
-                if n * q >= (size[x] + size[y] - n) * p:
-                    root[a] = b
-                    u.append(node[x])
-                    v.append(node[y])
+        for i, j in close_pairs(f, 0, len(f), own == ti[0] if ti[0] != tj[0] else None, CANDIDATE_BITS):
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            joined = np.array([find(x) for x in part.tolist()])
+            keep = (joined[i] != joined[j]) & (small * q >= large * p)
+            i, j = i[keep], j[keep]
+            bits = np.argsort(sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int64) for k in range(2)), kind="stable")
+            for x, y in zip(i[bits].tolist(), j[bits].tolist(), strict=True):
+                a, b = find(int(part[x])), find(int(part[y]))
+                if a != b:
+                    n = len(np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True))
+                    if n * q >= (size[x] + size[y] - n) * p:
+                        root[a] = b
+                        u.append(node[x])
+                        v.append(node[y])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return dealt.groupBy("grp", "ti", "tj").applyInArrow(compare, "u long, v long")
