@@ -164,17 +164,17 @@ def a38(spark, sf):
 
 
 _OBSERVED = f"""WITH {V.POINTS}, o AS (SELECT p.*, l_orderkey // 2000 AS scan FROM (SELECT l_orderkey, {V.POINTS[len("pts AS (SELECT ") : -1]}) p),
-e AS (SELECT *, CASE WHEN tag < 32 THEN row_number() OVER (PARTITION BY scan, tag < 32 ORDER BY t_us, point_id) - 1 END AS export_rank FROM o)"""
+e AS (SELECT *, CASE WHEN intensity >= 100 THEN row_number() OVER (PARTITION BY scan, intensity >= 100 ORDER BY t_us, point_id) - 1 END AS export_rank FROM o)"""
 
 
 def _observations(spark, sf):
-    """Frames of observations: those of 2000 order keys each, so there are more with more data; half are exported."""
+    """Frames of observations: those of 2000 order keys each, so there are more with more data; bright ones are exported."""
     from pyspark.sql import Window
 
     p = V.points(spark, sf, F.floor(F.col("l_orderkey") / 2000).cast("long").alias("scan")).drop("frame").withColumnRenamed("scan", "frame")
     own = Window.partitionBy("frame")
-    rank = F.row_number().over(Window.partitionBy("frame", F.col("tag") < 32).orderBy("t_us", "point_id")) - 1
-    p = p.withColumns({"export_rank": F.when(F.col("tag") < 32, rank).cast("long"), "sample": (F.row_number().over(own.orderBy("point_id")) - 1).cast("long"), "raw_count": F.count("*").over(own), "export_count": F.count_if(F.col("tag") < 32).over(own)})
+    rank = F.row_number().over(Window.partitionBy("frame", F.col("intensity") >= 100).orderBy("t_us", "point_id")) - 1
+    p = p.withColumns({"export_rank": F.when(F.col("intensity") >= 100, rank).cast("long"), "sample": (F.row_number().over(own.orderBy("point_id")) - 1).cast("long"), "raw_count": F.count("*").over(own), "export_count": F.count_if(F.col("intensity") >= 100).over(own)})
     begin = F.col("frame") / 10.0
     fixed = {"origin_ns": F.lit(1).cast("long"), "begin": begin, "end": begin + 0.1, "tx": begin, "ty": d(0), "tz": d(0), "qx": d(0), "qy": d(0), "qz": d(0), "qw": d(1), "vx": d(0), "vy": d(0), "vz": d(0), "imu_shift": d(0)}
     return p.withColumns({**fixed, **{f"raw_{c}": F.col(c) for c in "xyz"}, "range": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), "offset_ns": F.pmod("point_id", F.lit(100_000_000)), "intensity": F.col("intensity") % 256, "line": F.lit(0)})
@@ -206,7 +206,7 @@ def s15(spark, sf):
     return cloud.groupBy("frame").agg(F.count("*").alias("n"), *[rounded(F.avg(c), 3).alias(c) for c in "xyz"], F.max("intensity").cast("double").alias("intensity"))
 
 
-@_f.query("s20_coloured_export", "WITH " + V.POINTS + " SELECT count(*) AS coloured_points, count(*) FILTER (WHERE tag % 2 = 0) AS blended_points, (SELECT count(*) FROM pts) AS input_points, sum(point_id % 1000003)::BIGINT AS ids, sum(r)::BIGINT AS red, round(avg(x), 4) + 0.0 AS x FROM pts WHERE tag < 48")
+@_f.query("s20_coloured_export", "WITH " + V.POINTS + " SELECT count(*) AS coloured_points, count(*) FILTER (WHERE intensity >= 150) AS blended_points, (SELECT count(*) FROM pts) AS input_points, sum(point_id % 1000003)::BIGINT AS ids, sum(r)::BIGINT AS red, round(avg(x), 4) + 0.0 AS x FROM pts WHERE intensity >= 50")
 def s20(spark, sf):
     """Coloured points as LAS files beside the ids of their points, and the counts of result.json; both are read again."""
     import json
@@ -216,8 +216,8 @@ def s20(spark, sf):
 
     path = shared_path(spark, "export")
     p = V.points(spark, sf)
-    seen = F.col("tag") < 48
-    frames.export(p.select("point_id", "x", "y", "z", *[F.when(seen, F.col(a)).alias(b) for a, b in (("r", "red"), ("g", "green"), ("b", "blue"))], (F.col("tag") % 2 == 0).alias("blended")), path)
+    seen = F.col("intensity") >= 50
+    frames.export(p.select("point_id", "x", "y", "z", *[F.when(seen, F.col(a)).alias(b) for a, b in (("r", "red"), ("g", "green"), ("b", "blue"))], (F.col("intensity") >= 150).alias("blended")), path)
     records.register(spark)
     fs, at = records.opened(path)
     with fs.open_input_stream(f"{at}/result.json") as f:
