@@ -16,10 +16,9 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from terraweave.llm.storage import shared_dir
 #: The dictionary is trained on the SAMPLE documents of the smallest hash among those of up to SAMPLE_BYTES, as short ones gain most.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16384, 65536
 #: A part holds about so many bytes of text; documents are encoded so many bytes, or rows, at a time; pieces kept between them.
-PART_BYTES, BATCH_BYTES, BATCH_ROWS, MOST_PIECES = 64 << 20, 8 << 20, 2048, 1 << 20
+PART_BYTES, BATCH_BYTES, BATCH_ROWS, MOST_PIECES = 64 << 20, 8 << 20, 2048, 800_000
 MAGIC, VERSION, LEVEL = b"TWIDS\x01", 1, 3
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8"), ("length", "<u8")])
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -55,7 +54,7 @@ def _visible(c: str) -> bool:
 
 def _shown(word: str) -> str:
     if word != "\n" and word.isascii():
-        return "\u0120" + word[1:] if word[0] == " " else word
+        return "\u0120" + word[1:] if word[0] == " " else word  # the space becomes U+0120
     return word.encode().decode("latin-1").translate(_HIDDEN)
 
 
@@ -88,38 +87,61 @@ class Encoder:
         self.tails: dict[str, int] = {}
         self.tokens: dict[str, array] = {}
         self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.used = np.zeros(1, np.int64)
 
-    def _ids(self, texts: list[str]) -> list[Sequence[int]]:
-        """Ids of texts, each a piece with its space before it or the beginning of a text."""
-        out: list[Sequence[int]] = [()] * len(texts)
-        rest, tokens = [], self.tokens
-        for k, t in enumerate(texts):
-            m = _WORD.fullmatch(t) if self.words else None
-            if m is None:
-                rest.append(k)
-                continue
-            ids = array("I")
-            for part in m.groups(""):
-                if part:
-                    own = tokens.get(part)
-                    if own is None:
-                        own = tokens[part] = array("I", [x.id for x in self.model.tokenize(_shown(part))])
-                    ids += own
-            out[k] = ids
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False) if rest else [], strict=True):
-            out[k] = array("I", e.ids)
-        return out
+    def _thin(self) -> None:
+        """Forgets the pieces that were met once only, most of all; all, where the others are too many as well."""
+        keep = self.used > 1
+        keep[0] = True
+        if keep.sum() > MOST_PIECES // 2:
+            self._forget()
+            return
+        number = np.where(keep, np.cumsum(keep) - 1, -2)
+        self.heads, self.tails = ({p: int(number[c]) for p, c in known.items() if c >= 0 and keep[c]} for known in (self.heads, self.tails))
+        lengths = self.lengths[keep]
+        upto = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(self.starts[keep] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        self.starts, self.lengths, self.used, self.tokens = upto - lengths, lengths, np.ones(len(lengths), np.int64), {}
+
+    def _part(self, part: str) -> array:
+        """Ids of one pre-token, as the model writes it."""
+        own = self.tokens.get(part)
+        if own is None:
+            own = self.tokens[part] = array("I", [x.id for x in self.model.tokenize(part)])
+        return own
 
     def _learn(self, known: dict[str, int], new: list[str], before: str) -> None:
-        """Keeps the ids of pieces that are not known yet."""
-        if not new:
+        """Keeps the ids of pieces that are not known yet; before: the space that stands before each, or nothing."""
+        flat, lengths, done, rest = array("I"), [], [], []
+        part, mark = self._part, _shown(before) if before else ""
+        for t in new if self.words else ():
+            if t.isascii() and t.isalpha():  # most are a word
+                own = part(mark + t)
+                n = len(own)
+                flat.extend(own)
+            elif m := _WORD.fullmatch(before + t):
+                n = 0
+                for g in m.groups(""):
+                    if g:
+                        own = part(_shown(g))
+                        n += len(own)
+                        flat.extend(own)
+            else:
+                rest.append(t)
+                continue
+            lengths.append(n)
+            done.append(t)
+        rest = rest if self.words else new
+        for e in self.tokenizer.encode_batch_fast([before + t for t in rest], add_special_tokens=False) if rest else ():
+            flat.extend(e.ids)
+            lengths.append(len(e.ids))
+        if not lengths:
             return
-        ids, n = self._ids([before + t for t in new]), len(self.lengths)
-        known.update(zip(new, range(n, n + len(new)), strict=True))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        known.update(zip([*done, *rest], range(len(self.lengths), len(self.lengths) + len(lengths)), strict=True))
+        added = np.array(lengths, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(added) - added])
+        self.lengths = np.concatenate([self.lengths, added])
+        self.flat = np.concatenate([self.flat, np.frombuffer(flat, np.uint32) if len(flat) else np.zeros(0, np.uint32)])
 
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the pieces of all texts, one after the other, and how many each text has."""
@@ -154,8 +176,11 @@ class Encoder:
         if not texts:
             return []
         if len(self.lengths) > MOST_PIECES:
-            self._forget()
+            self._thin()
         codes, counts = self._codes(texts)
+        seen = np.bincount(codes, minlength=len(self.lengths))
+        seen[: len(self.used)] += self.used
+        self.used = seen
         codes = np.insert(codes, np.cumsum(counts), 0)  # code 0 is the end id
         lengths = self.lengths[codes]
         upto = np.cumsum(lengths)
