@@ -163,15 +163,15 @@ def a38(spark, sf):
     return o.table().select("stage", "rows", rounded(F.col("least"), 2).alias("least"), rounded(F.col("most"), 2).alias("most"))
 
 
-_OBSERVED = f"""WITH {V.POINTS}, o AS (SELECT p.*, l_orderkey // 2000 AS scan FROM (SELECT l_orderkey, {V.POINTS[len("pts AS (SELECT ") : -1]}) p),
+_OBSERVED = f"""WITH {V.POINTS}, o AS (SELECT p.*, l_orderkey // 500 AS scan FROM (SELECT l_orderkey, {V.POINTS[len("pts AS (SELECT ") : -1]}) p),
 e AS (SELECT *, CASE WHEN intensity >= 100 THEN row_number() OVER (PARTITION BY scan, intensity >= 100 ORDER BY t_us, point_id) - 1 END AS export_rank FROM o)"""
 
 
 def _observations(spark, sf):
-    """Frames of observations: those of 2000 order keys each, so there are more with more data; bright ones are exported."""
+    """Frames of observations: those of 500 order keys each, so there are more with more data; bright ones are exported."""
     from pyspark.sql import Window
 
-    p = V.points(spark, sf, F.floor(F.col("l_orderkey") / 2000).cast("long").alias("scan")).drop("frame").withColumnRenamed("scan", "frame")
+    p = V.points(spark, sf, F.floor(F.col("l_orderkey") / 500).cast("long").alias("scan")).drop("frame").withColumnRenamed("scan", "frame")
     own = Window.partitionBy("frame")
     rank = F.row_number().over(Window.partitionBy("frame", F.col("intensity") >= 100).orderBy("t_us", "point_id")) - 1
     p = p.withColumns({"export_rank": F.when(F.col("intensity") >= 100, rank).cast("long"), "sample": (F.row_number().over(own.orderBy("point_id")) - 1).cast("long"), "raw_count": F.count("*").over(own), "export_count": F.count_if(F.col("intensity") >= 100).over(own)})
@@ -192,9 +192,9 @@ def s10(spark, sf):
     return got.groupBy("frame").agg(F.count("*").alias("n"), F.count("export_rank").alias("exported"), F.max("export_rank").alias("last_rank"), rounded(F.sum("x"), 3).alias("x"), F.sum("tag").alias("tags"), F.sum("offset_ns").alias("offsets"))
 
 
-@_f.query("s14_s15_registered_cloud", _OBSERVED + " SELECT scan AS frame, count(*) AS n, round(avg(x) + scan / 10.0, 3) + 0.0 AS x, round(avg(y), 3) + 0.0 AS y, round(avg(z), 3) + 0.0 AS z, max(intensity)::DOUBLE AS intensity FROM e WHERE export_rank IS NOT NULL AND scan >= 2 GROUP BY scan")
+@_f.query("s14_s15_registered_cloud", _OBSERVED + " SELECT scan AS frame, count(*) AS n, round(avg(x) + scan / 10.0, 3) + 0.0 AS x, round(avg(y), 3) + 0.0 AS y, round(avg(z), 3) + 0.0 AS z, max(intensity)::DOUBLE AS intensity FROM e WHERE export_rank IS NOT NULL AND scan >= 1 GROUP BY scan")
 def s15(spark, sf):
-    """Scans written in export order, one file a frame, and registered by their poses; frames below 2 are never opened."""
+    """Scans written in export order, one file a frame, and registered by their poses; frame 0 is never opened."""
     from terraweave.session import shared_path
     from terraweave.sources import frames
 
@@ -202,7 +202,7 @@ def s15(spark, sf):
     seen = _observations(spark, sf)
     frames.write_scans(seen, path)
     poses = seen.select("frame", F.col("end").alias("t"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"), "qx", "qy", "qz", "qw").distinct()
-    cloud = frames.registered_cloud(spark, path, poses, first=2)
+    cloud = frames.registered_cloud(spark, path, poses, first=1)
     return cloud.groupBy("frame").agg(F.count("*").alias("n"), *[rounded(F.avg(c), 3).alias(c) for c in "xyz"], F.max("intensity").cast("double").alias("intensity"))
 
 
