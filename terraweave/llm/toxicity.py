@@ -114,8 +114,8 @@ class ExampleIndex:
         labels = labels.astype(np.float64)
         self.prior = float(labels.mean()) if n else 0.0
         owner = np.repeat(np.arange(n, dtype=np.int32), size)
-        self.terms, term = np.unique(hashed, return_inverse=True)
-        term = term.astype(np.int32)
+        self.terms = np.unique(hashed)
+        term = np.searchsorted(self.terms, hashed).astype(np.int32)
         # Long texts hold more of everything. The label's share among texts of like length is what a term is expected to meet.
         bins = np.log2(size + 1).astype(np.int64)
         share = (np.bincount(bins, labels) + self.prior) / (np.bincount(bins) + 1)
@@ -130,6 +130,7 @@ class ExampleIndex:
         top = np.maximum.reduceat(w, (np.cumsum(size) - size)[size > 0]) if len(w) else w
         at_top = np.flatnonzero(w == np.repeat(top, size[size > 0]))[::-1]
         strongest[owner[at_top]] = term[at_top]
+        del top, at_top, hashed, counts  # this runs on the driver
         order = np.lexsort((ids, strongest))
         self.ids, self.labels = ids[order], labels[order]
         place = np.empty(n, np.int32)
@@ -147,6 +148,7 @@ class ExampleIndex:
         along = np.lexsort((place, term))
         along = along[~mine[along]]
         self.place, self.w, term = place[along], w[along], term[along]
+        del along, mine, w, owner, place
         block = self.place // BLOCK
         new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.start, self.size = new.astype(np.int32), np.diff(new, append=len(term)).astype(np.uint8)
@@ -289,9 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ExampleIndex:
     release(docs.sparkSession, path)
     ids, labels = (np.array([r[c] for r in rows], np.int64) for c in ("doc_id", "label"))
     size = np.array([len(r["counts"]) // 4 for r in rows], np.int64)
-    terms, counts = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("terms", np.uint64), ("counts", np.int32)))
+    both = [np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("counts", np.int32), ("terms", np.uint64))]
     del rows
-    return ExampleIndex(stems, ids, labels, size, terms, counts)
+    return ExampleIndex(stems, ids, labels, size, both.pop(), both.pop())
 
 
 def beginnings(examples: DataFrame) -> list[str]:
