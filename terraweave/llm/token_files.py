@@ -18,7 +18,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from terraweave.llm.storage import shared_dir
 #: The dictionary is trained on the SAMPLE documents of the smallest hash among those of up to SAMPLE_BYTES, as short ones gain most.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16384, 65536
 #: A part holds about so many bytes of text; documents are encoded so many bytes, or rows, at a time; pieces kept between them.
-PART_BYTES, BATCH_BYTES, BATCH_ROWS, MOST_PIECES = 64 << 20, 8 << 20, 2048, 800_000
+PART_BYTES, BATCH_BYTES, BATCH_ROWS, MOST_PIECES = 64 << 20, 4 << 20, 2048, 800_000
 MAGIC, VERSION, LEVEL = b"TWIDS\x01", 1, 3
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8"), ("length", "<u8")])
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -62,7 +61,7 @@ class Encoder:
     """Ids of whole texts by a tokenizers file, piece by piece.
 
     A text is cut at single spaces between visible characters, where a byte-level pre-tokenizer always starts a piece with
-    the space, so the ids of the pieces are those of the text. Each distinct piece is encoded once for as long as it is kept.
+    the space, so the ids of the pieces are those of the text. Each distinct piece is encoded once for as long as it is kept, by a task for itself.
     Words of Latin letters, with punctuation after them or none, are one or two pre-tokens, and go straight to the library's
     model; all other pieces go through the whole tokenizer. Tokenizers of other kinds are given texts whole.
     """
@@ -107,6 +106,8 @@ class Encoder:
         """Ids of one pre-token, as the model writes it."""
         own = self.tokens.get(part)
         if own is None:
+            if len(self.tokens) > MOST_PIECES // 4:
+                self.tokens.clear()
             own = self.tokens[part] = array("I", [x.id for x in self.model.tokenize(part)])
         return own
 
@@ -188,12 +189,6 @@ class Encoder:
         return np.split(ids, upto[np.cumsum(counts + 1) - 1][:-1])
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, end_id: int, special_as_text: bool) -> Encoder:
-    """One for all tasks that a worker process gets: what it has learned stays."""
-    return Encoder(path, end_id, special_as_text)
-
-
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) of a bounded number of rows and bytes at a time."""
     for batch in batches:
@@ -254,7 +249,7 @@ class TokenWriter(DataSourceArrowWriter):
 
         o = self.options
         fs, at = opened(o["path"])
-        ids_of = encoder(o["tokenizer"], int(o["endid"]), o.get("specialastext") == "true").encode
+        ids_of = Encoder(o["tokenizer"], int(o["endid"]), o.get("specialastext") == "true").encode
         with fs.open_input_stream(f"{at}/{o['dictionary']}") as f:
             shared = codec(f.read())
         frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True, write_dict_id=True)
@@ -391,7 +386,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special_a
     dtype = "<u2" if max(wide, end_id) < 1 << 16 else "<u4"
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer, end_id, special_as_text).encode
+        ids_of = Encoder(tokenizer, end_id, special_as_text).encode
         for _, texts in pieces(batches):
             yield pa.record_batch({"ids": pa.array([x.astype(dtype).tobytes() for x in ids_of(texts)], pa.binary())})
 
