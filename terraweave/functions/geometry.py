@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -271,21 +271,40 @@ def bounds(v: Column, margin: float = 0.0) -> list[Column]:
     return [F.array_min(xs) - margin, F.array_min(ys) - margin, F.array_max(xs) + margin, F.array_max(ys) + margin]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: as the only element of an array, where an expression is written out, and
+    within a lambda evaluated, at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _corner(v: Column, n: Column, p: Column, i: Column) -> Column:
+    """A vertex x, y, the steps ax, ay to it and bx, by from it."""
+    a, b = F.get(v, F.pmod(i + n - 1, n)), F.get(v, F.pmod(i + 1, n))
+    return F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["x"] - a["x"]).alias("ax"), (p["y"] - a["y"]).alias("ay"), (b["x"] - p["x"]).alias("bx"), (b["y"] - p["y"]).alias("by"))
+
+
+def _lengths(c: Column) -> Column:
+    return F.struct(F.sqrt(c["ax"] * c["ax"] + c["ay"] * c["ay"]).alias("a"), F.sqrt(c["bx"] * c["bx"] + c["by"] * c["by"]).alias("b"))
+
+
 def offset_polygon(v: Column, by: float, least: float = 0.3) -> Column:
     """Each vertex moved along the bisector of its edges; the cosine of the half angle counts as `least` at least."""
     n = F.size(v)
 
-    def moved(p: Column, i: Column) -> Column:
-        a, b = F.get(v, F.pmod(i + n - 1, n)), F.get(v, F.pmod(i + 1, n))
-        ax, ay, bx, by_ = p["x"] - a["x"], p["y"] - a["y"], b["x"] - p["x"], b["y"] - p["y"]
-        la, lb = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by_ * by_)
-        nax, nay, nbx, nby = ay / la, -ax / la, by_ / lb, -bx / lb
-        mx, my = nax + nbx, nay + nby
-        m = F.sqrt(mx * mx + my * my)
-        cosine = F.greatest(F.try_divide(nax * mx + nay * my, m), d(least))
-        return F.struct((p["x"] + F.try_divide(mx, m) * by / cosine).alias("x"), (p["y"] + F.try_divide(my, m) * by / cosine).alias("y"))
+    def normals(c: Column) -> Column:
+        return let(_lengths(c), lambda s: F.struct((c["ay"] / s["a"]).alias("ax"), (-c["ax"] / s["a"]).alias("ay"), (c["by"] / s["b"]).alias("bx"), (-c["bx"] / s["b"]).alias("by")))
+
+    def bisector(o: Column) -> Column:
+        return F.struct((o["ax"] + o["bx"]).alias("x"), (o["ay"] + o["by"]).alias("y"), o["ax"].alias("nx"), o["ay"].alias("ny"))
 
-    return F.transform(v, moved)
+    def placed_at(c: Column, m: Column) -> Column:
+        def at(size: Column) -> Column:
+            cosine = F.greatest(F.try_divide(m["nx"] * m["x"] + m["ny"] * m["y"], size), d(least))
+            return let(cosine, lambda k: F.struct((c["x"] + F.try_divide(m["x"], size) * by / k).alias("x"), (c["y"] + F.try_divide(m["y"], size) * by / k).alias("y")))
+
+        return let(F.sqrt(m["x"] * m["x"] + m["y"] * m["y"]), at)
+
+    return F.transform(v, lambda p, i: let(_corner(v, n, p, i), lambda c: let(normals(c), lambda o: let(bisector(o), lambda m: placed_at(c, m)))))
 
 
 def band_outline(v: Column, by: float, least: float = 0.2, step: float = 15.0) -> Column:
@@ -295,25 +314,37 @@ def band_outline(v: Column, by: float, least: float = 0.2, step: float = 15.0) -
     """
     n = F.size(v)
     turned = F.aggregate(F.sequence(F.lit(0), n - 1), d(0), lambda a, i: a + F.get(v, i)["x"] * F.get(v, F.pmod(i + 1, n))["y"] - F.get(v, F.pmod(i + 1, n))["x"] * F.get(v, i)["y"])
-    sign = F.when(turned > 0, d(1)).otherwise(d(-1))
     pi = 3.141592653589793
 
-    def around(p: Column, i: Column) -> Column:
-        a, b = F.get(v, F.pmod(i + n - 1, n)), F.get(v, F.pmod(i + 1, n))
-        ax, ay, bx, by_ = p["x"] - a["x"], p["y"] - a["y"], b["x"] - p["x"], b["y"] - p["y"]
-        la, lb = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by_ * by_)
-        la, lb = F.when(la > 0, la).otherwise(d(1)), F.when(lb > 0, lb).otherwise(d(1))
-        out = [sign * ay / la, -sign * ax / la, sign * by_ / lb, -sign * bx / lb]
-        first, turn = F.atan2(out[1], out[0]), F.atan2(out[3], out[2]) - F.atan2(out[1], out[0])
-        turn = F.when((sign > 0) & (turn < 0), turn + 2 * pi).when((sign < 0) & (turn > 0), turn - 2 * pi).otherwise(turn)
-        steps = F.greatest(F.lit(2), F.ceil(F.abs(turn) / (step * pi / 180)).cast("int"))
-        arc = F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct((p["x"] + by * F.cos(first + turn * k / steps)).alias("x"), (p["y"] + by * F.sin(first + turn * k / steps)).alias("y")))
-        mx, my = out[0] + out[2], out[1] + out[3]
-        m = F.sqrt(mx * mx + my * my)
-        m = F.when(m > 0, m).otherwise(d(1))
-        far = by / F.greatest((mx * out[0] + my * out[1]) / m, d(least))
-        meet = F.array(F.struct((p["x"] + mx / m * far).alias("x"), (p["y"] + my / m * far).alias("y")))
-        return F.when((ax * by_ - ay * bx) * sign > 0, arc).otherwise(meet)
+    def normals(c: Column, sign: Column) -> Column:
+        def out(s: Column) -> Column:
+            return F.struct((sign * c["ay"] / s["a"]).alias("ax"), (-sign * c["ax"] / s["a"]).alias("ay"), (sign * c["by"] / s["b"]).alias("bx"), (-sign * c["bx"] / s["b"]).alias("by"))
+
+        real = lambda s: F.struct(*[F.when(s[k] > 0, s[k]).otherwise(d(1)).alias(k) for k in "ab"])
+        return let(let(_lengths(c), real), out)
+
+    def arc(c: Column, o: Column, sign: Column) -> Column:
+        first = F.atan2(o["ay"], o["ax"])
+        wrapped = lambda t: F.when((sign > 0) & (t < 0), t + 2 * pi).when((sign < 0) & (t > 0), t - 2 * pi).otherwise(t)
+        turn = let(F.atan2(o["by"], o["bx"]) - first, wrapped)
+        told = let(F.struct(first.alias("first"), turn.alias("turn")), lambda t: F.struct(t["first"].alias("first"), t["turn"].alias("turn"), F.greatest(F.lit(2), F.ceil(F.abs(t["turn"]) / (step * pi / 180)).cast("int")).alias("steps")))
+        point = lambda at: F.struct((c["x"] + by * F.cos(at)).alias("x"), (c["y"] + by * F.sin(at)).alias("y"))
+        return let(told, lambda t: F.transform(F.sequence(F.lit(0), t["steps"]), lambda k: let(t["first"] + t["turn"] * k / t["steps"], point)))
+
+    def meet(c: Column, o: Column) -> Column:
+        def at(m: Column) -> Column:
+            far = by / F.greatest((m["x"] * o["ax"] + m["y"] * o["ay"]) / m["m"], d(least))
+            return let(far, lambda f: F.array(F.struct((c["x"] + m["x"] / m["m"] * f).alias("x"), (c["y"] + m["y"] / m["m"] * f).alias("y"))))
+
+        both = F.struct((o["ax"] + o["bx"]).alias("x"), (o["ay"] + o["by"]).alias("y"))
+        size = lambda b: let(F.sqrt(b["x"] * b["x"] + b["y"] * b["y"]), lambda m: F.struct(b["x"].alias("x"), b["y"].alias("y"), F.when(m > 0, m).otherwise(d(1)).alias("m")))
+        return let(let(both, size), at)
+
+    def around(p: Column, i: Column, sign: Column) -> Column:
+        convex = lambda c: (c["ax"] * c["by"] - c["ay"] * c["bx"]) * sign > 0
+        return let(_corner(v, n, p, i), lambda c: let(normals(c, sign), lambda o: F.when(convex(c), arc(c, o, sign)).otherwise(meet(c, o))))
 
+    sign = let(turned, lambda t: F.when(t > 0, d(1)).otherwise(d(-1)))
+    outline = let(sign, lambda s: F.flatten(F.transform(v, lambda p, i: around(p, i, s))))
     same = F.transform(v, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    return F.when((n < 3) | (F.lit(by) <= 0), same).otherwise(F.flatten(F.transform(v, around)))
+    return F.when((n < 3) | (F.lit(by) <= 0), same).otherwise(outline)

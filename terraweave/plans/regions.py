@@ -95,12 +95,12 @@ def a40(spark, sf):
 
 def _triangles(spark, sf):
     """A triangle for each part."""
-    from terraweave.session import table
+    from terraweave.session import spread, table
 
     p = F.col("p_partkey").cast("double")
     s = F.col("p_size").cast("double")
     v = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((d(0), d(0)), (s, d(1)), (s / 2, s + 1))])
-    return table(spark, sf, "part").select("p_partkey", p.alias("p"), s.alias("s"), v.alias("v"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", p.alias("p"), s.alias("s"), v.alias("v"))
 
 
 @_f.query("m29_m32_polygon_measures", "SELECT p_partkey, round(abs(p_size::DOUBLE * (p_size + 1) - p_size / 2.0::DOUBLE) / 2, 4) + 0.0 AS area, round((p_size + p_size / 2.0::DOUBLE) / 3, 4) + 0.0 AS cx, round((1 + p_size + 1) / 3.0::DOUBLE, 4) + 0.0 AS cy, -0.5::DOUBLE AS x0, (p_size + 1.5)::DOUBLE AS y1 FROM part")

@@ -4,7 +4,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from terraweave.functions import geometry as G
 from terraweave.operators import visibility as O
 from terraweave.plans import catalog, photos
 from terraweave.plans import views as V
@@ -42,3 +44,9 @@ def test_visibility_is_not_written_out_in_the_join(spark, sf):
     pts = V.points(spark, sf)
     text = plan(O.visibility(O.projected(pts, V.photos(spark, sf), photos.CAMERA), pts).where("visible"), "optimizedPlan")
     assert re.search(r"Filter .*visible", text) and not re.search(r"Join.*exact.*tag|Join Inner.*1000000", text)
+
+
+def test_outlines_compute_what_they_share_once(spark):
+    shape = G.polygon([(0, 0), (4, 0), (4, 3), (1, 1)])
+    for made in (G.offset_polygon(shape, 0.5), G.band_outline(shape, 0.5)):  # three roots each, and the plan says each twice
+        assert plan(spark.range(1).select(F.size(made)), "analyzed").lower().count("sqrt(") <= 6
