@@ -26,13 +26,15 @@ def bracket(shots: DataFrame, poses: DataFrame, group: str, carried: Sequence[st
     """
     span = F.floor(F.col("t_us") / int(bucket * 1e6)).cast("long").alias("_k")
     value = F.struct("t_us", *carried)
-    p = poses.select(group, span, "t_us", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("shot"), value.alias("v"))
+    p = poses.select(group, span, "t_us", F.lit(1).alias("kind"), F.lit(None).cast(shots.schema["shot"].dataType).alias("shot"), value.alias("v"))
     s = shots.select(group, span, "t_us", F.lit(0).alias("kind"), "shot", F.lit(None).cast(p.schema["v"].dataType).alias("v"))
-    order = Window.partitionBy(group, "_k").orderBy("t_us", "kind", "shot")
-    found = p.unionByName(s).withColumns({"a": F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "b": F.first("v", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))}).where("kind = 0")
+    # Both windows grow from their first row; one that ends at the last row would be gone through anew for each row.
+    own, line = Window.partitionBy(group, "_k"), ("t_us", "kind", "shot", "v")
+    earlier, later = (own.orderBy(*[to(c) for c in line]).rowsBetween(Window.unboundedPreceding, -1) for to in (F.asc, F.desc))
+    found = p.unionByName(s).withColumns({"a": F.last("v", ignorenulls=True).over(earlier), "b": F.last("v", ignorenulls=True).over(later)}).where("kind = 0")
     ends = p.unionByName(s).groupBy(group, "_k").agg(F.max("v").alias("last"), F.min("v").alias("first"))  # structs by time; shots have none
-    along = Window.partitionBy(group).orderBy("_k")
-    around = ends.select(group, "_k", F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    before, after = (Window.partitionBy(group).orderBy(to("_k")).rowsBetween(Window.unboundedPreceding, -1) for to in (F.asc, F.desc))
+    around = ends.select(group, "_k", F.last("last", ignorenulls=True).over(before).alias("before"), F.last("first", ignorenulls=True).over(after).alias("after"))
     joined = found.join(around, [group, "_k"]).withColumns({"a": F.coalesce("a", "before"), "b": F.coalesce("b", "after")})
     return joined.select(group, "shot", "t_us", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in ("t_us", *carried)])
 
@@ -61,10 +63,20 @@ def exclusive_sum(df: DataFrame, group: str, order: str, value: str) -> DataFram
 
 
 def trailing_rate(df: DataFrame, group: str, order: str, value: str, seconds: float) -> DataFrame:
-    """Change of a value per second over the trailing window, null for a single sample."""
-    w = Window.partitionBy(group).orderBy(order).rangeBetween(-int(seconds * 1e6), 0)
-    dt = (F.last(order).over(w) - F.first(order).over(w)) / 1e6
-    return df.withColumn("trailing", F.try_divide(F.last(value).over(w) - F.first(value).over(w), dt))
+    """Change of a value per second over the trailing window, null for a single sample.
+
+    A window's first sample is the first at or after its begin, which bracket() finds; a sliding window would be gone through
+    anew for each row. Rows without a time have no rate.
+    """
+    span = int(seconds * 1e6)
+    timed = df.where(F.col(order).isNotNull())
+    key = F.struct(F.col(group)).alias("_g")  # so that rows without a group are one
+    peers = Window.partitionBy(group, F.floor(F.col(order) / max(span, 1))).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = timed.select(key, (F.col(order) - span).alias("t_us"), F.struct(*df.columns, F.last(value).over(peers).alias("_last")).alias("shot"))
+    found = bracket(ends, timed.select(key, F.col(order).cast("long").alias("t_us"), F.col(value).alias("_first")), "_g", ["_first"], max(seconds, 1.0))
+    rate = F.try_divide(F.col("shot._last") - F.col("b__first"), (F.col(f"shot.{order}") - F.col("b_t_us")) / 1e6)
+    rows = found.select(*[F.col(f"shot.{c}").alias(c) for c in df.columns], rate.alias("trailing"))
+    return rows.unionByName(df.where(F.col(order).isNull()).withColumn("trailing", d(F.lit(None))))
 
 
 def last_n(df: DataFrame, group: str, order: str, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraweave.functions import geometry as G
+from terraweave.operators import series as T
 from terraweave.operators import visibility as O
 from terraweave.plans import catalog, photos
 from terraweave.plans import views as V
@@ -50,3 +51,16 @@ def test_outlines_compute_what_they_share_once(spark):
     shape = G.polygon([(0, 0), (4, 0), (4, 3), (1, 1)])
     for made in (G.offset_polygon(shape, 0.5), G.band_outline(shape, 0.5)):  # three roots each, and the plan says each twice
         assert plan(spark.range(1).select(F.size(made)), "analyzed").lower().count("sqrt(") <= 6
+
+
+def test_series_slide_no_windows(spark, sf):
+    for name in ("j01_m04_f23_pose_at_shot", "m02_m03_slerp", "w08_trailing_rate"):
+        text = plan(catalog.QUERIES[name](spark, sf), "analyzed")
+        assert "unboundedfollowing" not in text.lower() and "-86400000000" not in text
+
+
+def test_trailing_rates_of_gaps_peers_and_missing_values(spark):
+    rows = [(1, 0, 1.0), (1, 4_000_000, 3.0), (1, 10_000_000, 6.0), (1, 10_500_000, 7.0), (1, 99_000_000, 0.0), (None, 0, 5.0), (None, 2_000_000, 9.0), (2, None, 1.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, g int, t long, v double")
+    got = {r.id: r.trailing for r in T.trailing_rate(df, "g", "t", "v", 10).collect()}
+    assert got == {0: None, 1: 0.5, 2: 0.5, 3: pytest.approx(4 / 6.5), 4: None, 5: None, 6: 2.0, 7: None}
