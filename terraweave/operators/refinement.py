@@ -35,13 +35,20 @@ def apply_steps(pts: DataFrame, steps: DataFrame) -> DataFrame:
 
 def matches(pts: DataFrame, planes: DataFrame, reach: float, cutoff: float) -> DataFrame:
     """Each point with its nearest plane (mx, my, mz, nx, ny, nz) within reach whose plane it is within the cutoff of."""
-    probes = with_cells(pts.select("frame", "point_id", "x", "y", "z"), reach)
-    for c in CELL:
-        probes = probes.withColumn("_o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(c, F.col(c) + F.col("_o")).drop("_o")
     m = planes.select("mx", "my", "mz", "nx", "ny", "nz", *[G.cell(F.col(f"m{c}"), reach).alias(k) for c, k in zip("xyz", CELL, strict=True)])
     away = G.sub(xyz(), [F.col(c) for c in ("mx", "my", "mz")])
     d2, r = G.dot(away, away), G.dot(away, [F.col(c) for c in ("nx", "ny", "nz")])
-    near = probes.join(m, CELL).withColumns({"_d": d2, "r": r}).where((F.col("_d") <= reach * reach) & (F.abs("r") <= cutoff))
+
+    def near_planes(queries: DataFrame) -> DataFrame:
+        probes = with_cells(queries, reach)
+        for c in CELL:
+            probes = probes.withColumn("_o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(c, F.col(c) + F.col("_o")).drop("_o")
+        return probes.join(m, CELL).withColumns({"_d": d2, "r": r}).where((F.col("_d") <= reach * reach) & (F.abs("r") <= cutoff))
+
+    # Least distances are hashed; a minimum of structs would sort all pairs, so planes come from a second look, at these distances.
+    own = ["frame", "point_id", "x", "y", "z"]
+    least = near_planes(pts.select(*own)).groupBy(*own).agg(F.min("_d").alias("_least"))
+    near = near_planes(least).where(F.col("_d") <= F.col("_least"))
     return near.groupBy("frame", "point_id").agg(F.min(F.struct("_d", "x", "y", "z", "nx", "ny", "nz", "r")).alias("b")).select("frame", "point_id", "b.*")
 
 
@@ -62,7 +69,7 @@ def refine_poses(pts: DataFrame, planes: DataFrame, reach: float = 0.3, cutoff:
             x = np.linalg.solve(h + np.eye(6) * 1e-5, -g[..., None])[..., 0] if b.num_rows else g
             yield pa.RecordBatch.from_arrays([b.column("frame"), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(6)], b.column("matches"), b.column("cost")], names=["frame", *STEP, "matches", "cost"])
 
-    total = None
+    total, planes = None, kept(planes, "planes")  # computed once, and broadcast if small
     for _ in range(rounds):
         at = pts if total is None else apply_steps(pts, total)
         m = matches(at, planes, reach, cutoff)

@@ -152,13 +152,20 @@ def match_planes(queries: DataFrame, planes: DataFrame, reach: float, residual:
     Each query probes the 27 cells around it, so that this is an equi-join on cells of the size of the reach.
     """
     around = F.sequence(F.lit(-1), F.lit(1))
-    probes = with_cells(queries.select("point_id", "x", "y", "z"), reach)
-    for c in CELL:
-        probes = probes.withColumn("_o", F.explode(around)).withColumn(c, F.col(c) + F.col("_o")).drop("_o")
-    q, m = probes.alias("q"), with_cells(planes, reach).alias("m")
+    m = with_cells(planes, reach).alias("m")
     on = (F.col("q.cx") == F.col("m.cx")) & (F.col("q.cy") == F.col("m.cy")) & (F.col("q.cz") == F.col("m.cz"))
     away = G.sub(xyz("q."), xyz("m."))
     d2, r = G.dot(away, away), G.dot(away, [F.col(f"m.{c}") for c in ("nx", "ny", "nz")])
-    near = q.join(m, on).where((d2 <= reach * reach) & (F.abs(r) <= residual))
+
+    def near_planes(points: DataFrame) -> DataFrame:
+        probes = with_cells(points, reach)
+        for c in CELL:
+            probes = probes.withColumn("_o", F.explode(around)).withColumn(c, F.col(c) + F.col("_o")).drop("_o")
+        return probes.alias("q").join(m, on).where((d2 <= reach * reach) & (F.abs(r) <= residual))
+
+    # Least distances are hashed; a minimum of structs would sort all pairs, so planes come from a second look, at these distances.
+    own = ["point_id", "x", "y", "z"]
+    least = near_planes(queries.select(*own)).groupBy(*[F.col(f"q.{c}").alias(c) for c in own]).agg(F.min(d2).alias("least"))
+    near = near_planes(least).where(d2 <= F.col("q.least"))
     best = near.groupBy(F.col("q.point_id").alias("point_id")).agg(F.min(F.struct(d2.alias("d"), F.col("m.point_id").alias("m"), r.alias("r"))).alias("b"))
     return best.select("point_id", F.col("b.m").alias("plane"), F.col("b.r").alias("residual"), F.sqrt("b.d").alias("distance"))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import geometry as G
 from terraweave.operators import series as T
+from terraweave.operators import surfaces as S
 from terraweave.operators import visibility as O
+from terraweave.operators.refinement import matches
 from terraweave.plans import catalog, photos
 from terraweave.plans import views as V
 from terraweave.sources import frames
@@ -73,15 +75,23 @@ def test_trailing_rates_of_gaps_peers_and_missing_values(spark):
 
 def test_exports_do_not_hold_batches(monkeypatch, tmp_path):
     monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0)))
-    alive, most = weakref.WeakSet(), [0]
+    made, most = [], [0]
 
     def batches():
         for k in range(20):
             b = pa.RecordBatch.from_arrays([pa.array([k]), *[pa.array([1.0 * k])] * 3, *[pa.array([k], pa.int32())] * 4], names=list("abcdefgh"))
-            alive.add(b)
-            most[0] = max(most[0], len(alive))
+            made.append(weakref.ref(b))
+            most[0] = max(most[0], sum(r() is not None for r in made))
             yield b
             del b
 
     said = frames.ColouredWriter({"path": str(tmp_path), "offset": "[0, 0, 0]", "scale": "0.1", "points": "20"}).write(batches())
     assert most[0] <= 3 and said.counts == {"coloured_points": 20, "blended_points": 190}
+
+
+def test_nearest_planes_are_not_sorted_out_of_all_pairs(spark, sf):
+    e = V.surfels(spark, sf)
+    planes = e.select(*[F.col(c).alias(f"m{c}") for c in "xyz"], "nx", "ny", "nz")
+    pts = e.withColumn("frame", F.lit(1).cast("long"))
+    for df in (S.match_planes(e, e, 0.15, 0.1), matches(pts, planes, 0.3, 0.1)):
+        assert re.search(r" HashAggregate\(.*partial_min\((?!struct)", plan(df))  # what takes all pairs
