@@ -27,13 +27,12 @@ REGIONS = [R.Region([1, 1, None], [2, 3, None]), R.Region(OPEN, OPEN, [R.Outline
 
 @_f.query("f20_inside_polygon", W + f" SELECT count(*) AS n, round(sum(x), 3) + 0.0 AS sx FROM pts WHERE {INSIDE_SQL}")
 def f20(spark, sf):
-    return V.points(spark, sf).where(G.inside_polygon(F.col("x"), F.col("y"), G.polygon(OUTLINE))).agg(F.count("*").alias("n"), rounded(F.sum("x"), 3).alias("sx"))
+    return V.points(spark, sf).where(G.inside_outline(F.col("x"), F.col("y"), OUTLINE)).agg(F.count("*").alias("n"), rounded(F.sum("x"), 3).alias("sx"))
 
 
 @_f.query("f21_m33_ring", W + f" SELECT point_id, round({DIST_SQL}, 4) + 0.0 AS away FROM pts WHERE NOT ({INSIDE_SQL}) AND {DIST_SQL} <= 0.3")
 def f21(spark, sf):
-    v = G.polygon(OUTLINE)
-    away = G.distance_to_edges(F.col("x"), F.col("y"), v)
+    away = G.distance_to_outline(F.col("x"), F.col("y"), OUTLINE)
     return V.points(spark, sf).where(R.Outline(OUTLINE, True, 0.3).test(F.col("x"), F.col("y"))).select("point_id", rounded(away, 4).alias("away"))
 
 
