@@ -10,8 +10,10 @@ makes them the table, so a task that is run again, or twice, does no harm.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import os
 import re
 import uuid
 import zlib
@@ -57,28 +59,38 @@ def _shown(word: str) -> str:
     return word.encode().decode("latin-1").translate(_HIDDEN)
 
 
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str, special_as_text: bool, *version: int) -> tuple:
+    """(tokenizer, its model, whether texts may be cut at spaces, whether words may go straight to the model) of a file.
+
+    Loaded once by a worker: what a library's tokenizer held is not all given back when it goes, so one a task adds up.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
+    kind, tokenizer = json.loads(raw), Tokenizer.from_str(raw)
+    tokenizer.encode_special_tokens = special_as_text
+    pre, post = kind.get("pre_tokenizer") or {}, kind.get("post_processor")
+    plain = kind.get("normalizer") is None and post is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    cuts = bool(plain and not any(_WORD.search(t["content"]) and " " in t["content"] or t["lstrip"] or t["rstrip"] for t in kind.get("added_tokens", [])))
+    words = cuts and kind["model"].get("type") == "BPE" and not kind["model"].get("dropout") and not any(_WORD.fullmatch(t["content"]) for t in kind.get("added_tokens", []))
+    return tokenizer, tokenizer.model, cuts, words
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, piece by piece.
 
     A text is cut at single spaces between visible characters, where a byte-level pre-tokenizer always starts a piece with
-    the space, so the ids of the pieces are those of the text. Each distinct piece is encoded once for as long as it is kept, by a task for itself.
-    Words of Latin letters, with punctuation after them or none, are one or two pre-tokens, and go straight to the library's
+    the space, so the ids of the pieces are those of the text. Each distinct piece is encoded once for as long as it is kept,
+    by a task for itself; the tokenizer is its worker's. Words of Latin letters, with punctuation after them or none, are one or two pre-tokens, and go straight to the library's
     model; all other pieces go through the whole tokenizer. Tokenizers of other kinds are given texts whole.
     """
 
     def __init__(self, path: str, end_id: int, special_as_text: bool = False):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            raw = f.read()
-        kind = json.loads(raw)
-        self.tokenizer, self.end_id = Tokenizer.from_str(raw), end_id
-        self.tokenizer.encode_special_tokens = special_as_text
-        self.model = self.tokenizer.model
-        pre, post = kind.get("pre_tokenizer") or {}, kind.get("post_processor")
-        plain = kind.get("normalizer") is None and post is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.cuts = bool(plain and not any(_WORD.search(t["content"]) and " " in t["content"] or t["lstrip"] or t["rstrip"] for t in kind.get("added_tokens", [])))
-        self.words = self.cuts and kind["model"].get("type") == "BPE" and not kind["model"].get("dropout") and not any(_WORD.fullmatch(t["content"]) for t in kind.get("added_tokens", []))
+        found = os.stat(path)
+        self.tokenizer, self.model, self.cuts, self.words = _loaded(path, special_as_text, found.st_mtime_ns, found.st_size)
+        self.end_id = end_id
         self._forget()
 
     def _forget(self) -> None:
