@@ -153,7 +153,7 @@ def _rays(spark, sf):
 
 @_f.query("m12_x07_ray_cells", W + f", {_RAYS_SQL} SELECT cx, cy, cz, count(*) AS rays FROM walked GROUP BY cx, cy, cz")
 def m12(spark, sf):
-    return P.ray_cells(_rays(spark, sf), 0.5).groupBy(*P.CELL).agg(F.count("*").alias("rays"))
+    return P.crossings(_rays(spark, sf), 0.5).groupBy(*P.CELL).agg(F.sum("n").alias("rays"))
 
 
 @_f.query("a07_j10_j11_ray_evidence", W + f", {_RAYS_SQL} SELECT cx, cy, cz, round(score, 5) + 0.0 AS score FROM scores")
