@@ -1,7 +1,7 @@
 """Surfaces: cell index, plane moments and surfels, smoothing in blocks, matching to planes.
 
-Work on blocks assumes a cloud that was thinned to one point a voxel (nearest_to_centre): then a block of a given size
-holds a bounded number of points, whatever the size of the cloud.
+Blocks of a cloud that was thinned to one point a voxel (nearest_to_centre) hold a bounded number of points, whatever the size
+of the cloud; smoothing does not need that, as it cuts blocks into tiles.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraweave.functions import geometry as G
 from terraweave.functions.geometry import xyz
-from terraweave.operators.neighbours import CellIndex
 from terraweave.operators.points import CELL, halo_blocks, with_cells
+from terraweave.session import kept
 
 
 def cell_index(celled: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -66,84 +67,300 @@ def surfels(moments: DataFrame, key: Sequence[str], flat: float = 0.1, wide: flo
     return moments.mapInArrow(run, ", ".join(f"{k} long" for k in (*key, "n")) + ", " + ", ".join(f"{k} double" for k in ("mx", "my", "mz", "nx", "ny", "nz", "l0", "l1", "l2", "weight")))
 
 
-#: Pairs of neighbours that a task holds at a time.
-MOST_PAIRS = 1 << 20
+#: Points of a chunk, the unit that is sent and skipped; of a tile, whose neighbours one task sums; pairs of a chunk at a time.
+CHUNK, TILE, MOST_PAIRS = 64, 8192, 1 << 16
+_NUMBERS = ("x", "y", "z", "nx", "ny", "nz")
+_CHUNKS = "kx long, ky long, kz long, tile string, chunk long, id array<long>, core array<boolean>, known array<boolean>, " + ", ".join(f"{c} array<double>" for c in _NUMBERS)
+_NAMES = [c.split()[0] for c in _CHUNKS.split(", ")]
+
+
+def leaves(p: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indices of points in compact groups of at most `most`, halved along the widest axis."""
+    out, left = [], [np.arange(len(p))]
+    while left:
+        at = left.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        axis = np.ptp(p[at], axis=0).argmax()
+        at = at[np.argsort(p[at, axis], kind="stable")]
+        half = most * ((len(at) + 2 * most - 1) // (2 * most))
+        left += [at[half:], at[:half]]
+    return out
+
+
+class Chunks:
+    """Chunks as arrays of CHUNK columns: places (NaN where there is no point), normals (0 there), boxes."""
+
+    def __init__(self, at: np.ndarray, normal: np.ndarray, held: np.ndarray):
+        self.held, self.at, self.normal = held, np.where(held, at, np.nan), np.where(held, normal, 0.0)
+        self.low, self.high = np.fmin.reduce(self.at, 2), np.fmax.reduce(self.at, 2)
+
+    def reach(self, other: Chunks, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of chunks all of whose points are within the radius, and pairs of which only some may be."""
+        a, b = (slice(None), slice(None), None), (slice(None), None, slice(None))
+        gap = np.maximum(np.maximum(self.low[a] - other.high[b], other.low[b] - self.high[a]), 0)
+        wide = np.maximum(self.high[a] - other.low[b], other.high[b] - self.low[a])
+        whole = (wide * wide).sum(0) <= radius * radius * (1 - 1e-9)
+        return whole, ((gap * gap).sum(0) <= radius * radius * (1 + 1e-9)) & ~whole
+
+    def near(self, k: int, other: Chunks, chosen: np.ndarray, radius: float) -> np.ndarray:
+        """Which points of some chunks are within the radius of those of chunk k."""
+        at = other.at[:, chosen].reshape(3, -1)
+        d2 = self.at[0, k][:, None] - at[0]
+        d2 *= d2
+        for axis in (1, 2):
+            off = self.at[axis, k][:, None] - at[axis]
+            off *= off
+            d2 += off
+        return d2 <= radius * radius
+
+    def pieces(self, partly: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(chunk, chunks it is compared with point by point), so many at a time."""
+        step = MOST_PAIRS // CHUNK**2
+        for k in np.flatnonzero(partly.any(1)):
+            chosen = np.flatnonzero(partly[k])
+            yield from ((k, chosen[s : s + step]) for s in range(0, len(chosen), step))
+
+
+def outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The 9 products of three rows with three rows, as the last axis."""
+    return np.stack([a[i] * b[j] for i in range(3) for j in range(3)], -1)
+
+
+class Covariances:
+    """Normals of the points' neighbourhoods, from sums around the middle of the tile."""
+
+    def __init__(self, own: Chunks, radius: float):
+        self.own, self.radius = own, radius
+        self.middle = np.nanmean(own.at, (1, 2))[:, None, None]
+        self.sums = np.zeros((*own.held.shape, 13))
+
+    def add(self, other: Chunks) -> None:
+        off = np.where(other.held, other.at - self.middle, 0.0)
+        terms = np.concatenate([other.held[..., None], np.moveaxis(off, 0, -1), outer(off, off)], -1)
+        whole, partly = self.own.reach(other, self.radius)
+        self.sums += (whole @ terms.sum(1))[:, None]
+        for k, chosen in self.own.pieces(partly):
+            self.sums[k] += self.own.near(k, other, chosen, self.radius).astype(float) @ terms[chosen].reshape(-1, 13)
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        """The normals, and which points have more than two neighbours, themselves included."""
+        n = np.maximum(self.sums[..., 0], 1)[..., None]
+        mean = self.sums[..., 1:4] / n
+        cov = self.sums[..., 4:] / n - outer(np.moveaxis(mean, -1, 0), np.moveaxis(mean, -1, 0))
+        raw = smallest_eigen(cov[..., (0, 1, 2, 4, 5, 8)].reshape(-1, 6))[1].reshape(*n.shape[:-1], 3)
+        return np.moveaxis(raw, -1, 0), self.own.held & (self.sums[..., 0] > 2)
+
+
+class Cones:
+    """A direction for each chunk of normals and the widest angle to it, signs aside."""
+
+    def __init__(self, c: Chunks):
+        lead = c.normal[:, :, :1]
+        turn = np.where((c.normal * lead).sum(0) < 0, -1.0, 1.0)
+        mean = (c.normal * turn).sum(2)
+        size = np.linalg.norm(mean, axis=0)
+        self.axis = mean / np.where(size > 0, size, 1)
+        cosine = (c.normal * self.axis[..., None]).sum(0)
+        self.sign = np.where(cosine < 0, -1.0, 1.0)
+        self.angle = np.where(c.held, np.arccos(np.clip(np.abs(cosine), 0, 1)), 0).max(1)
+
+
+class Projections:
+    """Points moved onto the planes of neighbours of a like normal, from sums over these."""
+
+    def __init__(self, own: Chunks, radius: float, least_cosine: float):
+        self.own, self.radius, self.least = own, radius, least_cosine
+        self.cones = Cones(own)
+        self.middle = np.nanmean(own.at, (1, 2))[:, None, None]
+        # Of the neighbours: number, sum of cosine x normal, sums of |cosine| and of |cosine| x place.
+        self.sums = np.zeros((*own.held.shape, 8))
+
+    def add(self, other: Chunks) -> None:
+        off = np.where(other.held, other.at - self.middle, 0.0)
+        whole, partly = self.own.reach(other, self.radius)
+        cones, limit = Cones(other), np.arccos(self.least)
+        cosine = self.cones.axis.T @ cones.axis
+        between = np.arccos(np.clip(np.abs(cosine), 0, 1))
+        spread = self.cones.angle[:, None] + cones.angle
+        apart = between - spread > limit + 1e-7
+        alike = whole & (between + spread < limit - 1e-7)
+        partly = (partly | whole) & ~alike & ~apart
+        # Where all normals are alike, the sums are products of a chunk's sums with the point's own normal.
+        turned = other.normal * cones.sign
+        even = np.concatenate([other.held.sum(1)[:, None], outer(other.normal, other.normal).sum(1)], -1)
+        odd = np.concatenate([turned.sum(2).T, outer(off, turned).sum(1)], -1)
+        e, o = alike @ even, np.where(cosine < 0, -1.0, 1.0) * alike @ odd
+        mine = np.moveaxis(self.own.normal, 0, -1)
+        same = mine * self.cones.sign[..., None]
+        self.sums[..., 0] += e[:, None, 0]
+        self.sums[..., 1:4] += np.einsum("aij,apj->api", e[:, 1:].reshape(-1, 3, 3), mine)
+        self.sums[..., 4:] += np.einsum("aij,apj->api", o.reshape(-1, 4, 3), same)
+        normal = np.moveaxis(other.normal, 0, -1)
+        place = np.concatenate([other.held[..., None], np.moveaxis(off, 0, -1)], -1)
+        for k, chosen in self.own.pieces(partly):
+            w = mine[k] @ normal[chosen].reshape(-1, 3).T
+            share = np.abs(w)
+            taken = (self.own.near(k, other, chosen, self.radius) & (share >= self.least)).astype(float)
+            w *= taken
+            share *= taken
+            self.sums[k, :, 0] += taken.sum(1)
+            self.sums[k, :, 1:4] += w @ normal[chosen].reshape(-1, 3)
+            self.sums[k, :, 4:] += share @ place[chosen].reshape(-1, 4)
+
+    def done(self, known: np.ndarray, sensor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and normals toward the sensor."""
+        p, normal = self.own.at, np.moveaxis(self.sums[..., 1:4], -1, 0)
+        size = np.linalg.norm(normal, axis=0)
+        new = normal / np.where(size > 0, size, 1)
+        total = self.sums[..., 4]
+        shift = np.moveaxis(self.sums[..., 5:], -1, 0) / np.where(total > 0, total, 1) + np.where(total > 0, self.middle - p, 0)
+        enough = (self.sums[..., 0] > 1) & known
+        moved = np.where(enough, p + (shift * new).sum(0) * new, p)
+        toward = ((sensor[:, None, None] - moved) * new).sum(0)
+        return moved, new * np.where(toward < 0, -1.0, 1.0)
+
+
+def _arrays(rows: pa.Table, *names: str) -> np.ndarray:
+    """Columns of arrays as rows of CHUNK, filled up with zeros."""
+    n = pc.list_value_length(rows.column("x")).to_numpy()
+    at = np.arange(CHUNK) < n[:, None]
+    out = np.zeros((len(names), *at.shape))
+    for k, c in enumerate(names):
+        out[k][at] = np.concatenate([[]] + [part.flatten().to_numpy(zero_copy_only=False) for part in rows.column(c).chunks])
+    return out
+
+
+def _lists(of: np.ndarray, held: np.ndarray, kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(held.sum(1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(of[held], kind))
+
+
+def _packed(pts: DataFrame, edge: float) -> DataFrame:
+    """Chunks of the tiles of each block: cells of an edge, slabs along x of cells with many points, parts by a hash of slabs with
+    many still, so that no tile holds more than some TILE points."""
+    block, cell = ["kx", "ky", "kz"], list(CELL)
+    celled = with_cells(pts, edge)
+    slabs = celled.groupBy(*block, *cell).agg(F.ceil(F.count("*") / TILE).alias("slabs"))
+    slab = F.least(F.floor((F.col("x") / edge - F.col("cx")) * F.col("slabs")), F.col("slabs") - 1).alias("slab")
+    cut = celled.join(slabs, [*block, *cell]).select(*block, *cell, slab, "point_id", "x", "y", "z", "core")
+    parts = cut.groupBy(*block, *cell, "slab").agg(F.ceil(F.count("*") / (2 * TILE)).alias("parts"))
+    part = F.pmod(F.xxhash64("point_id"), F.col("parts"))
+    dealt = cut.join(parts, [*block, *cell, "slab"]).select(*block, F.concat_ws(" ", *block, *cell, "slab", part).alias("tile"), "point_id", "x", "y", "z", "core")
 
-
-def smooth_block(p: np.ndarray, sensor: np.ndarray, radius: float, iterations: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points moved onto the planes of their neighbourhoods, their normals, and which of them have one.
-
-    Neighbours come from cells of the radius, so the work is that of the pairs within it, taken in bounded pieces.
-    """
-    p = p.copy()
-    alive, normal = np.ones(len(p), bool), np.zeros_like(p)
-
-    def pieces(index: CellIndex) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """(queries, query of each pair, its neighbour) of pieces of the points."""
-        at, step = 0, 256
-        while at < len(p):
-            part = slice(at, min(at + step, len(p)))
-            i, j, d2 = index.within(p[part], 1)
-            if len(i) > MOST_PAIRS and step > 1:
-                step //= 2
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("point_id")
+        p = np.stack([t.column(c).to_numpy() for c in "xyz"], -1)
+        found = leaves(p, CHUNK)
+        ends, order = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)), np.concatenate(found)
+        lists = {"id": t.column("point_id"), "core": t.column("core"), "known": pa.array(np.ones(len(p), bool)), **{c: t.column(c) for c in "xyz"}, **{c: pa.array(np.zeros(len(p))) for c in _NUMBERS[3:]}}
+        cols = {c: pa.ListArray.from_arrays(ends, v.take(pa.array(order)).combine_chunks() if isinstance(v, pa.ChunkedArray) else v.take(pa.array(order))) for c, v in lists.items()}
+        same = {c: t.column(c).take(pa.array(np.zeros(len(found), int))) for c in (*block, "tile")}
+        return pa.table({**same, "chunk": pa.array(np.arange(len(found))), **cols}).select(_NAMES)
+
+    return dealt.groupBy("tile").applyInArrow(run, _CHUNKS)
+
+
+def _tiles_with_near(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table | None]]:
+    """(whether it is a tile's own, rows) in pieces, a tile's own rows first and whole; (False, None) after the last."""
+    name, own, asked = None, [], False
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        to, first = (t.column(c).to_numpy() for c in ("to", "own"))
+        starts = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (first[1:] != first[:-1])])) if len(to) else []
+        for s, e in zip(starts, [*starts[1:], len(to)], strict=True):
+            if name is not None and name != to[s]:
+                if not asked:
+                    yield True, pa.concat_tables(own)
+                yield False, None
+                own, asked = [], False
+            name = to[s]
+            if first[s]:
+                own.append(t.slice(s, e - s))
                 continue
-            j = index.order[j]
-            keep = (d2 <= radius * radius) & alive[j]
-            yield part, i[keep], j[keep]
-            at = part.stop
+            if not asked:
+                yield True, pa.concat_tables(own)
+                asked = True
+            for k in range(s, e, TILE // CHUNK):
+                yield False, t.slice(k, min(TILE // CHUNK, e - k))
+    if name is not None:
+        if not asked:
+            yield True, pa.concat_tables(own)
+        yield False, None
+
+
+def _summed(chunks: DataFrame, radius: float, sums, finish, schema: str, core: bool) -> DataFrame:
+    """finish(rows, sums) of each tile (only those with points of the block's own, if core) after all chunks within the radius were
+    added. A task holds one tile, its sums and a batch of chunks."""
+    box = [f"{side}{c}" for c in "xyz" for side in "lh"]
+    lows = chunks.select("*", *[f(c).alias(f"{side}{c}") for c in "xyz" for side, f in (("l", F.array_min), ("h", F.array_max))])
+    tiles = lows.groupBy("kx", "ky", "kz", "tile").agg(*[(F.min if c[0] == "l" else F.max)(c).alias(c) for c in box], F.max(F.exists("core", lambda v: v)).alias("asks"))
+    ask = tiles.where("asks") if core else tiles
+
+    def close(a: str, b: str):
+        gap = [F.greatest(F.col(f"{a}l{c}") - F.col(f"{b}h{c}"), F.col(f"{b}l{c}") - F.col(f"{a}h{c}"), F.lit(0.0)) for c in "xyz"]
+        return G.dot(gap, gap) <= radius * radius * (1 + 1e-9)
+
+    pairs = ask.select("kx", "ky", "kz", F.col("tile").alias("to"), *[F.col(c).alias(f"q{c}") for c in box]).join(tiles.drop("asks"), ["kx", "ky", "kz"]).where(close("q", "")).select("to", "tile", *[f"q{c}" for c in box])
+    own = F.col("to") == F.col("tile")
+    sent = lows.join(pairs, "tile").where(own | close("q", "")).select("to", own.alias("own"), *[F.when(own, F.col(c)).alias(c) if c in ("id", "core") else c for c in _NAMES])
+    least = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(max(least, 4 * chunks.sparkSession.sparkContext.defaultParallelism), "to").sortWithinPartitions("to", F.desc("own"), "tile", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = total = None
+        for mine, t in _tiles_with_near(batches):
+            if t is None:
+                yield from finish(rows, total).to_batches()
+                continue
+            values = _arrays(t, *_NUMBERS, "known")
+            held = np.arange(CHUNK) < pc.list_value_length(t.column("x")).to_numpy()[:, None]
+            if mine:
+                asked = held & (_arrays(t, "core")[0] > 0) if core else held
+                rows, total = t, sums(Chunks(values[:3], values[3:6], asked))
+            for k in range(0, t.num_rows, TILE // CHUNK):
+                part = slice(k, k + TILE // CHUNK)
+                total.add(Chunks(values[:3, part], values[3:6, part], held[part] & (values[6, part] > 0)))
 
-    def summed(part: slice, i: np.ndarray, v: np.ndarray) -> np.ndarray:
-        n = part.stop - part.start
-        return np.bincount(i, v, n) if v.ndim == 1 else np.stack([np.bincount(i, v[:, k], n) for k in range(v.shape[1])], -1)
-
-    pairs = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
-    for step in range(iterations):
-        index = CellIndex(p, radius)
-        raw, counts = np.zeros_like(p), np.zeros(len(p))
-        for part, i, j in pieces(index):
-            off = p[j] - p[part][i]  # around the point itself: nothing is lost far from the origin
-            n = summed(part, i, np.ones(len(i)))
-            mean = summed(part, i, off) / np.maximum(n, 1)[:, None]
-            cov = summed(part, i, np.stack([off[:, a] * off[:, b] for a, b in pairs], -1)) / np.maximum(n, 1)[:, None] - np.stack([mean[:, a] * mean[:, b] for a, b in pairs], -1)
-            raw[part], counts[part] = smallest_eigen(cov)[1], n
-        known = alive & (counts > 2)
-        moved, new = p.copy(), np.zeros_like(p)
-        for part, i, j in pieces(index):
-            i, j = i[known[j]], j[known[j]]
-            cosine = (raw[part][i] * raw[j]).sum(1)
-            weight = np.where(np.abs(cosine) >= least_cosine, cosine, 0)
-            total_normal = summed(part, i, weight[:, None] * raw[j])
-            size = np.linalg.norm(total_normal, axis=1, keepdims=True)
-            new[part] = total_normal / np.where(size > 0, size, 1)
-            share = np.abs(weight)
-            total = summed(part, i, share)[:, None]
-            shift = summed(part, i, share[:, None] * (p[j] - p[part][i])) / np.where(total > 0, total, 1)
-            off = -(shift * new[part]).sum(1, keepdims=True)
-            enough = (summed(part, i, (share > 0).astype(float)) > 1)[:, None] & known[part, None]
-            moved[part] = np.where(enough, p[part] - off * new[part], p[part])
-        if step == 0:
-            alive = known
-        toward = np.sign(((sensor - moved) * new).sum(1, keepdims=True))
-        normal, p = new * np.where(toward < 0, -1.0, 1.0), moved
-    return p, normal, alive & (np.linalg.norm(normal, axis=1) > 0.5)
+    return dealt.mapInArrow(run, schema)
 
 
 def smoothed_surface(pts: DataFrame, block: float, halo: float, radius: float, sensor: Sequence[float], iterations: int = 2, least_cosine: float = 0.8660254037844386) -> DataFrame:
     """point_id, smoothed x, y, z and normals toward the sensor, of points with enough neighbours.
 
-    Points go to their block and, within the halo, to the blocks around; a point is returned by its own block alone.
+    Points go to their block and, within the halo, to the blocks around; a point is returned by its own block alone. Within a
+    block, tiles of bounded size meet the chunks within the radius: what is wholly within it, and of like normals, as sums, the
+    rest point by point. So blocks may be dense; the work still grows faster than the points where these lie ever closer.
     """
     at = np.array(sensor, float)
+    placed = halo_blocks(pts.select("point_id", "x", "y", "z").where(G.finite(F.col("x")) & G.finite(F.col("y")) & G.finite(F.col("z"))), block, halo)
+    chunks = kept(_packed(kept(placed, "smooth-blocks"), radius), "smooth-chunks")
+
+    def table_of(rows: pa.Table, held: np.ndarray, known: np.ndarray, numbers: np.ndarray) -> pa.Table:
+        whole = np.arange(CHUNK) < pc.list_value_length(rows.column("x")).to_numpy()[:, None]
+        keep = pa.array(held[whole])
+        flat = {c: pa.chunked_array([part.flatten() for part in rows.column(c).chunks]).combine_chunks().filter(keep) for c in ("id", "core")}
+        ends = pa.array(np.concatenate([[0], np.cumsum(held.sum(1))]).astype(np.int32))
+        cols = {c: pa.ListArray.from_arrays(ends, v) for c, v in flat.items()}
+        out = {**{c: rows.column(c) for c in _NAMES[:5]}, **cols, "known": _lists(known, held, pa.bool_()), **{c: _lists(v, held, pa.float64()) for c, v in zip(_NUMBERS, numbers, strict=True)}}
+        return pa.table(out).filter(pa.array(held.any(1)))
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("point_id")
-        p = np.stack([t.column(c).to_numpy() for c in "xyz"], -1)
-        q, n, ok = smooth_block(p, at, radius, iterations, least_cosine)
-        keep = np.flatnonzero(ok & t.column("core").to_numpy())
-        return pa.table({"point_id": t.column("point_id").take(pa.array(keep)), **{c: q[keep, k] for k, c in enumerate("xyz")}, **{c: n[keep, k] for k, c in enumerate(("nx", "ny", "nz"))}})
+    for step in range(iterations):
+        last = step == iterations - 1
+
+        def covered(rows: pa.Table, total: Covariances, step=step) -> pa.Table:
+            raw, known = total.done()
+            return table_of(rows, known if step == 0 else total.own.held, known, np.concatenate([total.own.at, raw]))
+
+        def projected(rows: pa.Table, total: Projections) -> pa.Table:
+            known = _arrays(rows, "known")[0] > 0
+            return table_of(rows, total.own.held, np.ones_like(known), np.concatenate(total.done(known, at)))
 
-    blocks = halo_blocks(pts.select("point_id", "x", "y", "z"), block, halo)
-    return blocks.groupBy("kx", "ky", "kz").applyInArrow(run, "point_id long, x double, y double, z double, nx double, ny double, nz double")
+        chunks = kept(_summed(chunks, radius, lambda own: Covariances(own, radius), covered, _CHUNKS, False), "smooth-normals")
+        chunks = kept(_summed(chunks, radius, lambda own: Projections(own, radius, least_cosine), projected, _CHUNKS, last), "smooth-places")
+    z = chunks.select(F.explode(F.arrays_zip("id", "core", *_NUMBERS)).alias("p")).select("p.*")
+    return z.where(F.col("core") & (G.dot([F.col(c) for c in _NUMBERS[3:]], [F.col(c) for c in _NUMBERS[3:]]) > 0.25)).select(F.col("id").alias("point_id"), *_NUMBERS)
 
 
 def match_planes(queries: DataFrame, planes: DataFrame, reach: float, residual: float) -> DataFrame:
