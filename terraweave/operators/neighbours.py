@@ -68,3 +68,58 @@ class CellIndex:
                 left = left[~done] if width < reach else left[:0]
                 rings = min(2 * rings, int(np.ceil(reach / self.size))) if width < reach else rings
         return found, far
+
+
+class Followed:
+    """The nearest points of queries that are asked again after small moves: what CellIndex.nearest gives, from some candidates
+    of each query for as long as no other point can be nearer."""
+
+    def __init__(self, index: CellIndex, k: int, reach: float, most: int = 32):
+        self.index, self.k, self.reach, self.most = index, k, reach, most
+        self.points = np.concatenate([index.points, np.full((1, 3), np.inf)])
+        self.order = np.append(index.order, -1)
+        self.asked = np.zeros((0, 3))
+
+    def _searched(self, which: np.ndarray, p: np.ndarray, chunk: int = 128) -> None:
+        """Candidates of some queries, as places in the index in growing order, and the distance beyond which all others are."""
+        self.asked[which], self.bound[which] = p, 0.0
+        for start in range(0, len(p), chunk):
+            left, rings, last = np.arange(start, min(start + chunk, len(p))), 1, int(np.ceil(self.reach / self.index.size))
+            while len(left):
+                query, at, d2 = self.index.within(p[left], rings)
+                number = np.bincount(query, minlength=len(left))
+                begin = np.cumsum(number) - number
+                far = np.full((len(left), max(number.max(), self.most + 1)), np.inf)
+                far[query, np.arange(len(query)) - begin[query]] = d2
+                best = np.argpartition(far, self.most, axis=1)[:, : self.most + 1]
+                d = np.take_along_axis(far, best, 1)
+                bound = np.minimum(np.sqrt(d[:, -1]), rings * self.index.size)
+                done = np.sqrt(np.partition(d[:, :-1], self.k - 1, axis=1)[:, self.k - 1]) < bound
+                place = np.append(at, 0)[np.minimum(begin[:, None] + best[:, :-1], len(at))]
+                place[best[:, :-1] >= number[:, None]] = len(self.index.points)
+                self.near[which[left[done]]], self.bound[which[left[done]]] = np.sort(place[done], 1), bound[done]
+                left, rings = left[~done] if rings < last else left[:0], min(2 * rings, last)
+
+    def _looked_up(self, p: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and distances of the nearest candidates, nearest first, and whether these are the nearest points."""
+        near = self.near[which]
+        off = p[which, None] - self.points[near]
+        d2 = np.einsum("nkj,nkj->nk", off, off)
+        best = np.argsort(d2, axis=1, kind="stable")[:, : self.k]
+        far = np.sqrt(np.take_along_axis(d2, best, 1))
+        away = p[which] - self.asked[which]
+        sure = far[:, -1] + np.sqrt((away * away).sum(1)) < self.bound[which] * (1 - 1e-12)
+        return np.take_along_axis(near, best, 1), far, sure & (far[:, -1] <= self.reach)
+
+    def nearest(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As CellIndex.nearest; each call has the same queries, moved."""
+        if len(self.asked) != len(p):
+            self.asked, self.near, self.bound = p.copy(), np.full((len(p), self.most), len(self.index.points)), np.zeros(len(p))
+        at, far, sure = self._looked_up(p, np.arange(len(p)))
+        if len(again := np.flatnonzero(~sure)):
+            self._searched(again, p[again])
+            at[again], far[again], sure[again] = self._looked_up(p, again)
+        found = self.order[at]
+        if len(rest := np.flatnonzero(~sure)):  # too few within reach, or equal distances where candidates end
+            found[rest], far[rest] = self.index.nearest(p[rest], self.k, self.reach)
+        return found, far

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from terraweave.operators.neighbours import CellIndex
+from terraweave.operators.neighbours import CellIndex, Followed
 
 VOXEL, MOST_POINTS, REACH, SIGMA = 0.5, 20, 30.0, 0.3
 POSES = "recording long, frame long, tx double, ty double, tz double, wx double, wy double, wz double, matched long"
@@ -67,17 +67,17 @@ def register(s: State, scan: np.ndarray, rounds: int = 20, gate: float = 3 * SIG
     """Moves the state to the pose of a scan; returns how many points found a plane.
 
     A coarse thinning of the scan is matched, a finer one goes into the map. Planes are those of the five nearest map points
-    within 2 gates, from the cells around a point.
+    within 2 gates, from the cells around a point in the first round, then from what was near in it.
     """
     p = downsampled(scan[np.linalg.norm(scan, axis=1) <= REACH], VOXEL / 2)
     source = downsampled(p, 1.5 * VOXEL)
     first = not len(s.map)
     r, t = (s.r, s.t) if first else (s.r @ s.dr, s.r @ s.dt + s.t)
     matched = 0
-    known = CellIndex(s.map, VOXEL)
+    known = Followed(CellIndex(s.map, VOXEL), 5, 2 * gate)
     for _ in range(0 if first or len(s.map) < 6 else rounds):
         q = source @ r.T + t
-        at, _ = known.nearest(q, 5, 2 * gate)
+        at, _ = known.nearest(q)
         q, at = q[found := at[:, -1] >= 0], at[found]
         if len(q) < 6:
             matched = len(q)

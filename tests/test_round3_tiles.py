@@ -5,6 +5,8 @@ import pytest
 
 from terraweave.operators import points as P
 from terraweave.operators import surfaces as S
+from terraweave.operators.neighbours import CellIndex, Followed
+from terraweave.streaming import odometry
 
 
 def smoothed_plainly(p, sensor, radius, iterations, least):
@@ -47,3 +49,28 @@ def test_smoothing_cuts_dense_blocks_into_tiles(spark, monkeypatch, kind):
         want |= {block.point_id.iloc[k]: (*q[k], *n[k]) for k in np.flatnonzero(ok & block.core.to_numpy())}
     assert got.keys() == want.keys() and 1400 < len(got) <= 1497
     assert max(np.abs(np.array(got[k]) - np.array(want[k])).max() for k in want) < 1e-6
+
+
+@pytest.mark.parametrize("kind", ["cloud", "lattice", "sparse", "none"])
+def test_followed_points_are_the_nearest_ones(kind):
+    rng = np.random.default_rng(12)
+    known = {"cloud": rng.uniform(0, 4, (8000, 3)), "lattice": np.argwhere(np.ones((12, 12, 12))) / 4.0, "sparse": rng.uniform(0, 30, (300, 3)), "none": np.zeros((0, 3))}[kind]
+    index, p = CellIndex(known, 0.5), rng.uniform(-0.5, 4.5, (300, 3))
+    if kind == "lattice":
+        p = np.floor(p * 8) / 8
+    followed = Followed(index, 5, 1.8)
+    for move in (0, 1e-3, 0.02, 0.3, 0, 5.0, 0.125):
+        p = p + move * np.array([1, 0, 0] if kind == "lattice" else rng.normal(0, 0.5, 3))
+        for got, want in zip(followed.nearest(p), index.nearest(p, 5, 1.8), strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_odometry_does_not_look_through_the_map_each_round(monkeypatch):
+    rng, pairs = np.random.default_rng(13), []
+    within = CellIndex.within
+    monkeypatch.setattr(CellIndex, "within", lambda self, p, rings: pairs.append(len(p)) or within(self, p, rings))
+    state, matched = odometry.State(), 0
+    for k in range(3):
+        matched = odometry.register(state, rng.uniform(0, 4, (3000, 3)) * [1, 1, 0.02] + [0.02 * k, 0, 0])
+    asked = len(odometry.downsampled(rng.uniform(0, 4, (3000, 3)) * [1, 1, 0.02], 1.5 * odometry.VOXEL))
+    assert matched > 20 and sum(pairs) < 2 * 8 * asked  # two scans of up to 20 rounds
