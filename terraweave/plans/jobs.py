@@ -8,7 +8,7 @@ from terraweave.functions.geometry import d
 from terraweave.operators import jobs as J
 from terraweave.plans import views as V
 from terraweave.plans.registry import Family, rounded
-from terraweave.session import table
+from terraweave.session import in_parts, table
 
 _f = Family()
 QUERIES, ORACLE = _f.queries, _f.oracle
@@ -65,9 +65,10 @@ _RUNS = "rows AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_or
 def a44(spark, sf):
     from pyspark.sql import Window
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("run").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     k = F.col("l_suppkey") % 4
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), F.row_number().over(order).cast("long").alias("place"), (F.col("l_partkey") % 3 != 0).alias("hidden"), F.when(k == 0, "failed").when(k == 1, "running").when(k == 2, "waiting").otherwise("done").alias("status"), F.col("l_quantity").alias("wall"))
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = in_parts(items, "run").select("run", F.row_number().over(order).cast("long").alias("place"), (F.col("l_partkey") % 3 != 0).alias("hidden"), F.when(k == 0, "failed").when(k == 1, "running").when(k == 2, "waiting").otherwise("done").alias("status"), F.col("l_quantity").alias("wall"))
     return J.folded_stages(rows)
 
 

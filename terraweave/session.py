@@ -37,6 +37,13 @@ def spread(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def in_parts(df: DataFrame, *key: str) -> DataFrame:
+    """A scan dealt by a key into partitions whose number grows with what is read: eight for each split of the files, so that what
+    a task sorts or groups is at most an eighth of a split, decoded, unless a key has more."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, 8 * df.rdd.getNumPartitions()), *key)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir; one of our own where a local session has none)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

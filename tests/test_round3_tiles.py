@@ -1,11 +1,14 @@
 """Smoothing in tiles, odometry from kept candidates, folds in bounded partitions."""
 
+import re
+
 import numpy as np
 import pytest
 
 from terraweave.operators import points as P
 from terraweave.operators import surfaces as S
 from terraweave.operators.neighbours import CellIndex, Followed
+from terraweave.plans import catalog
 from terraweave.streaming import odometry
 
 
@@ -74,3 +77,13 @@ def test_odometry_does_not_look_through_the_map_each_round(monkeypatch):
         matched = odometry.register(state, rng.uniform(0, 4, (3000, 3)) * [1, 1, 0.02] + [0.02 * k, 0, 0])
     asked = len(odometry.downsampled(rng.uniform(0, 4, (3000, 3)) * [1, 1, 0.02], 1.5 * odometry.VOXEL))
     assert matched > 20 and sum(pairs) < 2 * 8 * asked  # two scans of up to 20 rounds
+
+
+def test_folded_stages_are_dealt_once_into_partitions_by_what_is_read(spark, sf):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        text = catalog.QUERIES["a44_folded_stages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        splits = spark.read.parquet(f"{sf}/lineitem.parquet").rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert text.count("Exchange") == 1 and int(re.search(r"Exchange hashpartitioning\(\S+, (\d+)\)", text)[1]) == 8 * splits > 8
