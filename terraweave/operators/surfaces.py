@@ -68,7 +68,7 @@ def surfels(moments: DataFrame, key: Sequence[str], flat: float = 0.1, wide: flo
 
 
 #: Points of a chunk, the unit that is sent and skipped; of a tile, whose neighbours one task sums; pairs of a chunk at a time.
-CHUNK, TILE, MOST_PAIRS = 64, 8192, 1 << 16
+CHUNK, TILE, MOST_PAIRS = 64, 8192, 1 << 14
 _NUMBERS = ("x", "y", "z", "nx", "ny", "nz")
 _CHUNKS = "kx long, ky long, kz long, tile string, chunk long, id array<long>, core array<boolean>, known array<boolean>, " + ", ".join(f"{c} array<double>" for c in _NUMBERS)
 _NAMES = [c.split()[0] for c in _CHUNKS.split(", ")]
