@@ -78,7 +78,7 @@ class Followed:
         self.index, self.k, self.reach, self.most = index, k, reach, most
         self.points = np.concatenate([index.points, np.full((1, 3), np.inf)])
         self.order = np.append(index.order, -1)
-        self.asked = np.zeros((0, 3))
+        self.asked, self.near, self.bound = np.zeros((0, 3)), np.zeros((0, most), int), np.zeros(0)
 
     def _searched(self, which: np.ndarray, p: np.ndarray, chunk: int = 128) -> None:
         """Candidates of some queries, as places in the index in growing order, and the distance beyond which all others are."""

@@ -62,6 +62,7 @@ def test_followed_points_are_the_nearest_ones(kind):
     if kind == "lattice":
         p = np.floor(p * 8) / 8
     followed = Followed(index, 5, 1.8)
+    assert Followed(index, 5, 1.8).nearest(p[:0])[0].shape == (0, 5)
     for move in (0, 1e-3, 0.02, 0.3, 0, 5.0, 0.125):
         p = p + move * np.array([1, 0, 0] if kind == "lattice" else rng.normal(0, 0.5, 3))
         for got, want in zip(followed.nearest(p), index.nearest(p, 5, 1.8), strict=True):
