@@ -42,10 +42,15 @@ def plane_moments(celled: DataFrame, key: Sequence[str], least_points: int, leas
 
 def smallest_eigen(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues in growing order, and the eigenvector of the smallest, of rows xx, xy, xz, yy, yz, zz. The sign is such
-    that the component of the largest size is positive."""
+    that the component of the largest size is positive. Where the two smallest are one, as for points on a line, rounding would
+    choose among the vectors across the largest's; it is the one nearest to the z axis, or for lines along z to the x axis."""
     xx, xy, xz, yy, yz, zz = moments.T
     values, vectors = np.linalg.eigh(np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2))
-    normal = vectors[..., 0]
+    line = vectors[..., 2]
+    along = np.where(line[..., 2:] ** 2 > 0.9, [1.0, 0.0, 0.0], [0.0, 0.0, 1.0])
+    across = along - (along * line).sum(-1, keepdims=True) * line
+    across /= np.linalg.norm(across, axis=-1, keepdims=True)
+    normal = np.where((values[..., 1] - values[..., 0] <= 1e-9 * values[..., 2])[..., None], across, vectors[..., 0])
     lead = np.take_along_axis(normal, np.abs(normal).argmax(-1)[..., None], -1)
     return values, normal * np.where(lead < 0, -1.0, 1.0)
 
@@ -67,8 +72,9 @@ def surfels(moments: DataFrame, key: Sequence[str], flat: float = 0.1, wide: flo
     return moments.mapInArrow(run, ", ".join(f"{k} long" for k in (*key, "n")) + ", " + ", ".join(f"{k} double" for k in ("mx", "my", "mz", "nx", "ny", "nz", "l0", "l1", "l2", "weight")))
 
 
-#: Points of a chunk, the unit that is sent and skipped; of a tile, whose neighbours one task sums; pairs of a chunk at a time.
-CHUNK, TILE, MOST_PAIRS = 64, 8192, 1 << 14
+#: Points of a chunk, the unit that is sent and skipped; of a tile, whose neighbours one task sums; pairs of a chunk at a time, and of
+#: chunks and points.
+CHUNK, TILE, MOST_PAIRS, MOST_SPLIT = 64, 8192, 1 << 15, 1 << 18
 _NUMBERS = ("x", "y", "z", "nx", "ny", "nz")
 _CHUNKS = "kx long, ky long, kz long, tile string, chunk long, id array<long>, core array<boolean>, known array<boolean>, " + ", ".join(f"{c} array<double>" for c in _NUMBERS)
 _NAMES = [c.split()[0] for c in _CHUNKS.split(", ")]
@@ -89,139 +95,194 @@ def leaves(p: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-class Chunks:
-    """Chunks as arrays of CHUNK columns: places (NaN where there is no point), normals (0 there), boxes."""
-
-    def __init__(self, at: np.ndarray, normal: np.ndarray, held: np.ndarray):
-        self.held, self.at, self.normal = held, np.where(held, at, np.nan), np.where(held, normal, 0.0)
-        self.low, self.high = np.fmin.reduce(self.at, 2), np.fmax.reduce(self.at, 2)
-
-    def reach(self, other: Chunks, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of chunks all of whose points are within the radius, and pairs of which only some may be."""
-        a, b = (slice(None), slice(None), None), (slice(None), None, slice(None))
-        gap = np.maximum(np.maximum(self.low[a] - other.high[b], other.low[b] - self.high[a]), 0)
-        wide = np.maximum(self.high[a] - other.low[b], other.high[b] - self.low[a])
-        whole = (wide * wide).sum(0) <= radius * radius * (1 - 1e-9)
-        return whole, ((gap * gap).sum(0) <= radius * radius * (1 + 1e-9)) & ~whole
-
-    def near(self, k: int, other: Chunks, chosen: np.ndarray, radius: float) -> np.ndarray:
-        """Which points of some chunks are within the radius of those of chunk k."""
-        at = other.at[:, chosen].reshape(3, -1)
-        d2 = self.at[0, k][:, None] - at[0]
-        d2 *= d2
-        for axis in (1, 2):
-            off = self.at[axis, k][:, None] - at[axis]
-            off *= off
-            d2 += off
-        return d2 <= radius * radius
-
-    def pieces(self, partly: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(chunk, chunks it is compared with point by point), so many at a time."""
-        step = MOST_PAIRS // CHUNK**2
-        for k in np.flatnonzero(partly.any(1)):
-            chosen = np.flatnonzero(partly[k])
-            yield from ((k, chosen[s : s + step]) for s in range(0, len(chosen), step))
-
-
 def outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The 9 products of three rows with three rows, as the last axis."""
     return np.stack([a[i] * b[j] for i in range(3) for j in range(3)], -1)
 
 
+class Chunks:
+    """Points whose neighbours are summed, as arrays of CHUNK columns: places (NaN where there is no point), normals (0 there).
+
+    What of other points is surely within the radius of a whole chunk, and what may be of some of its points, is told by its ball:
+    the first counts as sums, the second is compared point by point.
+    """
+
+    def __init__(self, at: np.ndarray, normal: np.ndarray, held: np.ndarray, radius: float):
+        self.held, self.radius = held, radius
+        self.at, self.normal = np.where(held, at, np.nan), np.where(held, normal, 0.0)
+        middle = at[:, held].mean(1) if held.any() else np.zeros(3)
+        self.middle = middle[:, None]
+        off = self.at - middle[:, None, None]
+        low, high = np.fmin.reduce(off, 2), np.fmax.reduce(off, 2)
+        centre = (low + high) / 2
+        ball = np.sqrt(np.fmax.reduce(((off - centre[..., None]) ** 2).sum(0), 1)) * (1 + 1e-9)
+        # Products with rows() are squares of distances, less one of the radius.
+        self.left = np.stack([np.ones(held.shape), (off * off).sum(0) - radius * radius, *(-2 * off)], -1)
+        self.balls = np.stack([np.ones(len(held)), (centre * centre).sum(0), *(-2 * centre)], -1)
+        #: How far products may be off.
+        self.room = 1e-14 * (2 * np.nanmax(np.abs(off), initial=0) * 3**0.5 + radius + 2 * np.nanmax(ball, initial=0)) ** 2
+        self.inner = np.where(ball < radius, (radius - ball) ** 2 - self.room, -1.0)[:, None]
+        self.outer = ((radius + ball) ** 2 + self.room)[:, None]
+
+    def rows(self, at: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        """x2 + y2 + z2, 1, x, y, z around the middle, and more, of each point."""
+        off = at - self.middle
+        return np.stack([(off * off).sum(0), np.ones(at.shape[1]), *off, *more], -1)
+
+    def split(self, rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(some chunks, points wholly within the radius of each, those that may partly be), so many at a time."""
+        step = max(1, MOST_SPLIT // max(len(rows), 1))
+        for s in range(0, len(self.held), step):
+            part = slice(s, s + step)
+            away = self.balls[part] @ rows[:, :5].T
+            whole = away <= self.inner[part]
+            yield part, whole, (away <= self.outer[part]) & ~whole
+
+    def pieces(self, chosen: np.ndarray, spaces: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """(chunk of the rows of chosen, some points, arrays for numbers of their pairs). The arrays are used again: to get new ones of
+        this size from the system takes longer than to fill them."""
+        step = max(1, MOST_PAIRS // CHUNK)
+        space = np.empty((spaces, CHUNK * step))
+        for k in np.flatnonzero(chosen.any(1)):
+            points = np.flatnonzero(chosen[k])
+            for s in range(0, len(points), step):
+                some = points[s : s + step]
+                yield k, some, [a[: CHUNK * len(some)].reshape(CHUNK, -1) for a in space]
+
+    def near(self, k: int, rows: np.ndarray, space: np.ndarray, at: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Which points at[:, some], of these rows, are within the radius of those of chunk k. Where the products leave a doubt,
+        differences tell."""
+        above = np.matmul(self.left[k], rows[:, :5].T.copy(), out=space)
+        out, possible = above <= -self.room, above <= self.room
+        if np.count_nonzero(out) != np.count_nonzero(possible):
+            i, j = np.nonzero(possible & ~out)
+            d = self.at[:, k, i] - at[:, some[j]]
+            out[i, j] = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= self.radius * self.radius
+        return out
+
+
 class Covariances:
     """Normals of the points' neighbourhoods, from sums around the middle of the tile."""
 
-    def __init__(self, own: Chunks, radius: float):
-        self.own, self.radius = own, radius
-        self.middle = np.nanmean(own.at, (1, 2))[:, None, None]
-        self.sums = np.zeros((*own.held.shape, 13))
+    def __init__(self, own: Chunks):
+        self.own = own
+        self.sums = np.zeros((*own.held.shape, 10))
 
-    def add(self, other: Chunks) -> None:
-        off = np.where(other.held, other.at - self.middle, 0.0)
-        terms = np.concatenate([other.held[..., None], np.moveaxis(off, 0, -1), outer(off, off)], -1)
-        whole, partly = self.own.reach(other, self.radius)
-        self.sums += (whole @ terms.sum(1))[:, None]
-        for k, chosen in self.own.pieces(partly):
-            self.sums[k] += self.own.near(k, other, chosen, self.radius).astype(float) @ terms[chosen].reshape(-1, 13)
+    def add(self, at: np.ndarray, normal: np.ndarray) -> None:
+        x, y, z = at - self.own.middle
+        rows = self.own.rows(at, x * x, x * y, x * z, y * y, y * z)
+        for part, whole, partly in self.own.split(rows):
+            self.sums[part] += (whole.astype(float) @ rows)[:, None]
+            for k, some, (space, taken) in self.own.pieces(partly, 2):
+                theirs = rows.take(some, 0)
+                taken[...] = self.own.near(k + part.start, theirs, space, at, some)
+                self.sums[k + part.start] += taken @ theirs
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
         """The normals, and which points have more than two neighbours, themselves included."""
-        n = np.maximum(self.sums[..., 0], 1)[..., None]
-        mean = self.sums[..., 1:4] / n
-        cov = self.sums[..., 4:] / n - outer(np.moveaxis(mean, -1, 0), np.moveaxis(mean, -1, 0))
-        raw = smallest_eigen(cov[..., (0, 1, 2, 4, 5, 8)].reshape(-1, 6))[1].reshape(*n.shape[:-1], 3)
-        return np.moveaxis(raw, -1, 0), self.own.held & (self.sums[..., 0] > 2)
-
-
-class Cones:
-    """A direction for each chunk of normals and the widest angle to it, signs aside."""
-
-    def __init__(self, c: Chunks):
-        lead = c.normal[:, :, :1]
-        turn = np.where((c.normal * lead).sum(0) < 0, -1.0, 1.0)
-        mean = (c.normal * turn).sum(2)
-        size = np.linalg.norm(mean, axis=0)
-        self.axis = mean / np.where(size > 0, size, 1)
-        cosine = (c.normal * self.axis[..., None]).sum(0)
-        self.sign = np.where(cosine < 0, -1.0, 1.0)
-        self.angle = np.where(c.held, np.arccos(np.clip(np.abs(cosine), 0, 1)), 0).max(1)
+        square, n, x, y, z, xx, xy, xz, yy, yz = np.moveaxis(self.sums, -1, 0)
+        many = np.maximum(n, 1)
+        pairs = ((xx, x, x), (xy, x, y), (xz, x, z), (yy, y, y), (yz, y, z), (square - xx - yy, z, z))
+        cov = np.stack([ab / many - a / many * (b / many) for ab, a, b in pairs], -1)
+        raw = smallest_eigen(cov.reshape(-1, 6))[1].reshape(*n.shape, 3)
+        return np.moveaxis(raw, -1, 0), self.own.held & (n > 2)
 
 
 class Projections:
-    """Points moved onto the planes of neighbours of a like normal, from sums over these."""
+    """Points moved onto the planes of neighbours of a like normal, from sums over these.
 
-    def __init__(self, own: Chunks, radius: float, least_cosine: float):
-        self.own, self.radius, self.least = own, radius, least_cosine
-        self.cones = Cones(own)
-        self.middle = np.nanmean(own.at, (1, 2))[:, None, None]
-        # Of the neighbours: number, sum of cosine x normal, sums of |cosine| and of |cosine| x place.
-        self.sums = np.zeros((*own.held.shape, 8))
+    The normals of a chunk lie within an angle of an axis, signs aside, so that other normals are alike for all of them, or for none,
+    or are compared.
+    """
 
-    def add(self, other: Chunks) -> None:
-        off = np.where(other.held, other.at - self.middle, 0.0)
-        whole, partly = self.own.reach(other, self.radius)
-        cones, limit = Cones(other), np.arccos(self.least)
-        cosine = self.cones.axis.T @ cones.axis
-        between = np.arccos(np.clip(np.abs(cosine), 0, 1))
-        spread = self.cones.angle[:, None] + cones.angle
-        apart = between - spread > limit + 1e-7
-        alike = whole & (between + spread < limit - 1e-7)
-        partly = (partly | whole) & ~alike & ~apart
-        # Where all normals are alike, the sums are products of a chunk's sums with the point's own normal.
-        turned = other.normal * cones.sign
-        even = np.concatenate([other.held.sum(1)[:, None], outer(other.normal, other.normal).sum(1)], -1)
-        odd = np.concatenate([turned.sum(2).T, outer(off, turned).sum(1)], -1)
-        e, o = alike @ even, np.where(cosine < 0, -1.0, 1.0) * alike @ odd
-        mine = np.moveaxis(self.own.normal, 0, -1)
-        same = mine * self.cones.sign[..., None]
-        self.sums[..., 0] += e[:, None, 0]
-        self.sums[..., 1:4] += np.einsum("aij,apj->api", e[:, 1:].reshape(-1, 3, 3), mine)
-        self.sums[..., 4:] += np.einsum("aij,apj->api", o.reshape(-1, 4, 3), same)
-        normal = np.moveaxis(other.normal, 0, -1)
-        place = np.concatenate([other.held[..., None], np.moveaxis(off, 0, -1)], -1)
-        for k, chosen in self.own.pieces(partly):
-            w = mine[k] @ normal[chosen].reshape(-1, 3).T
-            share = np.abs(w)
-            taken = (self.own.near(k, other, chosen, self.radius) & (share >= self.least)).astype(float)
-            w *= taken
-            share *= taken
-            self.sums[k, :, 0] += taken.sum(1)
-            self.sums[k, :, 1:4] += w @ normal[chosen].reshape(-1, 3)
-            self.sums[k, :, 4:] += share @ place[chosen].reshape(-1, 4)
+    def __init__(self, own: Chunks, least_cosine: float):
+        self.own, self.least = own, least_cosine
+        # Of the neighbours: number, sums of |cosine| and of |cosine| x place, sum of cosine x normal (that up to its sign).
+        self.sums = np.zeros((*own.held.shape, 8))
+        turn = np.where((own.normal * own.normal[:, :, :1]).sum(0) < 0, -1.0, 1.0)
+        mean = (own.normal * turn).sum(2)
+        size = np.linalg.norm(mean, axis=0)
+        self.axis = (mean / np.where(size > 0, size, 1)).T
+        cosine = np.einsum("ak,kap->ap", self.axis, own.normal)
+        self.mine = np.moveaxis(own.normal * np.where(cosine < 0, -1.0, 1.0), 0, -1).copy()
+        angle, limit = np.where(own.held, np.arccos(np.clip(np.abs(cosine), 0, 1)), 0).max(1), np.arccos(least_cosine)
+        self.alike = np.where(angle < limit - 1e-7, np.cos(np.maximum(limit - 1e-7 - angle, 0)), 2.0)[:, None]
+        self.possible = np.cos(np.minimum(limit + 1e-7 + angle, np.pi / 2))[:, None] - 1e-12
+        # With normals turned to the axis, those of the others too, no pair of theirs that counts has a negative cosine.
+        self.turned = angle + limit < np.pi / 2 - 1e-7
+
+    def add(self, at: np.ndarray, normal: np.ndarray) -> None:
+        rows = self.own.rows(at, *normal)
+        place = rows[:, 1:5].T
+        even = np.concatenate([place[:1], outer(normal, normal).T]).T.copy()
+        odd = np.concatenate([normal * c for c in place]).T.copy()
+        for part, whole, partly in self.own.split(rows):
+            cosine = self.axis[part] @ normal
+            size = np.abs(cosine)
+            # Where all normals are alike, the sums are products of the points' sums with each one's own normal.
+            alike = whole & (size >= self.alike[part])
+            left = (whole | partly) & (size >= self.possible[part]) & ~alike
+            sign = alike.astype(float)
+            e, o = sign @ even, np.copysign(sign, cosine, out=sign) @ odd
+            self.sums[part, :, 0] += e[:, None, 0]
+            self.sums[part, :, 1:5] += self.mine[part] @ np.moveaxis(o.reshape(-1, 4, 3), 1, 2)
+            self.sums[part, :, 5:] += self.mine[part] @ e[:, 1:].reshape(-1, 3, 3)
+            for k, some, (w, share, taken) in self.own.pieces(left, 3):
+                theirs, to = rows.take(some, 0), cosine[k, some]
+                theirs[:, 5:] *= np.copysign(1.0, to)[:, None]
+                k += part.start
+                close = self.own.near(k, theirs, w, at, some)
+                np.matmul(self.mine[k], theirs[:, 5:].T.copy(), out=w)
+                share = w if self.turned[k] else np.abs(w, out=share)
+                taken[...] = close & (share >= self.least)
+                self.sums[k, :, 0] += taken @ theirs[:, 1]
+                w *= taken
+                if self.turned[k]:
+                    self.sums[k, :, 1:] += w @ theirs[:, 1:]
+                    continue
+                share *= taken
+                self.sums[k, :, 1:5] += share @ theirs[:, 1:5]
+                self.sums[k, :, 5:] += w @ theirs[:, 5:]
 
     def done(self, known: np.ndarray, sensor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and normals toward the sensor."""
-        p, normal = self.own.at, np.moveaxis(self.sums[..., 1:4], -1, 0)
+        p, normal = self.own.at, np.moveaxis(self.sums[..., 5:], -1, 0)
         size = np.linalg.norm(normal, axis=0)
         new = normal / np.where(size > 0, size, 1)
-        total = self.sums[..., 4]
-        shift = np.moveaxis(self.sums[..., 5:], -1, 0) / np.where(total > 0, total, 1) + np.where(total > 0, self.middle - p, 0)
+        total = self.sums[..., 1]
+        shift = np.moveaxis(self.sums[..., 2:5], -1, 0) / np.where(total > 0, total, 1) + np.where(total > 0, self.own.middle[..., None] - p, 0)
         enough = (self.sums[..., 0] > 1) & known
         moved = np.where(enough, p + (shift * new).sum(0) * new, p)
         toward = ((sensor[:, None, None] - moved) * new).sum(0)
         return moved, new * np.where(toward < 0, -1.0, 1.0)
 
 
+def smooth_block(p: np.ndarray, sensor: np.ndarray, radius: float, iterations: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points of a block moved onto the planes of their neighbourhoods, their normals, and which of them have one."""
+    found = leaves(p, CHUNK)
+    held = np.arange(CHUNK) < np.array([len(f) for f in found])[:, None]
+    at, normal = np.zeros((3, *held.shape)), np.zeros((3, *held.shape))
+    order = np.concatenate(found)
+    at[:, held] = p[order].T
+    alive = held
+
+    def added(sums, taken: np.ndarray):
+        points, theirs = at[:, taken], normal[:, taken]
+        for s in range(0, points.shape[1], TILE):
+            sums.add(points[:, s : s + TILE], theirs[:, s : s + TILE])
+        return sums
+
+    for step in range(iterations):
+        normal, known = added(Covariances(Chunks(at, normal, alive, radius)), alive).done()
+        if step == 0:
+            alive = known
+        at, normal = added(Projections(Chunks(at, normal, held, radius), least_cosine), known).done(known, sensor)
+    places, normals, ok = np.empty_like(p), np.empty_like(p), np.empty(len(p), bool)
+    places[order], normals[order] = at[:, held].T, normal[:, held].T
+    ok[order] = (alive & ((normal * normal).sum(0) > 0.25))[held]
+    return places, normals, ok
+
+
 def _arrays(rows: pa.Table, *names: str) -> np.ndarray:
     """Columns of arrays as rows of CHUNK, filled up with zeros."""
     n = pc.list_value_length(rows.column("x")).to_numpy()
@@ -237,15 +298,16 @@ def _lists(of: np.ndarray, held: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(of[held], kind))
 
 
-def _packed(pts: DataFrame, edge: float) -> DataFrame:
+def _packed(pts: DataFrame, edge: float, most: int | None = None) -> DataFrame:
     """Chunks of the tiles of each block: cells of an edge, slabs along x of cells with many points, parts by a hash of slabs with
-    many still, so that no tile holds more than some TILE points."""
+    many still, so that no tile holds more than some `most` (TILE) points."""
+    most = most or TILE
     block, cell = ["kx", "ky", "kz"], list(CELL)
     celled = with_cells(pts, edge)
-    slabs = celled.groupBy(*block, *cell).agg(F.ceil(F.count("*") / TILE).alias("slabs"))
+    slabs = celled.groupBy(*block, *cell).agg(F.ceil(F.count("*") / most).alias("slabs"))
     slab = F.least(F.floor((F.col("x") / edge - F.col("cx")) * F.col("slabs")), F.col("slabs") - 1).alias("slab")
     cut = celled.join(slabs, [*block, *cell]).select(*block, *cell, slab, "point_id", "x", "y", "z", "core")
-    parts = cut.groupBy(*block, *cell, "slab").agg(F.ceil(F.count("*") / (2 * TILE)).alias("parts"))
+    parts = cut.groupBy(*block, *cell, "slab").agg(F.ceil(F.count("*") / (2 * most)).alias("parts"))
     part = F.pmod(F.xxhash64("point_id"), F.col("parts"))
     dealt = cut.join(parts, [*block, *cell, "slab"]).select(*block, F.concat_ws(" ", *block, *cell, "slab", part).alias("tile"), "point_id", "x", "y", "z", "core")
 
@@ -318,10 +380,11 @@ def _summed(chunks: DataFrame, radius: float, sums, finish, schema: str, core: b
             held = np.arange(CHUNK) < pc.list_value_length(t.column("x")).to_numpy()[:, None]
             if mine:
                 asked = held & (_arrays(t, "core")[0] > 0) if core else held
-                rows, total = t, sums(Chunks(values[:3], values[3:6], asked))
+                rows, total = t, sums(Chunks(values[:3], values[3:6], asked, radius))
             for k in range(0, t.num_rows, TILE // CHUNK):
                 part = slice(k, k + TILE // CHUNK)
-                total.add(Chunks(values[:3, part], values[3:6, part], held[part] & (values[6, part] > 0)))
+                known = held[part] & (values[6, part] > 0)
+                total.add(values[:3, part][:, known], values[3:6, part][:, known])
 
     return dealt.mapInArrow(run, schema)
 
@@ -331,11 +394,25 @@ def smoothed_surface(pts: DataFrame, block: float, halo: float, radius: float, s
 
     Points go to their block and, within the halo, to the blocks around; a point is returned by its own block alone. Within a
     block, tiles of bounded size meet the chunks within the radius: what is wholly within it, and of like normals, as sums, the
-    rest point by point. So blocks may be dense; the work still grows faster than the points where these lie ever closer.
+    rest point by point. So blocks may be dense; the work still grows faster than the points where these lie ever closer. Where
+    no block has more points than a tile, a task smooths a block.
     """
     at = np.array(sensor, float)
     placed = halo_blocks(pts.select("point_id", "x", "y", "z").where(G.finite(F.col("x")) & G.finite(F.col("y")) & G.finite(F.col("z"))), block, halo)
-    chunks = kept(_packed(kept(placed, "smooth-blocks"), radius), "smooth-chunks")
+    placed, block_of = kept(placed, "smooth-blocks"), ["kx", "ky", "kz"]
+    most, total = placed.groupBy(*block_of).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    if most <= TILE:
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("point_id")
+            p, normal, ok = smooth_block(np.stack([t.column(c).to_numpy() for c in "xyz"], -1), at, radius, iterations, least_cosine)
+            keep = np.flatnonzero(ok & t.column("core").to_numpy())
+            return pa.table({"point_id": t.column("point_id").take(pa.array(keep)), **dict(zip(_NUMBERS, np.concatenate([p, normal], 1)[keep].T, strict=True))})
+
+        return placed.groupBy(*block_of).applyInArrow(run, "point_id long, " + ", ".join(f"{c} double" for c in _NUMBERS))
+    # Chunks are sent to each tile around, so tiles are as large as leaves each core eight.
+    tile = max(TILE, min(4 * TILE, total // (8 * pts.sparkSession.sparkContext.defaultParallelism)))
+    chunks = kept(_packed(placed, radius, tile), "smooth-chunks")
 
     def table_of(rows: pa.Table, held: np.ndarray, known: np.ndarray, numbers: np.ndarray) -> pa.Table:
         whole = np.arange(CHUNK) < pc.list_value_length(rows.column("x")).to_numpy()[:, None]
@@ -357,8 +434,8 @@ def smoothed_surface(pts: DataFrame, block: float, halo: float, radius: float, s
             known = _arrays(rows, "known")[0] > 0
             return table_of(rows, total.own.held, np.ones_like(known), np.concatenate(total.done(known, at)))
 
-        chunks = kept(_summed(chunks, radius, lambda own: Covariances(own, radius), covered, _CHUNKS, False), "smooth-normals")
-        chunks = kept(_summed(chunks, radius, lambda own: Projections(own, radius, least_cosine), projected, _CHUNKS, last), "smooth-places")
+        chunks = kept(_summed(chunks, radius, Covariances, covered, _CHUNKS, False), "smooth-normals")
+        chunks = kept(_summed(chunks, radius, lambda own: Projections(own, least_cosine), projected, _CHUNKS, last), "smooth-places")
     z = chunks.select(F.explode(F.arrays_zip("id", "core", *_NUMBERS)).alias("p")).select("p.*")
     return z.where(F.col("core") & (G.dot([F.col(c) for c in _NUMBERS[3:]], [F.col(c) for c in _NUMBERS[3:]]) > 0.25)).select(F.col("id").alias("point_id"), *_NUMBERS)
 
